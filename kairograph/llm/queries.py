@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import byte_bpe, decontaminate, near_dedup, permutation_index, secrets, token_binary, token_count
+from kairograph.llm import byte_bpe, decontaminate, near_dedup, permutation_index, secrets, substring_dedup, token_binary, token_count
 from kairograph.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(table(spark, sf_dir, "documents"), window=50)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=0.85)
 
@@ -40,7 +44,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_binary, op4_secrets, op7_near_dedup, op8_byte_bpe, op9_token_counts, op10_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_binary, op4_secrets, op5_substrings, op7_near_dedup, op8_byte_bpe, op9_token_counts, op10_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -152,3 +156,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20
 """
+
+ORACLE_SQL["op5_substrings"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, b[i:i + 49] AS g FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS low FROM p GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT p.doc_id, p.i FROM p JOIN f USING (g) WHERE low < p.doc_id),
+r AS (
+  SELECT doc_id, min(i) AS a, max(i) + 49 AS z
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k
+        FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM h))
+  GROUP BY doc_id, k),
+k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, z + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) - 1 AS z FROM (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, 0, 0 FROM d)),
+t AS (SELECT d.doc_id, string_agg(CASE WHEN g.a > g.z THEN '' ELSE hex(b[g.a:g.z]) END, '' ORDER BY g.a) AS kept FROM d JOIN g USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
