@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import byte_bpe, decontaminate, near_dedup, permutation_index, secrets, substring_dedup, token_binary, token_count
+from kairograph.llm import byte_bpe, decontaminate, licenses, near_dedup, permutation_index, secrets, substring_dedup, token_binary, token_count, toxicity
 from kairograph.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_tokens(spark, folder)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(table(spark, sf_dir, "documents"), window=50)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=0.85)
 
@@ -44,7 +52,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_binary, op4_secrets, op5_substrings, op7_near_dedup, op8_byte_bpe, op9_token_counts, op10_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_binary, op3_toxicity, op4_secrets, op5_substrings, op6_licenses, op7_near_dedup, op8_byte_bpe, op9_token_counts, op10_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
 
