@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import Batches, id_text, map_arrow, slices
 
 THRESHOLD = 0.7
-TRAIN_ROWS, LEXICON = 10_000, 50_000
+TRAIN_ROWS, LEXICON, PRIOR = 10_000, 50_000, 4
 LETTERS, SLICES = 27, 27
 EDGE = 26
 
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, rows: int = TRAIN_ROWS) ->
     gain = 2 * (log(t, size * share) + log(c, size * (1 - share)) + log(toxic - t, (n - size) * share) + log(n - toxic - c, (n - size) * (1 - share)))
     kept = counts.filter("e <> ''").filter(t / size > share).withColumn("gain", gain).filter(F.col("gain") > max(12.0, 2 * math.log(max(2, candidates))))
     found = kept.orderBy(F.desc("gain"), "e").limit(LEXICON).collect()
-    lexicon = {r["e"]: (r["t"] + 2 * share) / (r["t"] + r["c"] + 2) for r in found}
+    lexicon = {r["e"]: (r["t"] + PRIOR * share) / (r["t"] + r["c"] + PRIOR) for r in found}
     return lexicon, 0.1 * share
 
 
