@@ -1,0 +1 @@
+"""Temporal-network analytics on Spark."""
