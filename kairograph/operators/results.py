@@ -37,7 +37,7 @@ def widen(result: DataFrame) -> DataFrame:
     ids = [c for c in result.columns if c in IDS]
     if "time" in result.columns:
         keys = [*ids, *(["measure"] if "measure" in result.columns else [])]
-        return result.withColumn("_t", F.concat(F.lit("t"), F.format_number("time", "0.######"))).groupBy(*keys).pivot("_t").agg(F.first("value"))
+        return result.withColumn("_t", F.concat(F.lit("t"), F.regexp_replace(F.col("time").cast("decimal(38,6)").cast("string"), r"\.?0+$", ""))).groupBy(*keys).pivot("_t").agg(F.first("value"))
     return result.groupBy(*ids).pivot("measure").agg(F.first("value"))
 
 
