@@ -1,9 +1,11 @@
 """Benchmark decontamination over a positional inverted index, sharded by document.
 
-Every shard (a run of documents) stores the postings of its tokens: for each
-term the ascending positions at which it occurs, one position being left free
-between documents.  Queries go to all shards, as in any distributed index, so
-no posting list is gathered in one place and a frequent term harms nobody.  A
+Every shard (a run of documents with about ``SHARD_BYTES`` of text) stores the
+postings of all its tokens: for each term the ascending positions at which it
+occurs, one position being left free between documents.  The index is a table in
+the shared folder and serves any number of searches.  Queries go to all shards,
+as in any distributed index, so no posting list is gathered in one place and a
+frequent term harms nobody.  A
 phrase starts from the list of its rarest term; the other lists, moved by their
 offsets, are intersected with it from rare to frequent.  A phrase with a term
 that the shard lacks is dropped before any list is touched.
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import binary, id_text, map_arrow
+from kairograph.llm.common import binary, id_text, map_arrow, materialize
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -67,9 +70,30 @@ class Postings:
         kept = np.flatnonzero(flat != none)
         order = np.argsort(flat[kept].astype(np.int32), kind="stable")
         self.positions = kept[order]
-        self.keys = flat[kept][order] * self.stride + self.positions  # ascending: by term, then position
-        self.counts = np.bincount(flat[kept], minlength=none + 1)[: none + 1]
-        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
+        self._ready(np.bincount(flat[kept], minlength=none + 1))
+
+    def _ready(self, counts: np.ndarray) -> None:
+        self.counts = counts
+        self.begins = np.concatenate([[0], np.cumsum(counts)])
+        self.keys = np.repeat(np.arange(len(counts)), counts) * self.stride + self.positions  # ascending: by term, then position
+
+    @classmethod
+    def stored(cls, sizes: np.ndarray, names: bytes, counts: np.ndarray, positions: np.ndarray, terms: dict[bytes, int]) -> Postings:
+        """The lists of the queries' terms out of a stored shard."""
+        self = cls.__new__(cls)
+        self.sizes = sizes.astype(np.int64)
+        self.bases = np.concatenate([[0], np.cumsum(self.sizes + 1)])
+        self.stride = int(self.bases[-1]) + 1
+        ends = np.cumsum(counts, dtype=np.int64)
+        own = np.full(len(terms) + 1, 0, np.int64)
+        lists: list[np.ndarray] = [np.empty(0, np.int64)] * (len(terms) + 1)
+        for i, name in enumerate(names.split()):
+            if (t := terms.get(name)) is not None:
+                own[t] = counts[i]
+                lists[t] = positions[ends[i] - counts[i] : ends[i]]
+        self.positions = np.concatenate(lists).astype(np.int64)
+        self._ready(own)
+        return self
 
     def occurs(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
         """Whether each position is in the list of its term."""
@@ -149,6 +173,48 @@ def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tup
         yield block
 
 
+INDEX = "sizes binary, terms binary, counts binary, positions binary"
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row for each shard: ids and word counts of its documents, and the postings of its terms."""
+    src = id_text(docs)
+    kind = src.schema["doc_id"].dataType.simpleString()
+
+    def shard(ids: list, texts: list[list[bytes]], id_type: pa.DataType) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts], np.int32)
+        number: dict[bytes, int] = {}
+        of = number.setdefault
+        flat = np.fromiter((of(w, len(number)) for t in texts for w in t), np.int32, int(sizes.sum()))
+        place = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)  # one free position after each document
+        order = np.argsort(flat, kind="stable")
+        columns = [sizes, b" ".join(number), np.bincount(flat, minlength=len(number)).astype(np.int32), place[order].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(id_type)), *[pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in columns]], ["doc_ids", "sizes", "terms", "counts", "positions"])
+
+    def run(batches):
+        ids, texts, held, id_type = [], [], 0, pa.int64()
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for i, raw in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
+                ids.append(i)
+                texts.append(words(raw))
+                held += len(raw or b"")
+                if held >= SHARD_BYTES:
+                    yield shard(ids, texts, id_type)
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield shard(ids, texts, id_type)
+
+    return src.mapInArrow(run, f"doc_ids array<{kind}>, {INDEX}")
+
+
+def _opened(batch: pa.RecordBatch, terms: dict[bytes, int]) -> Iterator[tuple[list, Postings]]:
+    for i in range(batch.num_rows):
+        ids, sizes, names, counts, positions = (batch.column(k)[i] for k in range(5))
+        read = lambda x: np.frombuffer(x.as_buffer(), np.int32)
+        yield ids.as_py(), Postings.stored(read(sizes), names.as_py(), read(counts), read(positions), terms)
+
+
 HITS = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -157,39 +223,35 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
     One row for each document row, however many blocks of items there are.
     """
-    spark, src = docs.sparkSession, id_text(docs)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def scan(block: list[tuple[str, bytes | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Phrases(block, window))  # BLOCK_BYTES of text at most
+    blocks = item_blocks(items)
+    first, more = next(blocks, []), next(blocks, None)
+    if more is not None:
+        return united(docs, items, window)
+    return search_phrases(materialize(build_index(docs), "postings"), first, window)
 
-        def make():
-            phrases = sent.value
 
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                texts = list(map(words, binary(batch.column(1))))
-                index = Postings(texts, phrases.terms)
-                hits: list[list] = [[] for _ in texts]
-                owners: list[set] = [set() for _ in texts]
-                for who, starts in index.find(phrases):
-                    doc, word = index.local(starts)
+def search_phrases(index: DataFrame, block: list[tuple[str, bytes | None]], window: int = WINDOW) -> DataFrame:
+    """Hits of one block of items in a stored index."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    sent = index.sparkSession.sparkContext.broadcast(Phrases(block, window))  # BLOCK_BYTES of text at most
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def run(batches):
+        phrases = sent.value
+        for batch in batches:
+            for ids, found in _opened(batch, phrases.terms):
+                hits: list[list] = [[] for _ in ids]
+                owners: list[set] = [set() for _ in ids]
+                for who, starts in found.find(phrases):
+                    doc, word = found.local(starts)
                     for d, p, s, n in zip(doc.tolist(), who.tolist(), word.tolist(), phrases.lengths[who].tolist(), strict=True):
                         hits[d].append((s, s + n))
                         owners[d].update(phrases.owners[p])
                 merged = [[{"start": a, "end": b} for a, b in merge(h)] for h in hits]
                 names = [[phrases.names[i] for i in sorted(o)] for o in owners]
-                return pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.sizes), pa.array(merged, span), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type.value_type), pa.array(found.sizes), pa.array(merged, span), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
 
-            return step
-
-        return map_arrow(src, make, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {HITS}")
-
-    blocks = item_blocks(items)
-    first = next(blocks, [])
-    more = next(blocks, None)
-    if more is None:
-        return scan(first)
-    return united(docs, items, window)
+    return index.mapInArrow(run, f"doc_id {kind}, {HITS}")
 
 
 def united(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
@@ -200,10 +262,9 @@ def united(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """
     src = docs.select("doc_id", "text")
     keyed = src.select(F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    parts = None
+    parts, index = None, materialize(build_index(keyed), "postings")
     for block in item_blocks(items):
-        rows = [(i, t.decode()) for i, t in block]
-        part = phrase_hits(keyed, docs.sparkSession.createDataFrame(rows, "item_id string, text string"), window)
+        part = search_phrases(index, block, window)
         parts = part if parts is None else parts.unionByName(part)
 
     def join(stretches: list) -> list:
@@ -238,26 +299,24 @@ def near_hits(docs: DataFrame, queries: list[str], slop: int) -> DataFrame:
 
     ``queries`` is a stated, bounded list of strings.
     """
-    src = id_text(docs)
+    index = build_index(docs)
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
-    def make():
+    def run(batches):
         terms: dict[bytes, int] = {}
         asked = [[terms.setdefault(w, len(terms)) for w in words(q.encode())] for q in queries]
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            index = Postings(list(map(words, binary(batch.column(1)))), terms)
-            names, rows = batch.column(0).to_pylist(), []
-            for k, ids in enumerate(asked):
-                for first, last in index.near(ids, slop):
-                    doc, word = index.local(np.array([first]))
-                    rows.append((names[int(doc[0])], k, int(word[0]), int(word[0]) + last - first + 1))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "query", "start", "end"])
-
-        return step
-
-    return map_arrow(src, make, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, query int, start int, end int")
+        for batch in batches:
+            for ids, found in _opened(batch, terms):
+                rows = []
+                for k, wanted in enumerate(asked):
+                    for first, last in found.near(wanted, slop):
+                        doc, word = found.local(np.array([first]))
+                        rows.append((ids[int(doc[0])], k, int(word[0]), int(word[0]) + last - first + 1))
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                kinds = [batch.schema.field(0).type.value_type, pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "query", "start", "end"])
+
+    return index.mapInArrow(run, f"doc_id {kind}, query int, start int, end int")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

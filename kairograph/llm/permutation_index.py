@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, PREFIX, SHARE, LEAST = 128, 32, 0.25, 512
+PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.2, 512
 SHARD, BLOCK = 8192, 1024
 
 
