@@ -5,13 +5,10 @@ hashes.  A set is posted under (coordinate, value) pairs, and two sets that agre
 in ``MATCHES`` coordinates or more are candidates.  Prefix: with pairs ordered
 from rare to frequent over the corpus, two such sets share one of their first
 ``COORDINATES - MATCHES + 1`` pairs, so only those are posted, and a pair nobody
-shares is not posted at all.  Skip: a list whose members are already linked with
-one another is passed over.  Candidates are confirmed on the full sets.
-
-Lists of copies do not become all their pairs.  First each list links its members
-to its smallest one (a star) and the links are confirmed; then only pairs of
-members that are still in different components are compared, in tasks of two
-blocks of at most ``BLOCK`` members.
+shares is not posted at all.  Lists are merged into families: the lists of one
+group of copies have one hub, so their members meet once.  Candidates are
+confirmed on the full sets.  Skip: pairs that a task has joined already are passed
+over, so a group gives about as many links as it has members, never all its pairs.
 
 At a similarity of 0.85, 64 coordinates agree in 54.4 places on average with a
 deviation of 2.9; the bar of ``MATCHES`` lies more than five deviations below.
@@ -135,24 +132,95 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         seen = tuple(sums)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose full sets are similar enough; rows stream through, nothing is grouped."""
-    percent = round(threshold * 100)
-    a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "sa", "sb")
+def _families(classes: DataFrame, bar: int) -> DataFrame:
+    """``hub, key``: members of all lists that share a hub.
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    The hub of a list is the member whose pairs are the most frequent, the likeliest
+    source of its copies.  The lists of one group of copies have one hub, so their
+    members are brought together once and not once for each list.
+    """
+    tokens = classes.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring(F.hex("sig"), i * 8 + 1, F.lit(8)))).alias("c", "v"))
+    counts = tokens.groupBy("c", "v").agg(F.count("*").alias("f")).filter("f > 1")
+    own = Window.partitionBy("key")
+    shared = tokens.join(counts, ["c", "v"]).withColumns({"k": F.row_number().over(own.orderBy("f", "c", "v")), "m": F.count("*").over(own), "score": F.sum("f").over(own)})
+    # A pair nobody shares is the rarest there is: it takes a place in the prefix without being posted.
+    posted = shared.filter(F.col("k") + (COORDINATES - F.col("m")) <= COORDINATES - bar + 1).select("key", "c", "v", "score")
+    posted = materialize(posted, "posted")
+    hubs = posted.groupBy("c", "v").agg(F.max(F.struct("score", "key")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("c", "v", F.col("hub.key").alias("hub"))
+    return posted.join(hubs, ["c", "v"]).select("hub", "key").distinct()
+
+
+def _links(families: DataFrame, sets: DataFrame, bar: int, threshold: float) -> DataFrame:
+    """``a, b``: links within families, as many as it takes to hold each together.
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(check, f"a {kind}, b {kind}")
+    A family is cut into blocks of about ``BLOCK`` members and each pair of blocks is
+    a task of bounded size.  There the signatures are compared, pairs that agree often
+    enough are confirmed on full sets, and a link is given only where it joins what
+    the task has not joined yet.
+    """
+    percent = round(threshold * 100)
+    sizes = families.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = families.join(sizes, "hub").withColumn("blk", F.pmod(F.hash("key"), F.col("blocks")))
+    task = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j")))
+    rows = rows.withColumn("t", F.explode(task)).select("hub", "key", "blk", "t.i", "t.j")
+    rows = rows.join(sets, "key").select("hub", "i", "j", "blk", "id", "sig", "set")
+    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(7)]
+            out: list[tuple] = []
+            for hub, i, j, *rest in zip(*cols, strict=True):
+                if (hub, i, j) != now:
+                    out += _compare(now, held, bar, percent)
+                    now, held = (hub, i, j), []
+                held.append(rest)
+            yield _pairs(out, batch.schema.field(4).type)
+        if held:
+            yield _pairs(_compare(now, held, bar, percent), None)
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _pairs(found: list[tuple], kind: pa.DataType | None) -> pa.RecordBatch:
+    kind = kind or (pa.string() if found and isinstance(found[0][0], str) else pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], kind), pa.array([p[1] for p in found], kind)], ["a", "b"])
+
+
+def _compare(task: tuple | None, rows: list[list], bar: int, percent: int) -> list[tuple]:
+    """Links of one pair of blocks: ``rows`` hold block, id, signature and set."""
+    if task is None or len(rows) < 2:
+        return []
+    _, i, j = task
+    blk = np.array([r[0] for r in rows])
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    if not len(left) or not len(right):
+        return []
+    sig = np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), -1)
+    sizes = np.array([len(r[3]) // 8 for r in rows])
+    universe, flat = np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.uint64), return_inverse=True)
+    ends = np.cumsum(sizes)
+    parts = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mine = np.concatenate([parts[y] for y in right.tolist()])
+    begins = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+    root = np.arange(len(rows))
+    mark, out = np.zeros(len(universe), np.int32), []
+    for x in left.tolist():
+        ok = (sig[right] == sig[x]).sum(1) >= bar
+        ok &= (root[right] != root[x]) & ((right > x) if i == j else True)
+        if not ok.any():
+            continue
+        mark[parts[x]] = 1
+        both = np.add.reduceat(mark[mine], begins)
+        mark[parts[x]] = 0
+        ok &= 100 * both >= percent * (sizes[x] + sizes[right] - both)
+        for y in right[ok].tolist():
+            if root[x] != root[y]:
+                root[root == root[y]] = root[x]
+                out.append((rows[x][1], rows[y][1]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,37 +233,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     # One representative for each set: copies are linked to the smallest id and go no further.
     classes = real.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
-    copies = real.join(classes.select("key", "id"), "key").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    # Repeated ids stand for several sets: a node is the id, its sets are compared one by one under the key.
-    tokens = classes.select("key", "sig", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring(F.hex("sig"), i * 8 + 1, F.lit(8)))).alias("c", "v"))
-    tokens = tokens.select("key", "c", "v")
-    counts = tokens.groupBy("c", "v").agg(F.count("*").alias("f")).filter("f > 1")
-    order = Window.partitionBy("key").orderBy("f", "c", "v")
-    shared = tokens.join(counts, ["c", "v"])
-    # A pair nobody shares is the rarest there is: it takes a place in the prefix without being posted.
-    alone = Window.partitionBy("key")
-    posted = shared.withColumn("k", F.row_number().over(order)).withColumn("m", F.count("*").over(alone))
-    posted = posted.filter(F.col("k") + (COORDINATES - F.col("m")) <= COORDINATES - bar + 1).select("key", "c", "v")
-    posted = materialize(posted, "posted")
-    members = classes.join(posted.select("key").distinct(), "key").select("key", "sig", F.col("id"))
-    members = materialize(members, "members")
-    lists = posted.join(members, "key").select("c", "v", "key", "sig")
-    # Sets of the candidates only.
-    wanted = real.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_sets(src.join(wanted, "doc_id", "left_semi"), size), "sets").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("id"), "set")
-    sets = materialize(sets, "set")
-    # Round one: stars.
-    hubs = lists.groupBy("c", "v").agg(F.min(F.struct("key", "sig")).alias("hub"))
-    star = lists.join(hubs, ["c", "v"]).filter(F.col("key") > F.col("hub.key")).select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.sig").alias("sa"), "sig")
-    star = _agreeing(star, bar).distinct()
-    first = materialize(_confirm(star, sets, threshold), "links")
-    found = materialize(components(first, "round1"), "round1c")
-    # Round two: members of a list that are still apart.
-    placed = lists.join(found.select(F.col("id").alias("key"), F.col("c").alias("g")), "key", "left").select("c", "v", "key", "sig", F.coalesce("g", "key").alias("g"))
-    second = _confirm(_apart(placed, bar), sets, threshold)
-    ids = members.select("key", "id")
-    links = first.unionByName(second)
-    links = links.join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    copies = real.join(classes.select("key", "id"), "key").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    families = materialize(_families(classes, bar), "families")
+    # Full sets of the members only; any row of a class will do.
+    members = classes.join(families.select("key").distinct(), "key", "left_semi")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = _sets(src.join(wanted, "doc_id", "left_semi"), size).join(members.select("key", "id", "sig"), "key").dropDuplicates(["key"])
+    links = _links(families, materialize(sets, "sets"), bar, threshold)
     whole = components(links.unionByName(copies), "whole")
     out = signed.join(whole.select(F.col("id").alias("doc_id"), "c"), "doc_id", "left")
     component = F.coalesce("c", "doc_id").cast(kind)
@@ -219,63 +263,6 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, make, "key binary, set binary")
 
 
-def _agreeing(pairs: DataFrame, bar: int) -> DataFrame:
-    """``a, b`` of rows ``a, b, sa, sig`` whose signatures agree in ``bar`` places."""
-
-    def check(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, COORDINATES)
-                y = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, COORDINATES)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(1) >= bar))
-
-    return pairs.mapInArrow(check, "a binary, b binary")
-
-
-def _apart(placed: DataFrame, bar: int) -> DataFrame:
-    """Agreeing pairs of one list whose members lie in different components ``g``.
-
-    A list is cut into blocks of about ``BLOCK`` members; each pair of blocks is a
-    task of its own, so no list is gathered anywhere.  The largest component of a
-    list is compared with the rest, never with itself.
-    """
-    groups = placed.groupBy("c", "v", "g").agg(F.count("*").alias("m"))
-    sizes = groups.groupBy("c", "v").agg(F.sum("m").alias("n"), F.count("*").alias("parts"), F.max(F.struct("m", "g")).alias("most")).filter("parts > 1")
-    rows = placed.join(sizes, ["c", "v"]).withColumn("in_most", F.col("g") == F.col("most.g"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mine = F.pmod(F.hash("key", "c"), blocks(F.col("n") - F.col("most.m")))
-    other = F.pmod(F.hash("key", "c"), blocks(F.col("most.m")))
-    rows = rows.withColumn("nu", blocks(F.col("n") - F.col("most.m"))).withColumn("nm", blocks(F.col("most.m")))
-    rows = rows.withColumn("blk", F.when(F.col("in_most"), -1 - other).otherwise(mine))
-    # The rest's block i meets the rest's blocks j >= i and all blocks of the largest component.
-    tasks = F.when(F.col("in_most"), F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: F.struct(i.alias("i"), F.col("blk").alias("j"))))
-    tasks = tasks.otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j"))),
-            F.transform(F.sequence(F.lit(1), F.col("nm")), lambda j: F.struct(F.col("blk").alias("i"), (-j).alias("j"))),
-        )
-    )
-    rows = rows.select("c", "v", "key", "sig", "g", F.col("blk"), F.explode(tasks).alias("t")).select("c", "v", "t.i", "t.j", "key", "sig", "g", "blk")
-
-    def compare(t: pa.Table) -> pa.Table:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        keys, blk = t["key"].to_pylist(), np.array(t["blk"])
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, COORDINATES)
-        g = np.unique(np.array([x.hex() for x in t["g"].to_pylist()]), return_inverse=True)[1]
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        a, b = [], []
-        for x in left.tolist():
-            cand = right[g[right] != g[x]]
-            for y in cand[(sig[cand] == sig[x]).sum(1) >= bar].tolist():
-                p, q = keys[x], keys[y]
-                if i != j or p < q:
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return rows.groupBy("c", "v", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
-
-
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """One document of each group, the one with the smallest id; columns as before.
 
