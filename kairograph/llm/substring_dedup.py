@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import id_text
 
 WINDOW, GRAM = 50, 24
-BLOCK_MB = 8
+#: Windows of a run at most; text that repeats within itself has one anchor for long.
+LONGEST = 64
+BLOCK_MB = 4
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
@@ -67,6 +69,8 @@ def runs(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.n
     if not len(anchors):
         return np.empty(0, np.int64), np.empty(0, np.int64), anchors
     first = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
+    many = -(-np.diff(np.append(first, len(anchors))) // LONGEST)
+    first = np.repeat(first, many) + LONGEST * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
     return first, np.append(first[1:], len(anchors)), anchors[first]
 
 
