@@ -34,7 +34,7 @@ from kairograph.llm.common import Batches, id_text, map_arrow, slices
 
 THRESHOLD = 0.7
 TRAIN_ROWS, LEXICON, PRIOR = 10_000, 50_000, 4
-LETTERS, SLICES = 27, 27
+LETTERS, SLICES, FAN = 27, 27, 64
 EDGE = 26
 
 #: What a sign or digit may stand for.
@@ -64,9 +64,11 @@ def codes(text: str) -> np.ndarray:
 def language_model(docs: DataFrame) -> np.ndarray:
     """Log-probabilities ``[three before, next]`` from counts over all documents.
 
-    Tasks send their counts in slices that executors sum; the driver gets one
-    table whose size is fixed by the alphabet.
+    Tasks send their counts in slices that executors sum, ``FAN`` tasks at a time;
+    the driver gets one table whose size is fixed by the alphabet.
     """
+    from pyspark import TaskContext
+
     size = LETTERS**4
 
     def count(batches: Batches) -> Batches:
@@ -76,13 +78,22 @@ def language_model(docs: DataFrame) -> np.ndarray:
             if len(c) > 3:
                 total += np.bincount(((c[:-3] * LETTERS + c[1:-2]) * LETTERS + c[2:-1]) * LETTERS + c[3:], minlength=size)
         parts = [p.tobytes() for p in np.split(total, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "n"])
+        task = TaskContext.get().partitionId() // FAN
+        yield pa.RecordBatch.from_arrays([pa.array([task] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["task", "slice", "n"])
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in t["n"].to_pylist())
-        return pa.table({"slice": t["slice"][:1], "n": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary").collect()
+        return pa.table({"task": pa.array([t["task"][0].as_py() // FAN], pa.int32()), "slice": t["slice"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "task int, slice int, n binary"
+    sums = docs.select("text").mapInArrow(count, kind)
+    tasks = docs.rdd.getNumPartitions()
+    while True:
+        sums = sums.groupBy("task", "slice").applyInArrow(add, kind)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    rows = sums.collect()
     counts = np.concatenate([np.frombuffer(bytes(r["n"]), np.int64) for r in sorted(rows, key=lambda r: r["slice"])] or [np.zeros(size, np.int64)]).reshape((LETTERS,) * 4).astype(float)
     p = np.full(LETTERS, 1 / LETTERS)
     for axes in ((0, 1, 2), (0, 1), (0,), ()):  # each order is smoothed by the one below
