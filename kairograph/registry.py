@@ -222,9 +222,12 @@ def net_temporal_density(spark, sf):
     return dynamics.exposure(nations(spark, sf)).select("time", F.round("temporal_density", 9).alias("temporal_density"))
 
 
-@query()
+@query(N2 + ISLE + """, occ AS (SELECT k, sum(least(e, hi) - greatest(s, lo)) AS o FROM (SELECT bins.k, bins.lo, bins.hi, isle.s, isle.e FROM isle JOIN bins ON s < hi AND e > lo) GROUP BY k),
+c AS (SELECT bins.k, (SELECT count(*) FROM sp WHERE s >= lo AND (s < hi OR closed AND s <= hi)) AS made, (SELECT count(*) FROM sp WHERE e >= lo AND (e < hi OR closed AND e <= hi)) AS ended FROM bins)
+SELECT bins.lo AS time, round(made / ((least(bins.hi, span.hi) - bins.lo) * 25 * 24 - o), 9) AS formation_rate, round(ended / o, 9) AS dissolution_rate FROM bins JOIN occ USING (k) JOIN c USING (k), span""")
 def net_rates(spark, sf):
-    return dynamics.rates(nations(spark, sf))
+    r = dynamics.rates(nations(spark, sf))
+    return r.select("time", *[F.round(c, 9).alias(c) for c in ("formation_rate", "dissolution_rate")])
 
 
 @query()
@@ -316,7 +319,12 @@ def net_motif_keys(spark, sf):
     return sequences.motif_instances(turns(spark, sf), delta=0.02).groupBy("key").agg(F.count("*").alias("count"))
 
 
-@query()
+MOTIF_VALUES = ", ".join(f"('{k}', {c})" for k, cs in sequences.MOTIF_KEYS.items() for c in cs)
+
+
+@query(ORACLE_SQL["net_motif_keys"].replace("SELECT key, count(*) AS count FROM kk GROUP BY key", f""", cl AS (SELECT m, ['star_pre', 'star_mid', 'star_post', 'two_node', 'triangle'][(m - 1) // 8 + 1] AS family, ['III', 'IIO', 'IOI', 'IOO', 'OII', 'OIO', 'OOI', 'OOO'][(m - 1) % 8 + 1] AS pattern FROM (SELECT unnest(range(1, 41)) AS m)),
+mp(key, m) AS (VALUES {MOTIF_VALUES})
+SELECT CAST(cl.m AS INTEGER) AS motif, family, pattern, count(kk.key) AS count FROM cl LEFT JOIN mp USING (m) LEFT JOIN kk USING (key) GROUP BY ALL"""))
 def net_motifs(spark, sf):
     return sequences.motifs(turns(spark, sf), delta=0.02)
 
@@ -400,6 +408,7 @@ st AS (SELECT n_name AS src, n_name AS v, (SELECT min(s) FROM sp) AS a FROM nati
   UNION SELECT src, sp.t, greatest(a, s) FROM st JOIN sp ON sp.f = st.v AND (greatest(a, s) = s OR greatest(a, s) < e)),
 ar AS (SELECT src, v, min(a) AS a FROM st GROUP BY ALL)
 """
+HOPS = SMALL.replace("n_name AS v, (SELECT min(s) FROM sp) AS a FROM", "n_name AS v, 0 AS h, (SELECT min(s) FROM sp) AS a FROM").replace("SELECT src, sp.t, greatest(a, s) FROM", "SELECT src, sp.t, h + 1, greatest(a, s) FROM").replace("OR greatest(a, s) < e))", "OR greatest(a, s) < e) WHERE h < 10)")
 
 
 @query(SMALL + "SELECT src AS source, v AS node, a AS arrival FROM ar")
@@ -414,12 +423,22 @@ def net_reachability(spark, sf):
     return r.withColumns({c: F.round(c, 9) for c in ("share_out", "share_in")}).withColumn("latency", F.round("latency", 6))
 
 
-@query(SMALL + "SELECT src AS source, v AS node, a AS arrival FROM ar")
+@query(HOPS + "SELECT src AS source, v AS node, a AS arrival, CAST(min(h) AS BIGINT) AS hops FROM st JOIN ar USING (src, v, a) GROUP BY ALL")
 def net_paths(spark, sf):
-    return paths.paths(small(spark, sf), sessions="collapse").select("source", "node", "arrival")
+    return paths.paths(small(spark, sf), sessions="collapse").select("source", "node", "arrival", "hops")
+
+
+@query(HOPS + ", mh AS (SELECT src, v, min(h) AS h FROM st GROUP BY ALL) SELECT src AS source, v AS node, min(a) AS arrival, CAST(h AS BIGINT) AS hops FROM st JOIN mh USING (src, v, h) GROUP BY ALL")
+def net_paths_min_hops(spark, sf):
+    return paths.paths(small(spark, sf), criterion="min_hops", sessions="collapse").select("source", "node", "arrival", "hops")
 
 
-for _criterion in ("min_hops", "shortest", "fastest", "latest_departure"):
+@query(HOPS + ", mh AS (SELECT src, v, min(h) AS h FROM st WHERE src <> v GROUP BY ALL) SELECT round(coalesce(sum(1 / h), 0) / 600, 9) AS temporal_efficiency, CAST(max(h) AS BIGINT) AS temporal_diameter, count(*) = 600 AS connected FROM mh")
+def net_distance_summary(spark, sf):
+    return paths.distance_summary(small(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
+
+
+for _criterion in ("shortest", "fastest", "latest_departure"):
 
     def _by(spark, sf, c=_criterion):
         return paths.paths(small(spark, sf), criterion=c, sessions="collapse")
@@ -458,11 +477,6 @@ def net_edge_centrality(spark, sf):
     return paths.edge_centrality(small(spark, sf))
 
 
-@query()
-def net_distance_summary(spark, sf):
-    return paths.distance_summary(small(spark, sf))
-
-
 for _measure in ("katz", "pagerank", "walk"):
 
     def _stream(spark, sf, m=_measure):
