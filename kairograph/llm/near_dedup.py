@@ -83,11 +83,10 @@ class Shingler:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minimum of each coordinate's hash, as 32 bits."""
     out = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        for c in range(COORDINATES):
-            h = (part ^ _B[c]) * _A[c]
-            out[c] = min(out[c], (h ^ (h >> np.uint64(32))).min())
+    for at in range(0, len(shingles), 512):
+        h = (shingles[at : at + 512, None] ^ _B) * _A
+        h ^= h >> np.uint64(32)
+        np.minimum(out, h.min(0), out=out)
     return (_mix(out) >> np.uint64(32)).astype("<u4")
 
 
@@ -167,8 +166,9 @@ def _links(families: DataFrame, sets: DataFrame, bar: int, threshold: float) ->
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
 
     def run(batches):
-        now, held = None, []
+        now, held, id_type = None, [], None
         for batch in batches:
+            id_type = batch.schema.field(4).type
             cols = [batch.column(k).to_pylist() for k in range(7)]
             out: list[tuple] = []
             for hub, i, j, *rest in zip(*cols, strict=True):
@@ -176,16 +176,15 @@ def _links(families: DataFrame, sets: DataFrame, bar: int, threshold: float) ->
                     out += _compare(now, held, bar, percent)
                     now, held = (hub, i, j), []
                 held.append(rest)
-            yield _pairs(out, batch.schema.field(4).type)
+            yield _pairs(out, id_type)
         if held:
-            yield _pairs(_compare(now, held, bar, percent), None)
+            yield _pairs(_compare(now, held, bar, percent), id_type)
 
     kind = sets.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _pairs(found: list[tuple], kind: pa.DataType | None) -> pa.RecordBatch:
-    kind = kind or (pa.string() if found and isinstance(found[0][0], str) else pa.int64())
+def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], kind), pa.array([p[1] for p in found], kind)], ["a", "b"])
 
 
