@@ -68,9 +68,20 @@ class WordEncoder:
         ids = dict(zip(mixed, self._encode([literal(p) for p in mixed]), strict=True))
         return [ids[p] if p in ids else np.array([t.id for t in tokenize(p.lower().encode().decode("latin-1").translate(shown))], "<u4").tobytes() for p in pieces]
 
+    @staticmethod
+    def _folded(text: str) -> str:
+        """Lower case and plain spaces already here where the normaliser does no more than that, so pieces differ less."""
+        if "<|" in text:  # special strings are told apart by case
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower().replace("\n", " ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids."""
-        halves = [cut(t) for t in texts]
+        halves = [cut(self._folded(t)) for t in texts]
         heads = self._encode([first for first, _ in halves])
         return [a + b for a, b in zip(heads, self.cache.each([rest for _, rest in halves], b"".join), strict=True)]
 
