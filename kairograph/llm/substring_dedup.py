@@ -5,9 +5,9 @@ hash among them is its anchor, the same wherever the string occurs.  Neighbourin
 windows share anchors, so a document falls into runs of windows, each run with
 one anchor and of about ``(WINDOW - GRAM) / 2`` windows.
 
-1. Anchors: each block of documents sends, for each distinct anchor, the least
-   and greatest document holding it; a bucket of anchors answers which of them
-   occur in more than one document.
+1. Anchors: each block of documents sends each distinct anchor and whether several
+   of its documents have it; a bucket of anchors answers which of them occur in
+   more than one document (all rows of a document are in one block).
 2. Runs: each block cuts out the bytes of its runs with such anchors, one copy of
    each distinct run with the least document that has it.
 3. A bucket builds the suffix array of its runs with common-prefix lengths, and
@@ -218,28 +218,29 @@ def _covers(docs: DataFrame, window: int, blocks: int | None, finish, schema: st
         begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
         end = np.append(begin[1:], len(a)) - 1
         many = d[begin] != d[end] if len(a) else np.empty(0, bool)
-        a, d = a[begin], d[begin]
-        packed = _pack(_bucket_of(a, count), count, [a, d, many.astype(np.uint8)])
+        a = a[begin]
+        packed = _pack(_bucket_of(a, count), count, [a, many.astype(np.uint8)])
         keep = [b for b in range(count) if packed[b][0]]
-        return pa.table({"bucket": pa.array(keep, pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(keep), pa.int32()), **{n: pa.array([packed[b][k] for b in keep], pa.binary()) for k, n in enumerate(("a", "d", "m"))}})
+        return pa.table({"bucket": pa.array(keep, pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(keep), pa.int32()), **{n: pa.array([packed[b][k] for b in keep], pa.binary()) for k, n in enumerate(("a", "m"))}})
 
     def repeated(t: pa.Table) -> pa.Table:
         read = lambda n, kind: [np.frombuffer(x, kind) for x in t[n].to_pylist()]
-        a, d, m = read("a", np.uint64), np.concatenate(read("d", np.int64)), np.concatenate(read("m", np.uint8))
+        a, m = read("a", np.uint64), np.concatenate(read("m", np.uint8))
         who = np.repeat(np.arange(len(a)), [len(x) for x in a])
         a = np.concatenate(a)
         order = np.argsort(a, kind="stable")
-        x, y = a[order], d[order]
+        x = a[order]
         begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        many = (np.minimum.reduceat(y, begin) != np.maximum.reduceat(y, begin)) | (np.maximum.reduceat(m[order], begin) > 0)
+        times = np.diff(np.append(begin, len(x)))
+        many = (times > 1) | (np.maximum.reduceat(m[order], begin) > 0)
         yes = np.zeros(len(a), bool)
-        yes[order] = np.repeat(many, np.diff(np.append(begin, len(x))))
+        yes[order] = np.repeat(many, times)
         blocks_ = np.array(t["block"])
         sent = [(int(blocks_[k]), a[yes & (who == k)].tobytes()) for k in range(len(blocks_))] if len(blocks_) <= 16 else [(int(blocks_[k]), v) for k, v in enumerate(_split(a[yes], who[yes], len(blocks_)))]
         sent = [s for s in sent if s[1]]
         return pa.table({"block": pa.array([s[0] for s in sent], pa.int32()), "shared": pa.array([s[1] for s in sent], pa.binary())})
 
-    found = src.groupBy("block").applyInArrow(anchors, "bucket int, block int, a binary, d binary, m binary").repartition(count, "bucket").groupBy("bucket").applyInArrow(repeated, "block int, shared binary").repartition(count, "block")
+    found = src.groupBy("block").applyInArrow(anchors, "bucket int, block int, a binary, m binary").repartition(count, "bucket").groupBy("bucket").applyInArrow(repeated, "block int, shared binary").repartition(count, "block")
 
     def shared_of(t: pa.Table) -> np.ndarray:
         return np.unique(np.frombuffer(b"".join(t["shared"].to_pylist()), np.uint64))
@@ -256,9 +257,9 @@ def _covers(docs: DataFrame, window: int, blocks: int | None, finish, schema: st
             if len(mine):
                 held = [strings[i] for i in mine.tolist()]
                 rows["bucket"].append(b), rows["block"].append(block), rows["text"].append(b"".join(held))
-                rows["size"].append(np.array([len(s) for s in held], np.int64).tobytes())
-                for n, x in (("k", mine), ("low", low[mine]), ("high", high[mine]), ("mark", mark[mine])):
-                    rows[n].append(x.astype(np.uint64 if n == "mark" else np.int64).tobytes())
+                rows["size"].append(np.array([len(s) for s in held], np.uint16).tobytes())
+                for n, x in (("k", mine.astype(np.uint32)), ("low", low[mine]), ("high", high[mine]), ("mark", mark[mine].astype(np.uint32))):
+                    rows[n].append(x.tobytes())  # half an anchor groups equal ones as well
         return pa.table({n: pa.array(v, pa.int32() if n in ("bucket", "block") else pa.binary()) for n, v in rows.items()})
 
     sent = src.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "bucket int, block int, k binary, size binary, text binary, low binary, high binary, mark binary").repartition(count, "bucket")
@@ -269,7 +270,7 @@ def _covers(docs: DataFrame, window: int, blocks: int | None, finish, schema: st
         least, marks, places = [], [], []
         for n, (size, text, low, high, mark, k) in enumerate(zip(*(t[c].to_pylist() for c in ("size", "text", "low", "high", "mark", "k")), strict=True)):
             at = 0
-            rows = (np.frombuffer(size, np.int64), np.frombuffer(low, np.int64), np.frombuffer(high, np.int64), np.frombuffer(mark, np.uint64), np.frombuffer(k, np.int64))
+            rows = (np.frombuffer(size, np.uint16), np.frombuffer(low, np.int64), np.frombuffer(high, np.int64), np.frombuffer(mark, np.uint32), np.frombuffer(k, np.uint32))
             for s, lo, hi, ma, kk in zip(*(r.tolist() for r in rows), strict=True):
                 i = whole.setdefault(text[at : at + s], len(whole))
                 at += s
