@@ -10,7 +10,8 @@
    lexicon learnt from labelled rows.  An entry's weight is the share of toxic
    rows among the training rows that hold it, drawn towards the overall share;
    only entries whose association with the label is beyond what the number of
-   candidates would give by chance are kept.  The score is the largest weight.
+   candidates would give by chance, and that explain toxic rows which no better
+   entry explains, are kept.  The score is the largest weight.
 
 The lexicon is fitted on at most ``TRAIN_ROWS`` labelled rows (chosen by a hash of
 the id) and keeps at most ``LEXICON`` entries.  Labels of rows that are held out,
@@ -187,8 +188,53 @@ def learn(docs: DataFrame, labels: DataFrame, model, rows: int = TRAIN_ROWS) ->
     gain = 2 * (log(t, size * share) + log(c, size * (1 - share)) + log(toxic - t, (n - size) * share) + log(n - toxic - c, (n - size) * (1 - share)))
     kept = counts.filter("e <> ''").filter(t / size > share).withColumn("gain", gain).filter(F.col("gain") > max(12.0, 2 * math.log(max(2, candidates))))
     found = kept.orderBy(F.desc("gain"), "e").limit(LEXICON).collect()
-    lexicon = {r["e"]: (r["t"] + PRIOR * share) / (r["t"] + r["c"] + PRIOR) for r in found}
-    return lexicon, 0.1 * share
+    weight = {r["e"]: (r["t"] + PRIOR * share) / (r["t"] + r["c"] + PRIOR) for r in found}
+    names = docs.sparkSession.sparkContext.broadcast(set(weight))
+
+    def hold(batches: Batches) -> Batches:
+        restorer = Restorer(model.value)
+        for batch in slices(batches):
+            texts = [t or "" for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if toxic]
+            rows = [sorted(names.value.intersection(e for w in set(_WORD.findall(restorer.restore(t))) for e in entries_of(w))) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["e"])
+
+    held = [r["e"] for r in marked.mapInArrow(hold, "e array<string>").collect()]  # toxic ones of TRAIN_ROWS rows
+    clean = {r["e"]: r["c"] for r in found}
+    return {e: weight[e] for e in cover(held, clean, share)}, 0.1 * share
+
+
+def cover(held: list[list[str]], clean: dict[str, int], share: float) -> list[str]:
+    """Entries that explain the toxic rows one after another.
+
+    Each time the entry with the most evidence among rows not yet explained is
+    taken.  Words that come with an entry already taken, such as the rest of a text
+    that has many copies, explain nothing more and stay out.
+    """
+    left = [set(x) for x in held]
+    having: dict[str, set[int]] = {}
+    for i, x in enumerate(left):
+        for e in x:
+            having.setdefault(e, set()).add(i)
+    out, least = [], max(3, 0.002 * len(left))
+
+    def evidence(e: str) -> float:
+        t, c = len(having[e]), clean[e]
+        p = (t + PRIOR * share) / (t + c + PRIOR)
+        return t * math.log(p / share) if t >= least and p >= 0.5 else 0.0
+
+    while having:
+        best = max(having, key=lambda e: (evidence(e), len(e), e))
+        if not evidence(best):
+            break
+        out.append(best)
+        for i in having.pop(best):
+            for e in left[i]:
+                if e in having:
+                    having[e].discard(i)
+                    if not having[e]:
+                        del having[e]
+            left[i] = set()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame):
