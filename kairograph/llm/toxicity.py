@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import Batches, id_text, map_arrow, slices
 
 THRESHOLD = 0.7
-TRAIN_ROWS, LEXICON, PRIOR = 10_000, 50_000, 4
+TRAIN_ROWS, LEXICON, PRIOR = 10_000, 50_000, 2
 LETTERS, SLICES, FAN = 27, 27, 64
 EDGE = 26
 
@@ -200,6 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, rows: int = TRAIN_ROWS) ->
 
     held = [r["e"] for r in marked.mapInArrow(hold, "e array<string>").collect()]  # toxic ones of TRAIN_ROWS rows
     clean = {r["e"]: r["c"] for r in found}
+    held = [[e for e in x if weight[e] >= THRESHOLD] for x in held]  # weaker ones alone reject nothing
     return {e: weight[e] for e in cover(held, clean, share)}, 0.1 * share
 
 
