@@ -137,12 +137,17 @@ def fastest(atoms: dict[str, list[Atom]], source: str, at: float, upper: float =
             tries.update(t for t in times if a[2] <= t <= a[3])
             tries.add(a[2])
             tries.update(math.nextafter(t, -INF) for t in times if a[2] < t <= a[3])
+    left = set(Search(atoms, source, at, upper, traversal).best) - {source}
     for depart in sorted(t for t in tries if at <= t <= upper):
+        if not left:  # no way takes less than no time
+            break
         found = Search(atoms, source, depart, upper, traversal)
         for v in found.best:
             b = found.label(v)
             if v != source and b and (v not in out or b.time - depart < out[v][0]):
                 out[v] = (b.time - depart, depart, b.time, b.hops)
+                if b.time == depart:
+                    left.discard(v)
     return out
 
 

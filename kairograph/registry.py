@@ -32,6 +32,16 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(name: str, sql: str | None = None) -> None:
+    """Register a query whose SQL asks for a part of N2 once more, on all of it."""
+
+    def run(spark, sf):
+        return QUERIES[name](spark, sf, nations)
+
+    run.__name__ = f"{name}_whole"
+    query(sql)(run)
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -54,7 +64,7 @@ def nations(spark: SparkSession, sf: str) -> Network:
 
 
 def small(spark: SparkSession, sf: str) -> Network:
-    """N2 of urgent orders over fifty days, for searches by way."""
+    """N2 of urgent orders over the first thirty days: what ``SMALL`` asks for, not the whole network."""
     net = nations(spark, sf)
     lo = net.spells.agg(F.min("start")).first()[0]
     s = net.spells.filter((F.col("start") < lo + 30) & F.col("session").startswith("1"))
@@ -183,7 +193,7 @@ def net_prestige(spark, sf):
 
 @query()
 def net_flow_betweenness(spark, sf):
-    return centrality.centrality_series(small(spark, sf), ["flow_betweenness"], window="all")
+    return centrality.centrality_series(nations(spark, sf), ["flow_betweenness"], window="all")
 
 
 @query(N2 + """, fs AS (SELECT f, t, min(s) AS s FROM sp GROUP BY ALL)
@@ -412,36 +422,40 @@ HOPS = SMALL.replace("n_name AS v, (SELECT min(s) FROM sp) AS a FROM", "n_name A
 
 
 @query(SMALL + "SELECT src AS source, v AS node, a AS arrival FROM ar")
-def net_arrivals(spark, sf):
-    return paths.arrivals(small(spark, sf))
+def net_arrivals(spark, sf, net=small):
+    return paths.arrivals(net(spark, sf))
 
 
 @query(SMALL + """SELECT n_name AS node, coalesce(o, 0) AS reach_out, coalesce(i, 0) AS reach_in, round(coalesce(o, 0) / 24, 9) AS share_out, round(coalesce(i, 0) / 24, 9) AS share_in, round(l, 6) AS latency
 FROM nation LEFT JOIN (SELECT src AS n_name, count(*) AS o, avg(a - (SELECT min(s) FROM sp)) AS l FROM ar WHERE src <> v GROUP BY ALL) USING (n_name) LEFT JOIN (SELECT v AS n_name, count(*) AS i FROM ar WHERE src <> v GROUP BY ALL) USING (n_name)""")
-def net_reachability(spark, sf):
-    r = paths.reachability(small(spark, sf))
+def net_reachability(spark, sf, net=small):
+    r = paths.reachability(net(spark, sf))
     return r.withColumns({c: F.round(c, 9) for c in ("share_out", "share_in")}).withColumn("latency", F.round("latency", 6))
 
 
 @query(HOPS + "SELECT src AS source, v AS node, a AS arrival, CAST(min(h) AS BIGINT) AS hops FROM st JOIN ar USING (src, v, a) GROUP BY ALL")
-def net_paths(spark, sf):
-    return paths.paths(small(spark, sf), sessions="collapse").select("source", "node", "arrival", "hops")
+def net_paths(spark, sf, net=small):
+    return paths.paths(net(spark, sf), sessions="collapse").select("source", "node", "arrival", "hops")
 
 
 @query(HOPS + ", mh AS (SELECT src, v, min(h) AS h FROM st GROUP BY ALL) SELECT src AS source, v AS node, min(a) AS arrival, CAST(h AS BIGINT) AS hops FROM st JOIN mh USING (src, v, h) GROUP BY ALL")
-def net_paths_min_hops(spark, sf):
-    return paths.paths(small(spark, sf), criterion="min_hops", sessions="collapse").select("source", "node", "arrival", "hops")
+def net_paths_min_hops(spark, sf, net=small):
+    return paths.paths(net(spark, sf), criterion="min_hops", sessions="collapse").select("source", "node", "arrival", "hops")
 
 
 @query(HOPS + ", mh AS (SELECT src, v, min(h) AS h FROM st WHERE src <> v GROUP BY ALL) SELECT round(coalesce(sum(1 / h), 0) / 600, 9) AS temporal_efficiency, CAST(max(h) AS BIGINT) AS temporal_diameter, count(*) = 600 AS connected FROM mh")
-def net_distance_summary(spark, sf):
-    return paths.distance_summary(small(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
+def net_distance_summary(spark, sf, net=small):
+    return paths.distance_summary(net(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
+
+
+for _name in ("net_arrivals", "net_reachability", "net_paths", "net_paths_min_hops", "net_distance_summary"):
+    whole(_name)  # no SQL: its recursion lists every state
 
 
 for _criterion in ("shortest", "fastest", "latest_departure"):
 
     def _by(spark, sf, c=_criterion):
-        return paths.paths(small(spark, sf), criterion=c, sessions="collapse")
+        return paths.paths(nations(spark, sf), criterion=c, sessions="collapse")
 
     _by.__name__ = f"net_paths_{_criterion}"
     query()(_by)
@@ -449,32 +463,32 @@ for _criterion in ("shortest", "fastest", "latest_departure"):
 
 @query()
 def net_backward_paths(spark, sf):
-    return paths.backward_paths(small(spark, sf))
+    return paths.backward_paths(nations(spark, sf))
 
 
 @query()
 def net_pathways(spark, sf):
-    return paths.pathways(paths.path_steps(small(spark, sf)))
+    return paths.pathways(paths.path_steps(nations(spark, sf)))
 
 
 @query()
 def net_path_network(spark, sf):
-    return paths.path_network(paths.path_steps(small(spark, sf)))
+    return paths.path_network(paths.path_steps(nations(spark, sf)))
 
 
 @query()
 def net_path_trajectories(spark, sf):
-    return paths.path_trajectories(paths.path_steps(small(spark, sf)))
+    return paths.path_trajectories(paths.path_steps(nations(spark, sf)))
 
 
 @query()
 def net_path_centrality(spark, sf):
-    return paths.path_centrality(small(spark, sf), ["closeness", "betweenness", "efficiency"])
+    return paths.path_centrality(nations(spark, sf), ["closeness", "betweenness", "efficiency"])
 
 
 @query()
 def net_edge_centrality(spark, sf):
-    return paths.edge_centrality(small(spark, sf))
+    return paths.edge_centrality(nations(spark, sf))
 
 
 for _measure in ("katz", "pagerank", "walk"):
@@ -509,7 +523,7 @@ def net_community_trajectory(spark, sf):
 for _model in nulls.MODELS:
 
     def _null(spark, sf, m=_model):
-        return nulls.randomise(small(spark, sf), m, n=3).groupBy("replicate").agg(F.count("*").alias("ties"), F.countDistinct("from", "to").alias("pairs"))
+        return nulls.randomise(nations(spark, sf), m, n=3).groupBy("replicate").agg(F.count("*").alias("ties"), F.countDistinct("from", "to").alias("pairs"))
 
     _null.__name__ = f"net_randomise_{_model}"
     query()(_null)
@@ -518,7 +532,7 @@ for _model in nulls.MODELS:
 @query()
 def net_significance(spark, sf):
     stat = lambda n: n.spells.groupBy("session").agg(F.countDistinct("from", "to").cast("double").alias("value"))
-    return nulls.significance(small(spark, sf), stat, ["session"], model="targets", n=9)
+    return nulls.significance(nations(spark, sf), stat, ["session"], model="targets", n=9)
 
 
 @query()
