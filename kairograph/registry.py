@@ -340,6 +340,7 @@ def net_motifs(spark, sf):
 
 
 def _weekly(spark: SparkSession, sf: str) -> Network:
+    """N2 of one day in 97: what ``WEEK`` asks for, not the whole network."""
     net = nations(spark, sf)
     return net.with_(spells=net.spells.filter(F.pmod(F.floor("start"), F.lit(97)) == 0), interval=STEP)
 
@@ -351,48 +352,48 @@ ov AS (SELECT p.k AS k1, q.k AS k2, p.time AS time1, q.time AS time2, p.c AS a,
 
 
 @query(WEEK + OVER + "SELECT time1, time2, round(CASE WHEN a + b - i > 0 THEN i / (a + b - i) END, 9) AS value FROM ov")
-def net_similarity(spark, sf):
-    return crossbin.similarity(_weekly(spark, sf)).withColumn("value", F.round("value", 9))
+def net_similarity(spark, sf, orders=_weekly):
+    return crossbin.similarity(orders(spark, sf)).withColumn("value", F.round("value", 9))
 
 
 @query(WEEK + OVER + "SELECT time1, time2, round(CASE WHEN a * b > 0 THEN i / sqrt(a * b) END, 9) AS value FROM ov")
-def net_similarity_cosine(spark, sf):
-    return crossbin.similarity(_weekly(spark, sf), "cosine").withColumn("value", F.round("value", 9))
+def net_similarity_cosine(spark, sf, orders=_weekly):
+    return crossbin.similarity(orders(spark, sf), "cosine").withColumn("value", F.round("value", 9))
 
 
 @query(WEEK + OVER + "SELECT time1 AS time, round((a + b - 2 * i) / 600, 9) AS volatility FROM ov WHERE k2 = k1 + 1")
-def net_turnover(spark, sf):
-    return crossbin.turnover(_weekly(spark, sf)).withColumn("volatility", F.round("volatility", 9))
+def net_turnover(spark, sf, orders=_weekly):
+    return crossbin.turnover(orders(spark, sf)).withColumn("volatility", F.round("volatility", 9))
 
 
 @query(WEEK + "SELECT round(count(DISTINCT (f, t)) / count(*), 9) AS fluctuability FROM edge")
-def net_fluctuability(spark, sf):
-    return crossbin.fluctuability(_weekly(spark, sf)).withColumn("fluctuability", F.round("fluctuability", 9))
+def net_fluctuability(spark, sf, orders=_weekly):
+    return crossbin.fluctuability(orders(spark, sf)).withColumn("fluctuability", F.round("fluctuability", 9))
 
 
 @query(WEEK + """, ar AS (SELECT k, f AS v, t AS w FROM edge UNION SELECT k, t, f FROM edge), dg AS (SELECT k, v, count(*) AS d FROM ar GROUP BY ALL),
 sh AS (SELECT x.k, x.v, count(*) AS s FROM ar x JOIN ar y ON y.k = x.k + 1 AND x.v = y.v AND x.w = y.w GROUP BY ALL)
 SELECT lo AS time, n_name AS node, round(coalesce(s / sqrt(p.d * q.d), 0), 9) AS overlap FROM bins CROSS JOIN nation LEFT JOIN dg p ON p.k = bins.k AND p.v = n_name LEFT JOIN dg q ON q.k = bins.k + 1 AND q.v = n_name LEFT JOIN sh ON sh.k = bins.k AND sh.v = n_name WHERE NOT closed""")
-def net_persistence(spark, sf):
-    return crossbin.persistence(_weekly(spark, sf)).withColumn("overlap", F.round("overlap", 9))
+def net_persistence(spark, sf, orders=_weekly):
+    return crossbin.persistence(orders(spark, sf)).withColumn("overlap", F.round("overlap", 9))
 
 
 @query(WEEK + """, u AS (SELECT DISTINCT k, least(f, t) AS a, greatest(f, t) AS b FROM edge), z AS (SELECT n_regionkey AS g, count(*) AS n FROM nation GROUP BY ALL),
 x AS (SELECT k, sum(CASE WHEN p.n_regionkey = q.n_regionkey THEN 2.0 / (zp.n * (zp.n - 1)) ELSE -2.0 / (zp.n * zq.n) END) AS v FROM u JOIN nation p ON p.n_name = a JOIN nation q ON q.n_name = b JOIN z zp ON zp.g = p.n_regionkey JOIN z zq ON zq.g = q.n_regionkey GROUP BY k)
 SELECT lo AS time, round(coalesce(v, 0), 9) AS value FROM bins LEFT JOIN x USING (k)""")
-def net_segregation(spark, sf):
-    return crossbin.segregation(_weekly(spark, sf), "region").withColumn("value", F.round("value", 9))
+def net_segregation(spark, sf, orders=_weekly):
+    return crossbin.segregation(orders(spark, sf), "region").withColumn("value", F.round("value", 9))
 
 
 @query(WEEK + """SELECT f || '@' || (k + 1) AS from_state, t || '@' || (k + 1) AS to_state, 'within' AS kind, weight FROM edge
 UNION ALL SELECT n_name || '@' || (k + 1), n_name || '@' || (k + 2), 'identity', 1.0 FROM bins, nation WHERE NOT closed""")
-def net_projection(spark, sf):
-    return crossbin.projection(_weekly(spark, sf))[1]
+def net_projection(spark, sf, orders=_weekly):
+    return crossbin.projection(orders(spark, sf))[1]
 
 
 @query()
 def net_phases(spark, sf):
-    return crossbin.phases(_weekly(spark, sf))
+    return crossbin.phases(nations(spark, sf))
 
 
 @query(WEEK + """, u AS (SELECT k, least(f, t) AS a, greatest(f, t) AS b, sum(weight) AS w FROM edge GROUP BY ALL), ar AS (SELECT k, a AS v, b AS o, w FROM u UNION ALL SELECT k, b, a, w FROM u),
@@ -400,14 +401,18 @@ dg AS (SELECT k, v, sum(w) AS d FROM ar GROUP BY ALL), m AS (SELECT k, sum(d) AS
 ins AS (SELECT sum(w) AS x FROM ar JOIN nation p ON p.n_name = v JOIN nation q ON q.n_name = o WHERE p.n_regionkey = q.n_regionkey),
 nul AS (SELECT sum(d * d / m) AS y FROM (SELECT k, n_regionkey, sum(d) AS d FROM dg JOIN nation ON n_name = v GROUP BY ALL) JOIN m USING (k)), tot AS (SELECT sum(m) AS tm FROM m), nb AS (SELECT count(*) AS nb FROM bins)
 SELECT round((x - y + 2 * 25 * (nb - 1)) / (tm + 2 * 25 * (nb - 1)), 9) AS q, round((x - y) / (tm + 2 * 25 * (nb - 1)), 9) AS q_intra, round(2 * 25 * (nb - 1) / (tm + 2 * 25 * (nb - 1)), 9) AS q_inter, CAST(tm + 2 * 25 * (nb - 1) AS DOUBLE) AS two_mu FROM ins, nul, tot, nb""")
-def net_multislice_modularity(spark, sf):
-    net = _weekly(spark, sf)
+def net_multislice_modularity(spark, sf, orders=_weekly):
+    net = orders(spark, sf)
     bins = results.tidy(net, "bins")
     member = net.nodes.crossJoin(F.broadcast(bins)).select("time", F.col("name").alias("node"), F.col("region").alias("community"))
     q = crossbin.multislice_modularity(net, member)
     return q.select(*[F.round(c, 9).alias(c) for c in ("q", "q_intra", "q_inter")], "two_mu")
 
 
+for _name in ("net_similarity", "net_similarity_cosine", "net_turnover", "net_fluctuability", "net_persistence", "net_segregation", "net_projection", "net_multislice_modularity"):
+    whole(_name, ORACLE_SQL[_name].replace(WEEK, N2))
+
+
 SMALL = """
 WITH RECURSIVE al AS (
   SELECT a.n_name AS f, b.n_name AS t, epoch_us(o_orderdate) / 86400e6 AS s, epoch_us(o_orderdate) / 86400e6 + l_quantity AS e, o_orderpriority AS ses
@@ -502,22 +507,22 @@ for _measure in ("katz", "pagerank", "walk"):
 
 @query()
 def net_temporal_communities(spark, sf):
-    return communities.temporal_communities(_weekly(spark, sf), [1, 2, 3])[0]
+    return communities.temporal_communities(nations(spark, sf), [1, 2, 3])[0]
 
 
 @query()
 def net_match_communities(spark, sf):
-    return communities.match_communities(communities.snapshot_communities(_weekly(spark, sf)))[1]
+    return communities.match_communities(communities.snapshot_communities(nations(spark, sf)))[1]
 
 
 @query()
 def net_community_change(spark, sf):
-    return communities.community_change(communities.snapshot_communities(_weekly(spark, sf)))
+    return communities.community_change(communities.snapshot_communities(nations(spark, sf)))
 
 
 @query()
 def net_community_trajectory(spark, sf):
-    return communities.community_trajectory(communities.match_communities(communities.snapshot_communities(_weekly(spark, sf)))[0])
+    return communities.community_trajectory(communities.match_communities(communities.snapshot_communities(nations(spark, sf)))[0])
 
 
 for _model in nulls.MODELS:

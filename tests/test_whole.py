@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture
 def late(spark, monkeypatch):
     """A network whose second contact is neither urgent nor early, in place of N2."""
-    rows = [("A", "B", 0.0, 2.0, 1.0, "1-URGENT"), ("B", "C", 100.0, 103.0, 1.0, "5-LOW"), ("A", "C", 200.0, 201.0, 1.0, "5-LOW")]
+    rows = [("A", "B", 0.0, 2.0, 1.0, "1-URGENT"), ("B", "C", 100.0, 103.0, 1.0, "5-LOW"), ("A", "C", 400.0, 401.0, 1.0, "5-LOW")]
     d = spark.createDataFrame(rows, "from string, to string, start double, end double, weight double, session string")
     monkeypatch.setattr(registry, "nations", lambda *_: builders.from_tables(d, check=False, interval=180.0, unit="days"))
 
@@ -36,12 +36,29 @@ def test_arrivals_of_all_orders(spark):
 
 def test_late_contacts_count(spark, late):
     q = registry.QUERIES
-    assert {(r["from"], r["start"]) for r in q["net_edge_centrality"](spark, SF).collect()} == {("A", 0.0), ("B", 100.0), ("A", 200.0)}
+    assert {(r["from"], r["start"]) for r in q["net_edge_centrality"](spark, SF).collect()} == {("A", 0.0), ("B", 100.0), ("A", 400.0)}
     assert {(r["target"], r["node"]) for r in q["net_backward_paths"](spark, SF).collect()} == {(v, v) for v in "ABC"} | {("B", "A"), ("C", "A"), ("C", "B")}
     assert {(r["source"], r["node"], r["latency"]) for r in q["net_paths_fastest"](spark, SF).collect() if r["source"] != r["node"]} == {("A", "B", 0.0), ("A", "C", 0.0), ("B", "C", 0.0)}
     assert {r["ties"] for r in q["net_randomise_times"](spark, SF).collect()} == {3}
 
 
+def test_windows_of_all_orders(spark):
+    import duckdb
+    from test_queries import TABLES, norm
+
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name in ("net_similarity_whole", "net_turnover_whole", "net_persistence_whole", "net_segregation_whole", "net_projection_whole", "net_multislice_modularity_whole"):
+        assert "% 97" not in registry.ORACLE_SQL[name]
+        assert norm(registry.QUERIES[name](spark, SF).toPandas()) == norm(c.sql(registry.ORACLE_SQL[name]).df()), name
+
+
+def test_communities_of_all_days(spark, late):
+    assert registry.QUERIES["net_community_trajectory"](spark, SF).select("node").distinct().count() == 3
+    assert registry.QUERIES["net_phases"](spark, SF).count() == 3
+
+
 def test_fastest_stops_only_at_no_time():
     r = random.Random(4)
     for _ in range(60):
