@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,8 @@ def _pack(bucket: np.ndarray, count: int, columns: list[np.ndarray]) -> list[lis
 
 
 def _documents(t: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts in an order that does not depend on how the rows of a block arrive."""
+    t = t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("raw", "ascending")]))
     return t["doc_id"].to_pylist(), [x or b"" for x in t["raw"].to_pylist()]
 
 
@@ -348,8 +351,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, blocks: int | None = No
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(t: pa.Table, cover: dict) -> pa.Table:
+        ids, _ = _documents(t)
         rows = [[{"start": a, "end": b} for a, b in merge(cover.get(i, []))] for i in range(t.num_rows)]
-        return pa.table({"doc_id": t["doc_id"], "spans": pa.array(rows, kind)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(rows, kind)})
 
     return _covers(docs, window, blocks, finish, "doc_id long, spans array<struct<start:long,end:long>>")
 

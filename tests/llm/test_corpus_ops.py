@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,17 @@ def test_substrings(spark):
     assert sum(s["end"] - s["start"] for v in spans.values() for s in v) == sum(v[1] for v in got.values())
 
 
+def test_runs_have_the_same_numbers_in_any_order_of_rows():
+    r = random.Random(5)
+    rows = [(i, words(r, 20, 40).encode()) for i in range(6)] + [(2, b"x" * 90), (None, b"y" * 90), (4, None)]
+    found = []
+    for order in (rows, rows[::-1]):
+        t = pa.table({"block": pa.array([0] * len(rows), pa.int32()), "doc_id": pa.array([x[0] for x in order], pa.int64()), "raw": pa.array([x[1] for x in order], pa.binary())})
+        parts = substring_dedup._block_runs(t, 50)
+        found.append(substring_dedup._distinct_runs(*parts, np.unique(parts[-1]), 50)[0])
+    assert found[0] == found[1] and len(found[0]) > 6
+
+
 def test_substring_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.removal_digest(none).count() == 0
