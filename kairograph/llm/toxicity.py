@@ -2,10 +2,11 @@
 
 1. A character language model: counts of four characters in a row over all
    documents, letters folded to a-z and everything else to one boundary sign.
-2. Restoring: stretches that look disguised (signs or digits between letters,
-   letters set apart by spaces or points, a letter three times or more) become
-   lattices whose edges are what each sign may stand for; Viterbi decoding under
-   the model picks the likeliest reading.  Other text is left as it is.
+2. Restoring: stretches that may be disguised (words with a sign or digit at any
+   place, three letters or more set apart by spaces or points, a letter twice or
+   more in a row) become lattices whose edges are what each sign may stand for,
+   itself included; a gap joins its letters or parts two words.  Viterbi decoding
+   under the model picks the likeliest reading.  Other text is left as it is.
 3. Scoring: words of the restored text, and their beginnings, are looked up in a
    lexicon learnt from labelled rows.  An entry's weight is the share of toxic
    rows among the training rows that hold it, drawn towards the overall share;
@@ -41,7 +42,7 @@ EDGE = 26
 #: What a sign or digit may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l"}
 #: Log-probabilities of the channel.
-KEEP, SWAP, SKIP_SIGN, SKIP_REPEAT = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.3)
+KEEP, SWAP, SAME_SIGN, SKIP_SIGN, SKIP_REPEAT, SKIP_DOUBLE, GAP = math.log(0.9), math.log(0.08), math.log(0.02), math.log(0.05), math.log(0.3), math.log(0.01), math.log(0.5)
 
 _FOLD = {"à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y", "ß": "s"}
 _CODES = np.full(256, EDGE, np.int32)
@@ -52,9 +53,11 @@ for _k, _v in _FOLD.items():
 
 _LETTER = "a-zà-öø-ÿ"
 _SIGNS = re.escape("".join(LEET))
-_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?=[{_LETTER}{_SIGNS}]{{3,24}}(?![\w{_SIGNS}]))[{_SIGNS}]{{0,3}}[{_LETTER}]+[{_SIGNS}]+(?=[{_LETTER}{_SIGNS}]*[{_LETTER}])[{_LETTER}{_SIGNS}]+")
-_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[{_LETTER}{_SIGNS}][ .*_\-]){{3,15}}[{_LETTER}{_SIGNS}](?![\w{_SIGNS}])")
-_REPEATED = re.compile(rf"(?<!\w)[{_LETTER}]*([{_LETTER}])\1\1[{_LETTER}]*(?!\w)")
+_GAPS = r" .*_\-"
+_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?=[{_SIGNS}]*[{_LETTER}])(?=[{_LETTER}]*[{_SIGNS}])[{_LETTER}{_SIGNS}]+(?![\w{_SIGNS}])")
+_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?=[{_SIGNS}{_GAPS}]*[{_LETTER}])[{_LETTER}{_SIGNS}](?:[{_GAPS}]+[{_LETTER}{_SIGNS}]){{2,}}(?![\w{_SIGNS}])")
+_REPEATED = re.compile(rf"(?<!\w)[{_LETTER}]*([{_LETTER}])\1[{_LETTER}]*(?!\w)")
+_UNIT = re.compile(rf"[{_GAPS}]+|.", re.DOTALL)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -107,13 +110,21 @@ def viterbi(shown: str, model: np.ndarray) -> str:
     """The likeliest word behind the signs of one stretch."""
     edge = (EDGE * LETTERS + EDGE) * LETTERS + EDGE
     best: dict[tuple[int, str], tuple[float, str]] = {(edge, ""): (0.0, "")}
-    for k, c in enumerate(shown):
+    units = _UNIT.findall(shown)
+    for k, c in enumerate(units):
         following: dict[tuple[int, str], tuple[float, str]] = {}
 
         def step(state: int, last: str, score: float, word: str) -> None:
             if (state, last) not in following or following[state, last][0] < score:  # noqa: B023
                 following[state, last] = score, word  # noqa: B023
 
+        if c[0] in " .*_-":
+            for (state, last), (score, word) in best.items():
+                step(state, last, score + GAP, word)
+                step((state * LETTERS + EDGE) % LETTERS**3, c, score + GAP + float(model[state, EDGE]), word + c)
+            best = following
+            continue
+        again = SKIP_REPEAT if [*units[max(0, k - 2) : k], *units[k + 1 : k + 3]].count(c) > 1 else SKIP_DOUBLE
         options = [(c, KEEP)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
         for (state, last), (score, word) in best.items():
             for letter, cost in options:
@@ -121,8 +132,9 @@ def viterbi(shown: str, model: np.ndarray) -> str:
                 step((state * LETTERS + code) % LETTERS**3, c, score + cost + float(model[state, code]), word + letter)
             if not c.isalpha():
                 step(state, last, score + SKIP_SIGN, word)
+                step((state * LETTERS + EDGE) % LETTERS**3, c, score + SAME_SIGN + float(model[state, EDGE]), word + c)
             elif k and last == c:
-                step(state, last, score + SKIP_REPEAT, word)
+                step(state, last, score + again, word)
         best = following
     return max(((score + float(model[state, EDGE]), word) for (state, _), (score, word) in best.items()), default=(0.0, shown))[1]
 
@@ -139,7 +151,9 @@ class Restorer:
         if word is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            word = self.known[shown] = viterbi(shown, self.model)
+            word = viterbi(shown, self.model)
+            if len(shown) <= 200:
+                self.known[shown] = word
         return word
 
     def restore(self, text: str) -> str:

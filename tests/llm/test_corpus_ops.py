@@ -185,6 +185,19 @@ def test_deobfuscation():
     assert restore("plain text 123, v2 stays.") == "plain text 123, v2 stays."
 
 
+def test_common_disguises(spark):
+    texts = ["what an idiot and a stupid clown", "you are an idiot", "the stupid thing", "all good books are free too", "i hate the hate", "an asshole"] * 200
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    restore = toxicity.Restorer(toxicity.language_model(d)).restore
+    for shown, word in {"$tupid": "stupid", "1diot": "idiot", "@sshole": "asshole", "hat3": "hate", "idi07": "idiot", "stuupid": "stupid"}.items():
+        assert restore(f"the {shown} thing") == f"the {word} thing"
+    assert restore("so h  a - t  e it") == "so hate it"
+    assert restore("s t u p i d i d i o t").split() == ["stupid", "idiot"]
+    assert restore("h a t e") == "hate" and restore("y o u") == "you"
+    assert restore("all good books are free too, 123 v2") == "all good books are free too, 123 v2"
+    assert restore("stupid!").startswith("stupid") and len(restore("stupid!")) <= 7
+
+
 def test_toxicity_held_out(spark):
     from kairograph.llm.common import table
 
