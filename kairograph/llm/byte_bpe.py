@@ -16,6 +16,7 @@ import codecs
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -63,17 +64,23 @@ class ByteBpe:
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token)
         self.model, self.shown = self.tokenizer.model, dict(enumerate(byte_symbols()))
-        self.cache = PieceCache(self._pieces, b"")
+        self.cache = PieceCache(self._pieces)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """A space and letters are one word for the model; other pieces go through the whole tokenizer."""
         tokenize, shown = self.model.tokenize, self.shown
         mixed = [p for p in pieces if not p.isalpha()]
         ids = dict(zip(mixed, self._encode([literal(p) for p in mixed]), strict=True))
-        return [np.array([t.id for t in tokenize((" " + p).encode().decode("latin-1").translate(shown))], "<u4").tobytes() if p.isalpha() else ids[p] for p in pieces]
+        space = shown[32]
+
+        def word(p: str) -> bytes:
+            p = space + (p if p.isascii() else p.encode().decode("latin-1").translate(shown))
+            return array("I", [t.id for t in tokenize(p)]).tobytes()
+
+        return [word(p) if p.isalpha() else ids[p] for p in pieces]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
@@ -105,13 +112,19 @@ class ByteBpe:
         return np.stack([first, begins[ends]], axis=1) if len(ends) else np.empty((0, 2), np.int64)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(definition: str) -> ByteBpe:
+    """One encoder for all tasks of a worker, whose remembered pieces they share."""
+    return ByteBpe(definition)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>, offsets array<struct<start,end>>, decoded`` of every document."""
     definition = docs.sparkSession.sparkContext.broadcast(tokenizer_json(path))  # a vocabulary: a few MB whatever the input
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def make():
-        bpe = ByteBpe(definition.value)
+        bpe = encoder_of(definition.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -133,7 +146,7 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     definition = docs.sparkSession.sparkContext.broadcast(tokenizer_json(path))
 
     def make():
-        bpe = ByteBpe(definition.value)
+        bpe = encoder_of(definition.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [x.tolist() for x in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]

@@ -13,17 +13,26 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE_ASCII = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _MARKS = ".,;:!?|#$%&*+=()[]{}<>/-"
 
 
+def _plain(text: str) -> bool:
+    """Whether space and line feed are all the white space there is."""
+    if text.isascii():
+        raw = text.encode()
+        return len(raw.translate(None, _RARE_ASCII)) == len(raw)
+    return not _RARE.search(text)
+
+
 def cut(text: str) -> tuple[str, list[str]]:
     """The first piece as it stands, then the later ones.
 
     A later piece keeps a leading line feed and loses a leading space.
     """
     parts = text.replace("\n", " \n").split(" ")
-    if "" in parts or "\n" in parts or _RARE.search(text):  # white space beside white space
+    if "" in parts or "\n" in parts or not _plain(text):  # white space beside white space
         first, *rest = _CUT.split(text)
         return first, [p[1:] if p[0] == " " else p for p in rest]
     return parts[0], parts[1:]
@@ -34,29 +43,18 @@ def literal(piece: str) -> str:
     return piece if piece[0] == "\n" else " " + piece
 
 
-class _Known(dict):
-    """Remembers what was looked up in vain and gives ``nothing`` for it."""
-
-    def __init__(self, nothing: Any):
-        super().__init__()
-        self.nothing, self.missed = nothing, set()
-
-    def __missing__(self, key: str) -> Any:
-        self.missed.add(key)
-        return self.nothing
-
-
 class PieceCache:
     """Values of pieces, kept in two generations of at most ``cap`` entries each.
 
     ``encode_many`` gets distinct pieces and returns their values, which are
-    concatenated with ``+``; ``nothing`` is the value of an empty string.  Pieces
-    over ``longest`` characters are not remembered, which bounds memory.
+    concatenated with ``+``.  Pieces over ``longest`` characters are not
+    remembered, which bounds memory.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[Any]], nothing: Any, cap: int = 350_000, longest: int = 48):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[Any]], cap: int = 350_000, longest: int = 48):
         self.encode_many, self.cap, self.longest = encode_many, cap, longest
-        self.now, self.old = _Known(nothing), _Known(nothing)
+        self.now: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
 
     def _fill(self, pieces: set[str]) -> None:
         """A run of marks after letters is a word of its own: both parts are looked up."""
@@ -64,41 +62,30 @@ class PieceCache:
         ends: dict[str, tuple[str, str]] = {}
         todo = set()
         for p in pieces:
-            if (value := old.get(p)) is not None:
+            if old and (value := old.get(p)) is not None:
                 known[p] = value
             elif p[-1:] in _MARKS and (base := p.rstrip(_MARKS)).isalpha():
                 ends[p] = base, "\n" + p[len(base) :]  # a line feed stays alone, so the run begins anew after it
                 todo.update(ends[p])
             else:
                 todo.add(p)
-        for p in list(todo):
-            if (value := old.get(p)) is not None:
-                known[p] = value
-        new = [p for p in todo if p not in known]
+        new = list(todo.difference(known))
         known.update(zip(new, self.encode_many(new), strict=True))
         if ends:
             (feed,) = self.encode_many(["\n"])
             for p, (base, run) in ends.items():
                 known[p] = known[base] + (known[run][len(feed) :] if isinstance(feed, bytes) else known[run] - feed)
-        known.missed.clear()
 
     def each(self, docs: list[list[str]], join: Callable[[Iterable[Any]], Any]) -> list[Any]:
         """``join`` of the values of every document's pieces."""
+        new = set().union(*docs).difference(self.now)
+        if new:
+            self._fill(new)
         known = self.now
-        get, missed, out, late, seen = known.__getitem__, known.missed, [], [], 0
-        for i, parts in enumerate(docs):
-            out.append(join(map(get, parts)))
-            late_now = len(missed)
-            if late_now > seen or missed and not missed.isdisjoint(parts):
-                late.append(i)
-            seen = late_now
-        if late:
-            long = [p for p in missed if len(p) > self.longest]
-            self._fill(set(missed))
-            for i in late:
-                out[i] = join(map(get, docs[i]))
-            for p in long:
-                known.pop(p, None)
-            if len(known) > self.cap:
-                self.old, self.now = known, _Known(known.nothing)
+        get = known.__getitem__
+        out = [join(map(get, parts)) for parts in docs]
+        for p in [p for p in new if len(p) > self.longest]:
+            del known[p]
+        if len(known) > self.cap:
+            self.old, self.now = known, {}
         return out

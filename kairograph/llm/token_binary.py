@@ -12,8 +12,8 @@ File layout (little-endian), one file per range of ``doc_id``::
     frames               zstandard, one for each document
 
 A document is read by two look-ups and one small decompression.  The dictionary
-is trained on the serialised ids of a bounded sample (``SAMPLE`` documents, the
-first ``SAMPLE_IDS`` ids of each), lies beside the shards and is found by hash.
+is trained on the serialised ids of a bounded sample (``SAMPLE`` documents,
+``SAMPLE_IDS`` neighbouring ids of each from a hashed place), lies beside the shards and is found by hash.
 Shards carry the name of the attempt that wrote them; the manifest, written by
 Spark, lists the attempts that count, so a task that runs twice does no harm.
 
@@ -27,6 +27,9 @@ import hashlib
 import struct
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +59,22 @@ class WordEncoder:
     def __init__(self, definition: str):
         self.tokenizer = make_tokenizer(definition)
         self.model, self.shown = self.tokenizer.model, dict(enumerate(byte_symbols()))
-        self.cache = PieceCache(self._pieces, b"")
+        self.cache = PieceCache(self._pieces)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Letters of Latin-1 alone are one word in its normal form; other pieces take the whole tokenizer."""
         tokenize, shown, ids = self.model.tokenize, self.shown, {}
         mixed = [p for p in pieces if not (p.isalpha() and max(p) <= "\xff")]
         ids = dict(zip(mixed, self._encode([literal(p) for p in mixed]), strict=True))
-        return [ids[p] if p in ids else np.array([t.id for t in tokenize(p.lower().encode().decode("latin-1").translate(shown))], "<u4").tobytes() for p in pieces]
+
+        def word(p: str) -> bytes:
+            p = p.lower() if p.isascii() else p.lower().encode().decode("latin-1").translate(shown)
+            return array("I", [t.id for t in tokenize(p)]).tobytes()
+
+        return [ids[p] if p in ids else word(p) for p in pieces]
 
     @staticmethod
     def _folded(text: str) -> str:
@@ -86,6 +94,12 @@ class WordEncoder:
         return [a + b for a, b in zip(heads, self.cache.each([rest for _, rest in halves], b"".join), strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(definition: str) -> WordEncoder:
+    """One encoder for all tasks of a worker, whose remembered pieces they share."""
+    return WordEncoder(definition)
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for serialised id arrays; empty where there is too little to train on."""
     import zstandard
@@ -112,29 +126,48 @@ def pack_shard(rows: list[tuple[int | None, bytes]], dictionary: bytes, width: i
 
 
 class ShardReader:
-    """Random access to the documents of one file."""
+    """Random access to the documents of one file.
 
-    def __init__(self, raw: bytes, dictionary: bytes = b""):
+    ``source`` is an open file with ``read_at`` or bytes.  Opening reads the head and
+    the index, 25 bytes a document; a document then costs one read of its own frame.
+    """
+
+    def __init__(self, source, dictionary: bytes = b""):
         import zstandard
 
-        magic, mark, width, n = struct.unpack_from(HEAD, raw)
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        at = struct.calcsize(HEAD)
+        magic, mark, width, n = struct.unpack(HEAD, self.source.read_at(at, 0))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         if mark != bytes(32) and hashlib.sha256(dictionary).digest() != mark:
             raise ValueError("the shard was written with another dictionary")
-        self.raw, self.n, self.kind, at = raw, n, f"<u{width}", struct.calcsize(HEAD)
-        self.places = np.frombuffer(raw, "<u8", n + 1, at)
-        self.tokens = np.frombuffer(raw, "<u8", n + 1, at + 8 * (n + 1))
-        self.names, self.frames = at + 16 * (n + 1), at + 16 * (n + 1) + 9 * n
+        index = self.source.read_at(16 * (n + 1) + 9 * n, at)
+        self.n, self.kind, self.frames = n, f"<u{width}", at + len(index)
+        self.places = np.frombuffer(index, "<u8", n + 1)
+        self.tokens = np.frombuffer(index, "<u8", n + 1, 8 * (n + 1))
+        self.names = index[16 * (n + 1) :]
         self.open = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if mark != bytes(32) else None).decompress
 
     def doc_id(self, i: int) -> int | None:
-        known, value = struct.unpack_from("<Bq", self.raw, self.names + 9 * i)
+        known, value = struct.unpack_from("<Bq", self.names, 9 * i)
         return value if known else None
 
     def ids(self, i: int) -> np.ndarray:
         a, b = int(self.places[i]), int(self.places[i + 1])
-        return np.frombuffer(self.open(self.raw[self.frames + a : self.frames + b]), self.kind)
+        return np.frombuffer(self.open(self.source.read_at(b - a, self.frames + a)), self.kind)
+
+    def scan(self, at_once: int = 4 << 20) -> Iterator[np.ndarray]:
+        """Ids of all documents in order, read in stretches of about ``at_once`` bytes."""
+        first = 0
+        while first < self.n:
+            a = int(self.places[first])
+            last = max(first + 1, int(np.searchsorted(self.places, a + at_once, "right")) - 1)
+            raw = self.source.read_at(int(self.places[last]) - a, self.frames + a)
+            ends = (self.places[first : last + 1] - np.uint64(a)).tolist()
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                yield np.frombuffer(self.open(raw[x:y]), self.kind)
+            first = last
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out: str | None = None) -> tuple[str, DataFrame]:
@@ -148,10 +181,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out: str
     width = 2 if max(vocab, end_id + 1) <= 1 << 16 else 4
 
     def sample(batches: Batches) -> Batches:
-        encoder = WordEncoder(definition.value)
+        encoder = encoder_of(definition.value)
         for batch in slices(batches):
             ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            rows = [np.frombuffer(x[: 4 * SAMPLE_IDS], "<u4").astype(f"<u{width}").tobytes() for x in ids]
+            rows = [np.frombuffer(x, "<u4")[(at := zlib.crc32(x) % max(1, len(x) // 4 - SAMPLE_IDS + 1)) : at + SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
 
     order = F.xxhash64("doc_id")
@@ -165,7 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out: str
             f.write(dictionary.value)
 
     def write(batches: Batches) -> Batches:
-        encoder, rows = WordEncoder(definition.value), []
+        encoder, rows = encoder_of(definition.value), []
         end = np.array([end_id], "<u4").tobytes()
         files, held = [], 0
 
@@ -219,14 +252,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         known: dict[str, bytes] = {}
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_input_stream(f"{root}/{name}") as f:
-                    raw = f.read()
-                mark = struct.unpack_from(HEAD, raw)[1]
-                if mark != bytes(32) and mark not in known:
-                    with system.open_input_stream(f"{root}/{mark.hex()}.dict") as f:
-                        known[mark] = f.read()
-                shard = ShardReader(raw, known.get(mark, b""))
-                crc = [zlib.crc32(shard.ids(i).astype("<u4").tobytes()) for i in range(shard.n)]
+                with system.open_input_file(f"{root}/{name}") as f:
+                    mark = struct.unpack(HEAD, f.read_at(struct.calcsize(HEAD), 0))[1]
+                    if mark != bytes(32) and mark not in known:
+                        with system.open_input_stream(f"{root}/{mark.hex()}.dict") as d:
+                            known[mark] = d.read()
+                    shard = ShardReader(f, known.get(mark, b""))
+                    crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.scan()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard.doc_id(i) for i in range(shard.n)], pa.int64()), pa.array(shard.tokens[:-1].astype(np.int64) + before), pa.array(np.diff(shard.tokens.astype(np.int64))), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -10,6 +10,7 @@ Null texts are empty and have no tokens.  Rows are counted one by one.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -90,7 +91,7 @@ class Counter:
 
         self.merges = Merges(path)
         self.split = regex.compile(pattern).findall
-        self.cache = PieceCache(lambda pieces: [self.piece(p) for p in pieces], 0)
+        self.cache = PieceCache(lambda pieces: [self.piece(p) for p in pieces])
         special = self.merges.special
         self.marks = regex.compile("|".join(map(regex.escape, special))) if special else None
 
@@ -111,11 +112,17 @@ class Counter:
         return [self.plain(first) + n for (first, _), n in zip(halves, self.cache.each([x for _, x in halves], sum), strict=True)]
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str, pattern: str) -> Counter:
+    """One counter for all tasks of a worker, whose remembered pieces they share."""
+    return Counter(path, pattern)
+
+
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document."""
 
     def make():
-        counter = Counter(path, pattern)
+        counter = counter_of(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -109,6 +109,9 @@ def test_token_files(spark):
             token_binary.ShardReader(raw, b"another")
     shard = token_binary.ShardReader(raw, dictionary)
     assert shard.doc_id(8) == 8 and len(shard.ids(8)) == want[8][1]
+    with system.open_input_file(f"{root}/{name}") as f:
+        seen = token_binary.ShardReader(f, dictionary)
+        assert [x.tolist() for x in seen.scan(100)] == [shard.ids(i).tolist() for i in range(shard.n)]
     for df, n in ((empty(spark), 0), (clashing(spark), 4)):
         folder, _ = token_binary.write_tokens(df, P.path("word_bpe_49k.json"), 1)
         back = token_binary.read_tokens(spark, folder).orderBy("start").collect()
