@@ -30,6 +30,7 @@ rows of one id do not remove each other.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -42,37 +43,65 @@ from kairograph.llm.common import id_text
 WINDOW, GRAM = 50, 24
 #: Windows of a run at most; text that repeats within itself has one anchor for long.
 LONGEST = 64
-BLOCK_MB = 4
+#: Bytes of text in a block: as the root of the corpus, so that a block's entry for one
+#: bucket holds many anchors and entries do not grow with the square of the corpus.
+BLOCK_LEAST, BLOCK_MOST, ROOT = 4 << 20, 32 << 20, 1000
+STEP = 1 << 15
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWERS = {n: np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 
 
 def window_anchors(raw: bytes, window: int = WINDOW) -> np.ndarray:
-    """The anchor of the window at every start."""
-    n = len(raw)
-    if n < window:
+    """The anchor of the window at every start: the least hash of its grams."""
+    if len(raw) < window:
         return np.empty(0, np.uint64)
-    words = [np.ndarray((n - GRAM + 1,), "<u8", raw, 8 * i, (1,)) for i in range(GRAM // 8)]
-    h = np.zeros(n - GRAM + 1, np.uint64)
-    for w, k in zip(words, _K, strict=False):
-        h = (h ^ w) * k
-        h ^= h >> np.uint64(32)
+    h, have, eight = _BYTES[np.frombuffer(raw, np.uint8)], 1, None
+    while have < 16:  # polynomial hashes of 1, 2, 4, 8, 16 bytes, then 24
+        h = h[:-have] * _POWERS[have] + h[have:]
+        have *= 2
+        eight = h if have == 8 else eight
+    h = h[:-8] * _POWERS[8] + eight[16:]
+    h ^= h >> np.uint64(29)
     h *= _K[3]
-    span, have = window - GRAM + 1, 1
+    h ^= h >> np.uint64(32)
+    span, have, n = window - GRAM + 1, 1, len(raw) - window + 1
     while have * 2 <= span:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
-    return np.minimum(h[: n - window + 1], h[span - have : span - have + n - window + 1]) if have < span else h[: n - window + 1]
+    return np.minimum(h[:n], h[span - have : span - have + n])
+
 
+def runs(text: bytes, sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """String, first window, last window (exclusive) and anchor of every run of strings joined in ``text``.
 
-def runs(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window (exclusive) and anchor of every run."""
-    anchors = window_anchors(raw, window)
-    if not len(anchors):
-        return np.empty(0, np.int64), np.empty(0, np.int64), anchors
-    first = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
-    many = -(-np.diff(np.append(first, len(anchors))) // LONGEST)
-    first = np.repeat(first, many) + LONGEST * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    return first, np.append(first[1:], len(anchors)), anchors[first]
+    Places are those in ``text``; no run leaves its string.
+    """
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.maximum(begins[1:] - window + 1, begins[:-1])  # windows of a string start before this
+    firsts, anchors, before = [], [], None
+    for at in range(0, max(0, len(text) - window + 1), STEP):
+        now = window_anchors(text[at : at + STEP + window - 1], window)
+        new = np.empty(len(now), bool)
+        new[0] = before is None or now[0] != before
+        np.not_equal(now[1:], now[:-1], out=new[1:])
+        low, high = np.searchsorted(begins, [at, at + len(now)])
+        new[begins[low:high][sizes[low:high] > 0] - at if low < len(sizes) else []] = True
+        before = now[-1]
+        first = np.flatnonzero(new)
+        firsts.append(first + at)
+        anchors.append(now[first])
+    if not firsts:
+        return (*(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64))
+    first, anchor = np.concatenate(firsts), np.concatenate(anchors)
+    which = np.searchsorted(begins, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(text)), ends[np.minimum(which, len(sizes) - 1)])
+    fine = first < last
+    which, first, last, anchor = which[fine], first[fine], last[fine], anchor[fine]
+    many = -(-(last - first) // LONGEST)
+    step = LONGEST * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    first, last = np.repeat(first, many) + step, np.repeat(last, many)
+    return np.repeat(which, many), first, np.minimum(first + LONGEST, last), np.repeat(anchor, many)
 
 
 class Intervals:
@@ -114,28 +143,53 @@ class Intervals:
             open_ &= ~hit
         self.common[1:] = np.minimum(self.common[1:], np.minimum(rest[1:], rest[:-1]))
 
-    def scan(self, least: int):
-        """``(length, first, last)`` of every interval with a common prefix of ``least`` or more, children first."""
-        common, n = self.common, len(self.common)
-        long = np.flatnonzero(common >= least)
-        if not len(long):
-            return
-        for part in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1):
-            first, last = int(part[0]) - 1, int(part[-1])
-            stack: list[list[int]] = []
-            for i in range(first + 1, last + 2):
-                now = int(common[i]) if i <= last and i < n else 0
-                begin = i - 1
-                while stack and stack[-1][0] > now:
+    def scan(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(length, first, last)`` of all intervals with a common prefix of ``least`` or more, children first."""
+        long = np.flatnonzero(self.common >= least)
+        sizes: list[int] = []
+        firsts: list[int] = []
+        lasts: list[int] = []
+        stack: list[tuple[int, int]] = []
+        before, height = -2, 0
+        for i, now in zip(long.tolist(), self.common[long].tolist(), strict=True):
+            if i != before + 1:  # a gap closes all
+                while stack:
                     size, begin = stack.pop()
-                    yield size, begin, i - 1
-                if now >= least and (not stack or stack[-1][0] < now):
-                    stack.append([now, begin])
-
-    def left_diverse(self, first: int, last: int) -> bool:
-        """Whether the members can not all be extended by one byte to the left."""
-        seen = self.previous[first : last + 1]
-        return bool((seen == -1).any() or (seen != seen[0]).any())
+                    sizes.append(size), firsts.append(begin), lasts.append(before)
+                height = 0
+            begin = i - 1
+            while height > now:
+                size, begin = stack.pop()
+                sizes.append(size), firsts.append(begin), lasts.append(i - 1)
+                height = stack[-1][0] if stack else 0
+            if height < now:
+                stack.append((now, begin))
+                height = now
+            before = i
+        while stack:
+            size, begin = stack.pop()
+            sizes.append(size), firsts.append(begin), lasts.append(before)
+        return np.array(sizes, np.int64), np.array(firsts, np.int64), np.array(lasts, np.int64)
+
+    def left_diverse(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which intervals have members that can not all be extended by one byte to the left."""
+        p = self.previous
+        change = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) | (p[1:] == -1))])
+        return (change[last] > change[first]) | (p[first] == -1)
+
+    def maximal(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The left-diverse intervals: maximal repeats with all their members."""
+        size, first, last = self.scan(least)
+        if not len(size):
+            return size, first, last
+        fine = self.left_diverse(first, last)
+        return size[fine], first[fine], last[fine]
+
+
+def _expand(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and the number, of all whole numbers in ranges."""
+    which = np.repeat(np.arange(len(begin)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
 
 
 def least_documents(strings: list[bytes], docs: np.ndarray, least: int) -> list[np.ndarray]:
@@ -144,23 +198,23 @@ def least_documents(strings: list[bytes], docs: np.ndarray, least: int) -> list[
     Left-diverse intervals suffice: what lies in another one also lies in the
     left-diverse one it extends to.
     """
-    out = [np.full(max(0, len(s) - least + 1), d, np.int64) for s, d in zip(strings, docs.tolist(), strict=True)]
+    per = np.array([max(0, len(s) - least + 1) for s in strings], np.int64)
+    begins = np.concatenate([[0], np.cumsum(per)])
+    flat = np.repeat(docs, per)
     tree = Intervals(strings, least)
-    for size, first, last in tree.scan(least):
-        if not tree.left_diverse(first, last):
-            continue
-        members = tree.string[first : last + 1]
-        low = int(docs[members].min())
-        for s, o in zip(members.tolist(), tree.offset[first : last + 1].tolist(), strict=True):
-            windows = out[s][o : o + size - least + 1]
-            np.minimum(windows, low, out=windows)
-    return out
-
-
-def _pack(bucket: np.ndarray, count: int, columns: list[np.ndarray]) -> list[list[bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(count + 1))
-    return [[c[order[ends[b] : ends[b + 1]]].tobytes() for c in columns] for b in range(count)]
+    size, first, last = tree.maximal(least)
+    if len(size):
+        of = np.append(docs[tree.string], np.iinfo(np.int64).max)
+        low = np.minimum.reduceat(of, np.stack([first, last + 1], 1).ravel())[::2]
+        count = last - first + 1
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(count) >> 20)) + 1):
+            which, member = _expand(first[part], count[part])
+            which = part[which]
+            later = of[member] > low[which]
+            which, member = which[later], member[later]
+            back, place = _expand(begins[tree.string[member]] + tree.offset[member], size[which] - least + 1)
+            np.minimum.at(flat, place, low[which[back]])
+    return np.split(flat, begins[1:-1]) if strings else []
 
 
 def _documents(t: pa.Table) -> tuple[list, list[bytes]]:
@@ -169,163 +223,188 @@ def _documents(t: pa.Table) -> tuple[list, list[bytes]]:
     return t["doc_id"].to_pylist(), [x or b"" for x in t["raw"].to_pylist()]
 
 
-def _block_runs(t: pa.Table, window: int):
-    """Document id, row, first, last and anchor of every run of a block; rows without id have none."""
-    ids, raws = _documents(t)
-    rows = [(i, d, *runs(r, window)) for i, (d, r) in enumerate(zip(ids, raws, strict=True)) if d is not None and len(r) >= window]
-    sizes = [len(x[2]) for x in rows]
-    row = np.repeat(np.array([x[0] for x in rows], np.int64), sizes)
-    doc = np.repeat(np.array([x[1] for x in rows], np.int64), sizes)
-    join = lambda k, kind: np.concatenate([x[k] for x in rows]).astype(kind) if rows else np.empty(0, kind)
-    return raws, row, doc, join(2, np.int64), join(3, np.int64), join(4, np.uint64)
-
-
-def _distinct_runs(raws: list[bytes], row, doc, first, last, anchor, shared: np.ndarray, window: int):
-    """Distinct run strings with a shared anchor, in order of first occurrence, and where they occur."""
-    at = np.searchsorted(shared, anchor)
-    hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == anchor) if len(shared) else np.empty(0, np.int64)
-    number: dict[bytes, int] = {}
-    which = np.empty(len(hit), np.int64)
-    for k, (r, a, b) in enumerate(zip(row[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True)):
-        which[k] = number.setdefault(raws[r][a : b + window - 1], len(number))
-    low = np.full(len(number), np.iinfo(np.int64).max)
-    high = np.full(len(number), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, doc[hit])
-    np.maximum.at(high, which, doc[hit])
-    mark = np.zeros(len(number), np.uint64)
-    mark[which] = anchor[hit]
-    return list(number), hit, which, low, high, mark
-
-
-def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor * _K[1]) >> np.uint64(33)).astype(np.int64) % buckets
+class _Block:
+    """Documents of a block and their runs; rows without id have none."""
+
+    def __init__(self, t: pa.Table, window: int, buckets: int):
+        self.ids, self.raws = _documents(t)
+        self.window, self.buckets = window, buckets
+        rows = [i for i, d in enumerate(self.ids) if d is not None and len(self.raws[i]) >= window]
+        self.text = b"".join([self.raws[i] for i in rows])
+        sizes = np.array([len(self.raws[i]) for i in rows], np.int64)
+        which, self.first, self.last, anchor = runs(self.text, sizes, window)
+        self.row = np.array(rows, np.int64)[which]
+        self.doc = np.array([self.ids[i] for i in rows], np.int64)[which]
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])[which]
+        mixed = anchor * _K[1]
+        bucket = (mixed >> np.uint64(33)) % np.uint64(buckets)
+        self.key = bucket << np.uint64(32) | mixed & np.uint64(0xFFFFFFFF)  # bucket, then a mark of the anchor in it
+
+    def cuts(self, key: np.ndarray) -> np.ndarray:
+        """Where each bucket begins in ascending keys."""
+        return np.searchsorted(key, np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(32))
+
+    def distinct(self, shared: np.ndarray):
+        """Distinct run strings with a shared mark by bucket, where they occur, and the least and greatest document of each."""
+        at = np.searchsorted(shared, self.key)
+        hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == self.key) if len(shared) else np.empty(0, np.int64)
+        hit = hit[np.argsort(self.key[hit], kind="stable")]
+        number: dict[bytes, int] = {}
+        of, text, more = number.setdefault, self.text, self.window - 1
+        which = np.fromiter((of(text[a : b + more], len(number)) for a, b in zip(self.first[hit].tolist(), self.last[hit].tolist(), strict=True)), np.int64, len(hit))
+        low = np.full(len(number), np.iinfo(np.int64).max)
+        high = np.full(len(number), np.iinfo(np.int64).min)
+        np.minimum.at(low, which, self.doc[hit])
+        np.maximum.at(high, which, self.doc[hit])
+        key = np.zeros(len(number), np.uint64)
+        key[which] = self.key[hit]
+        return list(number), hit, which, low, high, key
 
 
 def _prepare(docs: DataFrame, blocks: int | None):
-    """Rows with their block, and the number of blocks (and of buckets): one for ``BLOCK_MB`` of text."""
+    """Rows with their block, and the number of blocks (and of buckets)."""
     src = id_text(docs).select("doc_id", F.col("text").cast("binary").alias("raw"))
     if blocks is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        blocks = max(4, -(-size // (BLOCK_MB << 20)))
+        blocks = max(4, -(-size // min(BLOCK_MOST, max(BLOCK_LEAST, math.isqrt(ROOT * size)))))
     return src.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), "raw"), blocks
 
 
+_WHOLE = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("mark", pa.binary()), ("flag", pa.binary())])
+
+
 def _covers(docs: DataFrame, window: int, blocks: int | None, finish, schema: str) -> DataFrame:
     src, count = _prepare(docs, blocks)
     src = src.repartition(count, "block")
 
     def anchors(t: pa.Table) -> pa.Table:
-        _, _, doc, _, _, anchor = _block_runs(t, window)
-        order = np.lexsort([doc, anchor])
-        a, d = anchor[order], doc[order]
-        begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
-        end = np.append(begin[1:], len(a)) - 1
-        many = d[begin] != d[end] if len(a) else np.empty(0, bool)
-        a = a[begin]
-        packed = _pack(_bucket_of(a, count), count, [a, many.astype(np.uint8)])
-        keep = [b for b in range(count) if packed[b][0]]
-        return pa.table({"bucket": pa.array(keep, pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(keep), pa.int32()), **{n: pa.array([packed[b][k] for b in keep], pa.binary()) for k, n in enumerate(("a", "m"))}})
+        b = _Block(t, window, count)
+        order = np.lexsort([b.doc, b.key])
+        k, d = b.key[order], b.doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+        many = d[begin] != d[np.append(begin[1:], len(k)) - 1] if len(k) else np.empty(0, bool)
+        k = k[begin]
+        mark, cuts = k.astype(np.uint32), b.cuts(k).tolist()
+        rows = [(i, mark[x:y].tobytes(), np.packbits(many[x:y]).tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        to, marks, flags = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table([pa.array([t["block"][0].as_py()] * len(rows), pa.int32()), pa.array(to, pa.int32()), pa.array(marks, pa.binary()), pa.array(flags, pa.binary())], schema=_WHOLE)
 
     def repeated(t: pa.Table) -> pa.Table:
-        read = lambda n, kind: [np.frombuffer(x, kind) for x in t[n].to_pylist()]
-        a, m = read("a", np.uint64), np.concatenate(read("m", np.uint8))
-        who = np.repeat(np.arange(len(a)), [len(x) for x in a])
-        a = np.concatenate(a)
+        marks = [np.frombuffer(x, np.uint32) for x in t["mark"].to_pylist()]
+        m = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(t["flag"].to_pylist(), marks, strict=True)])
+        who, a = np.repeat(np.arange(len(marks)), [len(x) for x in marks]), np.concatenate(marks)
         order = np.argsort(a, kind="stable")
         x = a[order]
         begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         times = np.diff(np.append(begin, len(x)))
-        many = (times > 1) | (np.maximum.reduceat(m[order], begin) > 0)
         yes = np.zeros(len(a), bool)
-        yes[order] = np.repeat(many, times)
-        blocks_ = np.array(t["block"])
-        sent = [(int(blocks_[k]), a[yes & (who == k)].tobytes()) for k in range(len(blocks_))] if len(blocks_) <= 16 else [(int(blocks_[k]), v) for k, v in enumerate(_split(a[yes], who[yes], len(blocks_)))]
-        sent = [s for s in sent if s[1]]
-        return pa.table({"block": pa.array([s[0] for s in sent], pa.int32()), "shared": pa.array([s[1] for s in sent], pa.binary())})
+        yes[order] = np.repeat((times > 1) | (np.maximum.reduceat(m[order], begin) > 0), times)
+        sent = [(int(k), v) for k, v in zip(t["block"].to_pylist(), _split(a[yes], who[yes], len(marks)), strict=True) if v]
+        bucket = t["bucket"][0].as_py()
+        return pa.table({"block": pa.array([s[0] for s in sent], pa.int32()), "bucket": pa.array([bucket] * len(sent), pa.int32()), "shared": pa.array([s[1] for s in sent], pa.binary())})
 
-    found = src.groupBy("block").applyInArrow(anchors, "bucket int, block int, a binary, m binary").repartition(count, "bucket").groupBy("bucket").applyInArrow(repeated, "block int, shared binary").repartition(count, "block")
+    found = src.groupBy("block").applyInArrow(anchors, "block int, bucket int, mark binary, flag binary").repartition(count, "bucket").groupBy("bucket").applyInArrow(repeated, "block int, bucket int, shared binary").repartition(count, "block")
 
     def shared_of(t: pa.Table) -> np.ndarray:
-        return np.unique(np.frombuffer(b"".join(t["shared"].to_pylist()), np.uint64))
+        if not t.num_rows:
+            return np.empty(0, np.uint64)
+        parts = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(t["bucket"].to_pylist(), t["shared"].to_pylist(), strict=True)]
+        return np.sort(np.concatenate(parts))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        strings, _, _, low, high, mark = _distinct_runs(*_block_runs(left, window), shared_of(right), window)
-        bucket = _bucket_of(mark, count)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(count + 1))
-        rows = {n: [] for n in ("bucket", "block", "k", "size", "text", "low", "high", "mark")}
-        block = left["block"][0].as_py() if left.num_rows else None
-        for b in range(count):
-            mine = order[ends[b] : ends[b + 1]]
-            if len(mine):
-                held = [strings[i] for i in mine.tolist()]
-                rows["bucket"].append(b), rows["block"].append(block), rows["text"].append(b"".join(held))
-                rows["size"].append(np.array([len(s) for s in held], np.uint16).tobytes())
-                for n, x in (("k", mine.astype(np.uint32)), ("low", low[mine]), ("high", high[mine]), ("mark", mark[mine].astype(np.uint32))):
-                    rows[n].append(x.tobytes())  # half an anchor groups equal ones as well
+        """Of each bucket: marks, sizes (the top bit: several documents here), least documents and bytes of distinct runs."""
+        rows = {n: [] for n in ("bucket", "block", "mark", "size", "low", "text")}
+        if left.num_rows and right.num_rows:
+            b = _Block(left, window, count)
+            strings, _, _, low, high, key = b.distinct(shared_of(right))
+            size = np.array([len(s) for s in strings], np.uint16) | ((high > low).astype(np.uint16) << 15)
+            mark, cuts = key.astype(np.uint32), b.cuts(key).tolist()
+            for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if y > x:
+                    rows["bucket"].append(i), rows["block"].append(left["block"][0].as_py()), rows["text"].append(b"".join(strings[x:y]))
+                    for n, v in (("mark", mark), ("size", size), ("low", low)):
+                        rows[n].append(v[x:y].tobytes())
         return pa.table({n: pa.array(v, pa.int32() if n in ("bucket", "block") else pa.binary()) for n, v in rows.items()})
 
-    sent = src.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "bucket int, block int, k binary, size binary, text binary, low binary, high binary, mark binary").repartition(count, "bucket")
+    sent = src.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "bucket int, block int, mark binary, size binary, low binary, text binary").repartition(count, "bucket")
 
     def trees(t: pa.Table) -> pa.Table:
-        """Equal runs first; then a tree over the runs of each anchor that differ."""
-        whole: dict[bytes, int] = {}
-        least, marks, places = [], [], []
-        for n, (size, text, low, high, mark, k) in enumerate(zip(*(t[c].to_pylist() for c in ("size", "text", "low", "high", "mark", "k")), strict=True)):
-            at = 0
-            rows = (np.frombuffer(size, np.uint16), np.frombuffer(low, np.int64), np.frombuffer(high, np.int64), np.frombuffer(mark, np.uint32), np.frombuffer(k, np.uint32))
-            for s, lo, hi, ma, kk in zip(*(r.tolist() for r in rows), strict=True):
-                i = whole.setdefault(text[at : at + s], len(whole))
-                at += s
-                if i == len(least):
-                    least.append(lo)
-                    marks.append(ma)
-                elif lo < least[i]:
-                    least[i] = lo
-                places.append((n, kk, i, hi))
-        strings = list(whole)
-        docs, by = np.array(least, np.int64), np.array(marks, np.uint64)
-        _, group, sizes = np.unique(by, return_inverse=True, return_counts=True)
-        differ = np.flatnonzero(sizes[group] > 1)
-        differ = differ[np.argsort(group[differ], kind="stable")]
-        lows: dict[int, np.ndarray] = {}
-        held = np.cumsum([len(strings[i]) for i in differ.tolist()]) // (1 << 20) if len(differ) else np.empty(0, np.int64)
-        steps = np.flatnonzero((np.diff(held) > 0) & (np.diff(group[differ]) != 0)) + 1 if len(differ) else []
-        for part in np.split(differ, steps) if len(differ) else []:
-            lows.update(zip(part.tolist(), least_documents([strings[i] for i in part.tolist()], docs[part], window), strict=True))
-        blocks_ = t["block"].to_pylist()
-        out: dict[int, list[tuple[int, int, int, int]]] = {}
-        for n, kk, i, hi in places:
-            found = lows.get(i)
-            if found is None:
-                if docs[i] < hi:
-                    out.setdefault(n, []).append((kk, 0, len(strings[i]) - window + 1, int(docs[i])))
-                continue
-            cuts = np.flatnonzero(np.diff(found)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)], strict=True):
-                if found[a] < hi:
-                    out.setdefault(n, []).append((kk, a, b, int(found[a])))
-        return pa.table({"block": pa.array([blocks_[n] for n in out], pa.int32()), "found": pa.array([np.array(v, np.int64).tobytes() for v in out.values()], pa.binary())})
-
-    back = sent.groupBy("bucket").applyInArrow(trees, "block int, found binary")
-    back = found.select("block", F.lit(None).cast("binary").alias("found"), "shared").unionByName(back.select("block", "found", F.lit(None).cast("binary").alias("shared"))).repartition(count, "block")
+        """Equal runs are one string with the least document of all; a tree over the strings of each mark that has several."""
+        number: dict[bytes, int] = {}
+        of, which = number.setdefault, []
+        columns = [[np.frombuffer(x, kind) for x in t[n].to_pylist()] for n, kind in (("size", np.uint16), ("mark", np.uint32), ("low", np.int64))]
+        row = np.repeat(np.arange(t.num_rows), [len(x) for x in columns[0]])
+        size, mark, low = map(np.concatenate, columns)
+        inside = np.concatenate([np.arange(len(x)) for x in columns[0]]).astype(np.uint32)
+        for text, sizes in zip(t["text"].to_pylist(), columns[0], strict=True):
+            ends = np.cumsum(sizes & 32767).tolist()
+            which += [of(text[x:y], len(number)) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        strings, which = list(number), np.array(which, np.int64)
+        docs = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(docs, which, low)
+        of_mark = np.zeros(len(strings), np.uint32)
+        of_mark[which] = mark
+        order = np.argsort(of_mark, kind="stable")
+        group = np.concatenate([[0], np.cumsum(np.diff(of_mark[order]) != 0)])
+        several = (np.bincount(group) > 1)[group]
+        order, group = order[several], group[several]
+        per = np.array([len(s) for s in strings], np.int64) - window + 1
+        begins = np.concatenate([[0], np.cumsum(per)])
+        flat = np.repeat(docs, per)
+        weight = np.cumsum(per[order] + window) >> 18
+        steps = np.flatnonzero(np.diff(group) != 0) + 1  # a tree holds whole groups, of about a quarter of a MB
+        steps = steps[np.concatenate([[True], np.diff(weight[steps - 1]) > 0])] if len(steps) else steps
+        for part in np.split(order, steps):
+            if len(part):
+                got = least_documents([strings[i] for i in part.tolist()], docs[part], window)
+                _, place = _expand(begins[part], per[part])
+                flat[place] = np.concatenate(got)
+        # Stretches of one least document, then those of each place that a smaller document has.
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[begins[:-1]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(flat))
+        first = np.searchsorted(start, begins)
+        place, stretch = _expand(first[which], (first[1:] - first[:-1])[which])
+        less = (flat[start[stretch]] < low[place]) | ((flat[start[stretch]] == low[place]) & (size[place] > 32767))
+        place, stretch = place[less], stretch[less]
+        base = begins[which[place]]
+        fields = (inside[place], (start[stretch] - base).astype(np.uint8), (end[stretch] - base).astype(np.uint8), flat[start[stretch]])
+        cuts = np.searchsorted(row[place], np.arange(t.num_rows + 1)).tolist()
+        rows = [(k, [f[x:y].tobytes() for f in fields]) for k, x, y in zip(t["block"].to_pylist(), cuts[:-1], cuts[1:], strict=True) if y > x]
+        bucket = t["bucket"][0].as_py()
+        out = {"block": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32())}
+        return pa.table(out | {n: pa.array([r[1][i] for r in rows], pa.binary()) for i, n in enumerate(("k", "a", "z", "low"))})
+
+    back = sent.groupBy("bucket").applyInArrow(trees, "block int, bucket int, k binary, a binary, z binary, low binary")
+    names = ("k", "a", "z", "low", "shared")
+    none = lambda df: df.select("block", "bucket", *[F.col(n) if n in df.columns else F.lit(None).cast("binary").alias(n) for n in names])
+    back = none(found).unionByName(none(back)).repartition(count, "block")
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
-        cover: dict[int, list[tuple[int, int]]] = {}
-        if right.num_rows:
-            have = right.filter(right["shared"].is_valid())
-            shared = shared_of(have)
-            got = np.frombuffer(b"".join(x for x in right["found"].to_pylist() if x), np.int64).reshape(-1, 4)
-            if len(got):
-                _, row, doc, first, _, _ = parts = _block_runs(left, window)
-                _, hit, which, *_ = _distinct_runs(*parts, shared, window)
-                order = np.argsort(which, kind="stable")
-                ends = np.searchsorted(which[order], np.arange(int(which.max(initial=-1)) + 2))
-                for k, a, b, low in got.tolist():
-                    for h in hit[order[ends[k] : ends[k + 1]]].tolist():
-                        if low < doc[h]:
-                            cover.setdefault(int(row[h]), []).append((int(first[h]) + a, int(first[h]) + b + window - 1))
-        return finish(left, cover)
+        """Stretches of each document, merged."""
+        spans = np.empty((0, 3), np.int64)
+        asked = right.filter(right["shared"].is_valid())
+        got = right.filter(right["k"].is_valid())
+        if left.num_rows and got.num_rows:
+            b = _Block(left, window, count)
+            _, hit, which, _, _, key = b.distinct(shared_of(asked))
+            cuts = b.cuts(key)
+            read = lambda n, kind: np.concatenate([np.frombuffer(x, kind) for x in got[n].to_pylist()])
+            many = [len(x) // 4 for x in got["k"].to_pylist()]
+            k = read("k", np.uint32).astype(np.int64) + np.repeat(cuts[np.array(got["bucket"])], many)
+            x, y, low = read("a", np.uint8).astype(np.int64), read("z", np.uint8).astype(np.int64), read("low", np.int64)
+            order = np.argsort(which, kind="stable")
+            places = np.searchsorted(which[order], np.arange(len(key) + 1))
+            answer, at = _expand(places[k], places[k + 1] - places[k])
+            h = hit[order[at]]
+            later = low[answer] < b.doc[h]
+            h, answer = h[later], answer[later]
+            start = b.first[h] - b.begin[h]
+            spans = merged(b.row[h], start + x[answer], start + y[answer] + window - 1)
+            return finish(b.ids, b.raws, spans)
+        return finish(*_documents(left), spans)
 
     return src.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(end, schema)
 
@@ -335,14 +414,23 @@ def _split(values: np.ndarray, who: np.ndarray, n: int) -> list[bytes]:
     return [values[ends[k] : ends[k + 1]].tobytes() for k in range(n)]
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = out[-1][0], b
-        else:
-            out.append((a, b))
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``[row, start, end]`` of the stretches of each row, those that touch made one, by row and start."""
+    if not len(row):
+        return np.empty((0, 3), np.int64)
+    order = np.lexsort([start, row])
+    row, start, end = row[order], start[order], end[order]
+    shift = row * (int(end.max()) + 2)  # rows do not touch
+    reach = np.maximum.accumulate(shift + end)
+    new = np.flatnonzero(np.concatenate([[True], shift[1:] + start[1:] > reach[:-1]]))
+    last = np.append(new[1:], len(row)) - 1
+    return np.stack([row[new], start[new], reach[last] - shift[last]], 1)
+
+
+def _by_row(spans: np.ndarray, rows: int) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    for r, a, b in spans.tolist():
+        out[r].append((a, b))
     return out
 
 
@@ -350,9 +438,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, blocks: int | None = No
     """``doc_id, spans array<struct<start,end>>``: the byte stretches to remove from every row."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def finish(t: pa.Table, cover: dict) -> pa.Table:
-        ids, _ = _documents(t)
-        rows = [[{"start": a, "end": b} for a, b in merge(cover.get(i, []))] for i in range(t.num_rows)]
+    def finish(ids: list, raws: list[bytes], spans: np.ndarray) -> pa.Table:
+        rows = [[{"start": a, "end": b} for a, b in x] for x in _by_row(spans, len(ids))]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(rows, kind)})
 
     return _covers(docs, window, blocks, finish, "doc_id long, spans array<struct<start:long,end:long>>")
@@ -361,19 +448,17 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, blocks: int | None = No
 def removal_digest(docs: DataFrame, window: int = WINDOW, blocks: int | None = None) -> DataFrame:
     """The contract's columns of every document."""
 
-    def finish(t: pa.Table, cover: dict) -> pa.Table:
-        ids, raws = _documents(t)
+    def finish(ids: list, raws: list[bytes], found: np.ndarray) -> pa.Table:
         rows = []
-        for i, raw in enumerate(raws):
-            spans = merge(cover.get(i, []))
+        for raw, spans in zip(raws, _by_row(found, len(ids)), strict=True):
             kept, at = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(raw[at:a])
                 at = b
             kept.update(raw[at:])
             rows.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-        n, removed, spans, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+        n, removed, many, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(many, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     return _covers(docs, window, blocks, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -385,7 +470,6 @@ def maximal_repeats(texts: list[tuple[int, bytes]], least: int = WINDOW) -> list
     """
     tree = Intervals([raw for _, raw in texts], least)
     out = []
-    for size, first, last in tree.scan(least):
-        if tree.left_diverse(first, last):
-            out.append((size, sorted((texts[s][0], o) for s, o in zip(tree.string[first : last + 1].tolist(), tree.offset[first : last + 1].tolist(), strict=True))))
+    for size, first, last in zip(*(x.tolist() for x in tree.maximal(least)), strict=True):
+        out.append((size, sorted((texts[s][0], o) for s, o in zip(tree.string[first : last + 1].tolist(), tree.offset[first : last + 1].tolist(), strict=True))))
     return sorted(out, key=lambda x: (-x[0], x[1]))

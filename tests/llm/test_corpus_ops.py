@@ -108,8 +108,8 @@ def test_runs_have_the_same_numbers_in_any_order_of_rows():
     found = []
     for order in (rows, rows[::-1]):
         t = pa.table({"block": pa.array([0] * len(rows), pa.int32()), "doc_id": pa.array([x[0] for x in order], pa.int64()), "raw": pa.array([x[1] for x in order], pa.binary())})
-        parts = substring_dedup._block_runs(t, 50)
-        found.append(substring_dedup._distinct_runs(*parts, np.unique(parts[-1]), 50)[0])
+        b = substring_dedup._Block(t, 50, 3)
+        found.append(b.distinct(np.unique(b.key))[0])
     assert found[0] == found[1] and len(found[0]) > 6
 
 
@@ -122,6 +122,19 @@ def test_substring_edges(spark):
     assert got == [("1", 0), ("1", 0), ("2", 0), ("None", 0)]
 
 
+def test_runs_of_joined_strings_hold_every_window_once():
+    r = random.Random(6)
+    for _ in range(30):
+        strings = [bytes(r.choice(b"abc") for _ in range(r.choice([0, 1, 49, 50, 51, 90, 300, 40000]))) for _ in range(r.randint(0, 6))]
+        sizes = np.array([len(x) for x in strings], np.int64)
+        text, begins = b"".join(strings), np.concatenate([[0], np.cumsum(sizes)])
+        which, first, last, anchor = substring_dedup.runs(text, sizes, 50)
+        got = [(w, i - begins[w]) for w, a, b in zip(which.tolist(), first.tolist(), last.tolist()) for i in range(a, b)]
+        assert got == [(w, i) for w, x in enumerate(strings) for i in range(len(x) - 49)]
+        for a, b, k in list(zip(first.tolist(), last.tolist(), anchor.tolist()))[:50]:
+            assert {int(x) for x in substring_dedup.window_anchors(text[a : b + 49])} == {k} and b - a <= substring_dedup.LONGEST
+
+
 def test_maximal_repeats():
     texts = [(0, b"xxabcdefyy"), (1, b"zzabcdefww"), (2, b"qabcdq")]
     got = substring_dedup.maximal_repeats(texts, 3)
