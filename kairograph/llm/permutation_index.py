@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by the order of its ``PREFIX`` nearest pivots out of
-``PIVOTS`` and posted, with the place of the pivot in that order, in the inverted
-file of each.  A query walks the files of its own nearest pivots and gathers
+Every vector is represented by the order of its ``PREFIX`` nearest pivots and
+posted, with the place of the pivot in that order, in the inverted file of each.  A
+query walks the files of its own ``PROBE`` nearest pivots and gathers
 ``PREFIX - max(place, place)`` for each vector met, which is what lowers the
-footrule distance of two truncated orders; the ``SHARE`` nearest by footrule
-distance are then scored exactly.
+footrule distance of two truncated orders; the nearest by footrule distance are
+then scored exactly.
+
+For n vectors there are about ``4 sqrt(n)`` pivots (at most ``PIVOTS``) and
+``RERANK sqrt(n)`` vectors are scored for a query, so that both the postings it
+meets and its exact scores grow with the root of n.  The same formulas hold at
+every size; under ``RERANK ** 2`` vectors they score all.  ``rerank`` (a number of
+vectors) buys recall with time: n makes the answer exact.
 
 Largest inner product becomes nearest point by one more coordinate, the root of
 the largest squared norm less the vector's own (nought for a query).
@@ -16,21 +22,23 @@ each pair of a block and a shard is one task of bounded size.  Equal vectors are
 one entry with as many of the smallest ids as an answer can need, so a vector
 that very many rows share neither fills a shard nor crowds out others.
 
-Pivots are the only thing fitted on a sample: ``PIVOTS`` vectors, chosen by a
-hash of the id.  Vectors that are null, zero, of another length than most, or
+Pivots are the only thing fitted on a sample: the vectors with the smallest
+hashes of their ids.  Vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, as do null ids.  Repeated rows
 of one id and vector count once; ties in score go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.2, 512
-SHARD, BLOCK = 8192, 1024
+PIVOTS, PREFIX, PROBE, RERANK = 4096, 48, 32, 32
+SHARD, BLOCK = 32768, 1024
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -42,8 +50,15 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _orders(points: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each point, nearest first, ties to the smaller pivot."""
-    d = (pivots.astype(np.float32) ** 2).sum(1) - 2 * points.astype(np.float32) @ pivots.astype(np.float32).T
-    return np.argsort(d, axis=1, kind="stable")[:, :prefix].astype(np.int16)
+    pivots, out = pivots.astype(np.float32), []
+    for some in np.array_split(points.astype(np.float32), max(1, len(points) // 512)):
+        d = (pivots**2).sum(1) - 2 * some @ pivots.T
+        if prefix < d.shape[1]:
+            near = np.sort(np.argpartition(d, prefix, axis=1)[:, :prefix], axis=1)
+        else:
+            near = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        out.append(np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out).astype(np.int16)
 
 
 def _lift(x: np.ndarray, largest: float) -> np.ndarray:
@@ -63,11 +78,11 @@ class Shard:
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Footrule distance of one query's order to every vector; pivots beyond the prefix stand at its end."""
-        shared = np.zeros(self.n, np.int32)
-        for place, pivot in enumerate(order.tolist()):
-            a, b = self.begins[pivot], self.begins[pivot + 1]
-            shared[self.vector[a:b]] += self.prefix - np.maximum(self.place[a:b], place)
-        return self.prefix * (self.prefix + 1) - 2 * shared
+        lists = [slice(self.begins[p], self.begins[p + 1]) for p in order.tolist()]
+        vector = np.concatenate([self.vector[x] for x in lists])
+        place = np.repeat(np.arange(len(lists), dtype=np.int16), [x.stop - x.start for x in lists])
+        gained = self.prefix - np.maximum(np.concatenate([self.place[x] for x in lists]), place)
+        return self.prefix * (self.prefix + 1) - 2 * np.bincount(vector, gained, self.n).astype(np.int64)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
@@ -76,7 +91,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
-def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each query."""
     spark = vectors.sparkSession
     src = _usable(vectors, id_col, vector_col)
@@ -87,8 +102,9 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
         return spark.createDataFrame([], schema)
     dim, n, largest, asked = found[0]["d"], found[0]["n"], found[0]["m"], found[0]["q"]
     src = src.filter(F.size("v") == dim).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    sample = src.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
-    pivots = spark.sparkContext.broadcast(_lift(np.array([r["v"] for r in sample]), largest))  # PIVOTS vectors
+    sample = src.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, math.ceil(4 * math.sqrt(n))))).collect()
+    share = min(1.0, (rerank or RERANK * math.sqrt(n)) / n)
+    pivots = spark.sparkContext.broadcast(_lift(np.array([r["v"] for r in sample]), largest))  # PIVOTS vectors at most
     count, prefix = len(sample), min(PREFIX, len(sample))
     shards, blocks = -(-n // SHARD), max(1, -(-asked // BLOCK))
 
@@ -123,10 +139,10 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
             order = np.argsort(np.array([i[0] for i in ids]), kind="stable")  # ties in footrule go to small ids
             x, ids = x[order], [ids[i] for i in order]
             shard = Shard(_matrix(held["o"], "<i2")[order], count)
-            take = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
+            take = min(len(ids), max(k + 1, math.ceil(share * len(ids))))
             tie = np.arange(len(ids))
             for own, q, o in zip(asks["ids"].to_pylist(), _matrix(asks["x"], "<f8"), _matrix(asks["o"], "<i2"), strict=True):
-                near = np.argpartition(shard.footrule(o).astype(np.int64) * len(ids) + tie, take - 1)[:take]
+                near = np.argpartition(shard.footrule(o[:PROBE]) * len(ids) + tie, take - 1)[:take]
                 score = (x[near] * q).sum(1)
                 keep = min(len(near), k + 1)
                 least = np.partition(score, len(score) - keep)[len(score) - keep]

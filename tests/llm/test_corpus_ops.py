@@ -186,6 +186,33 @@ def test_neighbour_recall(spark):
     assert hits / len(got) >= 0.9
 
 
+def test_neighbour_recall_of_random_vectors(spark, tmp_path):
+    """51,282 random directions, the hardest case, against a scan of everything."""
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(51_282, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64())), "rank": ["x"] * len(x)}), tmp_path / "e.parquet")
+    d = spark.read.parquet(str(tmp_path / "e.parquet"))
+    got = permutation_index.neighbours(d).select("query_id", "vec_id").toPandas()
+    assert len(got) == 20 * 2565
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -np.inf
+    true = np.argpartition(-s, 20, axis=1)[:, :20]
+    found = got.groupby("query_id")["vec_id"].agg(set)
+    assert sum(len(set(t.tolist()) & found[20 * i]) for i, t in enumerate(true)) / len(got) >= 0.9
+
+
+def test_neighbours_of_repeated_rows(spark):
+    r = np.random.default_rng(2)
+    v = [[float(a) for a in r.normal(size=4)] for _ in range(60)]
+    rows = [(i % 40, v[i % 40], "x", 5) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int")
+    got = permutation_index.neighbours(d, k=3).collect()
+    assert len(got) == 6 and len({(x["query_id"], x["vec_id"]) for x in got}) == 6 and got[0].asDict().keys() == {"query_id", "rank", "vec_id", "score"}
+
+
 def test_deobfuscation():
     texts = ["what an idiot and a stupid clown", "you are an idiot", "the stupid thing", "a clown is here"] * 50
     c = np.concatenate([toxicity.codes(t) for t in texts])
