@@ -7,8 +7,10 @@ from rare to frequent over the corpus, two such sets share one of their first
 ``COORDINATES - MATCHES + 1`` pairs, so only those are posted, and a pair nobody
 shares is not posted at all.  Lists are merged into families: the lists of one
 group of copies have one hub, so their members meet once.  Candidates are
-confirmed on the full sets.  Skip: pairs that a task has joined already are passed
-over, so a group gives about as many links as it has members, never all its pairs.
+confirmed on the full sets.  A task counts collisions through its own lists: the
+rarest ones are merged, the rest are skipped but for partners found so.  Pairs that
+a task has joined already are passed over, so a group gives about as many links as
+it has members, never all its pairs.
 
 At a similarity of 0.85, 64 coordinates agree in 54.4 places on average with a
 deviation of 2.9; the bar of ``MATCHES`` lies more than five deviations below.
@@ -31,6 +33,8 @@ from kairograph.llm.common import binary, id_text, map_arrow, materialize
 
 COORDINATES = 64
 BLOCK = 256
+#: Tasks that share the rows of one hot group in joins.
+SALTS = 64
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -110,6 +114,14 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, sig binary")
 
 
+def _with_least(pairs: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """The least ``value`` of every ``group`` beside each row; a hot group is dealt to ``SALTS`` tasks."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    slices = salted.groupBy(group, "salt").agg(F.min(value).alias(out))
+    least = slices.groupBy(group).agg(F.min(out).alias(out))
+    return salted.join(slices.select(group, "salt").join(least, group), [group, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``id, c``: the smallest id reachable, for every id in ``edges(a, b)``.
 
@@ -120,10 +132,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        large = _with_least(both, "u", "v", "m").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, "u", "v", "m").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         now = materialize(small, name)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == tuple(sums):
@@ -152,73 +162,101 @@ def _families(classes: DataFrame, bar: int) -> DataFrame:
 def _links(families: DataFrame, sets: DataFrame, bar: int, threshold: float) -> DataFrame:
     """``a, b``: links within families, as many as it takes to hold each together.
 
-    A family is cut into blocks of about ``BLOCK`` members and each pair of blocks is
-    a task of bounded size.  There the signatures are compared, pairs that agree often
-    enough are confirmed on full sets, and a link is given only where it joins what
-    the task has not joined yet.
+    A family is cut into slices of about ``BLOCK`` members, the hub being in all of
+    them.  A task links the members of its slice; slices hang together by the hub, so
+    only members that their slice has not joined to it, few in a group of near
+    copies, meet the other slices in a second pass.
     """
     percent = round(threshold * 100)
+    kind = sets.schema["id"].dataType.simpleString()
     sizes = families.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = families.join(sizes, "hub").withColumn("blk", F.pmod(F.hash("key"), F.col("blocks")))
-    task = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j")))
-    rows = rows.withColumn("t", F.explode(task)).select("hub", "key", "blk", "t.i", "t.j")
-    rows = rows.join(sets, "key").select("hub", "i", "j", "blk", "id", "sig", "set")
-    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
+    rows = families.join(sizes, "hub").select("hub", "key", "blocks", F.pmod(F.hash("key"), F.col("blocks")).alias("blk"))
+    hubs = sizes.select("hub", F.col("hub").alias("key"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    first = rows.filter("key <> hub").unionByName(hubs).join(sets, "key").select("hub", F.lit(0).alias("part"), F.col("blk").alias("slice"), F.lit(False).alias("left"), F.lit(False).alias("joined"), F.col("blocks").alias("of"), "key", "id", "sig", "set")
+    found = materialize(_tasks(first, bar, percent, kind), "slices")
+    links = found.filter("a is not null").select("a", "b")
+    # The second pass: what is left over, in parts of about BLOCK, against every other slice.
+    rest = found.filter("hub is not null").select("hub", "key")
+    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    wide = rows.filter("blocks > 1").join(parts, "hub").join(rest.withColumn("alone", F.lit(True)), ["hub", "key"], "left")
+    right = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "key", "part", F.col("blk").alias("slice"), F.lit(False).alias("left"), F.col("alone").isNull().alias("joined"), "blocks")
+    left = wide.filter("alone").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("slice <> blk").select("hub", "key", "part", "slice", F.lit(True).alias("left"), F.lit(False).alias("joined"), "blocks")
+    second = right.unionByName(left).join(sets, "key").select("hub", F.col("part") + 1, "slice", "left", "joined", F.col("blocks").alias("of"), "key", "id", "sig", "set")
+    return links.unionByName(_tasks(second, bar, percent, kind).filter("a is not null").select("a", "b"))
+
+
+def _tasks(rows: DataFrame, bar: int, percent: int, kind: str) -> DataFrame:
+    """``a, b`` of links, and ``hub, key`` of members that a slice of a first pass leaves apart from the hub."""
+    rows = rows.toDF("hub", "part", "slice", "left", "joined", "of", "key", "id", "sig", "set")
+    rows = rows.repartition("hub", "part", "slice").sortWithinPartitions("hub", "part", "slice", "id")
 
     def run(batches):
         now, held, id_type = None, [], None
         for batch in batches:
-            id_type = batch.schema.field(4).type
-            cols = [batch.column(k).to_pylist() for k in range(7)]
+            id_type = batch.schema.field(7).type
             out: list[tuple] = []
-            for hub, i, j, *rest in zip(*cols, strict=True):
-                if (hub, i, j) != now:
+            for hub, part, of, *rest in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, *range(3, 10))), strict=True):
+                if (hub, part, of) != now:
                     out += _compare(now, held, bar, percent)
-                    now, held = (hub, i, j), []
+                    now, held = (hub, part, of), []
                 held.append(rest)
-            yield _pairs(out, id_type)
+            yield _found(out, id_type)
         if held:
-            yield _pairs(_compare(now, held, bar, percent), id_type)
+            yield _found(_compare(now, held, bar, percent), id_type)
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, hub binary, key binary")
 
 
-def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], kind), pa.array([p[1] for p in found], kind)], ["a", "b"])
+def _found(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, kind, pa.binary(), pa.binary()))], ["a", "b", "hub", "key"])
 
 
 def _compare(task: tuple | None, rows: list[list], bar: int, percent: int) -> list[tuple]:
-    """Links of one pair of blocks: ``rows`` hold block, id, signature and set."""
+    """Links of one task: ``rows`` hold left, joined, blocks, key, id, signature and set.
+
+    Collisions are counted through the task's own lists of coordinate-value pairs: a
+    partner of a member is in one of its rarest ``COORDINATES - bar + 1`` lists, which
+    are merged; the other lists are skipped but for the partners so found.
+    """
     if task is None or len(rows) < 2:
         return []
-    _, i, j = task
-    blk = np.array([r[0] for r in rows])
-    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-    if not len(left) or not len(right):
-        return []
-    sig = np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), -1)
-    sizes = np.array([len(r[3]) // 8 for r in rows])
-    universe, flat = np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.uint64), return_inverse=True)
+    hub, part, _ = task
+    left = np.array([r[0] for r in rows])
+    joined = np.array([r[1] for r in rows])
+    lead = np.flatnonzero(left) if part else np.arange(len(rows))
+    sig = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(len(rows), -1)
+    pairs = sig.astype(np.uint64) | (np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32))
+    _, pair, times = np.unique(pairs, return_inverse=True, return_counts=True)
+    pair = pair.reshape(sig.shape)
+    members = np.argsort(pair.ravel(), kind="stable") // sig.shape[1]
+    begins = np.concatenate([[0], np.cumsum(times)])
+    sizes = np.array([len(r[6]) // 8 for r in rows])
+    universe, flat = np.unique(np.frombuffer(b"".join(r[6] for r in rows), np.uint64), return_inverse=True)
     ends = np.cumsum(sizes)
-    parts = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    mine = np.concatenate([parts[y] for y in right.tolist()])
-    begins = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+    sets = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     root = np.arange(len(rows))
-    mark, out = np.zeros(len(universe), np.int32), []
-    for x in left.tolist():
-        ok = (sig[right] == sig[x]).sum(1) >= bar
-        ok &= (root[right] != root[x]) & ((right > x) if i == j else True)
-        if not ok.any():
+    if joined.any():
+        root[joined] = np.flatnonzero(joined)[0]
+    mark, out = np.zeros(len(universe), bool), []
+    for x in lead.tolist():
+        mine = pair[x]
+        rare = mine[np.argsort(times[mine], kind="stable")[: sig.shape[1] - bar + 1]].tolist()
+        near = np.unique(np.concatenate([members[begins[p] : begins[p + 1]] for p in rare]))
+        near = near[(root[near] != root[x]) & (~left[near] if part else near > x)]
+        near = near[(sig[near] == sig[x]).sum(1) >= bar]
+        if not len(near):
             continue
-        mark[parts[x]] = 1
-        both = np.add.reduceat(mark[mine], begins)
-        mark[parts[x]] = 0
-        ok &= 100 * both >= percent * (sizes[x] + sizes[right] - both)
-        for y in right[ok].tolist():
+        mark[sets[x]] = True
+        for y in near.tolist():
             if root[x] != root[y]:
-                root[root == root[y]] = root[x]
-                out.append((rows[x][1], rows[y][1]))
+                both = int(np.count_nonzero(mark[sets[y]]))
+                if 100 * both >= percent * int(sizes[x] + sizes[y] - both):
+                    root[root == root[y]] = root[x]
+                    out.append((rows[x][4], rows[y][4], None, None))
+        mark[sets[x]] = False
+    if not part and rows[0][2] > 1:
+        home = next(i for i, r in enumerate(rows) if r[3] == hub)
+        out += [(None, None, hub, r[3]) for i, r in enumerate(rows) if root[i] != root[home]]
     return out
 
 
@@ -232,16 +270,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     # One representative for each set: copies are linked to the smallest id and go no further.
     classes = real.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
-    copies = real.join(classes.select("key", "id"), "key").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     families = materialize(_families(classes, bar), "families")
     # Full sets of the members only; any row of a class will do.
     members = classes.join(families.select("key").distinct(), "key", "left_semi")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = _sets(src.join(wanted, "doc_id", "left_semi"), size).join(members.select("key", "id", "sig"), "key").dropDuplicates(["key"])
     links = _links(families, materialize(sets, "sets"), bar, threshold)
-    whole = components(links.unionByName(copies), "whole")
-    out = signed.join(whole.select(F.col("id").alias("doc_id"), "c"), "doc_id", "left")
+    # Rows of equal sets hang together, and so do those of one id that has several sets.
+    several = real.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).filter("k1 <> k2").select("doc_id")
+    same = real.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    whole = components(links.unionByName(same), "whole")
+    found = classes.select("key", "id").join(whole, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
+    salted = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    slices = salted.filter("key is not null").select("key", "salt").distinct().join(found, "key")
     component = F.coalesce("c", "doc_id").cast(kind)
+    out = salted.join(slices, ["key", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

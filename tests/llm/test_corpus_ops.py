@@ -73,6 +73,26 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.keep_one(d).columns == d.columns and near_dedup.keep_one(d).count() == 4
 
 
+def test_a_large_family_meets_its_hub_and_not_itself(spark):
+    """20,000 near copies: the rows that tasks get grow with the family, not with its square."""
+    base = [f"b{i}" for i in range(400)]
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(base) + " u"), F.col("id").cast("string")).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+    plain = near_dedup._compare
+
+    def counted(task, held, bar, percent):
+        seen.add(len(held))
+        return plain(task, held, bar, percent)
+
+    near_dedup._compare = counted
+    try:
+        got = near_dedup.near_duplicates(rows)
+        assert got.filter("kept").count() == 1 and got.agg(F.max("component_id")).first()[0] == 0
+    finally:
+        near_dedup._compare = plain
+    assert 0 < seen.value < 1_000_000
+
+
 def _removed(raws):
     first = {}
     for i, raw in enumerate(raws):
