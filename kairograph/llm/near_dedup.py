@@ -114,12 +114,16 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, sig binary")
 
 
+def _beside(rows: DataFrame, group: str, spread: str, table: DataFrame) -> DataFrame:
+    """``rows`` with the one row that ``table`` has for their group; the rows of a hot group are dealt to ``SALTS`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    slices = salted.select(group, "salt").distinct().join(table, group)
+    return salted.join(slices, [group, "salt"]).drop("salt")
+
+
 def _with_least(pairs: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """The least ``value`` of every ``group`` beside each row; a hot group is dealt to ``SALTS`` tasks."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    slices = salted.groupBy(group, "salt").agg(F.min(value).alias(out))
-    least = slices.groupBy(group).agg(F.min(out).alias(out))
-    return salted.join(slices.select(group, "salt").join(least, group), [group, "salt"]).drop("salt")
+    """The least ``value`` of every ``group`` beside each row."""
+    return _beside(pairs, group, value, pairs.groupBy(group).agg(F.min(value).alias(out)))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -170,7 +174,7 @@ def _links(families: DataFrame, sets: DataFrame, bar: int, threshold: float) ->
     percent = round(threshold * 100)
     kind = sets.schema["id"].dataType.simpleString()
     sizes = families.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = families.join(sizes, "hub").select("hub", "key", "blocks", F.pmod(F.hash("key"), F.col("blocks")).alias("blk"))
+    rows = _beside(families, "hub", "key", sizes).select("hub", "key", "blocks", F.pmod(F.hash("key"), F.col("blocks")).alias("blk"))
     hubs = sizes.select("hub", F.col("hub").alias("key"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
     first = rows.filter("key <> hub").unionByName(hubs).join(sets, "key").select("hub", F.lit(0).alias("part"), F.col("blk").alias("slice"), F.lit(False).alias("left"), F.lit(False).alias("joined"), F.col("blocks").alias("of"), "key", "id", "sig", "set")
     found = materialize(_tasks(first, bar, percent, kind), "slices")
@@ -178,7 +182,7 @@ def _links(families: DataFrame, sets: DataFrame, bar: int, threshold: float) ->
     # The second pass: what is left over, in parts of about BLOCK, against every other slice.
     rest = found.filter("hub is not null").select("hub", "key")
     parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    wide = rows.filter("blocks > 1").join(parts, "hub").join(rest.withColumn("alone", F.lit(True)), ["hub", "key"], "left")
+    wide = _beside(rows.filter("blocks > 1"), "hub", "key", parts).join(rest.withColumn("alone", F.lit(True)), ["hub", "key"], "left")
     right = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "key", "part", F.col("blk").alias("slice"), F.lit(False).alias("left"), F.col("alone").isNull().alias("joined"), "blocks")
     left = wide.filter("alone").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("slice <> blk").select("hub", "key", "part", "slice", F.lit(True).alias("left"), F.lit(False).alias("joined"), "blocks")
     second = right.unionByName(left).join(sets, "key").select("hub", F.col("part") + 1, "slice", "left", "joined", F.col("blocks").alias("of"), "key", "id", "sig", "set")
