@@ -173,9 +173,26 @@ def _safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on).select(*[a[c] for c in a.columns], *[b[c] for c in b.columns if c not in keys])
 
 
-def _stream(net: Network, unit: str, sessions: str) -> tuple[DataFrame, list[str]]:
-    """One row for each event of each subject: raw starts inside observed time."""
-    s = net.spells.select(net.walls(sessions).alias("wall"), "raw_id", "from", "to", F.col("start").alias("t")).filter(_observed(net, F.col("t")))
+def clock(net: Network, t: Column) -> Column:
+    """Observed time before ``t``: time that was not watched does not pass."""
+    if net.observed is None:
+        return t
+    out, passed = F.lit(None).cast("double"), 0.0
+    steps = []
+    for a, b in net.observed:
+        steps.append((a, passed - a))
+        passed += b - a
+    for a, shift in steps:
+        out = F.when(c_leq(F.lit(a), t), F.greatest(t, F.lit(a)) + shift).otherwise(out)
+    return out
+
+
+def _stream(net: Network, unit: str, sessions: str, censored: str = "exclude") -> tuple[DataFrame, list[str]]:
+    """One row for each event of each subject: starts inside observed time, on its clock as ``u``."""
+    if censored not in ("exclude", "include"):
+        raise BadInput("censored is exclude or include")
+    s = net.spells if censored == "include" else net.spells.filter(~F.col("onset_censored"))
+    s = s.select(net.walls(sessions).alias("wall"), "raw_id", "from", "to", F.col("start").alias("t")).filter(_observed(net, F.col("t"))).withColumn("u", clock(net, F.col("t")))
     if unit == "pair":
         return s.filter(F.col("from") != F.col("to")), ["wall", "from", "to"]
     if unit == "node":
@@ -183,11 +200,11 @@ def _stream(net: Network, unit: str, sessions: str) -> tuple[DataFrame, list[str
     raise BadInput(f"unknown unit {unit!r}")
 
 
-def gaps(net: Network, unit: str = "node", sessions: str = "bounded") -> DataFrame:
-    """One row for each gap between an event and the one before, with the later event's time."""
-    s, keys = _stream(net, unit, sessions)
+def gaps(net: Network, unit: str = "node", sessions: str = "bounded", censored: str = "exclude") -> DataFrame:
+    """One row for each gap of observed time between an event and the one before, with the later event's time."""
+    s, keys = _stream(net, unit, sessions, censored)
     w = Window.partitionBy(*keys).orderBy("t", "raw_id")
-    rows = s.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("index", F.row_number().over(w) - 1)
+    rows = s.withColumn("gap", F.col("u") - F.lag("u").over(w)).withColumn("index", F.row_number().over(w) - 1)
     return rows.filter("gap is not null").select(F.col("wall").alias("session"), *keys[1:], F.col("t").alias("time"), "index", "gap")
 
 
@@ -195,12 +212,13 @@ def burstiness(net: Network, unit: str = "node", sessions: str = "bounded") -> D
     """``events, mean_gap, burstiness, memory`` of every subject.
 
     Burstiness needs two gaps that are not all nought, memory two pairs of
-    neighbouring gaps that vary.  Gaps never reach over sessions when bounded.
+    neighbouring gaps that vary.  Gaps never reach over sessions when bounded; they
+    are lengths of observed time, and starts that are censored are no events.
     """
     s, keys = _stream(net, unit, sessions)
     who = keys[1:]
     w = Window.partitionBy(*keys).orderBy("t", "raw_id")
-    g = s.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("before", F.lag("gap").over(w))
+    g = s.withColumn("gap", F.col("u") - F.lag("u").over(w)).withColumn("before", F.lag("gap").over(w))
     x, y = F.col("before"), F.col("gap")
     both = x.isNotNull() & y.isNotNull()
     sums = g.groupBy(*who).agg(

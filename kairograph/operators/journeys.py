@@ -84,14 +84,17 @@ class Search:
         back(best.hops, v, best.time, [])
         return sorted(out)
 
-    def through(self, criterion: str = "foremost_then_shortest") -> tuple[dict[str, float], dict[Atom, float]]:
-        """Shares of best ways that run through each vertex, and that use each atom, summed over targets."""
+    def through(self, criterion: str = "foremost_then_shortest", targets: dict[str, float] | None = None) -> tuple[dict[str, float], dict[Atom, float]]:
+        """Shares of best ways that run through each vertex, and that use each atom, summed over targets.
+
+        ``targets`` gives the targets that count and how many best ways each has in all.
+        """
         node: dict[str, float] = defaultdict(float)
         edge: dict[Atom, float] = defaultdict(float)
         ends: dict[tuple[int, str, float], float] = {}
         for v in self.best:
-            if v != self.source and (b := self.label(v, criterion)):
-                ends[b.hops, v, b.time] = 1 / b.count
+            if v != self.source and (b := self.label(v, criterion)) and (targets is None or v in targets):
+                ends[b.hops, v, b.time] = 1 / (b.count if targets is None else targets[v])
         share: dict[tuple[int, str, float], float] = defaultdict(float)
         for h in range(len(self.layers) - 1, 0, -1):
             for v, t in self.layers[h]:
@@ -107,6 +110,22 @@ class Search:
         return node, edge
 
 
+def winners(found: list[Search], source: str, criterion: str = "foremost_then_shortest") -> list[dict[str, float]]:
+    """For each search, the targets whose best ways it has, and the number of best ways over all searches."""
+    best: dict[str, tuple[tuple, float, list[int]]] = {}
+    for i, f in enumerate(found):
+        for v in f.best:
+            b = f.label(v, criterion)
+            if v == source or b is None:
+                continue
+            rank = (b.hops, b.time) if criterion == "min_hops" else (b.time, b.hops)
+            if v not in best or rank < best[v][0]:
+                best[v] = (rank, b.count, [i])
+            elif rank == best[v][0]:
+                best[v] = (rank, best[v][1] + b.count, [*best[v][2], i])
+    return [{v: n for v, (_, n, who) in best.items() if i in who} for i in range(len(found))]
+
+
 def shortest(atoms: dict[str, list[Atom]], source: str, at: float, upper: float = INF, cost: str = "weight") -> dict[str, tuple[float, float, int]]:
     """``vertex: (cost, arrival, hops)`` of the cheapest ways, earliest of equals."""
     done: dict[str, tuple[float, float, int]] = {}

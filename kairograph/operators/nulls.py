@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kairograph.errors import BadInput
 from kairograph.functions.islands import islands
 from kairograph.plans.network import Network, build
+from kairograph.plans.storage import keep
 
 MODELS = ("times", "timeline", "labels", "targets", "edges", "reversal")
 
@@ -102,7 +103,7 @@ def significance(net: Network, statistic: Callable[[Network], DataFrame], keys:
     a surrogate without a cell is missing there, not nought.  The statistic is run
     once on each surrogate network.
     """
-    spells = randomise(net, model, n, seed, within)
+    spells = keep(randomise(net, model, n, seed, within), "surrogates", "replicate")
     parts = None
     for r in range(1, n + 1):
         one = statistic(net.with_(spells=spells.filter(F.col("replicate") == r).drop("replicate"))).select(*keys, F.col(value).cast("double").alias("null"))
@@ -115,21 +116,35 @@ def summarise_null(seen: DataFrame, null: DataFrame, keys: list[str], alternativ
     """Summary of surrogate values for each observed cell, with corrected p-values."""
     if alternative not in ("two.sided", "greater", "less"):
         raise BadInput("alternative is two.sided, greater or less")
-    both = seen.join(null, keys, "left")
+    mean = null.groupBy(*keys).agg(F.avg("null").alias("null_mean"))
+    both = seen.join(mean, keys, "left").join(null, keys, "left")
     near = F.lit(2.0**-26) * F.greatest(F.lit(1.0), F.abs("observed"))
     up, down = F.col("null") >= F.col("observed") - near, F.col("null") <= F.col("observed") + near
-    g = both.groupBy(*keys, "observed").agg(
-        F.avg("null").alias("null_mean"), F.stddev_samp("null").alias("null_sd"), F.percentile("null", F.lit(0.025)).alias("null_low"), F.percentile("null", F.lit(0.975)).alias("null_high"),
-        F.count("null").alias("n_null"), F.count(F.when(up, 1)).alias("up"), F.count(F.when(down, 1)).alias("down"), F.count(F.when(up & down, 1)).alias("n_ties"),
+    far = F.abs(F.col("null") - F.col("null_mean")) >= F.abs(F.col("observed") - F.col("null_mean")) - near
+    extreme = {"greater": up, "less": down, "two.sided": far}[alternative]
+    g = both.groupBy(*keys, "observed", "null_mean").agg(
+        F.stddev_samp("null").alias("null_sd"), F.percentile("null", F.lit(0.025)).alias("null_low"), F.percentile("null", F.lit(0.975)).alias("null_high"),
+        F.count("null").alias("n_null"), F.count(F.when(extreme, 1)).alias("hits"), F.count(F.when(up & down, 1)).alias("n_ties"),
     )
-    p = lambda c: (1 + F.col(c)) / (1 + F.col("n_null"))
-    value = {"greater": p("up"), "less": p("down"), "two.sided": F.least(F.lit(1.0), 2 * F.least(p("up"), p("down")))}[alternative]
-    g = g.withColumn("p", value).withColumn("z", F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.when(F.col("null_sd") > 0, F.col("null_sd")).otherwise(1.0)))
+    g = g.withColumn("p", (1 + F.col("hits")) / (1 + F.col("n_null"))).withColumn("z", F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.when(F.col("null_sd") > 0, F.col("null_sd")).otherwise(1.0)))
     g = g.withColumn("mcse", F.sqrt(F.col("p") * (1 - F.col("p")) / (F.col("n_null") + 1)))
-    w = Window.orderBy("p")  # cells of one statistic: as many as it has results
-    total = g.count()
-    g = g.withColumn("_q", F.col("p") * total / F.cume_dist().over(w) / total)
-    return g.withColumn("p_adj", F.least(F.lit(1.0), F.min("_q").over(Window.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)))).drop("_q", "up", "down")
+    # Cells share few p-values, at most one for each number of hits: those are ordered, not the cells.
+    at = g.groupBy("p").agg(F.count("*").alias("_c"))
+    w = Window.orderBy("p")
+    at = at.withColumns({"_below": F.sum("_c").over(w), "_total": F.sum("_c").over(Window.partitionBy())})
+    at = at.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col("p") * F.col("_total") / F.col("_below")).over(Window.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)))).select("p", "p_adj")
+    return g.join(F.broadcast(at), "p").select(*keys, "observed", "null_mean", "null_sd", "null_low", "null_high", "n_null", "n_ties", "p", "z", "mcse", "p_adj")
+
+
+def null_summary(statistics: DataFrame, value: str = "value") -> DataFrame:
+    """``replicate, n, mean, sd, min, max`` of a statistic's values on each surrogate."""
+    v = F.col(value)
+    return statistics.groupBy("replicate").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
+def significance_summary(cells: DataFrame, level: float = 0.05) -> DataFrame:
+    """``cells, significant, significant_adjusted, smallest_p``: a table of cells in one row."""
+    return cells.agg(F.count("*").alias("cells"), F.count(F.when(F.col("p") <= level, 1)).alias("significant"), F.count(F.when(F.col("p_adj") <= level, 1)).alias("significant_adjusted"), F.min("p").alias("smallest_p"))
 
 
 def random_network(spark: SparkSession, n: int, slices: int, p: float = 0.1, birth: float | None = None, persist: float | None = None, directed: bool = True, groups: int | None = None, p_between: float | None = None, seed: int = 1) -> Network:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kairograph.errors import BadInput, BudgetExceeded, UnknownMeasure
 from kairograph.functions.islands import islands
+from kairograph.functions.timeops import EPS, c_leq
 from kairograph.operators import journeys as J
 from kairograph.plans.network import Network
 from kairograph.plans.storage import keep
@@ -58,6 +59,16 @@ def paths(net: Network, sources: list[str] | None = None, criterion: str = "fore
     if criterion == "latest_departure" and deadline is None:
         deadline = net.span()[1]
 
+    if criterion == "latest_departure":  # one search backwards for each target
+        back = backward_paths(net, None, deadline, t0, traversal, sessions).withColumnRenamed("node", "source")
+        if sources is not None:
+            back = back.filter(F.col("source").isin(list(sources)))
+        itself = F.col("source") == F.col("target")
+        leaves = F.when(itself, F.lit(t0)).otherwise(F.col("departure"))
+        arrives = F.when(itself, F.lit(t0)).otherwise(F.lit(deadline))
+        n_paths = F.when(itself, F.lit(1.0))
+        return back.select("source", F.col("target").alias("node"), leaves.alias("departure"), arrives.alias("arrival"), (arrives - leaves).alias("latency"), "hops", n_paths.alias("n_paths"), F.when(itself, F.lit(0.0)).otherwise(-F.col("departure")).alias("cost"))
+
     def fn(source: str, walls: list) -> Iterator[tuple]:
         best: dict[str, tuple] = {source: ((0.0, 0), (source, source, t0, t0, 0.0, 0, 1, 0.0))}
 
@@ -85,10 +96,7 @@ def paths(net: Network, sources: list[str] | None = None, criterion: str = "fore
                 for v, (d, s, t, h) in J.fastest(atoms, source, t0, upper, traversal).items():
                     offer(v, (d, s), (source, v, s, t, d, h, None, d))
             else:
-                for v in {a[1] for xs in atoms.values() for a in xs} - {source}:
-                    got = J.latest(atoms, v, deadline, t0, traversal).get(source)
-                    if got:
-                        offer(v, (-got[0], got[2]), (source, v, got[0], deadline, deadline - got[0], got[2], None, -got[0]))
+                raise UnknownMeasure(criterion)
         yield from (row for _, row in best.values())
 
     return _by_source(net, sessions, sources, fn, "source string, node string, departure double, arrival double, latency double, hops long, n_paths double, cost double")
@@ -209,8 +217,9 @@ def path_centrality(net: Network, measures: list[str], criterion: str = "foremos
                 raise BadInput("ways that are only foremost can not be counted for betweenness")
 
             def fn(source: str, walls: list) -> Iterator[tuple]:
-                for _, atoms in walls:
-                    yield from ((v, x) for v, x in J.Search(atoms, source, t0, upper).through(criterion)[0].items())
+                found = [J.Search(atoms, source, t0, upper) for _, atoms in walls]
+                for f, targets in zip(found, J.winners(found, source, criterion), strict=True):
+                    yield from f.through(criterion, targets)[0].items()
 
             got = _by_source(net, sessions, None, fn, "node string, value double").groupBy("node").agg(F.sum("value").alias("value"))
         else:
@@ -224,12 +233,19 @@ def path_centrality(net: Network, measures: list[str], criterion: str = "foremos
 
 
 def edge_centrality(net: Network, at: float | None = None, upper: float = math.inf, sessions: str = "bounded") -> DataFrame:
-    """``from, to, start, end, value``: shares of best ways that use each contact."""
+    """``from, to, start, end, value``: shares of best ways that use each contact, nought for unused ones.
+
+    Only the sessions that have the best ways to an end count for it.
+    """
     t0 = net.span()[0] if at is None else float(at)
+    first = net.nodes.agg(F.min("name")).first()[0]
 
     def fn(source: str, walls: list) -> Iterator[tuple]:
-        for _, atoms in walls:
-            yield from ((*a[:4], x) for a, x in J.Search(atoms, source, t0, upper).through()[1].items())
+        if source == first:
+            yield from ((*a[:4], 0.0) for _, atoms in walls for xs in atoms.values() for a in xs)
+        found = [J.Search(atoms, source, t0, upper) for _, atoms in walls]
+        for f, targets in zip(found, J.winners(found, source), strict=True):
+            yield from ((*a[:4], x) for a, x in f.through(targets=targets)[1].items())
 
     return _by_source(net, sessions, None, fn, "from string, to string, start double, end double, value double").groupBy("from", "to", "start", "end").agg(F.sum("value").alias("value"))
 
@@ -241,23 +257,36 @@ def distance_summary(net: Network, at: float | None = None, upper: float = math.
     return p.agg((F.coalesce(F.sum(1 / F.col("hops")), F.lit(0.0)) / max(1, n * (n - 1))).alias("temporal_efficiency"), F.max("hops").alias("temporal_diameter"), (F.count("*") == n * (n - 1)).alias("connected"))
 
 
-def stream_centrality(net: Network, measure: str, beta: float = 0.1, decay: float = 0.0, damping: float = 0.85, transition: float = 1.0, sessions: str = "bounded") -> DataFrame:
+def stream_centrality(net: Network, measure: str, beta: float = 0.1, decay: float = 0.0, damping: float = 0.85, transition: float = 1.0, sessions: str = "bounded", start: float | None = None, end: float | None = None) -> DataFrame:
     """``session, node, value`` of Katz, PageRank or walk scores in one ordered pass.
 
-    All contacts of one instant read what was known before it.  A session is one
-    task; its state is one number for each vertex.
+    Contacts are starts in observed time and between the bounds that are not
+    censored; those equal up to rounding are one instant, and all contacts of an
+    instant read what was known before it.  A session is one task; its state is one
+    number for each vertex.
     """
     if measure not in ("katz", "pagerank", "walk"):
         raise UnknownMeasure(measure)
-    s = net.spells.filter(~F.col("onset_censored")).select(F.coalesce(net.walls(sessions), F.lit("")).alias("session"), "from", "to", F.col("start").alias("t"))
+    from kairograph.operators.dynamics import _observed
+
+    t = F.col("start")
+    s = net.spells.filter(~F.col("onset_censored") & _observed(net, t))
+    if start is not None:
+        s = s.filter(c_leq(F.lit(float(start)), t))
+    if end is not None:
+        s = s.filter(c_leq(t, F.lit(float(end))))
+    s = s.select(F.coalesce(net.walls(sessions), F.lit("")).alias("session"), "from", "to", t.alias("t"))
     if not net.directed:
         s = s.unionByName(s.select("session", F.col("to").alias("from"), F.col("from").alias("to"), "t"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "from", "to"])
-        names = sorted({*pdf["from"], *pdf["to"]})
-        where = {v: i for i, v in enumerate(names)}
-        batches = [(t, np.array([where[v] for v in g["from"]]), np.array([where[v] for v in g["to"]])) for t, g in pdf.groupby("t", sort=True)]
+        names, codes = np.unique(np.concatenate([pdf["from"].to_numpy(str), pdf["to"].to_numpy(str)]), return_inverse=True)
+        u, v = np.split(codes, 2)
+        when = pdf["t"].to_numpy(float)
+        near = np.abs(np.diff(when)) <= EPS * np.maximum(1.0, np.maximum(np.abs(when[1:]), np.abs(when[:-1])))
+        cuts = np.flatnonzero(~near) + 1
+        batches = [(float(when[i[0]]), u[i], v[i]) for i in np.split(np.arange(len(when)), cuts)]
         fn = {"katz": lambda: katz(batches, len(names), beta, decay), "pagerank": lambda: stream_pagerank(batches, len(names), damping, transition), "walk": lambda: walk(batches, len(names), beta, decay)}[measure]
         return pd.DataFrame({"session": pdf["session"].iloc[0], "node": names, "value": fn()})
 
@@ -275,21 +304,23 @@ def katz(batches: list, n: int, beta: float, decay: float) -> np.ndarray:
 
 
 def stream_pagerank(batches: list, n: int, damping: float, transition: float) -> np.ndarray:
-    r, s = np.zeros(n), np.zeros(n)
-    for _, u, v in batches:
-        held = s.copy()
-        carried = damping * (held[u] + 1 - damping)
-        counts = np.bincount(u, minlength=n)
-        r += counts * (1 - damping)
-        gone = counts > 0
-        if transition == 1:
-            s[gone] = 0
-        else:
-            keep_ = transition ** counts[gone]
-            s[gone] = keep_ * (held[gone] + counts[gone] * (1 - damping))
-        np.add.at(r, v, carried)
-        np.add.at(s, v, carried * (1 if transition == 1 else 1 - transition))
-    return r / r.sum() if r.sum() else np.full(n, np.nan)
+    """Temporal PageRank of Rozenshtein and Gionis (2016), one instant at a time.
+
+    A contact starts a walk of weight ``1 - damping`` at its sender and takes it, with
+    the ``active`` walks that wait there, to its receiver.  ``transition`` is the
+    chance that a waiting walk stays; at 1 none is left behind.
+    """
+    score, active = np.zeros(n), np.zeros(n)
+    begun = 1 - damping
+    for _, sender, receiver in batches:
+        sent = np.bincount(sender, minlength=n)
+        moved = np.bincount(receiver, damping * (active[sender] + begun), n)
+        score += begun * sent + moved
+        stays = 0.0 if transition == 1 else transition**sent
+        arrives = 1.0 if transition == 1 else 1 - transition
+        active = np.where(sent > 0, stays * (active + begun * sent), active) + arrives * moved
+    total = score.sum()
+    return score / total if total else np.full(n, np.nan)
 
 
 def walk(batches: list, n: int, beta: float, decay: float) -> np.ndarray:

@@ -51,21 +51,31 @@ def _rectangle(net: Network, g: Grid, df: DataFrame, keys: list[str]) -> DataFra
 
 
 def mixing(net: Network, by: str, sessions: str = "bounded", **grid) -> DataFrame:
-    """``time, from_group, to_group, ties``: distinct pairs between groups of vertices, all cells."""
+    """``[session,] time, cell, from_group, to_group, ties``: distinct pairs between groups of vertices, all cells."""
     g = make_grid(net, **grid)
     group = net.nodes.select("name", F.coalesce(F.col(by).cast("string"), F.lit("(missing)")).alias("g"))
-    e = snapshot_edges(net, g, sessions).select("bin", "from", "to").distinct()
+    e = snapshot_edges(net, g, sessions)
+    keys = [k for k in ("session",) if k in e.columns]
+    e = e.select(*keys, "bin", "from", "to").distinct()
     for end in ("from", "to"):
         e = e.join(group.select(F.col("name").alias(end), F.col("g").alias(f"{end}_group")), end)
     if not net.directed:
         e = e.withColumns({"from_group": F.least("from_group", "to_group"), "to_group": F.greatest("from_group", "to_group")})
-    counts = e.groupBy("bin", "from_group", "to_group").agg(F.count("*").alias("ties"))
+    counts = e.groupBy(*keys, "bin", "from_group", "to_group").agg(F.count("*").alias("ties"))
     levels = group.select("g").distinct()
-    cells = levels.withColumnRenamed("g", "from_group").crossJoin(levels.withColumnRenamed("g", "to_group"))
+    cells = levels.withColumnRenamed("g", "from_group").crossJoin(levels.withColumnRenamed("g", "to_group"))  # groups: all cells are the result
     if not net.directed:
         cells = cells.filter("from_group <= to_group")
     cells = cells.crossJoin(F.broadcast(g.frame(net.spells.sparkSession).select("bin", "time")))
-    return cells.join(counts, ["bin", "from_group", "to_group"], "left").select("time", "from_group", "to_group", F.coalesce("ties", F.lit(0)).alias("ties"))
+    if keys:
+        cells = cells.crossJoin(net.spells.select("session").distinct())
+    mark = " -> " if net.directed else " -- "
+    quoted = lambda c: F.when(F.contains(F.col(c), F.lit(mark)), F.concat(F.lit('"'), F.col(c), F.lit('"'))).otherwise(F.col(c))
+    same = (cells["bin"] == counts["bin"]) & (cells["from_group"] == counts["from_group"]) & (cells["to_group"] == counts["to_group"])
+    for k in keys:
+        same = same & cells[k].eqNullSafe(counts[k])
+    out = cells.join(counts, same, "left").select(*[cells[k] for k in keys], "time", cells["from_group"], cells["to_group"], F.coalesce("ties", F.lit(0)).alias("ties"))
+    return out.select(*keys, "time", F.concat(quoted("from_group"), F.lit(mark), quoted("to_group")).alias("cell"), "from_group", "to_group", "ties")
 
 
 DIRECTED_ONLY = {"reciprocity", "mutual", "asymmetric", "null", "in_2stars", "out_2stars", "indegree_1_5", "outdegree_1_5"}

@@ -7,18 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from kairograph.errors import BadInput
+
 _OWN: dict[str, str] = {}
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage under ``spark.checkpoint.dir`` and read it again.
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a stage under ``spark.checkpoint.dir``, in folders ``by`` a column if named, and read it again.
 
-    Only where that setting is absent a temporary folder takes its place.
+    Only where that setting is absent and the session runs on one machine a
+    temporary folder takes its place.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kairograph-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise BadInput("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="kairograph-")
+        root = _OWN[app]
     path = f"{root.rstrip('/')}/kairograph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

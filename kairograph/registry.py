@@ -32,16 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(name: str, sql: str | None = None) -> None:
-    """Register a query whose SQL asks for a part of N2 once more, on all of it."""
-
-    def run(spark, sf):
-        return QUERIES[name](spark, sf, nations)
-
-    run.__name__ = f"{name}_whole"
-    query(sql)(run)
-
-
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -63,14 +53,6 @@ def nations(spark: SparkSession, sf: str) -> Network:
     return builders.from_tables(rows, nodes=nodes, check=False, interval=STEP, unit="days")
 
 
-def small(spark: SparkSession, sf: str) -> Network:
-    """N2 of urgent orders over the first thirty days: what ``SMALL`` asks for, not the whole network."""
-    net = nations(spark, sf)
-    lo = net.spells.agg(F.min("start")).first()[0]
-    s = net.spells.filter((F.col("start") < lo + 30) & F.col("session").startswith("1"))
-    return net.with_(spells=s)
-
-
 def turns(spark: SparkSession, sf: str) -> Network:
     """N1."""
     ev = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("group"), _days("ts").alias("time"), "event_id")
@@ -148,7 +130,7 @@ def net_metrics_ways(spark, sf):
 
 @query(N2 + """, g AS (SELECT n_name AS v, CAST(n_regionkey AS VARCHAR) AS g FROM nation), cells AS (SELECT a.g AS x, b.g AS y FROM (SELECT DISTINCT g FROM g) a, (SELECT DISTINCT g FROM g) b),
 c AS (SELECT k, p.g AS x, q.g AS y, count(*) AS c FROM edge JOIN g p ON p.v = f JOIN g q ON q.v = t GROUP BY ALL)
-SELECT lo AS time, x AS from_group, y AS to_group, coalesce(c, 0) AS ties FROM bins CROSS JOIN cells LEFT JOIN c USING (k, x, y)""")
+SELECT lo AS time, x || ' -> ' || y AS cell, x AS from_group, y AS to_group, coalesce(c, 0) AS ties FROM bins CROSS JOIN cells LEFT JOIN c USING (k, x, y)""")
 def net_mixing(spark, sf):
     return snapshots.mixing(nations(spark, sf), "region")
 
@@ -216,9 +198,14 @@ def net_durations_pair(spark, sf):
     return d.withColumns({c: F.round(c, 6) for c in ("total", "mean", "union")})
 
 
-@query(N2 + """SELECT v AS node, count(*) AS events, round(sum(e - s), 6) AS total FROM (SELECT f AS v, s, e FROM sp UNION ALL SELECT t, s, e FROM sp) GROUP BY v""")
+ENDS = """, ev AS (SELECT f AS v, s, e FROM sp UNION ALL SELECT t, s, e FROM sp), ov AS (SELECT *, max(e) OVER (PARTITION BY v ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM ev),
+iv AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY v ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM ov), uv AS (SELECT v, sum(e - s) AS u FROM (SELECT v, g, min(s) AS s, max(e) AS e FROM iv GROUP BY ALL) GROUP BY v)
+"""
+
+
+@query(N2 + ENDS + """SELECT v AS node, count(*) AS events, round(sum(e - s), 6) AS total, round(any_value(u), 6) AS "union" FROM ev JOIN uv USING (v) GROUP BY v""")
 def net_durations_node_ties(spark, sf):
-    return dynamics.durations(nations(spark, sf), "node_ties").select("node", "events", F.round("total", 6).alias("total"))
+    return dynamics.durations(nations(spark, sf), "node_ties").withColumns({c: F.round(c, 6) for c in ("total", "union")})
 
 
 @query(N2 + """SELECT f AS "from", t AS "to", e - s AS duration, s AS first, e AS last FROM sp""")
@@ -227,9 +214,11 @@ def net_durations_spell(spark, sf):
 
 
 @query(N2 + ISLE + """, occ AS (SELECT k, sum(least(e, hi) - greatest(s, lo)) AS o FROM (SELECT bins.k, bins.lo, bins.hi, isle.s, isle.e FROM isle JOIN bins ON s < hi AND e > lo) GROUP BY k)
-SELECT bins.lo AS time, round(o / ((least(bins.hi, span.hi) - bins.lo) * 25 * 24), 9) AS temporal_density FROM bins JOIN occ USING (k), span""")
+SELECT time, round(risk, 4) AS risk, round(o, 4) AS occupied, round(cr, 4) AS cohort_risk, made AS onsets, round(o / risk, 9) AS temporal_density, round(o / cr, 9) AS observed_pair_density, round(made / risk, 9) AS onset_intensity, round(made / cr, 9) AS observed_pair_onset_intensity FROM
+  (SELECT bins.lo AS time, o, (least(bins.hi, span.hi) - bins.lo) * 600 AS risk, (least(bins.hi, span.hi) - bins.lo) * (SELECT count(DISTINCT (f, t)) FROM sp) AS cr, (SELECT count(*)::DOUBLE FROM sp WHERE s >= bins.lo AND (s < bins.hi OR closed AND s <= bins.hi)) AS made FROM bins JOIN occ USING (k), span)""")
 def net_temporal_density(spark, sf):
-    return dynamics.exposure(nations(spark, sf)).select("time", F.round("temporal_density", 9).alias("temporal_density"))
+    x = dynamics.exposure(nations(spark, sf))
+    return x.withColumns({c: F.round(c, 4 if c in ("risk", "occupied", "cohort_risk") else 9) for c in x.columns if c not in ("time", "onsets")})
 
 
 @query(N2 + ISLE + """, occ AS (SELECT k, sum(least(e, hi) - greatest(s, lo)) AS o FROM (SELECT bins.k, bins.lo, bins.hi, isle.s, isle.e FROM isle JOIN bins ON s < hi AND e > lo) GROUP BY k),
@@ -254,16 +243,16 @@ def net_gaps(spark, sf):
 
 
 @query(N1 + """, st AS (SELECT ses, f AS v, s FROM sp UNION ALL SELECT ses, t, s FROM sp), g AS (SELECT *, s - lag(s) OVER (PARTITION BY ses, v ORDER BY s) AS y FROM st), h AS (SELECT *, lag(y) OVER (PARTITION BY ses, v ORDER BY s) AS x FROM g)
-SELECT v AS node, count(*) AS events, round(avg(y), 9) AS mean_gap, round(CASE WHEN count(y) >= 2 AND stddev_pop(y) + avg(y) > 0 THEN (stddev_pop(y) - avg(y)) / (stddev_pop(y) + avg(y)) END, 9) AS burstiness FROM h GROUP BY v""")
+SELECT v AS node, count(*) AS events, round(avg(y), 9) AS mean_gap, round(CASE WHEN count(y) >= 2 AND stddev_pop(y) + avg(y) > 0 THEN (stddev_pop(y) - avg(y)) / (stddev_pop(y) + avg(y)) END, 9) AS burstiness, round(CASE WHEN count(x) >= 2 AND var_pop(CASE WHEN x IS NOT NULL THEN y END) > 0 AND var_pop(x) > 0 THEN corr(x, y) END, 7) AS memory FROM h GROUP BY v""")
 def net_burstiness(spark, sf):
     b = dynamics.burstiness(turns(spark, sf))
-    return b.select("node", "events", F.round("mean_gap", 9).alias("mean_gap"), F.round("burstiness", 9).alias("burstiness"))
+    return b.select("node", "events", F.round("mean_gap", 9).alias("mean_gap"), F.round("burstiness", 9).alias("burstiness"), F.round("memory", 7).alias("memory"))
 
 
-@query(N2 + ISLE + """SELECT f AS "from", t AS "to", 1 AS "binary", total_duration, spell_count, weight_sum, weighted_duration, first, last, union_duration, activity_count FROM
+@query(N2 + ISLE + """SELECT f AS "from", t AS "to", 1 AS "binary", total_duration, spell_count, weight_sum, weighted_duration, first, last, union_duration, activity_count, round(union_duration / (hi - lo), 9) AS duration_fraction FROM span,
   (SELECT f, t, sum(e - s) AS total_duration, count(*) AS spell_count, sum(w) AS weight_sum, sum(w * (e - s)) AS weighted_duration, min(s) AS first, max(e) AS last FROM sp GROUP BY ALL) JOIN (SELECT f, t, sum(e - s) AS union_duration, count(*) AS activity_count FROM isle GROUP BY ALL) USING (f, t)""")
 def net_collapse(spark, sf):
-    return dynamics.collapse_network(nations(spark, sf)).drop("latest_weight", "duration_fraction")
+    return dynamics.collapse_network(nations(spark, sf)).drop("latest_weight").withColumn("duration_fraction", F.round("duration_fraction", 9))  # equal last ends: any of their weights
 
 
 @query(N2 + """SELECT f AS "from", t AS "to", sum(w) AS weight FROM sp GROUP BY ALL""")
@@ -339,56 +328,49 @@ def net_motifs(spark, sf):
     return sequences.motifs(turns(spark, sf), delta=0.02)
 
 
-def _weekly(spark: SparkSession, sf: str) -> Network:
-    """N2 of one day in 97: what ``WEEK`` asks for, not the whole network."""
-    net = nations(spark, sf)
-    return net.with_(spells=net.spells.filter(F.pmod(F.floor("start"), F.lit(97)) == 0), interval=STEP)
-
-
-WEEK = N2.replace("WHERE a.n_name <> b.n_name)", "WHERE a.n_name <> b.n_name AND CAST(floor(epoch_us(o_orderdate) / 86400e6) AS BIGINT) % 97 = 0)")
 OVER = """, sz AS (SELECT bins.k, lo AS time, coalesce(c, 0) AS c FROM bins LEFT JOIN (SELECT k, count(*) AS c FROM edge GROUP BY k) USING (k)),
 ov AS (SELECT p.k AS k1, q.k AS k2, p.time AS time1, q.time AS time2, p.c AS a, q.c AS b, (SELECT count(*) FROM edge x JOIN edge y ON x.f = y.f AND x.t = y.t WHERE x.k = p.k AND y.k = q.k) AS i FROM sz p, sz q)
 """
 
 
-@query(WEEK + OVER + "SELECT time1, time2, round(CASE WHEN a + b - i > 0 THEN i / (a + b - i) END, 9) AS value FROM ov")
-def net_similarity(spark, sf, orders=_weekly):
-    return crossbin.similarity(orders(spark, sf)).withColumn("value", F.round("value", 9))
+@query(N2 + OVER + "SELECT time1, time2, round(CASE WHEN a + b - i > 0 THEN i / (a + b - i) END, 9) AS value FROM ov")
+def net_similarity(spark, sf):
+    return crossbin.similarity(nations(spark, sf)).withColumn("value", F.round("value", 9))
 
 
-@query(WEEK + OVER + "SELECT time1, time2, round(CASE WHEN a * b > 0 THEN i / sqrt(a * b) END, 9) AS value FROM ov")
-def net_similarity_cosine(spark, sf, orders=_weekly):
-    return crossbin.similarity(orders(spark, sf), "cosine").withColumn("value", F.round("value", 9))
+@query(N2 + OVER + "SELECT time1, time2, round(CASE WHEN a * b > 0 THEN i / sqrt(a * b) END, 9) AS value FROM ov")
+def net_similarity_cosine(spark, sf):
+    return crossbin.similarity(nations(spark, sf), "cosine").withColumn("value", F.round("value", 9))
 
 
-@query(WEEK + OVER + "SELECT time1 AS time, round((a + b - 2 * i) / 600, 9) AS volatility FROM ov WHERE k2 = k1 + 1")
-def net_turnover(spark, sf, orders=_weekly):
-    return crossbin.turnover(orders(spark, sf)).withColumn("volatility", F.round("volatility", 9))
+@query(N2 + OVER + "SELECT time1 AS time, round((a + b - 2 * i) / 600, 9) AS volatility FROM ov WHERE k2 = k1 + 1")
+def net_turnover(spark, sf):
+    return crossbin.turnover(nations(spark, sf)).withColumn("volatility", F.round("volatility", 9))
 
 
-@query(WEEK + "SELECT round(count(DISTINCT (f, t)) / count(*), 9) AS fluctuability FROM edge")
-def net_fluctuability(spark, sf, orders=_weekly):
-    return crossbin.fluctuability(orders(spark, sf)).withColumn("fluctuability", F.round("fluctuability", 9))
+@query(N2 + "SELECT round(count(DISTINCT (f, t)) / count(*), 9) AS fluctuability FROM edge")
+def net_fluctuability(spark, sf):
+    return crossbin.fluctuability(nations(spark, sf)).withColumn("fluctuability", F.round("fluctuability", 9))
 
 
-@query(WEEK + """, ar AS (SELECT k, f AS v, t AS w FROM edge UNION SELECT k, t, f FROM edge), dg AS (SELECT k, v, count(*) AS d FROM ar GROUP BY ALL),
+@query(N2 + """, ar AS (SELECT k, f AS v, t AS w FROM edge UNION SELECT k, t, f FROM edge), dg AS (SELECT k, v, count(*) AS d FROM ar GROUP BY ALL),
 sh AS (SELECT x.k, x.v, count(*) AS s FROM ar x JOIN ar y ON y.k = x.k + 1 AND x.v = y.v AND x.w = y.w GROUP BY ALL)
 SELECT lo AS time, n_name AS node, round(coalesce(s / sqrt(p.d * q.d), 0), 9) AS overlap FROM bins CROSS JOIN nation LEFT JOIN dg p ON p.k = bins.k AND p.v = n_name LEFT JOIN dg q ON q.k = bins.k + 1 AND q.v = n_name LEFT JOIN sh ON sh.k = bins.k AND sh.v = n_name WHERE NOT closed""")
-def net_persistence(spark, sf, orders=_weekly):
-    return crossbin.persistence(orders(spark, sf)).withColumn("overlap", F.round("overlap", 9))
+def net_persistence(spark, sf):
+    return crossbin.persistence(nations(spark, sf)).withColumn("overlap", F.round("overlap", 9))
 
 
-@query(WEEK + """, u AS (SELECT DISTINCT k, least(f, t) AS a, greatest(f, t) AS b FROM edge), z AS (SELECT n_regionkey AS g, count(*) AS n FROM nation GROUP BY ALL),
+@query(N2 + """, u AS (SELECT DISTINCT k, least(f, t) AS a, greatest(f, t) AS b FROM edge), z AS (SELECT n_regionkey AS g, count(*) AS n FROM nation GROUP BY ALL),
 x AS (SELECT k, sum(CASE WHEN p.n_regionkey = q.n_regionkey THEN 2.0 / (zp.n * (zp.n - 1)) ELSE -2.0 / (zp.n * zq.n) END) AS v FROM u JOIN nation p ON p.n_name = a JOIN nation q ON q.n_name = b JOIN z zp ON zp.g = p.n_regionkey JOIN z zq ON zq.g = q.n_regionkey GROUP BY k)
 SELECT lo AS time, round(coalesce(v, 0), 9) AS value FROM bins LEFT JOIN x USING (k)""")
-def net_segregation(spark, sf, orders=_weekly):
-    return crossbin.segregation(orders(spark, sf), "region").withColumn("value", F.round("value", 9))
+def net_segregation(spark, sf):
+    return crossbin.segregation(nations(spark, sf), "region").withColumn("value", F.round("value", 9))
 
 
-@query(WEEK + """SELECT f || '@' || (k + 1) AS from_state, t || '@' || (k + 1) AS to_state, 'within' AS kind, weight FROM edge
+@query(N2 + """SELECT f || '@' || (k + 1) AS from_state, t || '@' || (k + 1) AS to_state, 'within' AS kind, weight FROM edge
 UNION ALL SELECT n_name || '@' || (k + 1), n_name || '@' || (k + 2), 'identity', 1.0 FROM bins, nation WHERE NOT closed""")
-def net_projection(spark, sf, orders=_weekly):
-    return crossbin.projection(orders(spark, sf))[1]
+def net_projection(spark, sf):
+    return crossbin.projection(nations(spark, sf))[1]
 
 
 @query()
@@ -396,65 +378,60 @@ def net_phases(spark, sf):
     return crossbin.phases(nations(spark, sf))
 
 
-@query(WEEK + """, u AS (SELECT k, least(f, t) AS a, greatest(f, t) AS b, sum(weight) AS w FROM edge GROUP BY ALL), ar AS (SELECT k, a AS v, b AS o, w FROM u UNION ALL SELECT k, b, a, w FROM u),
+@query(N2 + """, u AS (SELECT k, least(f, t) AS a, greatest(f, t) AS b, sum(weight) AS w FROM edge GROUP BY ALL), ar AS (SELECT k, a AS v, b AS o, w FROM u UNION ALL SELECT k, b, a, w FROM u),
 dg AS (SELECT k, v, sum(w) AS d FROM ar GROUP BY ALL), m AS (SELECT k, sum(d) AS m FROM dg GROUP BY k),
 ins AS (SELECT sum(w) AS x FROM ar JOIN nation p ON p.n_name = v JOIN nation q ON q.n_name = o WHERE p.n_regionkey = q.n_regionkey),
 nul AS (SELECT sum(d * d / m) AS y FROM (SELECT k, n_regionkey, sum(d) AS d FROM dg JOIN nation ON n_name = v GROUP BY ALL) JOIN m USING (k)), tot AS (SELECT sum(m) AS tm FROM m), nb AS (SELECT count(*) AS nb FROM bins)
 SELECT round((x - y + 2 * 25 * (nb - 1)) / (tm + 2 * 25 * (nb - 1)), 9) AS q, round((x - y) / (tm + 2 * 25 * (nb - 1)), 9) AS q_intra, round(2 * 25 * (nb - 1) / (tm + 2 * 25 * (nb - 1)), 9) AS q_inter, CAST(tm + 2 * 25 * (nb - 1) AS DOUBLE) AS two_mu FROM ins, nul, tot, nb""")
-def net_multislice_modularity(spark, sf, orders=_weekly):
-    net = orders(spark, sf)
+def net_multislice_modularity(spark, sf):
+    net = nations(spark, sf)
     bins = results.tidy(net, "bins")
     member = net.nodes.crossJoin(F.broadcast(bins)).select("time", F.col("name").alias("node"), F.col("region").alias("community"))
     q = crossbin.multislice_modularity(net, member)
     return q.select(*[F.round(c, 9).alias(c) for c in ("q", "q_intra", "q_inter")], "two_mu")
 
 
-for _name in ("net_similarity", "net_similarity_cosine", "net_turnover", "net_fluctuability", "net_persistence", "net_segregation", "net_projection", "net_multislice_modularity"):
-    whole(_name, ORACLE_SQL[_name].replace(WEEK, N2))
+#: Rounds of the SQL below: ways with the earliest arrivals have fewer hops on these tables.
+ROUNDS = 8
 
 
-SMALL = """
-WITH RECURSIVE al AS (
-  SELECT a.n_name AS f, b.n_name AS t, epoch_us(o_orderdate) / 86400e6 AS s, epoch_us(o_orderdate) / 86400e6 + l_quantity AS e, o_orderpriority AS ses
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey WHERE a.n_name <> b.n_name),
-sp AS (SELECT * FROM al WHERE s < (SELECT min(s) FROM al) + 30 AND ses LIKE '1%'),
-st AS (SELECT n_name AS src, n_name AS v, (SELECT min(s) FROM sp) AS a FROM nation
-  UNION SELECT src, sp.t, greatest(a, s) FROM st JOIN sp ON sp.f = st.v AND (greatest(a, s) = s OR greatest(a, s) < e)),
-ar AS (SELECT src, v, min(a) AS a FROM st GROUP BY ALL)
-"""
-HOPS = SMALL.replace("n_name AS v, (SELECT min(s) FROM sp) AS a FROM", "n_name AS v, 0 AS h, (SELECT min(s) FROM sp) AS a FROM").replace("SELECT src, sp.t, greatest(a, s) FROM", "SELECT src, sp.t, h + 1, greatest(a, s) FROM").replace("OR greatest(a, s) < e))", "OR greatest(a, s) < e) WHERE h < 10)")
+def _rounds() -> str:
+    """Earliest arrivals by at most k hops, k = 0, 1, ...: each round joins what the last one knows with all spells."""
+    out = ", r0 AS (SELECT n_name AS src, n_name AS v, lo AS a FROM nation, span)"
+    for k in range(1, ROUNDS + 1):
+        out += f""", r{k} AS (SELECT src, v, min(a) AS a FROM (SELECT * FROM r{k - 1} UNION ALL SELECT src, t, greatest(a, s) FROM r{k - 1} JOIN sp ON f = v AND (greatest(a, s) = s OR greatest(a, s) < e)) GROUP BY ALL)"""
+    every = " UNION ALL ".join(f"SELECT {k} AS h, * FROM r{k}" for k in range(ROUNDS + 1))
+    return out + f", st AS ({every}), ar AS (SELECT src, v, a FROM r{ROUNDS})"
 
 
-@query(SMALL + "SELECT src AS source, v AS node, a AS arrival FROM ar")
-def net_arrivals(spark, sf, net=small):
-    return paths.arrivals(net(spark, sf))
+WAYS = N2.rstrip() + _rounds() + "\n"
 
 
-@query(SMALL + """SELECT n_name AS node, coalesce(o, 0) AS reach_out, coalesce(i, 0) AS reach_in, round(coalesce(o, 0) / 24, 9) AS share_out, round(coalesce(i, 0) / 24, 9) AS share_in, round(l, 6) AS latency
-FROM nation LEFT JOIN (SELECT src AS n_name, count(*) AS o, avg(a - (SELECT min(s) FROM sp)) AS l FROM ar WHERE src <> v GROUP BY ALL) USING (n_name) LEFT JOIN (SELECT v AS n_name, count(*) AS i FROM ar WHERE src <> v GROUP BY ALL) USING (n_name)""")
-def net_reachability(spark, sf, net=small):
-    r = paths.reachability(net(spark, sf))
-    return r.withColumns({c: F.round(c, 9) for c in ("share_out", "share_in")}).withColumn("latency", F.round("latency", 6))
+@query(WAYS + "SELECT src AS source, v AS node, a AS arrival FROM ar")
+def net_arrivals(spark, sf):
+    return paths.arrivals(nations(spark, sf))
 
 
-@query(HOPS + "SELECT src AS source, v AS node, a AS arrival, CAST(min(h) AS BIGINT) AS hops FROM st JOIN ar USING (src, v, a) GROUP BY ALL")
-def net_paths(spark, sf, net=small):
-    return paths.paths(net(spark, sf), sessions="collapse").select("source", "node", "arrival", "hops")
+@query(WAYS + """SELECT n_name AS node, coalesce(o, 0) AS reach_out, coalesce(i, 0) AS reach_in, round(coalesce(o, 0) / 24, 9) AS share_out, round(coalesce(i, 0) / 24, 9) AS share_in, round(l, 6) AS latency
+FROM nation LEFT JOIN (SELECT src AS n_name, count(*) AS o, avg(a - lo) AS l FROM ar, span WHERE src <> v GROUP BY ALL) USING (n_name) LEFT JOIN (SELECT v AS n_name, count(*) AS i FROM ar WHERE src <> v GROUP BY ALL) USING (n_name)""")
+def net_reachability(spark, sf):
+    r = paths.reachability(nations(spark, sf))
+    return r.withColumns({c: F.round(c, 9) for c in ("share_out", "share_in")}).withColumn("latency", F.round("latency", 6))
 
 
-@query(HOPS + ", mh AS (SELECT src, v, min(h) AS h FROM st GROUP BY ALL) SELECT src AS source, v AS node, min(a) AS arrival, CAST(h AS BIGINT) AS hops FROM st JOIN mh USING (src, v, h) GROUP BY ALL")
-def net_paths_min_hops(spark, sf, net=small):
-    return paths.paths(net(spark, sf), criterion="min_hops", sessions="collapse").select("source", "node", "arrival", "hops")
+@query(WAYS + "SELECT src AS source, v AS node, lo AS departure, a AS arrival, a - lo AS latency, CAST(min(h) AS BIGINT) AS hops FROM st JOIN ar USING (src, v, a), span GROUP BY ALL")
+def net_paths(spark, sf):
+    return paths.paths(nations(spark, sf), sessions="collapse").select("source", "node", "departure", "arrival", "latency", "hops")
 
 
-@query(HOPS + ", mh AS (SELECT src, v, min(h) AS h FROM st WHERE src <> v GROUP BY ALL) SELECT round(coalesce(sum(1 / h), 0) / 600, 9) AS temporal_efficiency, CAST(max(h) AS BIGINT) AS temporal_diameter, count(*) = 600 AS connected FROM mh")
-def net_distance_summary(spark, sf, net=small):
-    return paths.distance_summary(net(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
+@query(WAYS + ", mh AS (SELECT src, v, min(h) AS h FROM st GROUP BY ALL) SELECT src AS source, v AS node, min(a) AS arrival, CAST(h AS BIGINT) AS hops FROM st JOIN mh USING (src, v, h) GROUP BY ALL")
+def net_paths_min_hops(spark, sf):
+    return paths.paths(nations(spark, sf), criterion="min_hops", sessions="collapse").select("source", "node", "arrival", "hops")
 
 
-for _name in ("net_arrivals", "net_reachability", "net_paths", "net_paths_min_hops", "net_distance_summary"):
-    whole(_name)  # no SQL: its recursion lists every state
+@query(WAYS + ", mh AS (SELECT src, v, min(h) AS h FROM st WHERE src <> v GROUP BY ALL) SELECT round(coalesce(sum(1 / h), 0) / 600, 9) AS temporal_efficiency, CAST(max(h) AS BIGINT) AS temporal_diameter, count(*) = 600 AS connected FROM mh")
+def net_distance_summary(spark, sf):
+    return paths.distance_summary(nations(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
 
 
 for _criterion in ("shortest", "fastest", "latest_departure"):
@@ -550,11 +527,11 @@ def net_renewal(spark, sf):
     return nulls.renewal_network(spark, 10, 0.2, 20.0, "weibull", 0.7).spells.drop("raw_id")
 
 
-@query(N2 + """SELECT f AS "from", t AS "to", s AS start, CASE WHEN s < (SELECT lo FROM span) + 365 THEN 'a' WHEN s < (SELECT lo FROM span) + 730 THEN 'b' ELSE 'c' END AS session FROM sp WHERE f <> 'FRANCE' AND t <> 'FRANCE'""")
+@query(N2 + """SELECT f AS "from", t AS "to", s AS start, CASE WHEN s < (SELECT lo FROM span) + 365 THEN 'a' WHEN s < (SELECT lo FROM span) + 730 THEN 'b' ELSE 'c' END AS session FROM sp WHERE f <> 'NATION_6' AND t <> 'NATION_6'""")
 def net_edit(spark, sf):
     net = nations(spark, sf)
     lo = net.span()[0]
-    out = edit.set_tie_sessions(edit.remove_nodes(net, ["FRANCE"], cascade=True), breaks=[lo + 365, lo + 730], labels=["a", "b", "c"])
+    out = edit.set_tie_sessions(edit.remove_nodes(net, ["NATION_6"], cascade=True), breaks=[lo + 365, lo + 730], labels=["a", "b", "c"])
     return out.spells.select("from", "to", "start", "session")
 
 
@@ -563,10 +540,10 @@ def net_induce_subgraph(spark, sf):
     return edit.induce_subgraph(nations(spark, sf), nodes="region = 1", ties="weight > 10").spells.select("from", "to", "start", "weight")
 
 
-@query(N2 + DEG + BASE + """SELECT node, count(*) AS n, round(avg(coalesce(d, 0)), 9) AS mean, min(coalesce(d, 0))::DOUBLE AS min, max(coalesce(d, 0))::DOUBLE AS max FROM base LEFT JOIN dg ON dg.k = base.k AND dg.v = node GROUP BY node""")
+@query(N2 + DEG + BASE + """SELECT node, count(*) AS n, round(avg(coalesce(d, 0)), 9) AS mean, round(stddev_samp(coalesce(d, 0)), 9) AS sd, min(coalesce(d, 0))::DOUBLE AS min, max(coalesce(d, 0))::DOUBLE AS max, arg_max(time, (coalesce(d, 0), -time)) AS peak_time, 'degree' AS measure FROM base LEFT JOIN dg ON dg.k = base.k AND dg.v = node GROUP BY node""")
 def net_result_summary(spark, sf):
     r = results.summarise(centrality.centrality_series(nations(spark, sf), ["degree"]))
-    return r.select("node", "n", F.round("mean", 9).alias("mean"), "min", "max")
+    return r.withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
 
 
 @query(N2 + """, g AS (SELECT *, lag(k) OVER (PARTITION BY f, t ORDER BY k) AS p, lead(k) OVER (PARTITION BY f, t ORDER BY k) AS q FROM edge), x AS (SELECT k, count(*) AS ties, count(*) FILTER (p IS NULL OR p <> k - 1) AS fo, count(*) FILTER (q IS NULL OR q <> k + 1) AS di FROM g GROUP BY k),
@@ -574,3 +551,6 @@ v AS (SELECT k, count(*) AS nodes FROM (SELECT k, f FROM edge UNION SELECT k, t
 SELECT lo AS time, nodes, ties, CASE WHEN k > 0 THEN fo END AS forming, CASE WHEN NOT closed THEN di END AS dissolving FROM bins JOIN x USING (k) JOIN v USING (k)""")
 def net_animation_bins(spark, sf):
     return results.animation_bins(nations(spark, sf))
+
+
+import kairograph.contracts  # noqa: E402, F401  (adds its queries)

@@ -21,7 +21,7 @@ def late(spark, monkeypatch):
 
 
 def test_arrivals_of_all_orders(spark):
-    got = {(r["source"], r["node"]): r["arrival"] for r in registry.QUERIES["net_arrivals_whole"](spark, SF).collect()}
+    got = {(r["source"], r["node"]): r["arrival"] for r in registry.QUERIES["net_arrivals"](spark, SF).collect()}
     spells = [tuple(r) for r in registry.nations(spark, SF).spells.select("from", "to", "start", "end").collect()]
     nodes, t0 = {v for v, _ in got}, min(s[2] for s in spells)
     for source in sorted(nodes)[:5]:
@@ -49,7 +49,7 @@ def test_windows_of_all_orders(spark):
     c = duckdb.connect()
     for t in TABLES:
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("net_similarity_whole", "net_turnover_whole", "net_persistence_whole", "net_segregation_whole", "net_projection_whole", "net_multislice_modularity_whole"):
+    for name in ("net_similarity", "net_turnover", "net_persistence", "net_segregation", "net_projection", "net_multislice_modularity"):
         assert "% 97" not in registry.ORACLE_SQL[name]
         assert norm(registry.QUERIES[name](spark, SF).toPandas()) == norm(c.sql(registry.ORACLE_SQL[name]).df()), name
 
