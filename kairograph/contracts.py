@@ -179,3 +179,296 @@ c AS (SELECT ses, k, p.g AS x, q.g AS y, count(*) AS c FROM es JOIN g p ON p.v =
 SELECT u.ses AS session, lo AS time, x || ' -> ' || y AS cell, coalesce(c, 0) AS ties FROM bins CROSS JOIN cells CROSS JOIN (SELECT DISTINCT ses FROM sp) u LEFT JOIN c USING (ses, k, x, y)""")
 def net_mixing_sessions(spark, sf):
     return snapshots.mixing(nations(spark, sf), "region", sessions="separate").select("session", "time", "cell", "ties")
+
+
+# N1 in windows of two days: a sparse directed graph of 150 vertices at the smallest checked size.
+TWO = N1.replace("WITH tr", "WITH RECURSIVE tr", 1) + """, span AS (SELECT min(s) AS lo, max(s) AS hi FROM sp), bins AS (SELECT k, lo + 2.0 * k AS lo, lo + 2.0 * (k + 1) AS hi, k = n - 1 AS closed FROM (SELECT lo, n, unnest(range(0, n)) AS k FROM (SELECT lo, CAST(ceil((hi - lo) / 2) AS BIGINT) AS n FROM span))),
+edge AS (SELECT DISTINCT k, f, t FROM sp JOIN bins ON s >= lo AND (s < hi OR closed AND s <= hi)), nd AS (SELECT f AS v FROM sp UNION SELECT t FROM sp), nn AS (SELECT count(*)::DOUBLE AS n FROM nd), ar AS (SELECT k, f, t FROM edge UNION SELECT k, t, f FROM edge)
+"""
+BFS = """, bf AS (SELECT k, v AS src, v, 0 AS d FROM bins, nd UNION SELECT bf.k, src, e.t, d + 1 FROM bf JOIN edge e ON e.k = bf.k AND e.f = bf.v WHERE d < 14),
+dist AS (SELECT k, src, v, min(d)::DOUBLE AS d FROM bf WHERE src <> v GROUP BY ALL)
+"""
+REACH = """, rw AS (SELECT k, v AS src, v FROM bins, nd UNION SELECT rw.k, src, a.t FROM rw JOIN ar a ON a.k = rw.k AND a.f = rw.v), wk AS (SELECT k, c, count(*) AS size FROM (SELECT k, v, min(src) AS c FROM rw GROUP BY ALL) GROUP BY ALL),
+rs AS (SELECT k, v AS src, v FROM bins, nd UNION SELECT rs.k, src, e.t FROM rs JOIN edge e ON e.k = rs.k AND e.f = rs.v), st AS (SELECT x.k, x.src, min(x.v) AS c FROM rs x JOIN rs y ON x.k = y.k AND x.src = y.v AND x.v = y.src GROUP BY ALL)
+"""
+
+
+def _two(spark: SparkSession, sf: str, measures: list[str], **how) -> DataFrame:
+    g = centrality.centrality_series(turns(spark, sf), measures, step=2.0, **how)
+    return g.select("time", "node", "measure", F.round("value", 7).alias("value"))
+
+
+@query(TWO + BFS + """SELECT lo AS time, v AS node, 'closeness' AS measure, round(coalesce(c, 0), 7) AS value FROM bins CROSS JOIN nd LEFT JOIN (SELECT k, src AS v, count(*) / sum(d) AS c FROM dist GROUP BY ALL) USING (k, v)""")
+def net_closeness(spark, sf):
+    return _two(spark, sf, ["closeness"])
+
+
+@query(TWO + BFS + """SELECT lo AS time, v AS node, 'harary' AS measure, round(CASE WHEN c = n - 1 THEN 1 / m ELSE 0 END, 7) AS value FROM nn, bins CROSS JOIN nd LEFT JOIN (SELECT k, src AS v, count(*) AS c, max(d) AS m FROM dist GROUP BY ALL) USING (k, v)""")
+def net_harary(spark, sf):
+    return _two(spark, sf, ["harary"])
+
+
+SIGMA = ", g0 AS (SELECT k, v AS src, v, 1::DOUBLE AS w FROM bins, nd)" + "".join(f", g{i} AS (SELECT g.k, g.src, e.t AS v, sum(w) AS w FROM g{i - 1} g JOIN edge e ON e.k = g.k AND e.f = g.v JOIN dist d ON d.k = g.k AND d.src = g.src AND d.v = e.t AND d.d = {i} GROUP BY ALL)" for i in range(1, 13)) + ", sg AS (" + " UNION ALL ".join(f"SELECT *, {i}::DOUBLE AS d FROM g{i}" for i in range(1, 13)) + ")\n"
+
+
+@query(TWO + BFS + SIGMA + """, bt AS (SELECT x.k, x.v, sum(x.w * y.w / z.w) AS b FROM sg x JOIN sg y ON y.k = x.k AND y.src = x.v JOIN sg z ON z.k = x.k AND z.src = x.src AND z.v = y.v AND z.d = x.d + y.d GROUP BY ALL)
+SELECT lo AS time, nd.v AS node, 'betweenness' AS measure, round(coalesce(b, 0), 4) AS value FROM bins CROSS JOIN nd LEFT JOIN bt USING (k, v)""")
+def net_betweenness(spark, sf):
+    return _two(spark, sf, ["betweenness"]).withColumn("value", F.round("value", 4))
+
+
+@query(TWO + """, o AS (SELECT k, f AS v, count(*)::DOUBLE AS o FROM edge GROUP BY ALL),
+pr AS (SELECT 0 AS i, k, v, 1 / n AS p FROM bins, nd, nn UNION ALL
+  SELECT i + 1, x.k, x.v, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(y.got, 0) + dang / n) FROM (SELECT i, k, v, sum(CASE WHEN o IS NULL THEN p ELSE 0 END) OVER (PARTITION BY k) AS dang FROM pr LEFT JOIN o USING (k, v)) x LEFT JOIN (SELECT e.k, e.t AS v, sum(p / o) AS got FROM pr JOIN o USING (k, v) JOIN edge e ON e.k = pr.k AND e.f = pr.v GROUP BY ALL) y ON y.k = x.k AND y.v = x.v, nn WHERE i < 120)
+SELECT lo AS time, v AS node, 'pagerank' AS measure, round(p, 7) AS value FROM pr JOIN bins USING (k) WHERE i = 120""")
+def net_pagerank(spark, sf):
+    return _two(spark, sf, ["pagerank"])
+
+
+@query(TWO + """, o AS (SELECT k, v, coalesce(o, 0) AS o FROM bins CROSS JOIN nd LEFT JOIN (SELECT k, f AS v, count(*)::DOUBLE AS o FROM edge GROUP BY ALL) USING (k, v)),
+pw AS (SELECT 0 AS i, k, v, o AS c FROM o UNION ALL SELECT i + 1, x.k, x.v, o.o + 0.02::DOUBLE * coalesce(got, 0) FROM pw x JOIN o USING (k, v) LEFT JOIN (SELECT e.k, e.f AS v, sum(c) AS got FROM pw JOIN edge e ON e.k = pw.k AND e.t = pw.v GROUP BY ALL) y ON y.k = x.k AND y.v = x.v WHERE i < 60)
+SELECT lo AS time, v AS node, 'power' AS measure, round(coalesce(c * sqrt(n / nullif(sum(c * c) OVER (PARTITION BY k), 0)), 0), 7) AS value FROM pw JOIN bins USING (k), nn WHERE i = 60""")
+def net_power(spark, sf):
+    return _two(spark, sf, ["power"], beta=0.02)
+
+
+@query(TWO + """, w AS (SELECT k, a, b, sum(x)::DOUBLE AS s FROM (SELECT k, f AS a, t AS b, 1 AS x FROM edge UNION ALL SELECT k, t, f, 1 FROM edge) GROUP BY ALL), p AS (SELECT k, a, b, s / sum(s) OVER (PARTITION BY k, a) AS p FROM w),
+two AS (SELECT p.k, p.a, q.b, sum(p.p * q.p) AS p FROM p JOIN p q ON q.k = p.k AND q.a = p.b GROUP BY ALL), c AS (SELECT p.k, p.a AS v, sum((p.p + coalesce(two.p, 0)) ** 2) AS c FROM p LEFT JOIN two USING (k, a, b) GROUP BY ALL)
+SELECT lo AS time, v AS node, 'constraint' AS measure, round(coalesce(c, 'nan'::DOUBLE), 7) AS value FROM bins CROSS JOIN nd LEFT JOIN c USING (k, v)""")
+def net_constraint(spark, sf):
+    return _two(spark, sf, ["constraint"])
+
+
+def _two_metrics(spark: SparkSession, sf: str, names: list[str], **how) -> DataFrame:
+    g = snapshots.metrics(turns(spark, sf), names, **({"step": 2.0} | how))
+    return g.select("time", "measure", F.round("value", 7).alias("value"))
+
+
+@query(TWO + BFS + REACH + """, m AS (SELECT k, count(*) AS m FROM edge GROUP BY k), a AS (SELECT k, count(*)::DOUBLE AS components, max(size) / any_value(n) AS largest_component, sum(size * (size - 1)) / any_value(n * (n - 1)) AS connectedness, sum(size - 1) AS sp1, sum((size - 1) ** 2) AS spare FROM wk, nn GROUP BY k),
+s AS (SELECT k, count(DISTINCT c)::DOUBLE AS components_strong FROM st GROUP BY k), d AS (SELECT k, avg(d) AS mean_distance, max(d) AS diameter FROM dist GROUP BY k),
+h AS (SELECT x.k, 1 - (count(y.v) / 2) / (count(y.v) / 2 + count(*) - count(y.v)) AS hierarchy FROM rs x LEFT JOIN rs y ON x.k = y.k AND x.src = y.v AND x.v = y.src WHERE x.src <> x.v GROUP BY x.k)
+SELECT time, u.measure, round(u.value, 7) AS value FROM (SELECT lo AS time, components, components_strong, largest_component, mean_distance, diameter, connectedness, 1 - (m - sp1) / spare AS efficiency, hierarchy FROM bins JOIN m USING (k) JOIN a USING (k) JOIN s USING (k) JOIN d USING (k) JOIN h USING (k)) UNPIVOT (value FOR measure IN (components, components_strong, largest_component, mean_distance, diameter, connectedness, efficiency, hierarchy)) u""")
+def net_metrics_reach(spark, sf):
+    return _two_metrics(spark, sf, ["components", "components_strong", "largest_component", "mean_distance", "diameter", "connectedness", "efficiency", "hierarchy"])
+
+
+@query(TWO + BFS + SIGMA + """, bt AS (SELECT x.k, x.v, sum(x.w * y.w / z.w) AS b FROM sg x JOIN sg y ON y.k = x.k AND y.src = x.v JOIN sg z ON z.k = x.k AND z.src = x.src AND z.v = y.v AND z.d = x.d + y.d GROUP BY ALL),
+c AS (SELECT k, v, coalesce(b, 0) AS b, coalesce(c, 0) AS c FROM bins CROSS JOIN nd LEFT JOIN bt USING (k, v) LEFT JOIN (SELECT k, src AS v, count(*) / sum(d) AS c FROM dist GROUP BY ALL) USING (k, v))
+SELECT time, u.measure, round(u.value, 7) AS value FROM (SELECT lo AS time, (max(b) * any_value(n) - sum(b)) / any_value((n - 1) ** 2 * (n - 2)) AS centralization_betweenness, (max(c) * any_value(n) - sum(c)) / any_value(n - 1) AS centralization_closeness FROM c JOIN bins USING (k), nn GROUP BY lo) UNPIVOT (value FOR measure IN (centralization_betweenness, centralization_closeness)) u""")
+def net_metrics_centralization(spark, sf):
+    return _two_metrics(spark, sf, ["centralization_betweenness", "centralization_closeness"])
+
+
+@query(TWO + """, dy AS (SELECT k, least(f, t) AS a, greatest(f, t) AS b, max((f < t)::INT) AS up, max((f > t)::INT) AS dn FROM edge GROUP BY ALL),
+pa AS (SELECT k, a, b, CASE WHEN up + dn = 2 THEN 'm' WHEN up = 1 THEN 'u' ELSE 'd' END AS x FROM dy), nb AS (SELECT k, a, b FROM pa UNION ALL SELECT k, b, a FROM pa),
+tp AS (SELECT DISTINCT p.k, list_sort([p.a, p.b, q.b]) AS l FROM pa p JOIN nb q ON q.k = p.k AND (q.a = p.a AND q.b <> p.b OR q.a = p.b AND q.b <> p.a)),
+y AS (SELECT tp.k, coalesce(x.x, 'n') AS ab, coalesce(y.x, 'n') AS ac, coalesce(z.x, 'n') AS bc FROM tp LEFT JOIN pa x ON x.k = tp.k AND x.a = l[1] AND x.b = l[2] LEFT JOIN pa y ON y.k = tp.k AND y.a = l[1] AND y.b = l[3] LEFT JOIN pa z ON z.k = tp.k AND z.a = l[2] AND z.b = l[3]),
+o AS (SELECT k, (ab = 'm')::INT + (ac = 'm')::INT + (bc = 'm')::INT AS m, (ab = 'n')::INT + (ac = 'n')::INT + (bc = 'n')::INT AS n,
+  [(ab = 'u')::INT + (ac = 'u')::INT, (ab = 'd')::INT + (bc = 'u')::INT, (ac = 'd')::INT + (bc = 'd')::INT] AS oo, [(ab = 'd')::INT + (ac = 'd')::INT, (ab = 'u')::INT + (bc = 'd')::INT, (ac = 'u')::INT + (bc = 'u')::INT] AS ii,
+  [(ab = 'm')::INT + (ac = 'm')::INT, (ab = 'm')::INT + (bc = 'm')::INT, (ac = 'm')::INT + (bc = 'm')::INT] AS mm FROM y),
+c AS (SELECT k, m::VARCHAR || (3 - m - n)::VARCHAR || n::VARCHAR || CASE WHEN m = 0 AND n = 1 OR m = 1 AND n = 0 THEN CASE WHEN list_max(oo) = 2 THEN 'D' WHEN list_max(ii) = 2 THEN 'U' ELSE 'C' END WHEN m = 1 AND n = 1 THEN CASE WHEN len(list_filter(range(1, 4), lambda i: mm[i] = 1 AND ii[i] = 1)) > 0 THEN 'D' ELSE 'U' END WHEN m = 0 AND n = 0 THEN CASE WHEN list_max(oo) = 2 THEN 'T' ELSE 'C' END ELSE '' END AS t FROM o),
+g AS (SELECT k, t, count(*)::DOUBLE AS c FROM c GROUP BY ALL)
+SELECT lo AS time, 'triad_' || t AS measure, c AS value FROM g JOIN bins USING (k)""")
+def net_triads(spark, sf):
+    t = _two_metrics(spark, sf, ["triads"]).filter("value > 0")
+    return t.filter(~F.col("measure").isin("triad_003", "triad_012", "triad_102"))
+
+
+@query(N2 + """, fs AS (SELECT k, f AS i, t AS j FROM edge), rr AS (SELECT DISTINCT k, n_name AS a, n_name AS b FROM bins, nation UNION SELECT k, i, j FROM fs), r2 AS (SELECT DISTINCT x.k, x.a, y.b FROM rr x JOIN rr y ON x.k = y.k AND x.b = y.a), r AS (SELECT DISTINCT x.k, x.a, y.b FROM r2 x JOIN r2 y ON x.k = y.k AND x.b = y.a),
+wk AS (SELECT k, v, min(u) AS c FROM (SELECT x.k, x.a AS v, y.a AS u FROM r x JOIN r y ON x.k = y.k AND x.b = y.b UNION SELECT k, a, b FROM r UNION SELECT k, b, a FROM r) GROUP BY ALL), sz AS (SELECT k, c, count(*) AS n FROM wk GROUP BY ALL),
+ab AS (SELECT p.k, p.v AS i, q.v AS j, x.a AS u FROM wk p JOIN wk q ON p.k = q.k AND p.c = q.c AND p.v < q.v JOIN sz ON sz.k = p.k AND sz.c = p.c AND sz.n > 2 LEFT JOIN (SELECT * FROM r) x ON x.k = p.k AND x.b = p.v AND EXISTS (SELECT 1 FROM r y WHERE y.k = p.k AND y.a = x.a AND y.b = q.v)),
+ct AS (SELECT k, i, j, count(u) AS c FROM ab GROUP BY ALL), best AS (SELECT x.k, x.i, x.j, y.u, count(*) AS c FROM ab x JOIN ab y ON x.k = y.k AND x.i = y.i AND x.j = y.j JOIN r ON r.k = x.k AND r.a = x.u AND r.b = y.u GROUP BY ALL),
+bad AS (SELECT ct.k, count(*) FILTER (ct.c = 0 OR b.c IS NULL OR b.c < ct.c) AS bad FROM ct LEFT JOIN (SELECT k, i, j, max(c) AS c FROM best GROUP BY ALL) b USING (k, i, j) GROUP BY ct.k), mx AS (SELECT k, sum((n - 1) * (n - 2) / 2) AS m FROM sz WHERE n > 2 GROUP BY k)
+SELECT lo AS time, 'lubness' AS measure, round(1 - bad / m, 7) AS value FROM bins JOIN bad USING (k) JOIN mx USING (k)""")
+def net_metrics_lubness(spark, sf):
+    return snapshots.metrics(nations(spark, sf), ["lubness"]).select("time", "measure", F.round("value", 7).alias("value"))
+
+
+OVERS = N2 + """, sz AS (SELECT bins.k, lo AS time, coalesce(c, 0) AS c FROM bins LEFT JOIN (SELECT k, count(*) AS c FROM edge GROUP BY k) USING (k)),
+ov AS (SELECT p.time AS time1, q.time AS time2, p.c::DOUBLE AS a, q.c::DOUBLE AS b, (SELECT count(*) FROM edge x JOIN edge y ON x.f = y.f AND x.t = y.t WHERE x.k = p.k AND y.k = q.k) AS i FROM sz p, sz q)
+"""
+for _method, _sql in {"overlap": "CASE WHEN least(a, b) > 0 THEN i / least(a, b) END", "hamming": "a + b - 2 * i", "pearson": "CASE WHEN a * (600 - a) * b * (600 - b) > 0 THEN (600 * i - a * b) / sqrt(a * (600 - a) * b * (600 - b)) END"}.items():
+
+    def _similar(spark, sf, m=_method):
+        return crossbin.similarity(nations(spark, sf), m).withColumn("value", F.round("value", 7))
+
+    _similar.__name__ = f"net_similarity_{_method}"
+    query(OVERS + f"SELECT time1, time2, round({_sql}, 7) AS value FROM ov")(_similar)
+
+
+# Presence, observed time and censoring on N2: nation number r is there from day 10 r to day 2200 - 7 r and again for the last 100 days;
+# watched are the days up to 900 and from 1200 on; starts of small orders and ends of large ones are censored.
+SEEN_SQL = N2 + """, w(a, b) AS (SELECT lo, lo + 900 FROM span UNION ALL SELECT lo + 1200, hi FROM span), r AS (SELECT n_name AS v, CAST(substr(n_name, 8) AS INT) AS r FROM nation),
+pr AS (SELECT v, lo + 10 * r AS a, lo + 2200 - 7 * r AS b FROM r, span UNION ALL SELECT v, hi - 100, hi FROM r, span),
+fr AS (SELECT row_number() OVER () AS id, sp.f, sp.t, sp.s, sp.e, sp.w, sp.ses, sp.w < 10 AS oc, sp.w > 40 AS tc FROM sp),
+fg AS (SELECT id, f, t, s AS s0, e AS e0, greatest(s, w.a, p.a, q.a) AS s, least(e, w.b, p.b, q.b) AS e, oc, tc FROM fr JOIN w ON s < w.b AND e > w.a JOIN pr p ON p.v = f AND s < p.b AND e > p.a JOIN pr q ON q.v = t AND s < q.b AND e > q.a WHERE greatest(s, w.a, p.a, q.a) < least(e, w.b, p.b, q.b)),
+vt AS (SELECT v, greatest(w.a, pr.a) AS a, least(w.b, pr.b) AS b FROM pr JOIN w ON pr.a < w.b AND pr.b > w.a WHERE greatest(w.a, pr.a) < least(w.b, pr.b))
+"""
+
+
+def seen(spark: SparkSession, sf: str) -> Network:
+    net = nations(spark, sf)
+    lo, hi = net.span()
+    r = F.substring("name", 8, 9).cast("int")
+    long = net.nodes.select(F.col("name").alias("node"), (F.lit(lo) + 10 * r).alias("start"), (F.lit(lo + 2200) - 7 * r).alias("end"))
+    again = net.nodes.select(F.col("name").alias("node"), F.lit(hi - 100).alias("start"), F.lit(hi).alias("end"))
+    s = net.spells.withColumns({"onset_censored": F.col("weight") < 10, "terminus_censored": F.col("weight") > 40})
+    return edit.set_observations(edit.set_vertex_spells(net.with_(spells=s), long.unionByName(again)), [(lo, lo + 900), (lo + 1200, hi)])
+
+
+@query(SEEN_SQL + """SELECT f AS "from", t AS "to", s AS start, e AS "end", s0 AS raw_start, e0 AS raw_end FROM fg""")
+def net_fragments(spark, sf):
+    return seen(spark, sf).fragments().select("from", "to", "start", "end", "raw_start", "raw_end")
+
+
+@query(SEEN_SQL + "SELECT v AS node, count(*) AS events, round(sum(b - a), 6) AS total, min(a) AS first, max(b) AS last FROM vt GROUP BY v")
+def net_durations_vertex_activity(spark, sf):
+    return dynamics.durations(seen(spark, sf), "vertex_activity").withColumn("total", F.round("total", 6))
+
+
+@query(SEEN_SQL + "SELECT v AS node, b - a AS duration, a AS first, b AS last FROM vt")
+def net_durations_vertex_spell(spark, sf):
+    return dynamics.durations(seen(spark, sf), "vertex_spell")
+
+
+@query(SEEN_SQL + """SELECT f AS "from", t AS "to", count(*) AS events, round(sum(d), 6) AS total, round(avg(d), 6) AS mean, round(median(d), 6) AS median, min(s) AS first, max(e) AS last FROM (SELECT id, f, t, sum(e - s) AS d, min(s) AS s, max(e) AS e FROM fg GROUP BY ALL) GROUP BY f, t""")
+def net_durations_pair_seen(spark, sf):
+    d = dynamics.durations(seen(spark, sf)).drop("union")
+    return d.withColumns({c: F.round(c, 6) for c in ("total", "mean", "median")})
+
+
+GRID_SQL = SEEN_SQL.replace("bins AS (SELECT k, lo + 180 * k AS lo, lo + 180 * (k + 1) AS hi, k = n - 1 AS closed FROM (SELECT lo, CAST(ceil((hi - lo) / 180) AS INT) AS n, unnest(range(0, CAST(ceil((hi - lo) / 180) AS INT))) AS k FROM span))", "bins AS (SELECT 1 AS k, lo + 0.0 AS lo, hi, true AS closed FROM span)")
+
+
+@query(GRID_SQL + """, ov AS (SELECT *, max(e) OVER (PARTITION BY f, t ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM fg), iv AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY f, t ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM ov), oc AS (SELECT sum(e - s) AS o FROM (SELECT f, t, g, min(s) AS s, max(e) AS e FROM iv GROUP BY ALL)),
+rk AS (SELECT sum(least(x.b, y.b) - greatest(x.a, y.a)) AS r FROM vt x JOIN vt y ON x.v <> y.v AND x.a < y.b AND y.a < x.b), cr AS (SELECT sum(least(x.b, y.b) - greatest(x.a, y.a)) AS r FROM (SELECT DISTINCT f, t FROM fg) c JOIN vt x ON x.v = f JOIN vt y ON y.v = t AND x.a < y.b AND y.a < x.b),
+os AS (SELECT count(*)::DOUBLE AS n FROM fr JOIN w ON s >= w.a AND s <= w.b WHERE NOT oc)
+SELECT round(rk.r, 2) AS risk, round(o, 2) AS occupied, round(cr.r, 2) AS cohort_risk, n AS onsets, round(o / rk.r, 9) AS temporal_density FROM rk, oc, cr, os""")
+def net_exposure_seen(spark, sf):
+    x = dynamics.exposure(seen(spark, sf), window="all")
+    return x.select(*[F.round(c, 2).alias(c) for c in ("risk", "occupied", "cohort_risk")], "onsets", F.round("temporal_density", 9).alias("temporal_density"))
+
+
+@query(GRID_SQL + """SELECT (SELECT count(*) FROM fr JOIN w ON s >= w.a AND s <= w.b WHERE NOT oc) AS formation, (SELECT count(*) FROM fr JOIN w ON e >= w.a AND e <= w.b WHERE NOT tc) AS dissolution, (SELECT count(DISTINCT id) FROM fg) AS active""")
+def net_events_seen(spark, sf):
+    return dynamics.events(seen(spark, sf), window="all").select("formation", "dissolution", "active")
+
+
+@query(N2 + """, tm AS (SELECT floor(lo) + 180.0 * i AS x FROM span, (SELECT unnest(range(1, 14)) AS i) WHERE i < (hi - lo) // 180), st AS (SELECT x, f, t, max((s < x AND x <= e)::INT) AS b, max((s <= x AND x < e)::INT) AS a, max((s = x)::INT) AS o, max((e = x)::INT) AS z FROM sp JOIN tm ON s < x AND x <= e OR s <= x AND x < e GROUP BY ALL),
+g AS (SELECT x, sum(b) AS ties, count(*) FILTER (b = 0 AND a = 1 AND o = 1) AS made, count(*) FILTER (b = 1 AND a = 0 AND z = 1) AS ended FROM st GROUP BY x)
+SELECT x AS time, round(CASE WHEN 600 - ties > 0 THEN made / (600 - ties) END, 9) AS formation_fraction, round(ended / ties, 9) AS dissolution_fraction FROM g""")
+def net_transitions_whole(spark, sf):
+    net = nations(spark, sf)
+    lo, hi = net.span()
+    t = dynamics.transitions(net, [float(int(lo)) + k * 180.0 for k in range(1, int((hi - lo) / 180.0))])
+    return t.withColumns({c: F.round(c, 9) for c in ("formation_fraction", "dissolution_fraction")})
+
+
+ALL = """SELECT f AS "from", t AS "to", s AS start, e AS "end", w AS weight, ses AS session FROM """
+
+
+def _spells(net: Network) -> DataFrame:
+    return net.spells.select("from", "to", "start", "end", "weight", "session")
+
+
+@query(N2 + ALL + "(SELECT * FROM sp UNION ALL SELECT 'NATION_1', 'NEW', lo, lo + 5.0, 2.0, 'x' FROM span)")
+def net_edit_add(spark, sf):
+    net = edit.add_nodes(nations(spark, sf), spark.createDataFrame([("NEW", 9)], "name string, region int"))
+    lo = net.span()[0]
+    return _spells(edit.add_ties(net, spark.createDataFrame([("NATION_1", "NEW", lo, lo + 5, 2.0, "x")], "from string, to string, start double, end double, weight double, session string")))
+
+
+@query(N2 + ALL + "(SELECT * FROM sp UNION ALL SELECT 'NATION_2', 'NATION_2', lo, hi, 1.0, NULL FROM span)")
+def net_edit_add_arcs(spark, sf):
+    net = nations(spark, sf)
+    lo, hi = net.span()
+    return _spells(edit.add_arcs(net, spark.createDataFrame([("NATION_2", "NATION_2", lo, hi)], "from string, to string, start double, end double"), loops=True))
+
+
+@query(N2 + ALL + "sp WHERE NOT (w > 30 AND f = 'NATION_3')")
+def net_edit_remove_ties(spark, sf):
+    return _spells(edit.remove_ties(nations(spark, sf), "weight > 30", source="NATION_3"))
+
+
+@query(N2 + ALL + "sp WHERE NOT (f = 'NATION_4' AND t = 'NATION_5' AND ses = '5-LOW')")
+def net_edit_remove_arcs(spark, sf):
+    return _spells(edit.remove_arcs(nations(spark, sf), source="NATION_4", target="NATION_5", session="5-LOW"))
+
+
+@query(N2 + "SELECT f AS \"from\", t AS \"to\", s AS start, CASE WHEN w > 25 THEN e + 1 ELSE e END AS \"end\", CASE WHEN w > 25 THEN w * 2 ELSE w END AS weight, ses AS session FROM sp")
+def net_edit_update_ties(spark, sf):
+    return _spells(edit.update_ties(nations(spark, sf), "weight > 25", {"weight": F.col("weight") * 2, "end": F.col("end") + 1}))
+
+
+@query("SELECT n_name AS name, CASE WHEN n_name = 'NATION_0' THEN 77 ELSE n_regionkey END AS region, CASE WHEN n_name IN ('NATION_0', 'NATION_1') THEN n_name || '!' END AS note FROM nation")
+def net_edit_update_nodes(spark, sf):
+    net = edit.update_nodes(nations(spark, sf), spark.createDataFrame([("NATION_0", "NATION_0!"), ("NATION_1", "NATION_1!")], "name string, note string"))
+    return edit.update_nodes(net, spark.createDataFrame([("NATION_0", 77)], "name string, region int")).nodes.select("name", "region", "note")
+
+
+_SWAP = "CASE {c} WHEN 'NATION_0' THEN 'NATION_1' WHEN 'NATION_1' THEN 'NATION_0' WHEN 'NATION_2' THEN 'TWO' ELSE {c} END"
+
+
+@query(N2 + f"""SELECT {_SWAP.format(c="f")} AS "from", {_SWAP.format(c="t")} AS "to", s AS start, e AS "end", w AS weight, ses AS session FROM sp""")
+def net_edit_rename_nodes(spark, sf):
+    return _spells(edit.rename_nodes(nations(spark, sf), {"NATION_0": "NATION_1", "NATION_1": "NATION_0", "NATION_2": "TWO"}))
+
+
+@query(N2 + """SELECT f AS "from", t AS "to", s AS start, e AS "end", w AS weight, CASE ses WHEN '1-URGENT' THEN 'now' ELSE ses END AS session FROM sp""")
+def net_edit_rename_sessions(spark, sf):
+    return _spells(edit.rename_sessions(nations(spark, sf), {"1-URGENT": "now"}))
+
+
+@query(N2 + 'SELECT v AS node, min(s) AS start, max(e) AS "end" FROM (SELECT f AS v, s, e FROM sp UNION ALL SELECT t, s, e FROM sp) GROUP BY v')
+def net_edit_vertex_spells_of_ties(spark, sf):
+    return edit.set_vertex_spells(nations(spark, sf), "ties").presence
+
+
+_OWN = "(SELECT n_name AS node, CAST(substr(n_name, 8) AS INT)::DOUBLE AS a FROM nation)"
+
+
+def _declared(spark: SparkSession, sf: str) -> Network:
+    net = nations(spark, sf)
+    a = F.substring("name", 8, 9).cast("double")
+    return edit.set_vertex_spells(net, net.nodes.select(F.col("name").alias("node"), a.alias("start"), (a + 10).alias("end")))
+
+
+@query(f"""SELECT node, a AS start, a + CASE WHEN a < 5 THEN 20 ELSE 10 END AS "end" FROM {_OWN} UNION ALL SELECT node, a + 100, a + 101 FROM {_OWN} WHERE a >= 20""")
+def net_edit_add_vertex_spells(spark, sf):
+    net = _declared(spark, sf)
+    a = F.col("start")
+    more = net.presence.filter("start < 5").select("node", (a + 10).alias("start"), (a + 20).alias("end")).unionByName(net.presence.filter("start >= 20").select("node", (a + 100).alias("start"), (a + 101).alias("end")))
+    return edit.add_vertex_spells(net, more).presence
+
+
+@query(f"""SELECT node, a AS start, a + 10 AS "end" FROM {_OWN} WHERE a < 15""")
+def net_edit_remove_vertex_spells(spark, sf):
+    return edit.remove_vertex_spells(_declared(spark, sf), "start >= 15").presence
+
+
+@query(f"""SELECT node, a AS start, CASE WHEN a > 7 THEN 99.0 ELSE a + 10 END AS "end" FROM {_OWN}""")
+def net_edit_update_vertex_spells(spark, sf):
+    return edit.update_vertex_spells(_declared(spark, sf), "start > 7", {"end": 99.0}).presence
+
+
+@query(N2 + 'SELECT CAST(i AS INTEGER) AS observation, lo + a AS start, lo + b AS "end", b - a AS duration FROM span, (VALUES (1, 0.0::DOUBLE, 50.0::DOUBLE), (2, 60.0::DOUBLE, 90.0::DOUBLE)) v(i, a, b)')
+def net_edit_observations(spark, sf):
+    net = nations(spark, sf)
+    lo = net.span()[0]
+    watched = edit.set_observations(edit.clear_observations(net), [(lo + 60, lo + 80), (lo, lo + 30), (lo + 20, lo + 50), (lo + 80, lo + 90)])
+    return results.tidy(watched, "observations").select("observation", "start", "end", F.round("duration", 6).alias("duration"))
+
+
+@query(N2 + """SELECT f AS "from", t AS "to", s AS start, e AS "end", w AS weight, ses AS session FROM sp""")
+def net_interval_network(spark, sf):
+    rows = nations(spark, sf).spells.select(F.col("from").alias("source"), F.col("to").alias("target"), F.col("start").alias("onset"), F.col("end").alias("terminus"), "weight", "session")
+    return _spells(builders.network(rows))
+
+
+@query("""SELECT 'C' || o_custkey AS "from", 'S' || l_suppkey AS "to", epoch_us(o_orderdate) / 86400e6 AS start, epoch_us(o_orderdate) / 86400e6 AS "end", l_quantity AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def net_contact_network(spark, sf):
+    from kairograph.registry import _days, _t
+
+    o = _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("sender"), _days("o_orderdate").alias("time"))
+    rows = _t(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("sender", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("receiver"), "time", F.col("l_quantity").alias("weight"))
+    return builders.network(rows).spells.select("from", "to", "start", "end", "weight")
