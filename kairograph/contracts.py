@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.operators import centrality, communities, crossbin, dynamics, edit, nulls, paths, results, sequences, snapshots
+from kairograph.operators import centrality, communities, crossbin, dynamics, edit, nulls, paths, results, sequences, snapshots, summaries
 from kairograph.plans.network import Network
 from kairograph.registry import BASE, DEG, ISLE, N1, N2, ORACLE_SQL, QUERIES, nations, query, turns
 from kairograph.sources import builders
@@ -354,7 +354,7 @@ def net_events_seen(spark, sf):
     return dynamics.events(seen(spark, sf), window="all").select("formation", "dissolution", "active")
 
 
-@query(N2 + """, tm AS (SELECT floor(lo) + 180.0 * i AS x FROM span, (SELECT unnest(range(1, 14)) AS i) WHERE i < (hi - lo) // 180), st AS (SELECT x, f, t, max((s < x AND x <= e)::INT) AS b, max((s <= x AND x < e)::INT) AS a, max((s = x)::INT) AS o, max((e = x)::INT) AS z FROM sp JOIN tm ON s < x AND x <= e OR s <= x AND x < e GROUP BY ALL),
+@query(N2 + """, tm AS (SELECT floor(lo) + 180.0 * i AS x FROM span, (SELECT unnest(range(1, 14)) AS i) WHERE i < floor((hi - lo) / 180)), st AS (SELECT x, f, t, max((s < x AND x <= e)::INT) AS b, max((s <= x AND x < e)::INT) AS a, max((s = x)::INT) AS o, max((e = x)::INT) AS z FROM sp JOIN tm ON s < x AND x <= e OR s <= x AND x < e GROUP BY ALL),
 g AS (SELECT x, sum(b) AS ties, count(*) FILTER (b = 0 AND a = 1 AND o = 1) AS made, count(*) FILTER (b = 1 AND a = 0 AND z = 1) AS ended FROM st GROUP BY x)
 SELECT x AS time, round(CASE WHEN 600 - ties > 0 THEN made / (600 - ties) END, 9) AS formation_fraction, round(ended / ties, 9) AS dissolution_fraction FROM g""")
 def net_transitions_whole(spark, sf):
@@ -472,3 +472,202 @@ def net_contact_network(spark, sf):
     o = _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("sender"), _days("o_orderdate").alias("time"))
     rows = _t(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("sender", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("receiver"), "time", F.col("l_quantity").alias("weight"))
     return builders.network(rows).spells.select("from", "to", "start", "end", "weight")
+
+
+@query(OVERS + """, x AS (SELECT time1, time2, i / (a + b - i) AS value FROM ov WHERE time1 <> time2) SELECT time1 AS time, round(avg(value), 7) AS mean, round(min(value), 7) AS min, round(max(value), 7) AS max, arg_max(time2, (value, -time2)) AS nearest FROM x GROUP BY time1""")
+def net_similarity_summary(spark, sf):
+    r = summaries.similarity_summary(crossbin.similarity(nations(spark, sf)))
+    return r.withColumns({c: F.round(c, 7) for c in ("mean", "min", "max")})
+
+
+@query(N2 + """SELECT CAST(k + 1 AS INTEGER) AS bin, coalesce(v, 0) AS active, coalesce(c, 0) AS within_slice, CASE WHEN closed THEN 0 ELSE 25 END AS identity_arcs FROM bins LEFT JOIN (SELECT k, count(*) AS c FROM edge GROUP BY k) USING (k) LEFT JOIN (SELECT k, count(*) AS v FROM (SELECT k, f FROM edge UNION SELECT k, t FROM edge) GROUP BY k) USING (k)""")
+def net_projection_summary(spark, sf):
+    return summaries.projection_summary(*crossbin.projection(nations(spark, sf)))
+
+
+@query(N2 + """SELECT n_name || '@' || (k + 1) AS state, n_name AS node, CAST(k + 1 AS INTEGER) AS bin, lo AS time FROM bins, nation""")
+def net_projection_vertices(spark, sf):
+    return crossbin.projection(nations(spark, sf))[0]
+
+
+@query(JOURNEY_SQL + """, p AS (SELECT src, v, max(a) - 1 AS l, max(h) AS h FROM best GROUP BY ALL), n AS (SELECT f AS v FROM c UNION SELECT t FROM c)
+SELECT n.v AS source, count(p.v) AS reachable, count(p.v) / (SELECT count(*) - 1 FROM n) AS share, median(l) AS median_latency, max(l) AS max_latency, median(h)::DOUBLE AS median_hops, max(h)::DOUBLE AS max_hops FROM n LEFT JOIN p ON p.src = n.v GROUP BY n.v""")
+def net_paths_summary(spark, sf):
+    net = _log(spark, JOURNEYS)
+    return summaries.paths_summary(paths.paths(net), net.nodes).withColumn("max_hops", F.col("max_hops").cast("double"))
+
+
+@query(JOURNEY_SQL + """, q AS (SELECT v, array_to_string(list_prepend(src, list_transform(r, lambda x: x.t)), ' -> ') AS route, h, a FROM best) SELECT v AS node, count(DISTINCT route) AS routes, count(*) AS count, count(*) / (SELECT count(*) FROM q) AS share, min(h)::INTEGER AS min_hops, min(a) AS first_arrival FROM q GROUP BY v""")
+def net_pathway_endpoints(spark, sf):
+    return summaries.pathway_endpoints(paths.path_steps(_log(spark, JOURNEYS)))
+
+
+PATH_EDGES = JOURNEY_SQL + """, pe AS (SELECT x.f AS f, x.t AS t, count(*) AS w, min(x.s) AS first, max(x.s) AS last FROM (SELECT unnest(r) AS x FROM best) GROUP BY ALL)
+"""
+
+
+@query(PATH_EDGES + """SELECT v AS node, sum(o)::BIGINT AS out_weight, sum(i)::BIGINT AS in_weight, min(t) AS first FROM (SELECT f AS v, w AS o, 0 AS i, NULL AS t FROM pe UNION ALL SELECT t, 0, w, first FROM pe) GROUP BY v""")
+def net_path_network_nodes(spark, sf):
+    return summaries.path_network_nodes(paths.path_network(paths.path_steps(_log(spark, JOURNEYS))))
+
+
+@query(PATH_EDGES + """SELECT u.property, u.value FROM (SELECT count(*)::DOUBLE AS edges, sum(w)::DOUBLE AS traversals, max(w)::DOUBLE AS heaviest, min(first) AS first, max(last) AS last, (SELECT count(*)::DOUBLE FROM (SELECT f FROM pe UNION SELECT t FROM pe)) AS nodes FROM pe) UNPIVOT (value FOR property IN (edges, traversals, heaviest, first, last, nodes)) u""")
+def net_path_network_summary(spark, sf):
+    return summaries.path_network_summary(paths.path_network(paths.path_steps(_log(spark, JOURNEYS))))
+
+
+TREE_SQL = JOURNEY_SQL + """, k AS (SELECT list_prepend(src || '@' || (SELECT min(s) FROM c), list_transform(r, lambda x: x.t || '@' || x.s)) AS k FROM best), pf AS (SELECT k[1:d] AS p, d FROM (SELECT k, unnest(range(1, len(k) + 1)) AS d FROM k)), tr AS (SELECT array_to_string(p, '>') AS prefix, CASE WHEN d > 1 THEN array_to_string(p[1:d - 1], '>') END AS parent, p[d] AS node, d::INTEGER AS depth, count(*) AS count FROM pf GROUP BY ALL)
+"""
+
+
+@query(TREE_SQL + "SELECT x.*, x.count / y.count AS probability FROM tr x LEFT JOIN tr y ON x.parent = y.prefix")
+def net_path_trajectories_sessions(spark, sf):
+    return paths.path_trajectories(paths.path_steps(_log(spark, JOURNEYS)))
+
+
+@query(TREE_SQL + """SELECT depth, count(*) AS branches, count(DISTINCT split_part(node, '@', 1)) AS vertices, sum(count)::BIGINT AS count, avg(kids) AS mean_branching FROM tr LEFT JOIN (SELECT parent AS prefix, count(*) AS kids FROM tr WHERE parent IS NOT NULL GROUP BY parent) USING (prefix) GROUP BY depth""")
+def net_trajectory_depths(spark, sf):
+    return summaries.trajectory_depths(paths.path_trajectories(paths.path_steps(_log(spark, JOURNEYS))))
+
+
+@query(N2 + """, o AS (SELECT *, max(e) OVER (PARTITION BY ses, f, t ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM sp), i AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY ses, f, t ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), u AS (SELECT ses, sum(e - s) AS u FROM (SELECT ses, f, t, g, min(s) AS s, max(e) AS e FROM i GROUP BY ALL) GROUP BY ses)
+SELECT ses AS session, count(DISTINCT (f, t)) AS pairs, (SELECT count(DISTINCT v) FROM (SELECT f AS v FROM sp x WHERE x.ses = sp.ses UNION SELECT t FROM sp x WHERE x.ses = sp.ses)) AS nodes, round(any_value(u), 4) AS union_duration, round(sum(e - s), 4) AS total_duration FROM sp JOIN u USING (ses) GROUP BY sp.ses""")
+def net_collapsed_sessions(spark, sf):
+    return summaries.collapsed_sessions(nations(spark, sf)).withColumns({c: F.round(c, 4) for c in ("union_duration", "total_duration")})
+
+
+@query(N2 + """SELECT v AS node, count(DISTINCT w) AS partners, count(*) AS spells, round(sum(e - s), 4) AS total_duration FROM (SELECT f AS v, t AS w, s, e FROM sp UNION ALL SELECT t, f, s, e FROM sp) GROUP BY v""")
+def net_collapsed_nodes(spark, sf):
+    return summaries.collapsed_nodes(dynamics.collapse_network(nations(spark, sf))).withColumn("total_duration", F.round("total_duration", 4))
+
+
+# A grouping of nations that turns with the windows: communities are known, so what is made of them can be checked.
+GROUPS_SQL = N2 + """, mb AS (SELECT lo AS time, k, n_name AS node, (CAST(substr(n_name, 8) AS INT) + (CASE WHEN CAST(substr(n_name, 8) AS INT) % 3 = 0 THEN k ELSE 0 END)) % 4 AS c FROM bins, nation),
+pv AS (SELECT x.time, x.k, y.c AS a, x.c AS b, count(*)::DOUBLE AS n FROM mb x JOIN mb y ON y.k = x.k - 1 AND y.node = x.node GROUP BY ALL), ra AS (SELECT time, a, sum(n) AS n FROM pv GROUP BY ALL), rb AS (SELECT time, b, sum(n) AS n FROM pv GROUP BY ALL)
+"""
+
+
+def _groups(spark: SparkSession, sf: str) -> tuple[Network, DataFrame]:
+    net = nations(spark, sf)
+    i = F.substring("name", 8, 9).cast("int")
+    k = F.col("bin") - 1
+    bins = results.tidy(net, "bins")
+    member = net.nodes.crossJoin(F.broadcast(bins)).select("time", F.col("name").alias("node"), ((i + F.when(i % 3 == 0, k).otherwise(0)) % 4).alias("community"))
+    return net, member
+
+
+@query(GROUPS_SQL + """, hh AS (SELECT time, -sum(n / 25 * ln(n / 25)) AS h FROM ra GROUP BY time), hb AS (SELECT time, -sum(n / 25 * ln(n / 25)) AS h FROM rb GROUP BY time), mi AS (SELECT pv.time, sum(pv.n / 25 * ln(pv.n * 25 / (ra.n * rb.n))) AS mi, sum(pv.n * (pv.n - 1) / 2) AS s FROM pv JOIN ra USING (time, a) JOIN rb USING (time, b) GROUP BY pv.time),
+pp AS (SELECT time, sum(n * (n - 1) / 2) AS p FROM ra GROUP BY time), pq AS (SELECT time, sum(n * (n - 1) / 2) AS p FROM rb GROUP BY time), sj AS (SELECT time, 50 - sum(m) AS v FROM (SELECT time, max(n) AS m FROM pv GROUP BY time, a UNION ALL SELECT time, max(n) FROM pv GROUP BY time, b) GROUP BY time),
+w AS (SELECT time, 2 * mi / (hh.h + hb.h) AS nmi, hh.h + hb.h - 2 * mi AS vi, (s - pp.p * pq.p / 300) / ((pp.p + pq.p) / 2 - pp.p * pq.p / 300) AS ari, s / (pp.p + pq.p - s) AS jaccard, v AS split_join, ((300 - pp.p - pq.p + 2 * s) / 300 - (pp.p * pq.p + (300 - pp.p) * (300 - pq.p)) / 90000) / (1 - (pp.p * pq.p + (300 - pp.p) * (300 - pq.p)) / 90000) AS omega_index FROM mi JOIN hh USING (time) JOIN hb USING (time) JOIN pp USING (time) JOIN pq USING (time) JOIN sj USING (time))
+SELECT time, u.measure, round(u.value, 7) AS value FROM w UNPIVOT (value FOR measure IN (nmi, vi, ari, jaccard, split_join, omega_index)) u""")
+def net_community_change_known(spark, sf):
+    return communities.community_change(_groups(spark, sf)[1], ["nmi", "vi", "ari", "jaccard", "split_join", "omega_index"]).withColumn("value", F.round("value", 7))
+
+
+@query(GROUPS_SQL + """, l AS (SELECT *, lag(c) OVER (PARTITION BY node ORDER BY k) AS o FROM mb) SELECT node, round(count(*) FILTER (o <> c) / count(o), 9) AS flexibility, count(DISTINCT c) / (SELECT count(DISTINCT c) FROM mb) AS promiscuity, round(1 - count(*) FILTER (o <> c) / count(o), 9) AS persistence FROM l GROUP BY node""")
+def net_community_trajectory_known(spark, sf):
+    t = communities.community_trajectory(_groups(spark, sf)[1])
+    return t.withColumns({c: F.round(c, 9) for c in ("flexibility", "persistence")})
+
+
+@query(GROUPS_SQL + "SELECT x.node AS node1, y.node AS node2, count(*) / (SELECT count(*) FROM bins) AS value FROM mb x JOIN mb y ON x.k = y.k AND x.c = y.c AND x.node <> y.node GROUP BY ALL")
+def net_allegiance(spark, sf):
+    return communities.allegiance(_groups(spark, sf)[1])
+
+
+@query(GROUPS_SQL + """, al AS (SELECT x.node AS a, y.node AS b, sum((x.c = y.c)::INT) / (SELECT count(*) FROM bins) AS v FROM mb x JOIN mb y ON x.k = y.k AND x.node <> y.node GROUP BY ALL)
+SELECT a AS node, round(avg(v) FILTER (p.n_regionkey = q.n_regionkey), 9) AS recruitment, round(avg(v) FILTER (p.n_regionkey <> q.n_regionkey), 9) AS integration FROM al JOIN nation p ON p.n_name = a JOIN nation q ON q.n_name = b GROUP BY a""")
+def net_recruitment(spark, sf):
+    net, member = _groups(spark, sf)
+    r = summaries.recruitment(communities.allegiance(member), net.nodes.select(F.col("name").alias("node"), F.col("region").alias("group")))
+    return r.withColumns({c: F.round(c, 9) for c in ("recruitment", "integration")})
+
+
+@query(GROUPS_SQL + """, l AS (SELECT *, lag(c) OVER (PARTITION BY node ORDER BY k) AS o FROM mb) SELECT time, round(avg((o = c)::INT), 9) AS persistence FROM l WHERE o IS NOT NULL GROUP BY time UNION ALL SELECT NULL, round(avg((o = c)::INT), 9) FROM l WHERE o IS NOT NULL""")
+def net_trajectory_times(spark, sf):
+    return summaries.trajectory_times(_groups(spark, sf)[1]).select("time", F.round("persistence", 9).alias("persistence"))
+
+
+@query(GROUPS_SQL + """SELECT time, c AS community, count(*) AS n_nodes, count(e.v) AS n_active FROM mb LEFT JOIN (SELECT k, f AS v FROM edge UNION SELECT k, t FROM edge) e ON e.k = mb.k AND e.v = node GROUP BY ALL""")
+def net_community_sizes(spark, sf):
+    net, member = _groups(spark, sf)
+    e = snapshots.snapshots(net)
+    return summaries.community_sizes(member, e.select("time", F.explode(F.array("from", "to")).alias("node")))
+
+
+@query(GROUPS_SQL + """SELECT c AS community, count(*) AS n_states, count(DISTINCT node) AS n_nodes, min(time) AS first_time, max(time) AS last_time, count(DISTINCT k) AS n_bins, count(DISTINCT k) / (max(k) - min(k) + 1) AS persistence FROM mb GROUP BY c""")
+def net_community_summary(spark, sf):
+    return summaries.community_summary(_groups(spark, sf)[1])
+
+
+@query(GROUPS_SQL + """, u AS (SELECT k, least(f, t) AS a, greatest(f, t) AS b, sum(weight) AS w FROM edge GROUP BY ALL), ars AS (SELECT k, a AS v, b AS o, w FROM u UNION ALL SELECT k, b, a, w FROM u), dg AS (SELECT k, v, sum(w) AS d FROM ars GROUP BY ALL), m AS (SELECT k, sum(d) AS m FROM dg GROUP BY k),
+ins AS (SELECT ars.k, sum(w) AS x FROM ars JOIN mb p ON p.k = ars.k AND p.node = v JOIN mb q ON q.k = ars.k AND q.node = o WHERE p.c = q.c GROUP BY ars.k), nul AS (SELECT k, sum(d * d) AS y FROM (SELECT dg.k, c, sum(d) AS d FROM dg JOIN mb ON mb.k = dg.k AND node = v GROUP BY ALL) GROUP BY k)
+SELECT lo AS time, round((x - y / m) / m, 9) AS q, m AS two_m, (SELECT count(DISTINCT c) FROM mb WHERE mb.k = bins.k) AS n_communities FROM bins JOIN m USING (k) JOIN ins USING (k) JOIN nul USING (k)""")
+def net_modularity_bins(spark, sf):
+    return summaries.modularity_bins(*_groups(spark, sf)).withColumn("q", F.round("q", 9))
+
+
+@query(N2 + """SELECT r::INTEGER AS replicate, count(*) AS n_events, count(DISTINCT (f, t)) AS n_pairs, round(lo + hi - max(e), 6) AS t_min, round(lo + hi - min(s), 6) AS t_max, round(avg(e - s), 6) AS mean_duration FROM sp, span, (VALUES (1), (2)) v(r) GROUP BY r, lo, hi""")
+def net_surrogates_reversed(spark, sf):
+    g = summaries.surrogate_summary(nulls.randomise(nations(spark, sf), "reversal", n=2))
+    return g.withColumns({c: F.round(c, 6) for c in ("t_min", "t_max", "mean_duration")})
+
+
+@query(DRAW_SQL.replace("SELECT cell, v AS observed, round(m, 9) AS null_mean", "SELECT 'value' AS measure, count(*) AS tested, count(*) FILTER (pa < 0.05) AS significant, round(median(z), 9) AS median_z FROM (SELECT (v - m) / sd AS z, least(1, min(q) OVER (ORDER BY p DESC)) AS pa FROM q) --"))
+def net_significance_summary(spark, sf):
+    null, cells = spark.createDataFrame(DRAWS, "cell string, replicate int, null double"), spark.createDataFrame(SEEN, "cell string, observed double")
+    return summaries.significance_summary(nulls.summarise_null(cells, null.drop("replicate"), ["cell"])).withColumn("median_z", F.round("median_z", 9))
+
+
+@query(N2 + """, g AS (SELECT *, lag(k) OVER (PARTITION BY f, t ORDER BY k) AS p, lead(k) OVER (PARTITION BY f, t ORDER BY k) AS q FROM edge)
+SELECT time, f AS "from", t AS "to", weight, CASE WHEN (p IS NULL OR p <> k - 1) AND (q IS NULL OR q <> k + 1) THEN 'brief' WHEN p IS NULL OR p <> k - 1 THEN 'new' WHEN q IS NULL OR q <> k + 1 THEN 'last' ELSE 'kept' END AS state FROM g""")
+def net_animation_frames(spark, sf):
+    return summaries.animation_frames(nations(spark, sf))
+
+
+@query(N2 + """SELECT f AS "from", t AS "to", s AS start, e AS "end", 5 AS rows_shown, (SELECT count(*) FROM sp) AS rows_in_all FROM sp ORDER BY s, f, t, e LIMIT 5""")
+def net_head(spark, sf):
+    return summaries.head_with_counts(nations(spark, sf).spells.select("from", "to", "start", "end"), ["start", "from", "to", "end"], 5)
+
+
+WINDOWED = _values(JOURNEYS).replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT unnest([1.0::DOUBLE, 4.0::DOUBLE, 7.0::DOUBLE]) AS lo), vs AS (SELECT f AS v FROM c UNION SELECT t FROM c), w AS (SELECT lo, v AS src, ses, v, lo AS a, 0 AS h FROM b, vs, (SELECT DISTINCT ses FROM c) UNION ALL SELECT lo, src, w.ses, c.t, c.s, h + 1 FROM w JOIN c ON c.f = w.v AND c.ses = w.ses AND c.s >= w.a AND c.s <= lo + 3 WHERE h < 8),
+d AS (SELECT lo, src, v, min((a, h)) AS m FROM w WHERE src <> v GROUP BY ALL)
+"""
+
+
+@query(WINDOWED + "SELECT lo AS time, src AS source, v AS node, m[2]::DOUBLE AS distance FROM d".replace("m[2]", "struct_extract(m, 2)"))
+def net_temporal_distances(spark, sf):
+    return paths.temporal_distances(_log(spark, JOURNEYS), step=3.0)
+
+
+@query(WINDOWED + "SELECT lo AS time, round(coalesce(sum(CASE WHEN struct_extract(m, 1) > lo THEN 1 / (struct_extract(m, 1) - lo) END), 0) / 72, 9) AS temporal_efficiency, max(struct_extract(m, 1) - lo) AS temporal_diameter, count(*) = 72 AS connected FROM b LEFT JOIN d USING (lo) GROUP BY lo")
+def net_window_efficiency(spark, sf):
+    return paths.window_efficiency(_log(spark, JOURNEYS), basis="latency", step=3.0).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
+
+
+def _attributed() -> str:
+    """Every three turns in a window of three, by the class at each vertex it belongs to, straight from the definition."""
+    return """, r AS (SELECT *, row_number() OVER (ORDER BY s, f, t) AS i FROM c), k AS (SELECT [x, y, z] AS l FROM r x JOIN r y ON x.i < y.i JOIN r z ON y.i < z.i WHERE z.s <= x.s + 0.31),
+n AS (SELECT l, list_distinct(list_concat(list_transform(l, lambda e: e.f), list_transform(l, lambda e: e.t))) AS vs FROM k), u AS (SELECT l, len(vs) AS n, unnest(vs) AS v FROM n WHERE len(vs) <= 3)
+SELECT v AS node, count(*) AS count FROM u WHERE n = 3 AND len(list_filter(l, lambda e: e.f = v OR e.t = v)) = 2 AND len(list_distinct(list_transform(l, lambda e: least(e.f, e.t) || greatest(e.f, e.t)))) = 3 OR len(list_filter(l, lambda e: e.f = v OR e.t = v)) = 3 GROUP BY v"""
+
+
+@query(_values(TENTHS) + _attributed())
+def net_motif_nodes(spark, sf):
+    return sequences.motif_nodes(_log(spark, TENTHS), delta=0.31).groupBy("node").agg(F.sum("count").alias("count"))
+
+
+@query(ORACLE_SQL["net_motifs"].replace("SELECT CAST(cl.m AS INTEGER) AS motif, family, pattern, count(kk.key) AS count FROM cl", ", ct AS (SELECT CAST(cl.m AS INTEGER) AS motif, family, count(kk.key) AS count FROM cl") + ") SELECT family, sum(count)::BIGINT AS count, round(sum(count) / (SELECT sum(count) FROM ct), 9) AS share, CASE WHEN sum(count) > 0 THEN arg_max(motif, (count, -motif))::DOUBLE END AS top_motif FROM ct GROUP BY family")
+def net_motif_summary(spark, sf):
+    return sequences.motif_summary(sequences.motifs(turns(spark, sf), delta=0.02)).withColumns({"share": F.round("share", 9), "top_motif": F.col("top_motif").cast("double")})
+
+
+@query(_values(TENTHS).replace("WITH", "WITH RECURSIVE", 1) + f""", g AS (SELECT x.f || x.t || x.s AS a, y.f || y.t || y.s AS b FROM c x JOIN c y ON x.t = y.f AND y.s > x.s + {TOLERANT}), w AS (SELECT f || t || s AS e, 1 AS n FROM c UNION SELECT b, n + 1 FROM w JOIN g ON a = e)
+SELECT n AS length, count(*) AS events FROM (SELECT e, max(n)::INTEGER AS n FROM w WHERE e IN (SELECT a FROM g UNION SELECT b FROM g) GROUP BY e) GROUP BY n""")
+def net_event_chains(spark, sf):
+    return sequences.event_chains(sequences.event_graph(_log(spark, TENTHS))).groupBy("length").agg(F.count("*").alias("events"))
+
+
+@query(N1 + """SELECT ses AS session, f AS "from", s AS start, list_sort(list(DISTINCT t)) AS "to" FROM sp GROUP BY ALL""")
+def net_event_messages(spark, sf):
+    return sequences.event_graph_events(turns(spark, sf), merge=True).select("session", "from", "start", "to")

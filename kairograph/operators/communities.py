@@ -250,29 +250,47 @@ def compare_groupings(t: np.ndarray) -> dict[str, float]:
         "ari": (same - mean) / ((pa + pb) / 2 - mean) if abs((pa + pb) / 2 - mean) > 1e-15 else 1.0,
         "jaccard": same / (pa + pb - same) if pa + pb - same > 0 else 1.0,
         "split_join": float(2 * n - t.max(1).sum() - t.max(0).sum()),
+        "iami": (mi - emi) / (mid - emi) if abs(mid - emi) > 1e-15 else 1.0,
+        "omega_index": _omega(same, pa, pb, whole),
     }
 
 
+def _omega(same: float, pa: float, pb: float, whole: float) -> float:
+    """Agreement of pairs beyond chance."""
+    if not whole:
+        return 1.0
+    seen, chance = (whole - pa - pb + 2 * same) / whole, (pa * pb + (whole - pa) * (whole - pb)) / whole**2
+    return (seen - chance) / (1 - chance) if abs(1 - chance) > 1e-15 else 1.0
+
+
 def community_change(membership: DataFrame, measures: list[str] | None = None, against: str = "previous") -> DataFrame:
-    """``time, measure, value``: how groupings differ from the previous, or the first, window."""
+    """``time, [other,] measure, value``: how groupings differ from the previous, the first, or all windows.
+
+    Compared are the vertices that both windows have, so adjustment for chance is
+    that of their intersection (``ami`` and ``iami`` are one number).
+    """
     asked = list(measures or ("nmi", "ami", "vi", "ari", "jaccard", "split_join"))
     m = membership.select("time", "node", F.col("community").cast("string").alias("c"))
     times = m.select("time").distinct()
     w = Window.orderBy("time")
-    step = times.withColumn("base", F.lag("time").over(w) if against == "previous" else F.first("time").over(w))  # one row for each window
-    if against not in ("previous", "first"):
-        raise BadInput("against is previous or first")
+    if against not in ("previous", "first", "all"):
+        raise BadInput("against is previous, first or all")
+    if against == "all":
+        step = times.crossJoin(times.withColumnRenamed("time", "base"))  # pairs of windows are the result
+    else:
+        step = times.withColumn("base", F.lag("time").over(w) if against == "previous" else F.first("time").over(w))  # one row for each window
     step = step.filter("base is not null and base <> time")
     old = m.select(F.col("time").alias("base"), "node", F.col("c").alias("c0"))
-    t = m.join(F.broadcast(step), "time").join(old, ["base", "node"]).groupBy("time", "c0", "c").agg(F.count("*").alias("n"))
+    t = m.join(F.broadcast(step), "time").join(old, ["base", "node"]).groupBy("time", "base", "c0", "c").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = compare_groupings(pdf.pivot(index="c0", columns="c", values="n").fillna(0).to_numpy(float))
         if bad := [x for x in asked if x not in got]:
             raise UnknownMeasure(str(bad))
-        return pd.DataFrame({"time": pdf["time"].iloc[0], "measure": asked, "value": [got[x] for x in asked]})
+        return pd.DataFrame({"time": pdf["time"].iloc[0], "other": pdf["base"].iloc[0], "measure": asked, "value": [got[x] for x in asked]})
 
-    return t.groupBy("time").applyInPandas(run, "time double, measure string, value double")
+    out = t.groupBy("time", "base").applyInPandas(run, "time double, other double, measure string, value double")
+    return out if against == "all" else out.drop("other")
 
 
 def community_trajectory(membership: DataFrame) -> DataFrame:

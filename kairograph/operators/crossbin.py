@@ -186,9 +186,20 @@ def silhouette(d: np.ndarray, label: list[int]) -> float:
     return float(np.mean(out)) if out else float("nan")
 
 
-def phases(net: Network, method: str = "jaccard", cluster: str = "contiguous", k: int | None = None, k_max: int = 6, **grid) -> DataFrame:
-    """``time, phase``: windows grouped by likeness; windows are few and gathered on the driver."""
+def phase_profile(net: Network, method: str = "jaccard", cluster: str = "contiguous", k_max: int = 6, **grid) -> DataFrame:
+    """``k, silhouette_mean, within_ss, n_singletons`` of the groupings that `phases` chooses from."""
     spark: SparkSession = net.spells.sparkSession
+    _, d = _window_distances(net, method, grid)
+    rows = []
+    for k in range(2, min(k_max, len(d) - 1) + 1):
+        label = np.array(best_segments(d, k) if cluster == "contiguous" else agglomerate(d, k, cluster))
+        within = sum(float((d[np.ix_(label == c, label == c)] ** 2).sum()) / 2 / int((label == c).sum()) for c in set(label.tolist()))
+        rows.append((k, silhouette(d, label.tolist()), within, int(sum((label == c).sum() == 1 for c in set(label.tolist())))))
+    return spark.createDataFrame(rows, "k int, silhouette_mean double, within_ss double, n_singletons int")
+
+
+def _window_distances(net: Network, method: str, grid: dict) -> tuple[list[float], np.ndarray]:
+    """Times and unlikeness of windows, which are few, on the driver."""
     pdf = similarity(net, method, **grid).toPandas().sort_values(["time1", "time2"])
     times = sorted(pdf["time1"].unique())
     n = len(times)
@@ -197,6 +208,14 @@ def phases(net: Network, method: str = "jaccard", cluster: str = "contiguous", k
     s = pdf["value"].fillna(0.0).to_numpy().reshape(n, n)
     d = s / max(s.max(), 1.0) if method == "hamming" else 1 - s
     np.fill_diagonal(d, 0)
+    return times, d
+
+
+def phases(net: Network, method: str = "jaccard", cluster: str = "contiguous", k: int | None = None, k_max: int = 6, **grid) -> DataFrame:
+    """``time, phase``: windows grouped by likeness; windows are few and gathered on the driver."""
+    spark: SparkSession = net.spells.sparkSession
+    times, d = _window_distances(net, method, grid)
+    n = len(times)
     split = (lambda c: best_segments(d, c)) if cluster == "contiguous" else (lambda c: agglomerate(d, c, cluster))
     counts = [k] if k else range(2, min(k_max, n - 1) + 1)
     label = max((split(c) for c in counts), key=lambda x: (v if (v := silhouette(d, x)) == v else -2.0))

@@ -142,11 +142,6 @@ def null_summary(statistics: DataFrame, value: str = "value") -> DataFrame:
     return statistics.groupBy("replicate").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-def significance_summary(cells: DataFrame, level: float = 0.05) -> DataFrame:
-    """``cells, significant, significant_adjusted, smallest_p``: a table of cells in one row."""
-    return cells.agg(F.count("*").alias("cells"), F.count(F.when(F.col("p") <= level, 1)).alias("significant"), F.count(F.when(F.col("p_adj") <= level, 1)).alias("significant_adjusted"), F.min("p").alias("smallest_p"))
-
-
 def random_network(spark: SparkSession, n: int, slices: int, p: float = 0.1, birth: float | None = None, persist: float | None = None, directed: bool = True, groups: int | None = None, p_between: float | None = None, seed: int = 1) -> Network:
     """Ties drawn in each slice, or by a chain of births and survivals; runs become spells."""
     pairs = spark.range(n).select(F.col("id").alias("a")).join(spark.range(n).select(F.col("id").alias("b")), F.col("a") != F.col("b") if directed else F.col("a") < F.col("b"))

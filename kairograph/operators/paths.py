@@ -250,6 +250,45 @@ def edge_centrality(net: Network, at: float | None = None, upper: float = math.i
     return _by_source(net, sessions, None, fn, "from string, to string, start double, end double, value double").groupBy("from", "to", "start", "end").agg(F.sum("value").alias("value"))
 
 
+def temporal_distances(net: Network, basis: str = "hops", sessions: str = "bounded", **grid) -> DataFrame:
+    """``time, source, node, distance``: fewest hops of earliest ways, or latency, inside each window; what is not reached has no row."""
+    if basis not in ("hops", "latency"):
+        raise BadInput("basis is hops or latency")
+    from kairograph.plans.grid import make_grid
+
+    bins = [(b.lo, b.hi) for b in make_grid(net, **grid).bins]
+
+    def fn(source: str, walls: list) -> Iterator[tuple]:
+        for lo, hi in bins:
+            best: dict[str, tuple] = {}
+            for _, atoms in walls:
+                found = J.Search(atoms, source, lo, hi)
+                for v in found.best:
+                    b = found.label(v)
+                    if v != source and (v not in best or (b.time, b.hops) < best[v]):
+                        best[v] = (b.time, b.hops)
+            yield from ((lo, source, v, float(h) if basis == "hops" else t - lo) for v, (t, h) in best.items())
+
+    return _by_source(net, sessions, None, fn, "time double, source string, node string, distance double")
+
+
+def window_efficiency(net: Network, basis: str = "hops", sessions: str = "bounded", **grid) -> DataFrame:
+    """``time, temporal_efficiency, temporal_diameter, connected`` of every window; ways without latency count as infinite speed only by hops."""
+    from kairograph.plans.grid import make_grid
+
+    n = net.nodes.count()
+    d = temporal_distances(net, basis, sessions, **grid)
+    g = d.groupBy("time").agg(F.sum(F.when(F.col("distance") > 0, 1 / F.col("distance"))).alias("s"), F.max("distance").alias("m"), F.count("*").alias("c"))
+    frame = make_grid(net, **grid).frame(net.spells.sparkSession).select("time")
+    out = frame.join(g, "time", "left")
+    return out.select("time", (F.coalesce("s", F.lit(0.0)) / max(1, n * (n - 1))).alias("temporal_efficiency"), F.col("m").alias("temporal_diameter"), (F.coalesce("c", F.lit(0)) == n * (n - 1)).alias("connected"))
+
+
+def closest(closeness: DataFrame, top: int) -> DataFrame:
+    """The ``top`` vertices by closeness, ties to the smaller name."""
+    return closeness.filter("measure = 'closeness'").orderBy(F.desc("value"), "node").limit(top)
+
+
 def distance_summary(net: Network, at: float | None = None, upper: float = math.inf) -> DataFrame:
     """``temporal_efficiency, temporal_diameter, connected`` over hops of all ordered pairs."""
     n = net.nodes.count()
