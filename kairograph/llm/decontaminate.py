@@ -14,7 +14,8 @@ Benchmark items reach the shards in blocks of at most ``BLOCK_BYTES`` of text,
 each block being broadcast; more items mean more blocks, and hits of one
 document are united over blocks.
 
-Null texts have no words.  A document row is judged by itself (repeated rows
+A text of any length lies in one shard, which it may fill alone; memory is about
+twenty times the text.  Null texts have no words.  A document row is judged by itself (repeated rows
 give repeated results); a null ``doc_id`` is passed through.  Items with a null
 id or without words take no part; repeated item ids count once.
 """
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import binary, id_text, map_arrow, materialize
+from kairograph.llm.common import binary, id_text, materialize
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -267,11 +268,15 @@ def united(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
         part = search_phrases(index, block, window)
         parts = part if parts is None else parts.unionByName(part)
 
-    def join(stretches: list) -> list:
-        return [{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in stretches])]
+    one = F.array().cast("array<struct<start:int,end:int>>")
 
-    tidy = F.udf(join, "array<struct<start:int,end:int>>")
-    whole = parts.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), tidy(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    def add(kept, s):
+        last = F.try_element_at(kept, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] >= s["start"], F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(kept, F.array(s)))
+
+    tidy = F.aggregate(F.array_sort(F.flatten(F.collect_list("hits"))), one, add)
+    whole = parts.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), tidy.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     left = src.select(F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("key"), "doc_id")
     same = left["key"].eqNullSafe(whole["doc_id"])
     return left.join(whole, same).select(left["doc_id"], "n_words", "hits", "items")
@@ -320,21 +325,18 @@ def near_hits(docs: DataFrame, queries: list[str], slop: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without any hit, columns as before."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(Phrases(b, window)) for b in item_blocks(items)]
-    at, names = docs.columns.index("text"), docs.columns
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = list(map(words, binary(batch.column(at))))
-            clean = np.ones(len(texts), bool)
-            for block in blocks:
-                index = Postings(texts, block.value.terms)
-                for _, starts in index.find(block.value):
-                    clean[index.local(starts)[0]] = False
-            return pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(clean))
-
-        return step
-
-    return map_arrow(docs, make, docs.schema)
+    """Documents without any hit, columns as before.
+
+    The index of the documents is stored once and every block of items searches it.
+    Rows are told apart by id and text: repeated rows stay or go together, a null text
+    has no words and stays, and rows with a null id are judged like others.
+    """
+    keyed = docs.select(F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("doc_id"), "text")
+    index, gone = materialize(build_index(keyed), "postings"), None
+    for block in item_blocks(items):
+        hit = search_phrases(index, block, window).filter(F.size("hits") > 0).select("doc_id.*")
+        gone = hit if gone is None else gone.unionByName(hit)
+    if gone is None:
+        return docs
+    gone = gone.distinct().toDF("_id", "_h")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & F.sha2(docs["text"], 256).eqNullSafe(F.col("_h")), "left_anti").select(docs.columns)

@@ -14,11 +14,12 @@
    candidates would give by chance, and that explain toxic rows which no better
    entry explains, are kept.  The score is the largest weight.
 
-The lexicon is fitted on at most ``TRAIN_ROWS`` labelled rows (chosen by a hash of
-the id) and keeps at most ``LEXICON`` entries.  Labels of rows that are held out,
+The lexicon is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of
+the id.  Labels of rows that are held out,
 ``crc32(doc_id) mod 3 = 1``, are never read.
 
-Null and empty texts get the score of a text without entries.  Without usable
+Texts are read whole whatever their length; a reading keeps one back-pointer a sign
+and state, and only short stretches and words are remembered.  Null and empty texts get the score of a text without entries.  Without usable
 labels every score is 0.  Rows are scored one by one; null ids pass through.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import Batches, id_text, map_arrow, slices
 
 THRESHOLD = 0.7
-TRAIN_ROWS, LEXICON, PRIOR = 10_000, 50_000, 2
+TRAIN_ROWS, PRIOR = 10_000, 2
 LETTERS, SLICES, FAN = 27, 27, 64
 EDGE = 26
 
@@ -107,36 +108,50 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def viterbi(shown: str, model: np.ndarray) -> str:
-    """The likeliest word behind the signs of one stretch."""
+    """The likeliest word behind the signs of one stretch; the earlier reading of equals.
+
+    A state is the last three letters and the last sign; it holds its score and the
+    chain of letters that leads to it.
+    """
     edge = (EDGE * LETTERS + EDGE) * LETTERS + EDGE
-    best: dict[tuple[int, str], tuple[float, str]] = {(edge, ""): (0.0, "")}
+    best: dict[tuple[int, str], tuple[float, tuple | None]] = {(edge, ""): (0.0, None)}
     units = _UNIT.findall(shown)
     for k, c in enumerate(units):
-        following: dict[tuple[int, str], tuple[float, str]] = {}
+        following: dict[tuple[int, str], tuple[float, tuple | None]] = {}
 
-        def step(state: int, last: str, score: float, word: str) -> None:
+        def step(state: int, last: str, score: float, word: tuple | None) -> None:
             if (state, last) not in following or following[state, last][0] < score:  # noqa: B023
                 following[state, last] = score, word  # noqa: B023
 
-        if c[0] in " .*_-":
-            for (state, last), (score, word) in best.items():
-                step(state, last, score + GAP, word)
-                step((state * LETTERS + EDGE) % LETTERS**3, c, score + GAP + float(model[state, EDGE]), word + c)
-            best = following
-            continue
-        again = SKIP_REPEAT if [*units[max(0, k - 2) : k], *units[k + 1 : k + 3]].count(c) > 1 else SKIP_DOUBLE
-        options = [(c, KEEP)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
+        before, after = units[max(0, k - 2) : k], units[k + 1 : k + 3]
         for (state, last), (score, word) in best.items():
-            for letter, cost in options:
-                code = int(_CODES[ord(letter)]) if ord(letter) < 256 else EDGE
-                step((state * LETTERS + code) % LETTERS**3, c, score + cost + float(model[state, code]), word + letter)
-            if not c.isalpha():
-                step(state, last, score + SKIP_SIGN, word)
-                step((state * LETTERS + EDGE) % LETTERS**3, c, score + SAME_SIGN + float(model[state, EDGE]), word + c)
-            elif k and last == c:
-                step(state, last, score + again, word)
+            for letter, cost, sign in edges(c, last, k, before, after):
+                if letter:
+                    code = int(_CODES[ord(letter[0])]) if ord(letter[0]) < 256 else EDGE
+                    step((state * LETTERS + code) % LETTERS**3, sign, score + cost + float(model[state, code]), (word, letter))
+                else:
+                    step(state, sign, score + cost, word)
         best = following
-    return max(((score + float(model[state, EDGE]), word) for (state, _), (score, word) in best.items()), default=(0.0, shown))[1]
+    if not best:
+        return shown
+    chain = max(((score + float(model[state, EDGE]), i, word) for i, ((state, _), (score, word)) in enumerate(best.items())), key=lambda x: (x[0], -x[1]))[2]
+    out = []
+    while chain:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def edges(c: str, last: str, k: int, before: list[str], after: list[str]) -> list[tuple[str, float, str]]:
+    """What one sign of a lattice may stand for: letters (none if it is left out), cost, and the sign to remember."""
+    if c[0] in " .*_-":
+        return [("", GAP, last), (c, GAP, c)]
+    if c.isalpha():
+        out = [(c, KEEP, c)]
+        if k and last == c:
+            out.append(("", SKIP_REPEAT if [*before, *after].count(c) > 1 else SKIP_DOUBLE, last))
+        return out
+    return [(x, SWAP, c) for x in LEET.get(c, "")] + [("", SKIP_SIGN, last), (c, SAME_SIGN, c)]
 
 
 class Restorer:
@@ -201,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, rows: int = TRAIN_ROWS) ->
     t, c, size = F.col("t").cast("double"), F.col("c").cast("double"), (F.col("t") + F.col("c")).cast("double")
     gain = 2 * (log(t, size * share) + log(c, size * (1 - share)) + log(toxic - t, (n - size) * share) + log(n - toxic - c, (n - size) * (1 - share)))
     kept = counts.filter("e <> ''").filter(t / size > share).withColumn("gain", gain).filter(F.col("gain") > max(12.0, 2 * math.log(max(2, candidates))))
-    found = kept.orderBy(F.desc("gain"), "e").limit(LEXICON).collect()
+    found = kept.orderBy(F.desc("gain"), "e").collect()  # entries of TRAIN_ROWS rows that pass the test
     weight = {r["e"]: (r["t"] + PRIOR * share) / (r["t"] + r["c"] + PRIOR) for r in found}
     names = docs.sparkSession.sparkContext.broadcast(set(weight))
 
@@ -267,7 +282,7 @@ class Scorer:
         class Weights(dict):
             def __missing__(self, word: str) -> float:
                 value = max((lexicon.get(e, 0.0) for e in entries_of(word)), default=0.0)
-                if len(self) < 400_000:
+                if len(self) < 400_000 and len(word) <= 64:
                     self[word] = value
                 return value
 

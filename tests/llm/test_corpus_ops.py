@@ -245,6 +245,36 @@ def test_deobfuscation():
     assert restore("plain text 123, v2 stays.") == "plain text 123, v2 stays."
 
 
+def test_viterbi_is_the_best_of_all_readings():
+    """Every reading of short lattices, scored by the same model, against the decoder."""
+    r = random.Random(9)
+    logs = np.log(np.random.default_rng(3).dirichlet(np.full(27, 0.3), size=27**3) + 1e-6).astype(np.float32)
+
+    def readings(units, k=0, last="", state=(26 * 27 + 26) * 27 + 26, score=0.0, word=""):
+        if k == len(units):
+            yield score + float(logs[state, 26]), word
+            return
+        for letter, cost, sign in toxicity.edges(units[k], last, k, units[max(0, k - 2) : k], units[k + 1 : k + 3]):
+            if letter:
+                code = int(toxicity._CODES[ord(letter[0])])
+                yield from readings(units, k + 1, sign, (state * 27 + code) % 27**3, score + cost + float(logs[state, code]), word + letter)
+            else:
+                yield from readings(units, k + 1, sign, state, score + cost, word)
+
+    for _ in range(150):
+        shown = "".join(r.choice("abss10@$! .i") for _ in range(r.randint(1, 6)))
+        every = list(readings(toxicity._UNIT.findall(shown)))
+        top = max(s for s, _ in every)
+        assert toxicity.viterbi(shown, logs) in {w for s, w in every if s > top - 1e-4}
+
+
+def test_very_long_disguises_are_read(spark):
+    texts = ["what an idiot and a stupid clown", "you are an idiot", "the stupid thing"] * 100
+    restore = toxicity.Restorer(toxicity.language_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).restore
+    got = restore("s t u p i d " * 400 + "end")
+    assert got.count("stupid") > 300 and restore("1d10t " * 3000).count("idiot") == 3000
+
+
 def test_common_disguises(spark):
     texts = ["what an idiot and a stupid clown", "you are an idiot", "the stupid thing", "all good books are free too", "i hate the hate", "an asshole"] * 200
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
