@@ -3,19 +3,25 @@
 Templates are cut into grams of ``GRAM`` words; of every ``WINNOW`` neighbouring
 hashes the smallest is a fingerprint (templates with fewer grams keep all), posted
 in an inverted index with template and place.  A document's grams are looked up;
-hits on one diagonal, give or take ``BAND``, make a candidate, which is aligned
-with the template inside that band.  Reported are the matched share of the
-template's words and the characters they span.
+hits of one template that follow each other in both are chained, with no more than
+a template's length of other words between two of them, and the template is
+aligned with the chain's stretch inside a band that holds its diagonals and
+``BAND`` on either side.  Reported are the matched share of the template's words
+and the characters they span, where ``COVERAGE`` of the template is matched, or
+``QUOTED`` of it and ``QUOTED_WORDS`` words: parts and edited texts are matches of
+lower coverage.
 
 The index holds the templates alone and is sent to all tasks; templates are a
-bounded parameter (``MAX_TEMPLATE_WORDS`` in all).  Null texts have no matches.
-Rows are scanned one by one.  Of overlapping matches the one with more matched
+parameter of bounded size (more than ``MAX_TEMPLATE_WORDS`` words are refused).
+Null texts have no matches.  Rows are scanned one by one, whole; time and memory go
+with a text's words and hits.  Of overlapping matches the one with more matched
 words stays, then the one with the larger share, then the first by name.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +30,23 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import id_text, map_arrow
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 6, 0.8
+QUOTED, QUOTED_WORDS = 0.3, 20
+#: Cost of a text word passed over, in matches.
+GAP = 0.02
 MAX_TEMPLATE_WORDS = 1_000_000
 
 #: Wordings of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MIT-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -57,32 +74,40 @@ def winnow(hashes: list[int], window: int = WINNOW) -> list[int]:
     return sorted({max((i for i in range(s, s + window)), key=lambda i: (-hashes[i], i)) for s in range(len(hashes) - window + 1)})
 
 
-def align(template: list[int], text: list[int], start: int, band: int = BAND) -> tuple[int, int, int]:
-    """Most template words matched in order by ``text`` near the diagonal at ``start``.
+def align(template: list[int], text: list[int], low: int, high: int) -> tuple[float, int, int, int]:
+    """Most template words matched in order by ``text`` on diagonals (text place less template place) from ``low`` to ``high``.
 
-    Returns that number and the first and last text word matched.  A gap costs a
-    quarter of a match, so spans stay tight.
+    Returns the score, that number, and the first and last text word matched.  A template word
+    passed over costs a quarter of a match, a text word passed over ``GAP``, so
+    spans stay tight and insertions are bridged.
     """
-    best: dict[int, tuple[float, int, int, int]] = {}  # by text place: score, matched, first, last
-    top = (0.0, 0, -1, -1)
+    width = high - low + 1
+    nothing = (0.0, 0, -1, -1)
+    best = [nothing] * (width + 1)  # by diagonal: score, matched, first, last
+    top = nothing
     for i, word in enumerate(template):
-        row: dict[int, tuple[float, int, int, int]] = {}
-        for j in range(max(0, start + i - band), min(len(text), start + i + band + 1)):
-            score, matched, first, last = best.get(j - 1, (0.0, 0, -1, -1))
-            if text[j] == word:
-                here = (score + 1, matched + 1, first if matched else j, j)
-            else:
-                here = (score - 0.25, matched, first, last)
-            for other in (best.get(j), row.get(j - 1)):
-                if other and other[0] - 0.25 > here[0]:
-                    here = (other[0] - 0.25, *other[1:])
+        row = [nothing] * (width + 1)
+        left = nothing
+        for d in range(width):
+            j = low + d + i
+            if j < 0:
+                continue
+            if j >= len(text):
+                break
+            score, matched, first, last = best[d]  # one word on in both
+            here = (score + 1, matched + 1, first if matched else j, j) if text[j] == word else (score - 0.25, matched, first, last)
+            up = best[d + 1]  # a template word passed over
+            if up[0] - 0.25 > here[0]:
+                here = (up[0] - 0.25, *up[1:])
+            if left[0] - GAP > here[0]:
+                here = (left[0] - GAP, *left[1:])
             if here[0] <= 0:
-                here = (0.0, 0, -1, -1)
-            row[j] = here
+                here = nothing
+            row[d] = left = here
             if here[0] > top[0]:
                 top = here
         best = row
-    return top[1], top[2], top[3]
+    return top
 
 
 class Scanner:
@@ -102,36 +127,57 @@ class Scanner:
             places = winnow([hash(g) for g in grams])
             for i in places:
                 self.index.setdefault(grams[i], []).append((t, i))
-            self.need.append(max(1, len(places) // 4))
+            self.need.append(max(1, len(places) // 5))
         self.sizes = sorted({len(g) for g in self.index})
 
+    def enough(self, t: int, matched: int) -> bool:
+        """Whether so many matched words of a template are a match."""
+        n = len(self.texts[t])
+        return matched >= self.coverage * n or (matched >= QUOTED_WORDS and matched >= QUOTED * n)
+
+    def candidates(self, ids: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
+        """Template and chained hits ``(template place, text place)`` of every chain with enough of them."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for size in self.sizes:
+            for j in range(len(ids) - size + 1):
+                if ids[j] and (found := self.index.get(tuple(ids[j : j + size]))):
+                    for t, i in found:
+                        hits.setdefault(t, []).append((i, j))
+        out = []
+        for t, pairs in hits.items():
+            far, chains = len(self.texts[t]), []
+            for i, j in sorted(pairs, key=lambda x: (x[1], x[0])):
+                chains, ended = [c for c in chains if j - c[-1][1] <= far], [c for c in chains if j - c[-1][1] > far]
+                out += [(t, c) for c in ended if len(c) >= self.need[t]]
+                fitting = [c for c in chains if c[-1][0] < i and c[-1][1] < j]
+                if fitting:
+                    min(fitting, key=lambda c: abs((j - i) - (c[-1][1] - c[-1][0]))).append((i, j))
+                else:
+                    chains.append([(i, j)])
+            out += [(t, c) for c in chains if len(c) >= self.need[t]]
+        return out
+
     def scan(self, text: str | None) -> list[Match]:
         """``(template, coverage, start, end)`` in characters, by start."""
         if not text:
             return []
         known, low = self.ids, text.lower()
         ids = [known.get(w, 0) for w in _WORD.findall(low)]
-        votes: dict[tuple[int, int], list[int]] = {}
-        for size in self.sizes:
-            for j in range(len(ids) - size + 1):
-                if ids[j] and (found := self.index.get(tuple(ids[j : j + size]))):
-                    for t, i in found:
-                        for slot in {(j - i) // BAND, (j - i + BAND // 2) // BAND}:
-                            votes.setdefault((t, slot), []).append(j - i)
         made: dict[tuple[int, int, int], int] = {}
-        for (t, _), diagonals in votes.items():
-            if len(diagonals) >= self.need[t]:
-                matched, first, last = align(self.texts[t], ids, sorted(diagonals)[len(diagonals) // 2])
-                if matched >= self.coverage * len(self.texts[t]):
-                    made[t, first, last] = matched
+        for t, chain in self.candidates(ids):
+            diagonals, band = [j - i for i, j in chain], min(BAND, len(self.texts[t]) // 2)  # narrower than the next copy of a short template
+            _, matched, first, last = align(self.texts[t], ids, min(diagonals) - band, max(diagonals) + band)
+            if self.enough(t, matched):
+                made[t, first, last] = matched
         if not made:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
-        kept: list[tuple[int, int, int, int]] = []
+        kept: list[tuple[int, int, int, int]] = []  # first, last, template, matched; apart and in order
         for (t, first, last), matched in sorted(made.items(), key=lambda x: (-x[1], -x[1] / len(self.texts[x[0][0]]), x[0])):
-            if all(last < a or first > b for _, a, b, _ in kept):
-                kept.append((t, first, last, matched))
-        return [(self.names[t], matched / len(self.texts[t]), spans[a][0], spans[b][1]) for t, a, b, matched in sorted(kept, key=lambda x: x[1])]
+            at = bisect(kept, (first, last, t, matched))
+            if (at == 0 or kept[at - 1][1] < first) and (at == len(kept) or kept[at][0] > last):
+                kept.insert(at, (first, last, t, matched))
+        return [(self.names[t], matched / len(self.texts[t]), spans[a][0], spans[b][1]) for a, b, t, matched in kept]
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

@@ -204,15 +204,66 @@ def test_licenses(spark):
     assert licenses.license_digest(clashing(spark)).count() == 4 and licenses.license_digest(empty(spark)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
+def _whole_alignment(template, text):
+    """The same scores over the whole table of places, without a band."""
+    best = {}
+    top = (0.0, 0, -1, -1)
+    for i, word in enumerate(template):
+        for j, other in enumerate(text):
+            options = [(0.0, 0, -1, -1)]
+            s, m, a, z = best.get((i - 1, j - 1), options[0])
+            options.append((s + 1, m + 1, a if m else j, j) if word == other else (s - 0.25, m, a, z))
+            for (x, y), cost in (((i - 1, j), 0.25), ((i, j - 1), licenses.GAP)):
+                s, m, a, z = best.get((x, y), options[0])
+                options.append((s - cost, m, a, z))
+            best[i, j] = max(options, key=lambda o: o[0])
+            if best[i, j][0] > top[0] + 1e-12:
+                top = best[i, j]
+    return top
+
+
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=8), st.lists(st.integers(1, 5), max_size=12))
-def test_alignment_counts_matches_in_order(template, text):
-    matched, first, last = licenses.align(template, text, 0, band=20)
-    assert matched <= min(len(template), len(text))
-    if matched:
-        assert 0 <= first <= last < len(text) and text[first] in template and text[last] in template
-    if len(text) >= len(template) and text[: len(template)] == template:
-        assert matched == len(template)
+def test_alignment_is_the_best_of_all(template, text):
+    score, matched, first, last = licenses.align(template, text, -len(template), len(text))
+    assert score == pytest.approx(_whole_alignment(template, text)[0], abs=1e-9)
+    assert matched == 0 or (0 <= first <= last < len(text) and text[first] in template)
+
+
+def test_license_candidates_lose_nothing_that_matches():
+    """Against an alignment of every template with the whole text, without index or band."""
+    r = random.Random(8)
+    small = {n: licenses.TEMPLATES[n] for n in ("MIT", "CC-BY-4.0", "GPL-3.0", "ISC", "Zlib")}
+    scanner = licenses.Scanner(small)
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit the license of this software".split()
+    for _ in range(25):
+        name = r.choice(sorted(small))
+        w = small[name].split()
+        for _ in range(r.randint(0, 2) if len(w) > 20 else 0):  # a shorter template has one fingerprint
+            w[r.randrange(len(w))] = r.choice(filler)
+        if r.random() < 0.5 and len(w) > 20:
+            at = r.randrange(5, len(w) - 5)
+            w[at:at] = [r.choice(filler) for _ in range(r.randint(7, 12))]
+        text = " ".join([r.choice(filler) for _ in range(r.randint(0, 20))] + w + [r.choice(filler) for _ in range(r.randint(0, 20))])
+        ids = [scanner.ids.get(x, 0) for x in licenses.words(text)]
+        got = {n for n, *_ in scanner.scan(text)}
+        t = scanner.names.index(name)
+        want = _whole_alignment(scanner.texts[t], ids)[1]
+        assert (name in got) == scanner.enough(t, want), (name, text)
+
+
+def test_edited_and_quoted_licenses():
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    w = licenses.TEMPLATES["MIT-text"].split()
+    far = " ".join([*w[:40], *("and so on with many other words that nobody has asked for here at all".split()), *w[40:]])
+    (m,) = [x for x in scan(far) if x[0] == "MIT-text"]
+    assert m[1] > 0.95
+    (m,) = [x for x in scan("it says " + " ".join(w[20:60]) + " end") if x[0] == "MIT-text"]
+    assert 0.3 < m[1] < 0.8
+    import time
+
+    began = time.time()
+    assert len(scan("\n".join([licenses.TEMPLATES["MIT"]] * 8000))) == 8000 and time.time() - began < 20
 
 
 def test_json_of_tokenizer_is_whole():
