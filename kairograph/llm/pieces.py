@@ -51,7 +51,7 @@ class PieceCache:
     remembered, which bounds memory.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[Any]], cap: int = 350_000, longest: int = 48):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[Any]], cap: int = 200_000, longest: int = 48):
         self.encode_many, self.cap, self.longest = encode_many, cap, longest
         self.now: dict[str, Any] = {}
         self.old: dict[str, Any] = {}

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,34 +108,37 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32).reshape(LETTERS**3, LETTERS)
 
 
-def viterbi(shown: str, model: np.ndarray) -> str:
+def viterbi(shown: str, model: list[float]) -> str:
     """The likeliest word behind the signs of one stretch; the earlier reading of equals.
 
     A state is the last three letters and the last sign; it holds its score and the
-    chain of letters that leads to it.
+    chain of letters that leads to it.  ``model`` is the flat table of log-probabilities.
     """
-    edge = (EDGE * LETTERS + EDGE) * LETTERS + EDGE
+    edge, size = (EDGE * LETTERS + EDGE) * LETTERS + EDGE, LETTERS**3
     best: dict[tuple[int, str], tuple[float, tuple | None]] = {(edge, ""): (0.0, None)}
     units = _UNIT.findall(shown)
     for k, c in enumerate(units):
+        often = (units[max(0, k - 2) : k] + units[k + 1 : k + 3]).count(c) > 1
+        fresh, again = edges(c, False, often), edges(c, True, often)
         following: dict[tuple[int, str], tuple[float, tuple | None]] = {}
-
-        def step(state: int, last: str, score: float, word: tuple | None) -> None:
-            if (state, last) not in following or following[state, last][0] < score:  # noqa: B023
-                following[state, last] = score, word  # noqa: B023
-
-        before, after = units[max(0, k - 2) : k], units[k + 1 : k + 3]
         for (state, last), (score, word) in best.items():
-            for letter, cost, sign in edges(c, last, k, before, after):
+            for letter, code, cost, moves in again if last == c else fresh:
                 if letter:
-                    code = int(_CODES[ord(letter[0])]) if ord(letter[0]) < 256 else EDGE
-                    step((state * LETTERS + code) % LETTERS**3, sign, score + cost + float(model[state, code]), (word, letter))
+                    at = state * LETTERS + code
+                    key, value, chain = (at % size, c if moves else last), score + cost + model[at], (word, letter)
                 else:
-                    step(state, sign, score + cost, word)
+                    key, value, chain = (state, c if moves else last), score + cost, word
+                old = following.get(key)
+                if old is None or old[0] < value:
+                    following[key] = value, chain
         best = following
     if not best:
         return shown
-    chain = max(((score + float(model[state, EDGE]), i, word) for i, ((state, _), (score, word)) in enumerate(best.items())), key=lambda x: (x[0], -x[1]))[2]
+    top = -math.inf
+    chain = None
+    for (state, _), (score, word) in best.items():
+        if (value := score + model[state * LETTERS + EDGE]) > top:
+            top, chain = value, word
     out = []
     while chain:
         chain, letter = chain
@@ -142,23 +146,28 @@ def viterbi(shown: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def edges(c: str, last: str, k: int, before: list[str], after: list[str]) -> list[tuple[str, float, str]]:
-    """What one sign of a lattice may stand for: letters (none if it is left out), cost, and the sign to remember."""
+@lru_cache(maxsize=4096)
+def edges(c: str, again: bool, often: bool) -> list[tuple[str, int, float, bool]]:
+    """What one sign of a lattice may stand for: letter (empty if it is left out), its code, cost, whether it becomes the last sign.
+
+    ``again``: the last sign is the same one; ``often``: so are two of the four around it.
+    """
+
+    def one(letter: str, cost: float, moves: bool = True) -> tuple[str, int, float, bool]:
+        return letter, int(_CODES[ord(letter[0])]) if letter and ord(letter[0]) < 256 else EDGE, cost, moves
+
     if c[0] in " .*_-":
-        return [("", GAP, last), (c, GAP, c)]
+        return [one("", GAP, False), one(c, GAP)]
     if c.isalpha():
-        out = [(c, KEEP, c)]
-        if k and last == c:
-            out.append(("", SKIP_REPEAT if [*before, *after].count(c) > 1 else SKIP_DOUBLE, last))
-        return out
-    return [(x, SWAP, c) for x in LEET.get(c, "")] + [("", SKIP_SIGN, last), (c, SAME_SIGN, c)]
+        return [one(c, KEEP), *([one("", SKIP_REPEAT if often else SKIP_DOUBLE, False)] if again else [])]
+    return [*(one(x, SWAP) for x in LEET.get(c, "")), one("", SKIP_SIGN, False), one(c, SAME_SIGN)]
 
 
 class Restorer:
     """Readable text of disguised text; readings of stretches are remembered, boundedly."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known = model.ravel().tolist(), {}
 
     def read(self, found: re.Match) -> str:
         shown = found[0]
