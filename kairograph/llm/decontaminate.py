@@ -14,8 +14,8 @@ Benchmark items reach the shards in blocks of at most ``BLOCK_BYTES`` of text,
 each block being broadcast; more items mean more blocks, and hits of one
 document are united over blocks.
 
-A text of any length lies in one shard, which it may fill alone; memory is about
-twenty times the text.  Null texts have no words.  A document row is judged by itself (repeated rows
+A text of any length lies in one shard, which it may fill alone; memory grows in
+proportion to it.  Null texts have no words.  A document row is judged by itself (repeated rows
 give repeated results); a null ``doc_id`` is passed through.  Items with a null
 id or without words take no part; repeated item ids count once.
 """
