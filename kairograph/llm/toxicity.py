@@ -245,9 +245,10 @@ def learn(docs: DataFrame, labels: DataFrame, model, rows: int = TRAIN_ROWS) ->
 def cover(held: list[list[str]], clean: dict[str, int], share: float) -> list[str]:
     """Entries that explain the toxic rows one after another.
 
-    Each time the entry with the most evidence among rows not yet explained is
-    taken.  Words that come with an entry already taken, such as the rest of a text
-    that has many copies, explain nothing more and stay out.
+    Each time the entry with the most evidence among rows not yet explained, less
+    what its clean rows speak against it, is taken.  Words that come with an entry
+    already taken, such as the rest of a text that has many copies, explain nothing
+    more and stay out.
     """
     left = [set(x) for x in held]
     having: dict[str, set[int]] = {}
@@ -259,7 +260,7 @@ def cover(held: list[list[str]], clean: dict[str, int], share: float) -> list[st
     def evidence(e: str) -> float:
         t, c = len(having[e]), clean[e]
         p = (t + PRIOR * share) / (t + c + PRIOR)
-        return t * math.log(p / share) if t >= least and p >= 0.5 else 0.0
+        return max(0.0, t * math.log(p / share) + c * math.log((1 - p) / (1 - share))) if t >= least and p >= 0.5 else 0.0
 
     while having:
         best = max(having, key=lambda e: (evidence(e), len(e), e))

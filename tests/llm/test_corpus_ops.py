@@ -288,6 +288,13 @@ def test_common_disguises(spark):
     assert restore("stupid!").startswith("stupid") and len(restore("stupid!")) <= 7
 
 
+def test_clean_rows_speak_against_an_entry():
+    rows = [["loser", "^lose"]] * 20 + [["^lose"]] * 2
+    assert toxicity.cover(rows, {"loser": 0, "^lose": 5}, 0.1) == ["loser"]
+    copies = [["scum", "^vequ"]] * 10 + [["scum"]] * 5 + [["scum", "clown"]] * 9
+    assert toxicity.cover(copies, {"scum": 0, "^vequ": 0, "clown": 0}, 0.1) == ["scum"]
+
+
 def test_toxicity_held_out(spark):
     from kairograph.llm.common import table
 
