@@ -6,9 +6,10 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -75,6 +76,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def join_same(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> DataFrame:
+    """Join on columns of equal names, where null meets null; they are kept once."""
+    other = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
+    on = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"_same_{n}")) for n in names))
+    return left.join(other, on, how).drop(*(f"_same_{n}" for n in names))
+
+
 def binary(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     if pa.types.is_large_string(column.type):

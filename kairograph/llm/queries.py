@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kairograph.llm import byte_bpe, decontaminate, licenses, near_dedup, permutation_index, secrets, substring_dedup, token_binary, token_count, toxicity
+from kairograph.llm import byte_bpe, conversation_repair, decontaminate, language_id, licenses, near_dedup, permutation_index, prefix_trie, secrets, substring_dedup, token_binary, token_count, toxicity
 from kairograph.llm.common import table
 
 
@@ -52,7 +52,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_binary, op3_toxicity, op4_secrets, op5_substrings, op6_licenses, op7_near_dedup, op8_byte_bpe, op9_token_counts, op10_neighbours)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_binary, op3_toxicity, op4_secrets, op5_substrings, op6_licenses, op7_near_dedup, op8_byte_bpe, op9_token_counts, op10_neighbours, op11_conversation_repair, op12_prefix_trie, op13_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -182,3 +194,79 @@ t AS (SELECT d.doc_id, string_agg(CASE WHEN g.a > g.z THEN '' ELSE hex(b[g.a:g.z
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
 FROM d JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+_TEXT_CRC = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::UBIGINT)), lambda c, b: {_crc_fold()}), 4294967295::UBIGINT)"
+
+# Costs before each row from those after it; then one edit at a time from the first row.
+ORACLE_SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+m AS (SELECT *, {_TEXT_CRC} % 20 AS m FROM k),
+d AS (
+  SELECT conv_id, turn, CASE m WHEN 4 THEN 'user' ELSE r END AS r, CASE m WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS x,
+         unnest(range(CASE m WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS i FROM d),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) AS q, regexp_replace(x, '[\x20\x09-\x0D]+$', '') AS b, lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(r, 1) AS two FROM o),
+f AS (
+  SELECT conv_id, turn, i, r, x, two, left(r, 1) AS c, CASE WHEN b = '' THEN 1 WHEN q > 1 THEN 2 WHEN right(b, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f
+  FROM q),
+e AS (SELECT *, f IN (0, 3) AS ok, CASE f WHEN 3 THEN 3 ELSE 0 END AS t FROM f),
+v AS (
+  SELECT conv_id, max(i) + 1 AS i, [0, 6, 3, 0] AS p FROM e GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, [least(w[1], 3 + w[3], 6 + w[4]), least(w[2], 3 + w[3], 6 + w[4]), least(w[3], 3 + w[4]), least(w[4], 3 + w[3])]
+  FROM (
+    SELECT e.conv_id, e.i, [
+      least(4 + p[1], CASE WHEN ok THEN 3 + t + p[3] END, CASE WHEN ok AND c = 's' THEN t + p[2] WHEN ok AND c = 'u' THEN t + p[3] END),
+      least(4 + p[2], CASE WHEN ok THEN 3 + t + p[3] END, CASE WHEN ok AND c = 'u' THEN t + p[3] END),
+      least(4 + p[3], CASE WHEN ok THEN 3 + t + p[4] END, CASE WHEN ok AND c = 'a' THEN t + p[4] END),
+      least(4 + p[4], CASE WHEN ok THEN 3 + t + p[3] END, CASE WHEN ok AND c = 'u' THEN t + p[3] END)] AS w
+    FROM v JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id AND e.i = v.i - 1)),
+g AS (
+  SELECT conv_id, 1 AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said, p[1] AS cost FROM v WHERE i = 1
+  UNION ALL
+  SELECT conv_id, CASE op WHEN 'I' THEN i ELSE i + 1 END, CASE op WHEN 'D' THEN s WHEN 'K' THEN keep ELSE more END, audit || op,
+         CASE op WHEN 'D' THEN said WHEN 'K' THEN list_append(said, r || ':' || x) ELSE list_append(said, CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE op WHEN 'R' THEN x ELSE '' END) END, cost
+  FROM (
+    SELECT *, CASE WHEN c IS NULL THEN 'I' WHEN p[s + 1] = 4 + n[s + 1] THEN 'D' WHEN p[s + 1] = 3 + p[more + 1] THEN 'I' WHEN ok AND p[s + 1] = t + n[keep + 1] THEN 'K' ELSE 'R' END AS op
+    FROM (
+      SELECT g.*, v.p, w.p AS n, e.c, e.ok, e.t, e.r, e.x, CASE g.s WHEN 2 THEN 3 ELSE 2 END AS more,
+             CASE WHEN e.c = 's' AND g.s = 0 THEN 1 WHEN e.c = 'u' AND g.s <> 2 THEN 2 WHEN e.c = 'a' AND g.s = 2 THEN 3 END AS keep
+      FROM g JOIN v ON v.conv_id IS NOT DISTINCT FROM g.conv_id AND v.i = g.i
+      LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM g.conv_id AND e.i = g.i
+      LEFT JOIN v w ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.i = g.i + 1)
+    WHERE c IS NOT NULL OR s IN (1, 2))),
+z AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(said, length(audit)) AS said, max(cost) AS cost FROM g GROUP BY conv_id),
+a AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+         count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM e GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLE_SQL["op12_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, length(r) || ':' || r || x AS key, length(x) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+s AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS k, list(key ORDER BY i) AS ks, list(n ORDER BY i) AS ns FROM t GROUP BY conv_id),
+h AS (SELECT *, CAST({_TEXT_CRC} % 6 AS BIGINT) AS h FROM s),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.ks[1:h], []), h.ks[h + 1:]) AS ks, list_concat(coalesce(b.ns[1:h], []), h.ns[h + 1:]) AS ns
+  FROM h LEFT JOIN s b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, ks[1:d] AS p, d, ns[d] AS n, d = len(ks) AS ends FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM r)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(n), 0) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+  FROM p GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+every AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+sub AS (
+  SELECT up, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * n) AS BIGINT) AS saved_tokens
+  FROM (SELECT p[1:k] AS up, n_children, n_convs, n FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM every)) GROUP BY up)
+SELECT every.conv_id, every.d AS depth, above.conv_id AS parent_conv_id, every.n_convs, every.n_children, n_leaves, saved_tokens, sha256(every.ends) AS ends_sha256
+FROM every JOIN sub ON sub.up = every.p LEFT JOIN nodes above ON every.d > 0 AND above.p = every.p[1:every.d - 1]
+"""
