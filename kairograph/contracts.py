@@ -106,38 +106,6 @@ b AS (SELECT *, rank() OVER (PARTITION BY src, v ORDER BY a, h) AS k FROM w WHER
 """
 
 
-@query(JOURNEY_SQL + """, via AS (SELECT x.t AS node, 1 / n AS p FROM (SELECT v, n, unnest(r) AS x FROM best) WHERE x.t <> v)
-SELECT node, coalesce(value, 0.0) AS value FROM (SELECT f AS node FROM c UNION SELECT t FROM c) LEFT JOIN (SELECT node, sum(p) AS value FROM via GROUP BY node) USING (node)""")
-def net_path_betweenness_sessions(spark, sf):
-    return paths.path_centrality(_log(spark, JOURNEYS), ["betweenness"]).select("node", "value")
-
-
-@query(JOURNEY_SQL + """, use AS (SELECT x.f AS f, x.t AS t, x.s AS s, 1 / n AS p FROM (SELECT n, unnest(r) AS x FROM best))
-SELECT c.f AS "from", c.t AS "to", c.s AS start, c.s AS "end", coalesce(value, 0.0) AS value FROM c LEFT JOIN (SELECT f, t, s, sum(p) AS value FROM use GROUP BY ALL) u ON c.f = u.f AND c.t = u.t AND c.s = u.s""")
-def net_edge_centrality_sessions(spark, sf):
-    return paths.edge_centrality(_log(spark, JOURNEYS))
-
-
-@query(JOURNEY_SQL + "SELECT src AS source, v AS node, max(a) AS arrival, max(h)::BIGINT AS hops, count(*)::DOUBLE AS n_paths FROM best GROUP BY ALL")
-def net_paths_sessions(spark, sf):
-    return paths.paths(_log(spark, JOURNEYS)).filter("source <> node").select("source", "node", "arrival", "hops", "n_paths")
-
-
-@query(JOURNEY_SQL + """SELECT src AS source, v AS node, array_to_string(list_prepend(src, list_transform(r, lambda x: x.t)), '>') AS route FROM best""")
-def net_path_steps(spark, sf):
-    return paths.path_steps(_log(spark, JOURNEYS)).select("source", "node", F.array_join("route", ">").alias("route"))
-
-
-@query(JOURNEY_SQL + """, q AS (SELECT array_to_string(list_prepend(src, list_transform(r, lambda x: x.t)), ' -> ') AS route, h, a FROM best) SELECT route, any_value(h)::INTEGER AS n_hops, count(*) AS count, count(*) / (SELECT count(*) FROM q) AS share, min(a) AS arrival FROM q GROUP BY route""")
-def net_pathways_sessions(spark, sf):
-    return paths.pathways(paths.path_steps(_log(spark, JOURNEYS)))
-
-
-@query(JOURNEY_SQL + """SELECT x.f AS "from", x.t AS "to", count(*) AS weight, min(x.s) AS first, max(x.s) AS last, count(DISTINCT v) AS n_endpoints FROM (SELECT v, unnest(r) AS x FROM best) GROUP BY ALL""")
-def net_path_network_sessions(spark, sf):
-    return paths.path_network(paths.path_steps(_log(spark, JOURNEYS)))
-
-
 def _stream_sql() -> str:
     """Katz scores as sums over walks: a walk of n contacts weighs 0.3^n and fades from its first contact on."""
     return _values(WALLS).replace("WITH", "WITH RECURSIVE", 1) + """, k AS (SELECT f, t, s FROM c WHERE ses = 'x' AND f <> t AND (s BETWEEN 0 AND 5 OR s BETWEEN 10 AND 20)),
@@ -490,46 +458,6 @@ def net_projection_vertices(spark, sf):
     return crossbin.projection(nations(spark, sf))[0]
 
 
-@query(JOURNEY_SQL + """, p AS (SELECT src, v, max(a) - 1 AS l, max(h) AS h FROM best GROUP BY ALL), n AS (SELECT f AS v FROM c UNION SELECT t FROM c)
-SELECT n.v AS source, count(p.v) AS reachable, count(p.v) / (SELECT count(*) - 1 FROM n) AS share, median(l) AS median_latency, max(l) AS max_latency, median(h)::DOUBLE AS median_hops, max(h)::DOUBLE AS max_hops FROM n LEFT JOIN p ON p.src = n.v GROUP BY n.v""")
-def net_paths_summary(spark, sf):
-    net = _log(spark, JOURNEYS)
-    return summaries.paths_summary(paths.paths(net), net.nodes).withColumn("max_hops", F.col("max_hops").cast("double"))
-
-
-@query(JOURNEY_SQL + """, q AS (SELECT v, array_to_string(list_prepend(src, list_transform(r, lambda x: x.t)), ' -> ') AS route, h, a FROM best) SELECT v AS node, count(DISTINCT route) AS routes, count(*) AS count, count(*) / (SELECT count(*) FROM q) AS share, min(h)::INTEGER AS min_hops, min(a) AS first_arrival FROM q GROUP BY v""")
-def net_pathway_endpoints(spark, sf):
-    return summaries.pathway_endpoints(paths.path_steps(_log(spark, JOURNEYS)))
-
-
-PATH_EDGES = JOURNEY_SQL + """, pe AS (SELECT x.f AS f, x.t AS t, count(*) AS w, min(x.s) AS first, max(x.s) AS last FROM (SELECT unnest(r) AS x FROM best) GROUP BY ALL)
-"""
-
-
-@query(PATH_EDGES + """SELECT v AS node, sum(o)::BIGINT AS out_weight, sum(i)::BIGINT AS in_weight, min(t) AS first FROM (SELECT f AS v, w AS o, 0 AS i, NULL AS t FROM pe UNION ALL SELECT t, 0, w, first FROM pe) GROUP BY v""")
-def net_path_network_nodes(spark, sf):
-    return summaries.path_network_nodes(paths.path_network(paths.path_steps(_log(spark, JOURNEYS))))
-
-
-@query(PATH_EDGES + """SELECT u.property, u.value FROM (SELECT count(*)::DOUBLE AS edges, sum(w)::DOUBLE AS traversals, max(w)::DOUBLE AS heaviest, min(first) AS first, max(last) AS last, (SELECT count(*)::DOUBLE FROM (SELECT f FROM pe UNION SELECT t FROM pe)) AS nodes FROM pe) UNPIVOT (value FOR property IN (edges, traversals, heaviest, first, last, nodes)) u""")
-def net_path_network_summary(spark, sf):
-    return summaries.path_network_summary(paths.path_network(paths.path_steps(_log(spark, JOURNEYS))))
-
-
-TREE_SQL = JOURNEY_SQL + """, k AS (SELECT list_prepend(src || '@' || (SELECT min(s) FROM c), list_transform(r, lambda x: x.t || '@' || x.s)) AS k FROM best), pf AS (SELECT k[1:d] AS p, d FROM (SELECT k, unnest(range(1, len(k) + 1)) AS d FROM k)), tr AS (SELECT array_to_string(p, '>') AS prefix, CASE WHEN d > 1 THEN array_to_string(p[1:d - 1], '>') END AS parent, p[d] AS node, d::INTEGER AS depth, count(*) AS count FROM pf GROUP BY ALL)
-"""
-
-
-@query(TREE_SQL + "SELECT x.*, x.count / y.count AS probability FROM tr x LEFT JOIN tr y ON x.parent = y.prefix")
-def net_path_trajectories_sessions(spark, sf):
-    return paths.path_trajectories(paths.path_steps(_log(spark, JOURNEYS)))
-
-
-@query(TREE_SQL + """SELECT depth, count(*) AS branches, count(DISTINCT split_part(node, '@', 1)) AS vertices, sum(count)::BIGINT AS count, avg(kids) AS mean_branching FROM tr LEFT JOIN (SELECT parent AS prefix, count(*) AS kids FROM tr WHERE parent IS NOT NULL GROUP BY parent) USING (prefix) GROUP BY depth""")
-def net_trajectory_depths(spark, sf):
-    return summaries.trajectory_depths(paths.path_trajectories(paths.path_steps(_log(spark, JOURNEYS))))
-
-
 @query(N2 + """, o AS (SELECT *, max(e) OVER (PARTITION BY ses, f, t ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM sp), i AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY ses, f, t ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), u AS (SELECT ses, sum(e - s) AS u FROM (SELECT ses, f, t, g, min(s) AS s, max(e) AS e FROM i GROUP BY ALL) GROUP BY ses)
 SELECT ses AS session, count(DISTINCT (f, t)) AS pairs, (SELECT count(DISTINCT v) FROM (SELECT f AS v FROM sp x WHERE x.ses = sp.ses UNION SELECT t FROM sp x WHERE x.ses = sp.ses)) AS nodes, round(any_value(u), 4) AS union_duration, round(sum(e - s), 4) AS total_duration FROM sp JOIN u USING (ses) GROUP BY sp.ses""")
 def net_collapsed_sessions(spark, sf):
@@ -630,21 +558,6 @@ def net_head(spark, sf):
     return summaries.head_with_counts(nations(spark, sf).spells.select("from", "to", "start", "end"), ["start", "from", "to", "end"], 5)
 
 
-WINDOWED = _values(JOURNEYS).replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT unnest([1.0::DOUBLE, 4.0::DOUBLE, 7.0::DOUBLE]) AS lo), vs AS (SELECT f AS v FROM c UNION SELECT t FROM c), w AS (SELECT lo, v AS src, ses, v, lo AS a, 0 AS h FROM b, vs, (SELECT DISTINCT ses FROM c) UNION ALL SELECT lo, src, w.ses, c.t, c.s, h + 1 FROM w JOIN c ON c.f = w.v AND c.ses = w.ses AND c.s >= w.a AND c.s <= lo + 3 WHERE h < 8),
-d AS (SELECT lo, src, v, min((a, h)) AS m FROM w WHERE src <> v GROUP BY ALL)
-"""
-
-
-@query(WINDOWED + "SELECT lo AS time, src AS source, v AS node, m[2]::DOUBLE AS distance FROM d".replace("m[2]", "struct_extract(m, 2)"))
-def net_temporal_distances(spark, sf):
-    return paths.temporal_distances(_log(spark, JOURNEYS), step=3.0)
-
-
-@query(WINDOWED + "SELECT lo AS time, round(coalesce(sum(CASE WHEN struct_extract(m, 1) > lo THEN 1 / (struct_extract(m, 1) - lo) END), 0) / 72, 9) AS temporal_efficiency, max(struct_extract(m, 1) - lo) AS temporal_diameter, count(*) = 72 AS connected FROM b LEFT JOIN d USING (lo) GROUP BY lo")
-def net_window_efficiency(spark, sf):
-    return paths.window_efficiency(_log(spark, JOURNEYS), basis="latency", step=3.0).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
-
-
 def _attributed() -> str:
     """Every three turns in a window of three, by the class at each vertex it belongs to, straight from the definition."""
     return """, r AS (SELECT *, row_number() OVER (ORDER BY s, f, t) AS i FROM c), k AS (SELECT [x, y, z] AS l FROM r x JOIN r y ON x.i < y.i JOIN r z ON y.i < z.i WHERE z.s <= x.s + 0.31),

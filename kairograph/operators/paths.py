@@ -4,169 +4,213 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.errors import BadInput, BudgetExceeded, UnknownMeasure
-from kairograph.functions.islands import islands
 from kairograph.functions.timeops import EPS, c_leq
 from kairograph.operators import journeys as J
+from kairograph.operators import rounds as R
 from kairograph.plans.network import Network
 from kairograph.plans.storage import keep
 
-#: Atoms that are sent to every task; a larger network goes through `arrivals`.
+#: Contacts that are sent to every task, for the two criteria that are searched vertex by vertex.
 MAX_ATOMS = 2_000_000
 CRITERIA = ("foremost_then_shortest", "min_hops", "foremost", "shortest", "fastest", "latest_departure")
 
 
-def _atoms(net: Network, sessions: str) -> list[tuple[str | None, list]]:
-    rows = net.fragments().select(net.walls(sessions).alias("wall"), "from", "to", "start", "end", "weight").limit(MAX_ATOMS + 1).collect()
-    if len(rows) > MAX_ATOMS:
-        raise BudgetExceeded(f"more than {MAX_ATOMS} contacts; use arrivals()")
-    walls: dict = {}
-    for r in rows:
-        walls.setdefault(r["wall"], []).append((r["from"], r["to"], r["start"], r["end"], r["weight"]))
-    return sorted(((w, J.index(a, net.directed)) for w, a in walls.items()), key=lambda x: x[0] or "")
+def _bounds(net: Network, at: float | None, upper: float) -> tuple[float, float]:
+    """A search's window: from ``at`` or the network's first time, to ``upper`` or the end of observed time."""
+    if net.observed and upper == math.inf:
+        upper = net.observed[-1][1]
+    return (net.span()[0] if at is None else float(at)), upper
+
+
+@dataclass
+class _Ways:
+    """Contacts of a network, and searches over them."""
+
+    net: Network
+    sessions: str
+    traversal: float = 0.0
+
+    def __post_init__(self) -> None:
+        # Vertices may come from the whole log; here their names are asked for again and again.
+        self.net = self.net.with_(nodes=keep(self.net.nodes.select("name"), "names"))
+        self.atoms = R.contacts(self.net, self.sessions, self.traversal)
+
+    def origins(self, anchor: DataFrame, key: Column, limit: Column, forward: bool = True) -> DataFrame:
+        """States without hops in each session in which an origin has contacts."""
+        near = "from" if forward else "to"
+        walls = self.atoms.select("wall", F.col(near).alias("node")).distinct()
+        exact = F.col("exact") if "exact" in anchor.columns else F.lit(1)
+        rows = anchor.select(key.alias("key"), F.col("name").alias("node"), "time", exact.alias("exact"), limit.alias("limit"))
+        return rows.join(walls, "node", "left").withColumns({"wall": F.coalesce("wall", F.lit("")), "count": F.lit(1.0)})
+
+    def search(self, origins: DataFrame, forward: bool = True, arcs: bool = False) -> R.Search:
+        return R.explore(origins, self.atoms, self.traversal, forward, self.net.presence is not None, arcs)
+
+    def forward(self, sources: list[str] | None, at: float | None, upper: float, arcs: bool = False) -> R.Search:
+        lower, upper = _bounds(self.net, at, upper)
+        anchor = R.anchors(self.net, R.window(self.net, lower, upper), at, True, sources)
+        return self.search(self.origins(anchor, F.col("name"), F.col("upper")), True, arcs)
+
+
+def _begins(search: R.Search) -> DataFrame:
+    return search.layers[0].select(F.col("key"), F.col("time").alias("begin")).distinct()
 
 
-def _by_source(net: Network, sessions: str, sources: list[str] | None, fn: Callable[[str, list], Iterator[tuple]], schema: str) -> DataFrame:
-    """``fn(source, atoms by session)`` in parallel over sources, atoms being broadcast."""
+def _one_by_one(net: Network, sessions: str, sources: list[str] | None, at: float | None, upper: float, fn: Callable[[str, float, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """``fn(source, begin, contacts by session)`` in parallel over sources; contacts are broadcast up to a checked number."""
     spark = net.spells.sparkSession
-    sent = spark.sparkContext.broadcast(_atoms(net, sessions))
+    rows = R.contacts(net, sessions).select("wall", "from", "to", "lo", "hi", "weight").limit(MAX_ATOMS + 1).collect()
+    if len(rows) > MAX_ATOMS:
+        raise BudgetExceeded(f"more than {MAX_ATOMS} contacts")
+    walls: dict = {}
+    for r in rows:
+        walls.setdefault(r["wall"], []).append(tuple(r)[1:])
+    sent = spark.sparkContext.broadcast(sorted((w, J.index(a, True)) for w, a in walls.items()))
     names = [s.split(" ")[0] for s in schema.split(", ")]
-    start = net.nodes.select("name") if sources is None else net.nodes.select("name").filter(F.col("name").isin(list(sources)))
+    start = R.anchors(net, R.window(net, *_bounds(net, at, upper)), at, True, sources).select("name", "time")
     start = start.repartition(max(2, spark.sparkContext.defaultParallelism), "name")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for s in pdf["name"] for r in fn(s, sent.value)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([r for s, t in zip(pdf["name"], pdf["time"], strict=True) for r in fn(s, t, sent.value)], columns=names)
 
     return start.mapInPandas(run, schema)
 
 
+PATHS = "source string, node string, departure double, arrival double, latency double, hops long, n_paths double, cost double"
+
+
 def paths(net: Network, sources: list[str] | None = None, criterion: str = "foremost_then_shortest", at: float | None = None, upper: float = math.inf, traversal: float = 0.0, sessions: str = "bounded", cost: str = "weight", deadline: float | None = None) -> DataFrame:
     """``source, node, departure, arrival, latency, hops, n_paths, cost`` of every vertex reached.
 
-    Sessions are walls: each is searched by itself and the best way stays.
+    Sessions are walls: each is searched by itself and the best way stays; ways that
+    are as good add up.  A source sets out at ``at``, which it must be there for, or else
+    at its first moment in the window.  Where no way attains an optimum but ways come
+    arbitrarily near it, ``hops`` is null and ``n_paths`` 0 (latest_departure).
     """
     if criterion not in CRITERIA:
         raise UnknownMeasure(criterion)
-    t0 = net.span()[0] if at is None else float(at)
-    if criterion == "latest_departure" and deadline is None:
-        deadline = net.span()[1]
-
-    if criterion == "latest_departure":  # one search backwards for each target
-        back = backward_paths(net, None, deadline, t0, traversal, sessions).withColumnRenamed("node", "source")
-        if sources is not None:
-            back = back.filter(F.col("source").isin(list(sources)))
-        itself = F.col("source") == F.col("target")
-        leaves = F.when(itself, F.lit(t0)).otherwise(F.col("departure"))
-        arrives = F.when(itself, F.lit(t0)).otherwise(F.lit(deadline))
-        n_paths = F.when(itself, F.lit(1.0))
-        return back.select("source", F.col("target").alias("node"), leaves.alias("departure"), arrives.alias("arrival"), (arrives - leaves).alias("latency"), "hops", n_paths.alias("n_paths"), F.when(itself, F.lit(0.0)).otherwise(-F.col("departure")).alias("cost"))
-
-    def fn(source: str, walls: list) -> Iterator[tuple]:
-        best: dict[str, tuple] = {source: ((0.0, 0), (source, source, t0, t0, 0.0, 0, 1, 0.0))}
-
-        def offer(v: str, rank: tuple, row: tuple) -> None:
-            if v == source:
-                return
-            if v not in best or rank < best[v][0]:
-                best[v] = (rank, row)
-            elif rank == best[v][0] and row[6] is not None and best[v][1][6] is not None:
-                old = best[v][1]
-                best[v] = (rank, (*old[:6], old[6] + row[6], old[7]))
-
+    if criterion in ("foremost", "fastest"):
+        return _searched_paths(net, sources, criterion, at, upper, traversal, sessions)
+    ways = _Ways(net, sessions, traversal)
+    if criterion == "latest_departure":
+        return _latest(ways, sources, at, upper, deadline)
+    lower, upper = _bounds(net, at, upper)
+    if criterion == "shortest":
+        anchor = R.anchors(ways.net, R.window(net, lower, upper), at, True, sources)
+        origins = ways.origins(anchor, F.col("name"), F.col("upper"))
+        best = R.cheapest(origins, ways.atoms, cost, traversal, net.presence is not None)
+        begin = anchor.select(F.col("name").alias("key"), F.col("time").alias("begin"))
+    else:
+        found = ways.forward(sources, at, upper)
+        best, begin = found.best(criterion), _begins(found)
+        best = best.withColumn("cost", F.col("hops").cast("double") if criterion == "min_hops" else F.col("time"))
+    own = F.col("key") == F.col("node")
+    return best.join(begin, "key").select(F.col("key").alias("source"), "node", F.col("begin").alias("departure"), F.col("time").alias("arrival"), (F.col("time") - F.col("begin")).alias("latency"), "hops", F.when(own, 1.0).otherwise(F.col("count")).alias("n_paths"), "cost")
+
+
+def _latest(ways: _Ways, sources: list[str] | None, at: float | None, upper: float, deadline: float | None) -> DataFrame:
+    """Latest departures that meet a deadline; from each, the earliest arrival and the ways that make it."""
+    net = ways.net
+    lower, _ = _bounds(net, at, upper)
+    end = net.span()[1] if deadline is None else float(deadline)
+    back = ways.search(ways.origins(R.anchors(net, R.window(net, lower, end), end, False), F.col("name"), F.lit(lower), False), False).best()
+    leave = back.select(F.col("node").alias("name"), F.col("key").alias("target"), "time", "exact")
+    if sources is not None:
+        leave = leave.filter(F.col("name").isin(list(sources)))
+    leave = keep(leave, "departures")
+    origins = ways.origins(leave, F.struct("name", "target"), F.lit(float("inf")))
+    best = ways.search(origins).best().filter("node = key.target").withColumns({"arrival": F.col("time"), "sure": F.col("exact")}).drop("time", "exact")
+    out = best.join(leave.select(F.struct("name", "target").alias("key"), "time", "exact"), "key")
+    attained = F.col("exact") == 1
+    n = F.when(F.col("key.name") == F.col("node"), 1.0).when(attained, F.col("count")).otherwise(0.0)
+    return out.select(F.col("key.name").alias("source"), "node", F.col("time").alias("departure"), "arrival", (F.col("arrival") - F.col("time")).alias("latency"), F.when(attained, F.col("hops")).alias("hops"), n.alias("n_paths"), (-F.col("time")).alias("cost"))
+
+
+def _searched_paths(net: Network, sources: list[str] | None, criterion: str, at: float | None, upper: float, traversal: float, sessions: str) -> DataFrame:
+    """Earliest ways counted one by one, and shortest spans: both need a search of their own for each source."""
+    _, upper = _bounds(net, at, upper)
+
+    def fn(source: str, begin: float, walls: list) -> Iterator[tuple]:
+        best: dict[str, tuple] = {source: ((0.0, 0.0), (source, source, begin, begin, 0.0, 0, 1.0, 0.0))}
         for _, atoms in walls:
-            if criterion in ("foremost_then_shortest", "min_hops", "foremost"):
-                found = J.Search(atoms, source, t0, upper, traversal)
-                for v in found.best:
-                    b = found.label(v, "min_hops" if criterion == "min_hops" else "foremost_then_shortest")
-                    n = J.foremost_count(atoms, source, t0, v, upper) if criterion == "foremost" and v != source else b.count
-                    rank = (b.hops, b.time) if criterion == "min_hops" else (b.time, b.hops if criterion != "foremost" else 0)
-                    offer(v, rank, (source, v, t0, b.time, b.time - t0, b.hops, n, float(b.hops)))
-            elif criterion == "shortest":
-                for v, (c, t, h) in J.shortest(atoms, source, t0, upper, cost).items():
-                    offer(v, (c, t), (source, v, t0, t, t - t0, h, None, c))
-            elif criterion == "fastest":
-                for v, (d, s, t, h) in J.fastest(atoms, source, t0, upper, traversal).items():
-                    offer(v, (d, s), (source, v, s, t, d, h, None, d))
+            if criterion == "foremost":
+                found = J.Search(atoms, source, begin, upper, traversal)
+                ways = [((b.time, 0.0), (source, v, begin, b.time, b.time - begin, b.hops, float(J.foremost_count(atoms, source, begin, v, upper)), b.time)) for v in found.best if v != source and (b := found.label(v))]
             else:
-                raise UnknownMeasure(criterion)
+                ways = [((d, s), (source, v, s, t, d, h, None, d)) for v, (d, s, t, h) in J.fastest(atoms, source, begin, upper, traversal).items() if v != source]
+            for rank, row in ways:
+                old = best.get(row[1])
+                if old is None or rank < old[0]:
+                    best[row[1]] = (rank, row)
+                elif rank == old[0] and row[6] is not None:
+                    best[row[1]] = (rank, (*old[1][:6], old[1][6] + row[6], old[1][7]))
         yield from (row for _, row in best.values())
 
-    return _by_source(net, sessions, sources, fn, "source string, node string, departure double, arrival double, latency double, hops long, n_paths double, cost double")
+    return _one_by_one(net, sessions, sources, at, upper, fn, PATHS)
 
 
 def backward_paths(net: Network, targets: list[str] | None = None, deadline: float | None = None, lower: float = -math.inf, traversal: float = 0.0, sessions: str = "bounded") -> DataFrame:
-    """``target, node, departure, attained, hops``: the latest departures that still reach a target."""
-    end = net.span()[1] if deadline is None else float(deadline)
-
-    def fn(target: str, walls: list) -> Iterator[tuple]:
-        best: dict[str, tuple[float, bool, int]] = {}
-        for _, atoms in walls:
-            for v, got in J.latest(atoms, target, end, lower, traversal).items():
-                if v not in best or (got[0], got[1], -got[2]) > (best[v][0], best[v][1], -best[v][2]):
-                    best[v] = got
-        yield from ((target, v, d, a, h) for v, (d, a, h) in best.items())
+    """``target, node, departure, attained, hops, n_paths``: the latest departures that still reach a target.
 
-    return _by_source(net, sessions, targets, fn, "target string, node string, departure double, attained boolean, hops long")
+    ``attained`` is false where ways come arbitrarily near a departure that none has.
+    """
+    if net.observed and lower == -math.inf:
+        lower = net.observed[0][0]
+    end = net.span()[1] if deadline is None else float(deadline)
+    ways = _Ways(net, sessions, traversal)
+    anchor = R.anchors(ways.net, R.window(net, lower, end), deadline, False, targets)
+    best = ways.search(ways.origins(anchor, F.col("name"), F.col("lower"), False), False).best()
+    n = F.when(F.col("key") == F.col("node"), 1.0).otherwise(F.col("count"))
+    return best.select(F.col("key").alias("target"), "node", F.col("time").alias("departure"), (F.col("exact") == 1).alias("attained"), "hops", n.alias("n_paths"))
 
 
 def path_steps(net: Network, sources: list[str] | None = None, criterion: str = "foremost_then_shortest", at: float | None = None, upper: float = math.inf, sessions: str = "bounded", most: int = 1_000_000) -> DataFrame:
     """``source, node, route, times``: every best way as arrays of vertices and times."""
-    t0 = net.span()[0] if at is None else float(at)
-
-    def fn(source: str, walls: list) -> Iterator[tuple]:
-        found = [J.Search(atoms, source, t0, upper) for _, atoms in walls]
-        rank = (lambda b: (b.time, b.hops)) if criterion == "foremost_then_shortest" else (lambda b: (b.hops, b.time))
-        for v in {v for f in found for v in f.best} - {source}:
-            labels = [(rank(b), f) for f in found if (b := f.label(v, criterion))]
-            low = min(x for x, _ in labels)
-            for x, f in labels:
-                if x == low:
-                    for r in f.routes(v, criterion, most):
-                        yield source, v, [p for p, _ in r], [t for _, t in r]
-
-    return _by_source(net, sessions, sources, fn, "source string, node string, route array<string>, times array<double>")
+    found = _Ways(net, sessions).forward(sources, at, upper, True)
+    return found.routes(found.best(criterion).filter("key <> node"), most).withColumnRenamed("key", "source")
 
 
 def arrivals(net: Network, sources: list[str] | None = None, at: float | None = None, upper: float = math.inf) -> DataFrame:
-    """``source, node, arrival`` by joins alone, for networks of any size.
+    """``source, node, arrival`` alone, sessions collapsed: one number for each pair, no counts.
 
     Each round joins the vertices whose arrival improved with the ties that leave
     them; rounds end when nothing improves, after as many as the longest way has hops.
     """
-    t0 = net.span()[0] if at is None else float(at)
-    f = net.fragments().select("from", "to", "start", "end")
-    if not net.directed:
-        f = f.unionByName(f.select(F.col("to").alias("from"), F.col("from").alias("to"), "start", "end"))
-    stretch = islands(f.filter("start < end"), ["from", "to"])
-    atoms = keep(stretch.unionByName(f.filter("start = end").distinct()), "atoms")
-    start = net.nodes.select("name") if sources is None else net.nodes.select("name").filter(F.col("name").isin(list(sources)))
-    known = keep(start.select(F.col("name").alias("source"), F.col("name").alias("node"), F.lit(t0).alias("arrival")), "known")
+    return _arrivals(net, sources, at, upper)[1]
+
+
+def _arrivals(net: Network, sources: list[str] | None, at: float | None, upper: float) -> tuple[DataFrame, DataFrame]:
+    lower, upper = _bounds(net, at, upper)
+    atoms = R.contacts(net, "collapse").select("from", "to", "lo", "hi", "closed")
+    begin = R.anchors(net, R.window(net, lower, upper), at, True, sources).select(F.col("name").alias("source"), F.col("time").alias("begin"))
+    known = keep(begin.select("source", F.col("source").alias("node"), F.col("begin").alias("arrival")), "known")
     front = known
     while True:
-        entry = F.greatest("arrival", "start")
+        entry = F.greatest("arrival", "lo")
         moved = front.join(atoms, front["node"] == atoms["from"]).withColumn("t", entry)
-        moved = moved.filter(((F.col("t") == F.col("start")) | (F.col("t") < F.col("end"))) & (F.col("t") <= upper)).groupBy("source", F.col("to").alias("node")).agg(F.min("t").alias("arrival"))
+        moved = moved.filter(((F.col("t") < F.col("hi")) | (F.col("t") == F.col("hi")) & F.col("closed")) & (F.col("t") <= upper)).groupBy("source", F.col("to").alias("node")).agg(F.min("t").alias("arrival"))
         old = known.withColumnRenamed("arrival", "old")
         front = keep(moved.join(old, ["source", "node"], "left").filter("old is null or arrival < old").select("source", "node", "arrival"), "front")
         if front.isEmpty():
-            return known
+            return begin, known
         known = keep(known.unionByName(front).groupBy("source", "node").agg(F.min("arrival").alias("arrival")), "known")
 
 
 def reachability(net: Network, at: float | None = None, upper: float = math.inf) -> DataFrame:
-    """``node, reach_out, reach_in, share_out, share_in, latency``: whom a vertex reaches and who reaches it."""
-    t0 = net.span()[0] if at is None else float(at)
-    a = arrivals(net, None, at, upper).filter("source <> node")
+    """``node, reach_out, reach_in, share_out, share_in, latency``: whom a vertex reaches and who reaches it; latency from its own beginning."""
+    begin, known = _arrivals(net, None, at, upper)
+    a = known.filter("source <> node").join(begin, "source")
     n = net.nodes.count()
-    out = a.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("reach_out"), F.avg(F.col("arrival") - t0).alias("latency"))
+    out = a.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("reach_out"), F.avg(F.col("arrival") - F.col("begin")).alias("latency"))
     into = a.groupBy("node").agg(F.count("*").alias("reach_in"))
     rows = net.nodes.select(F.col("name").alias("node")).join(out, "node", "left").join(into, "node", "left")
     most = float(max(1, n - 1))
@@ -199,37 +243,42 @@ def path_trajectories(steps: DataFrame, min_count: int = 1) -> DataFrame:
     return n.join(up, "parent", "left").select("prefix", "parent", "node", "depth", "count", (F.col("count") / F.col("above")).alias("probability"))
 
 
-def path_centrality(net: Network, measures: list[str], criterion: str = "foremost_then_shortest", at: float | None = None, upper: float = math.inf, sessions: str = "bounded") -> DataFrame:
-    """``node, measure, value`` for closeness, betweenness and efficiency over best ways."""
-    t0 = net.span()[0] if at is None else float(at)
-    n = net.nodes.count()
+def path_centrality(net: Network, measures: list[str], criterion: str = "foremost_then_shortest", at: float | None = None, upper: float = math.inf, sessions: str = "bounded", mode: str = "out") -> DataFrame:
+    """``node, measure, value`` for closeness, betweenness and efficiency over best ways; one search serves all.
+
+    ``mode`` "in" takes the ways that end at a vertex, for closeness and efficiency.
+    """
+    if mode not in ("out", "in"):
+        raise BadInput("mode is out or in")
+    if "betweenness" in measures and criterion not in ("foremost_then_shortest", "min_hops"):
+        raise BadInput("betweenness counts ways that are earliest, or have the fewest hops")
+    ways = _Ways(net, sessions)
+    names = ways.net.nodes
+    n = names.count()
+    side = "source" if mode == "out" else "node"
+    found = best = None
+    if criterion in ("foremost_then_shortest", "min_hops") or "efficiency" in measures:
+        found = ways.forward(None, at, upper, "betweenness" in measures)
+        best = keep(found.best(criterion if criterion == "min_hops" else "foremost_then_shortest"), "best")
     parts = []
     for m in measures:
         if m == "closeness":
-            p = paths(net, None, criterion, at, upper, sessions=sessions).filter("source <> node")
-            d = F.col("hops").cast("double") if criterion == "min_hops" else F.col("cost") if criterion in ("shortest", "fastest") else F.col("latency")
-            got = p.groupBy(F.col("source").alias("node")).agg(F.avg(d).alias("d")).select("node", F.when(F.col("d") > 0, 1 / F.when(F.col("d") > 0, F.col("d")).otherwise(1.0)).otherwise(float("inf")).alias("value"))
+            if criterion in ("foremost_then_shortest", "min_hops"):
+                rows = best.join(_begins(found), "key").select(F.col("key").alias("source"), "node", (F.col("hops").cast("double") if criterion == "min_hops" else F.col("time") - F.col("begin")).alias("d"))
+            else:
+                rows = paths(net, None, criterion, at, upper, sessions=sessions).select("source", "node", (F.col("latency") if criterion != "shortest" else F.col("cost")).alias("d"))
+            got = rows.filter("source <> node").groupBy(F.col(side).alias("node")).agg(F.avg("d").alias("d")).select("node", F.when(F.col("d") > 0, 1 / F.when(F.col("d") > 0, F.col("d")).otherwise(1.0)).otherwise(float("inf")).alias("value"))
         elif m == "efficiency":
-            p = paths(net, None, "min_hops", at, upper, sessions=sessions).filter("source <> node")
-            got = p.groupBy(F.col("source").alias("node")).agg((F.sum(1 / F.col("hops")) / max(1, n - 1)).alias("value"))
+            rows = found.best("min_hops").select(F.col("key").alias("source"), "node", "hops").filter("source <> node")
+            got = rows.groupBy(F.col(side).alias("node")).agg((F.sum(1 / F.col("hops")) / max(1, n - 1)).alias("value"))
         elif m == "betweenness":
-            if criterion == "foremost":
-                raise BadInput("ways that are only foremost can not be counted for betweenness")
-
-            def fn(source: str, walls: list) -> Iterator[tuple]:
-                found = [J.Search(atoms, source, t0, upper) for _, atoms in walls]
-                for f, targets in zip(found, J.winners(found, source, criterion), strict=True):
-                    yield from f.through(criterion, targets)[0].items()
-
-            got = _by_source(net, sessions, None, fn, "node string, value double").groupBy("node").agg(F.sum("value").alias("value"))
+            got = found.shares(best)[0]
         else:
             raise UnknownMeasure(m)
-        base = net.nodes.select(F.col("name").alias("node"))
-        parts.append(base.join(got, "node", "left").select("node", F.lit(m).alias("measure"), F.coalesce("value", F.lit(0.0)).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        base = names.select(F.col("name").alias("node"))
+        nothing = F.lit(None).cast("double") if m == "efficiency" and n < 2 else F.lit(0.0)
+        parts.append(base.join(got, "node", "left").select("node", F.lit(m).alias("measure"), F.coalesce("value", nothing).alias("value")))
+    return R.union(parts)
 
 
 def edge_centrality(net: Network, at: float | None = None, upper: float = math.inf, sessions: str = "bounded") -> DataFrame:
@@ -237,56 +286,53 @@ def edge_centrality(net: Network, at: float | None = None, upper: float = math.i
 
     Only the sessions that have the best ways to an end count for it.
     """
-    t0 = net.span()[0] if at is None else float(at)
-    first = net.nodes.agg(F.min("name")).first()[0]
+    ways = _Ways(net, sessions)
+    found = ways.forward(None, at, upper, True)
+    used = found.shares(found.best())[1]
+    every = ways.atoms.select("from", "to", "start", "end").distinct()
+    return every.join(used, ["from", "to", "start", "end"], "left").select("from", "to", "start", "end", F.coalesce("value", F.lit(0.0)).alias("value"))
+
 
-    def fn(source: str, walls: list) -> Iterator[tuple]:
-        if source == first:
-            yield from ((*a[:4], 0.0) for _, atoms in walls for xs in atoms.values() for a in xs)
-        found = [J.Search(atoms, source, t0, upper) for _, atoms in walls]
-        for f, targets in zip(found, J.winners(found, source), strict=True):
-            yield from ((*a[:4], x) for a, x in f.through(targets=targets)[1].items())
+def _windows(net: Network, **grid) -> DataFrame:
+    from kairograph.plans.grid import make_grid
 
-    return _by_source(net, sessions, None, fn, "from string, to string, start double, end double, value double").groupBy("from", "to", "start", "end").agg(F.sum("value").alias("value"))
+    return net.spells.sparkSession.createDataFrame([(float(b.lo), float(b.hi)) for b in make_grid(net, **grid).bins], "lower double, upper double")
 
 
 def temporal_distances(net: Network, basis: str = "hops", sessions: str = "bounded", **grid) -> DataFrame:
-    """``time, source, node, distance``: fewest hops of earliest ways, or latency, inside each window; what is not reached has no row."""
+    """``time, source, node, distance``: hops of earliest ways, or latency, inside each window; what is not reached has no row."""
     if basis not in ("hops", "latency"):
         raise BadInput("basis is hops or latency")
-    from kairograph.plans.grid import make_grid
-
-    bins = [(b.lo, b.hi) for b in make_grid(net, **grid).bins]
-
-    def fn(source: str, walls: list) -> Iterator[tuple]:
-        for lo, hi in bins:
-            best: dict[str, tuple] = {}
-            for _, atoms in walls:
-                found = J.Search(atoms, source, lo, hi)
-                for v in found.best:
-                    b = found.label(v)
-                    if v != source and (v not in best or (b.time, b.hops) < best[v]):
-                        best[v] = (b.time, b.hops)
-            yield from ((lo, source, v, float(h) if basis == "hops" else t - lo) for v, (t, h) in best.items())
-
-    return _by_source(net, sessions, None, fn, "time double, source string, node string, distance double")
+    ways = _Ways(net, sessions)
+    found = ways.search(ways.origins(R.anchors(ways.net, _windows(net, **grid)), F.struct("name", "lower"), F.col("upper")))
+    rows = found.best().filter("key.name <> node")
+    distance = F.col("hops").cast("double") if basis == "hops" else F.col("time") - F.col("begin")
+    return rows.join(_begins(found), "key").select(F.col("key.lower").alias("time"), F.col("key.name").alias("source"), "node", distance.alias("distance"))
 
 
 def window_efficiency(net: Network, basis: str = "hops", sessions: str = "bounded", **grid) -> DataFrame:
-    """``time, temporal_efficiency, temporal_diameter, connected`` of every window; ways without latency count as infinite speed only by hops."""
-    from kairograph.plans.grid import make_grid
+    """``time, temporal_efficiency, temporal_diameter, connected`` of every window, over the vertices that are there in it.
 
-    n = net.nodes.count()
+    A pair that is joined without latency makes the efficiency by latency infinite;
+    with fewer than two vertices all is null.
+    """
     d = temporal_distances(net, basis, sessions, **grid)
-    g = d.groupBy("time").agg(F.sum(F.when(F.col("distance") > 0, 1 / F.col("distance"))).alias("s"), F.max("distance").alias("m"), F.count("*").alias("c"))
-    frame = make_grid(net, **grid).frame(net.spells.sparkSession).select("time")
-    out = frame.join(g, "time", "left")
-    return out.select("time", (F.coalesce("s", F.lit(0.0)) / max(1, n * (n - 1))).alias("temporal_efficiency"), F.col("m").alias("temporal_diameter"), (F.coalesce("c", F.lit(0)) == n * (n - 1)).alias("connected"))
+    inverse = F.when(F.col("distance") > 0, 1 / F.when(F.col("distance") > 0, F.col("distance"))).otherwise(float("inf"))
+    g = d.groupBy("time").agg(F.sum(inverse).alias("s"), F.max("distance").alias("m"), F.count("*").alias("c"))
+    windows = _windows(net, **grid)
+    there = R.anchors(net, windows).groupBy("lower").agg(F.count("*").alias("n"))
+    out = windows.join(there, "lower", "left").join(g, F.col("lower") == F.col("time"), "left")
+    pairs = F.col("n") * (F.col("n") - 1)
+    some = lambda c: F.when(F.col("n") >= 2, c)
+    return out.select(F.col("lower").alias("time"), some(F.coalesce("s", F.lit(0.0)) / F.when(pairs > 0, pairs)).alias("temporal_efficiency"), F.col("m").alias("temporal_diameter"), some(F.coalesce("c", F.lit(0)) == pairs).alias("connected"))
 
 
 def closest(closeness: DataFrame, top: int) -> DataFrame:
-    """The ``top`` vertices by closeness, ties to the smaller name."""
-    return closeness.filter("measure = 'closeness'").orderBy(F.desc("value"), "node").limit(top)
+    """The ``top`` vertices by closeness, with all that equal the last one."""
+    rows = closeness.filter("measure = 'closeness'")
+    last = rows.orderBy(F.desc("value")).limit(top).agg(F.min("value").alias("last"))
+    near = R.TOLERANCE * F.greatest(F.lit(1.0), F.abs("last"))
+    return rows.crossJoin(last).filter((F.col("value") >= F.col("last") - near) | (F.col("value") == F.col("last"))).drop("last")
 
 
 def distance_summary(net: Network, at: float | None = None, upper: float = math.inf) -> DataFrame:

@@ -434,45 +434,6 @@ def net_distance_summary(spark, sf):
     return paths.distance_summary(nations(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
 
 
-for _criterion in ("shortest", "fastest", "latest_departure"):
-
-    def _by(spark, sf, c=_criterion):
-        return paths.paths(nations(spark, sf), criterion=c, sessions="collapse")
-
-    _by.__name__ = f"net_paths_{_criterion}"
-    query()(_by)
-
-
-@query()
-def net_backward_paths(spark, sf):
-    return paths.backward_paths(nations(spark, sf))
-
-
-@query()
-def net_pathways(spark, sf):
-    return paths.pathways(paths.path_steps(nations(spark, sf)))
-
-
-@query()
-def net_path_network(spark, sf):
-    return paths.path_network(paths.path_steps(nations(spark, sf)))
-
-
-@query()
-def net_path_trajectories(spark, sf):
-    return paths.path_trajectories(paths.path_steps(nations(spark, sf)))
-
-
-@query()
-def net_path_centrality(spark, sf):
-    return paths.path_centrality(nations(spark, sf), ["closeness", "betweenness", "efficiency"])
-
-
-@query()
-def net_edge_centrality(spark, sf):
-    return paths.edge_centrality(nations(spark, sf))
-
-
 for _measure in ("katz", "pagerank", "walk"):
 
     def _stream(spark, sf, m=_measure):
@@ -554,3 +515,4 @@ def net_animation_bins(spark, sf):
 
 
 import kairograph.contracts  # noqa: E402, F401  (adds its queries)
+import kairograph.journey_queries  # noqa: E402, F401
