@@ -171,6 +171,24 @@ def net_closeness(spark, sf):
     return _two(spark, sf, ["closeness"])
 
 
+def _cores() -> str:
+    """Cores by the definition: for each k, vertices with fewer than k arcs among those that are left go, until none does."""
+    return """, cr AS (SELECT k, f AS v, t AS w FROM edge UNION ALL SELECT k, t, f FROM edge), ks AS (SELECT unnest(range(1, 41)) AS c),
+p0 AS (SELECT DISTINCT k, c, v FROM cr, ks)""" + "".join(f""",
+p{i} AS MATERIALIZED (SELECT a.k, a.c, a.v FROM p{i - 1} a JOIN cr ON cr.k = a.k AND cr.v = a.v JOIN p{i - 1} b ON b.k = a.k AND b.c = a.c AND b.v = cr.w GROUP BY a.k, a.c, a.v HAVING count(*) >= a.c)""" for i in range(1, 41)) + """
+SELECT lo AS time, v AS node, 'coreness' AS measure, coalesce(c, 0)::DOUBLE AS value FROM bins CROSS JOIN nd LEFT JOIN (SELECT k, v, max(c) AS c FROM p40 GROUP BY ALL) USING (k, v)"""
+
+
+@query(TWO + _cores())
+def net_coreness(spark, sf):
+    return _two(spark, sf, ["coreness"])
+
+
+@query(N2 + DEG + BASE + """, md(m) AS (VALUES ('degree'), ('degree_in'), ('degree_out')) SELECT time, node, m AS measure, coalesce(CASE m WHEN 'degree' THEN d WHEN 'degree_in' THEN i ELSE o END, 0)::DOUBLE AS value FROM base CROSS JOIN md LEFT JOIN dg ON dg.k = base.k AND dg.v = node""")
+def net_degree_modes(spark, sf):
+    return centrality.centrality_series(nations(spark, sf), ["degree"], mode=["all", "in", "out"])
+
+
 @query(TWO + BFS + """SELECT lo AS time, v AS node, 'harary' AS measure, round(CASE WHEN c = n - 1 THEN 1 / m ELSE 0 END, 7) AS value FROM nn, bins CROSS JOIN nd LEFT JOIN (SELECT k, src AS v, count(*) AS c, max(d) AS m FROM dist GROUP BY ALL) USING (k, v)""")
 def net_harary(spark, sf):
     return _two(spark, sf, ["harary"])
@@ -229,17 +247,16 @@ def net_metrics_centralization(spark, sf):
 
 @query(TWO + """, dy AS (SELECT k, least(f, t) AS a, greatest(f, t) AS b, max((f < t)::INT) AS up, max((f > t)::INT) AS dn FROM edge GROUP BY ALL),
 pa AS (SELECT k, a, b, CASE WHEN up + dn = 2 THEN 'm' WHEN up = 1 THEN 'u' ELSE 'd' END AS x FROM dy), nb AS (SELECT k, a, b FROM pa UNION ALL SELECT k, b, a FROM pa),
-tp AS (SELECT DISTINCT p.k, list_sort([p.a, p.b, q.b]) AS l FROM pa p JOIN nb q ON q.k = p.k AND (q.a = p.a AND q.b <> p.b OR q.a = p.b AND q.b <> p.a)),
+tp AS (SELECT bins.k, [x.v, y.v, z.v] AS l FROM bins, nd x JOIN nd y ON x.v < y.v JOIN nd z ON y.v < z.v),
 y AS (SELECT tp.k, coalesce(x.x, 'n') AS ab, coalesce(y.x, 'n') AS ac, coalesce(z.x, 'n') AS bc FROM tp LEFT JOIN pa x ON x.k = tp.k AND x.a = l[1] AND x.b = l[2] LEFT JOIN pa y ON y.k = tp.k AND y.a = l[1] AND y.b = l[3] LEFT JOIN pa z ON z.k = tp.k AND z.a = l[2] AND z.b = l[3]),
 o AS (SELECT k, (ab = 'm')::INT + (ac = 'm')::INT + (bc = 'm')::INT AS m, (ab = 'n')::INT + (ac = 'n')::INT + (bc = 'n')::INT AS n,
   [(ab = 'u')::INT + (ac = 'u')::INT, (ab = 'd')::INT + (bc = 'u')::INT, (ac = 'd')::INT + (bc = 'd')::INT] AS oo, [(ab = 'd')::INT + (ac = 'd')::INT, (ab = 'u')::INT + (bc = 'd')::INT, (ac = 'u')::INT + (bc = 'u')::INT] AS ii,
   [(ab = 'm')::INT + (ac = 'm')::INT, (ab = 'm')::INT + (bc = 'm')::INT, (ac = 'm')::INT + (bc = 'm')::INT] AS mm FROM y),
 c AS (SELECT k, m::VARCHAR || (3 - m - n)::VARCHAR || n::VARCHAR || CASE WHEN m = 0 AND n = 1 OR m = 1 AND n = 0 THEN CASE WHEN list_max(oo) = 2 THEN 'D' WHEN list_max(ii) = 2 THEN 'U' ELSE 'C' END WHEN m = 1 AND n = 1 THEN CASE WHEN len(list_filter(range(1, 4), lambda i: mm[i] = 1 AND ii[i] = 1)) > 0 THEN 'D' ELSE 'U' END WHEN m = 0 AND n = 0 THEN CASE WHEN list_max(oo) = 2 THEN 'T' ELSE 'C' END ELSE '' END AS t FROM o),
 g AS (SELECT k, t, count(*)::DOUBLE AS c FROM c GROUP BY ALL)
-SELECT lo AS time, 'triad_' || t AS measure, c AS value FROM g JOIN bins USING (k)""")
+SELECT lo AS time, 'triad_' || t AS measure, coalesce(c, 0) AS value FROM bins CROSS JOIN (SELECT unnest(['003', '012', '102', '021D', '021U', '021C', '111D', '111U', '030T', '030C', '201', '120D', '120U', '120C', '210', '300']) AS t) LEFT JOIN g USING (k, t)""")
 def net_triads(spark, sf):
-    t = _two_metrics(spark, sf, ["triads"]).filter("value > 0")
-    return t.filter(~F.col("measure").isin("triad_003", "triad_012", "triad_102"))
+    return _two_metrics(spark, sf, ["triads"])
 
 
 @query(N2 + """, fs AS (SELECT k, f AS i, t AS j FROM edge), rr AS (SELECT DISTINCT k, n_name AS a, n_name AS b FROM bins, nation UNION SELECT k, i, j FROM fs), r2 AS (SELECT DISTINCT x.k, x.a, y.b FROM rr x JOIN rr y ON x.k = y.k AND x.b = y.a), r AS (SELECT DISTINCT x.k, x.a, y.b FROM r2 x JOIN r2 y ON x.k = y.k AND x.b = y.a),
@@ -484,6 +501,16 @@ def _groups(spark: SparkSession, sf: str) -> tuple[Network, DataFrame]:
     return net, member
 
 
+@query(SEEN_SQL + """, wn AS (SELECT * FROM (VALUES (0), (360), (720), (1080), (1440), (1800), (2160)) x(d)), wb AS (SELECT lo + d AS lo, lo + d + 360 AS hi FROM wn, span),
+th AS (SELECT DISTINCT wb.lo, v FROM wb JOIN pr ON pr.a < wb.hi AND pr.b > wb.lo)
+SELECT n_name AS node, wb.lo AS time, th.v IS NOT NULL AS there FROM wb CROSS JOIN nation LEFT JOIN th ON th.lo = wb.lo AND th.v = n_name""")
+def net_series_of_the_absent(spark, sf):
+    net = seen(spark, sf)
+    lo = net.span()[0]
+    s = centrality.centrality_series(net.with_(observed=None), ["degree"], start=lo, end=lo + 2160.0, step=360.0)
+    return s.select("node", "time", F.col("value").isNotNull().alias("there"))
+
+
 @query(GROUPS_SQL + """, hh AS (SELECT time, -sum(n / 25 * ln(n / 25)) AS h FROM ra GROUP BY time), hb AS (SELECT time, -sum(n / 25 * ln(n / 25)) AS h FROM rb GROUP BY time), mi AS (SELECT pv.time, sum(pv.n / 25 * ln(pv.n * 25 / (ra.n * rb.n))) AS mi, sum(pv.n * (pv.n - 1) / 2) AS s FROM pv JOIN ra USING (time, a) JOIN rb USING (time, b) GROUP BY pv.time),
 pp AS (SELECT time, sum(n * (n - 1) / 2) AS p FROM ra GROUP BY time), pq AS (SELECT time, sum(n * (n - 1) / 2) AS p FROM rb GROUP BY time), sj AS (SELECT time, 50 - sum(m) AS v FROM (SELECT time, max(n) AS m FROM pv GROUP BY time, a UNION ALL SELECT time, max(n) FROM pv GROUP BY time, b) GROUP BY time),
 w AS (SELECT time, 2 * mi / (hh.h + hb.h) AS nmi, hh.h + hb.h - 2 * mi AS vi, (s - pp.p * pq.p / 300) / ((pp.p + pq.p) / 2 - pp.p * pq.p / 300) AS ari, s / (pp.p + pq.p - s) AS jaccard, v AS split_join, ((300 - pp.p - pq.p + 2 * s) / 300 - (pp.p * pq.p + (300 - pp.p) * (300 - pq.p)) / 90000) / (1 - (pp.p * pq.p + (300 - pp.p) * (300 - pq.p)) / 90000) AS omega_index FROM mi JOIN hh USING (time) JOIN hb USING (time) JOIN pp USING (time) JOIN pq USING (time) JOIN sj USING (time))
@@ -498,7 +525,7 @@ def net_community_trajectory_known(spark, sf):
     return t.withColumns({c: F.round(c, 9) for c in ("flexibility", "persistence")})
 
 
-@query(GROUPS_SQL + "SELECT x.node AS node1, y.node AS node2, count(*) / (SELECT count(*) FROM bins) AS value FROM mb x JOIN mb y ON x.k = y.k AND x.c = y.c AND x.node <> y.node GROUP BY ALL")
+@query(GROUPS_SQL + "SELECT x.node AS node1, y.node AS node2, CASE WHEN x.node <> y.node THEN avg((x.c = y.c)::INT) END AS value FROM mb x JOIN mb y ON x.k = y.k GROUP BY x.node, y.node")
 def net_allegiance(spark, sf):
     return communities.allegiance(_groups(spark, sf)[1])
 
@@ -575,10 +602,16 @@ def net_motif_summary(spark, sf):
     return sequences.motif_summary(sequences.motifs(turns(spark, sf), delta=0.02)).withColumns({"share": F.round("share", 9), "top_motif": F.col("top_motif").cast("double")})
 
 
-@query(_values(TENTHS).replace("WITH", "WITH RECURSIVE", 1) + f""", g AS (SELECT x.f || x.t || x.s AS a, y.f || y.t || y.s AS b FROM c x JOIN c y ON x.t = y.f AND y.s > x.s + {TOLERANT}), w AS (SELECT f || t || s AS e, 1 AS n FROM c UNION SELECT b, n + 1 FROM w JOIN g ON a = e)
-SELECT n AS length, count(*) AS events FROM (SELECT e, max(n)::INTEGER AS n FROM w WHERE e IN (SELECT a FROM g UNION SELECT b FROM g) GROUP BY e) GROUP BY n""")
+@query(N1.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """, ev AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ses, s, f, t) AS i, * FROM sp),
+g AS MATERIALIZED (SELECT a.i AS x, b.i AS y FROM ev a JOIN ev b ON a.ses = b.ses AND a.t = b.f AND b.s > a.s + 1e-9 AND b.s <= a.s + 0.02), u AS MATERIALIZED (SELECT x, y FROM g UNION SELECT y, x FROM g),
+r AS (SELECT i AS root, i FROM ev UNION SELECT root, y FROM r JOIN u ON x = i), c AS (SELECT i, min(root) AS chain FROM r GROUP BY i), z AS (SELECT chain, count(*) AS size FROM c GROUP BY chain)
+SELECT ev.ses AS session, ev.f AS "from", ev.t AS "to", ev.s AS start, size, b.s AS begins FROM c JOIN z USING (chain) JOIN ev USING (i) JOIN (SELECT chain, min(s) AS s FROM c JOIN ev USING (i) GROUP BY chain) b USING (chain)""")
 def net_event_chains(spark, sf):
-    return sequences.event_chains(sequences.event_graph(_log(spark, TENTHS))).groupBy("length").agg(F.count("*").alias("events"))
+    net = turns(spark, sf)
+    events = net.spells.select(F.col("raw_id").alias("event"), "session", "from", "to", "start")
+    chains = sequences.event_chains(events, sequences.event_graph(net, delta=0.02)).join(events, "event")
+    begins = chains.groupBy("chain").agg(F.min("start").alias("begins"))
+    return chains.join(begins, "chain").select("session", "from", "to", "start", "size", "begins")
 
 
 @query(N1 + """SELECT ses AS session, f AS "from", s AS start, list_sort(list(DISTINCT t)) AS "to" FROM sp GROUP BY ALL""")

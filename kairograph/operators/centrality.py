@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,22 +11,26 @@ from pyspark.sql import functions as F
 from kairograph.errors import BadInput, NeedsDirected, UnknownMeasure
 from kairograph.operators import kernels as K
 from kairograph.operators.snapshots import matrix, per_snapshot, ratio
+from kairograph.operators.sparse import coreness
 from kairograph.plans.grid import active, eligible, make_grid, snapshot_edges
 from kairograph.plans.network import Network
 
 BY_MODE = ("degree", "strength", "closeness", "coreness", "harary", "diffusion", "participation")
 PLAIN = ("betweenness", "eigenvector", "pagerank", "hub", "authority", "constraint", "power", "information", "load", "flow_betweenness")
 PRESTIGE = ("indegree", "indegree.rownorm", "indegree.rowcolnorm", "domain", "domain.proximity", "eigenvector", "eigenvector.rownorm", "eigenvector.colnorm", "eigenvector.rowcolnorm")
-JOINS = ("degree", "indegree", "outdegree", "strength", "diffusion", "participation")
+JOINS = ("degree", "indegree", "outdegree", "strength", "diffusion", "participation", "coreness")
 
 
-def centrality_series(net: Network, measures: list[str], mode: str = "all", sessions: str = "bounded", groups: str | None = None, rescale: bool = False, damping: float = 0.85, beta: float = 0.1, spread: float = 1.0, **grid) -> DataFrame:
-    """``[session,] time, node, measure, value`` of every eligible vertex and window.
+def centrality_series(net: Network, measures: list[str], mode: str | list[str] = "all", sessions: str = "bounded", groups: str | None = None, rescale: bool = False, damping: float = 0.85, beta: float = 0.1, spread: float = 1.0, **grid) -> DataFrame:
+    """``[session,] time, node, measure, value`` of every vertex and window; null where a vertex is not there.
 
-    Degree, strength, diffusion and participation are joins and sums; the others
-    take one snapshot to a task.  ``prestige:<kind>`` names a kind of prestige.
+    Degree, strength, diffusion, participation and coreness are joins and sums; the
+    others take one snapshot to a task.  ``prestige:<kind>`` names a kind of prestige.
+    With several modes, measures that know them are named ``<measure>_<mode>``, but for
+    "all".
     """
-    if mode not in ("all", "in", "out"):
+    modes = [mode] if isinstance(mode, str) else list(dict.fromkeys(mode))
+    if not modes or set(modes) - {"all", "in", "out"}:
         raise BadInput("mode must be all, in or out")
     for m in measures:
         known = m in (*BY_MODE, *PLAIN, "indegree", "outdegree") or m.startswith("prestige:") and m[9:] in PRESTIGE
@@ -33,45 +39,50 @@ def centrality_series(net: Network, measures: list[str], mode: str = "all", sess
         if not net.directed and (m in ("indegree", "outdegree", "hub", "authority") or m.startswith("prestige")):
             raise NeedsDirected(m)
     g = make_grid(net, **grid)
-    parts = []
     edges = snapshot_edges(net, g, sessions)
     keys = [k for k in ("session",) if k in edges.columns]
+    base = net.nodes.select(F.col("name").alias("node")).crossJoin(F.broadcast(g.frame(net.spells.sparkSession).select("bin", "time")))  # windows: a parameter's size
+    there = eligible(net, g).select("bin", F.col("name").alias("node"), F.lit(True).alias("there"))
+    base = base.join(there, ["bin", "node"], "left")
+    if keys:
+        base = base.crossJoin(net.spells.select("session").distinct())
+    parts = []
     for m in measures:
-        if m in JOINS:
-            how = {"indegree": "in", "outdegree": "out"}.get(m, mode)
-            values = _joins(net, g, edges, keys, m, how, sessions, groups, spread)
-            base = eligible(net, g).withColumnRenamed("name", "node")
-            if keys:
-                base = base.crossJoin(net.spells.select("session").distinct())
-            empty = float("nan") if m == "participation" else 0.0
-            parts.append(base.join(values, [*keys, "bin", "node"], "left").select(*keys, "time", "node", F.lit(m).alias("measure"), F.coalesce("value", F.lit(empty)).alias("value")))
-    rest = [m for m in measures if m not in JOINS]
-    if rest:
-        directed = net.directed
-
-        def fn(time: float, pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-            b = matrix(pdf, names, directed)
-            turned = b.T if mode == "in" else b
-            out = []
-            for m in rest:
-                if m.startswith("prestige:"):
-                    v = K.prestige(b, m[9:])
-                    if rescale:
-                        v = v / v.sum() if v.sum() else v * float("nan")
-                else:
-                    v = {
-                        "closeness": lambda: K.closeness(turned), "harary": lambda: K.harary(turned), "coreness": lambda: K.coreness(b, mode) if directed else K.coreness(b, "out"), "betweenness": lambda: K.betweenness(b, directed), "eigenvector": lambda: K.eigenvector(b),
-                        "pagerank": lambda: K.pagerank(b, damping), "hub": lambda: K.hub(b), "authority": lambda: K.authority(b), "constraint": lambda: K.constraint(b), "power": lambda: K.power(b, beta), "information": lambda: K.information(b), "load": lambda: K.load(b, directed), "flow_betweenness": lambda: K.flow_betweenness(b, directed),
-                    }[m]()
-                out.append(pd.DataFrame({"time": time, "node": names, "measure": m, "value": pd.Series(v, dtype=float)}))
-            return pd.concat(out, ignore_index=True)
-
-        e = edges.filter(F.col("from") != F.col("to")).select(*keys, "bin", "from", "to")
-        parts.append(per_snapshot(net, g, e, keys, fn, "time double, node string, measure string, value double").select(*keys, "time", "node", "measure", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        aware = net.directed and m in BY_MODE
+        for how in modes if aware else modes[:1]:
+            label = f"{m}_{how}" if aware and len(modes) > 1 and how != "all" else m
+            if m in JOINS:
+                values = _joins(net, g, edges, keys, m, {"indegree": "in", "outdegree": "out"}.get(m, how), sessions, groups, spread)
+                empty = F.lit(float("nan") if m == "participation" else 0.0)
+            else:
+                values, empty = _kernels(net, g, edges, keys, m, how, rescale, damping, beta), F.lit(None).cast("double")
+            row = base.join(values, [*keys, "bin", "node"], "left")
+            parts.append(row.select(*keys, "time", "node", F.lit(label).alias("measure"), F.when(F.col("there"), F.coalesce("value", empty)).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _kernels(net: Network, g, edges: DataFrame, keys: list[str], m: str, mode: str, rescale: bool, damping: float, beta: float) -> DataFrame:
+    """``bin, node, value`` of a measure that needs a whole snapshot."""
+    directed = net.directed
+
+    def fn(time: float, pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        b = matrix(pdf, names, directed)
+        turned = b.T if mode == "in" else b
+        if m.startswith("prestige:"):
+            v = K.prestige(b, m[9:])
+            if rescale:
+                v = v / v.sum() if v.sum() else v * float("nan")
+        else:
+            v = {
+                "closeness": lambda: K.closeness(turned), "harary": lambda: K.harary(turned), "betweenness": lambda: K.betweenness(b, directed), "eigenvector": lambda: K.eigenvector(b),
+                "pagerank": lambda: K.pagerank(b, damping), "hub": lambda: K.hub(b), "authority": lambda: K.authority(b), "constraint": lambda: K.constraint(b), "power": lambda: K.power(b, beta), "information": lambda: K.information(b), "load": lambda: K.load(b, directed), "flow_betweenness": lambda: K.flow_betweenness(b, directed),
+            }[m]()
+        return pd.DataFrame({"time": time, "node": names, "value": pd.Series(v, dtype=float)})
+
+    e = edges.filter(F.col("from") != F.col("to")).select(*keys, "bin", "from", "to")
+    found = per_snapshot(net, g, e, keys, fn, "time double, node string, value double")
+    frame = g.frame(net.spells.sparkSession).select("bin", "time")
+    return found.join(F.broadcast(frame), "time").drop("time")
 
 
 def _arcs(e: DataFrame, keys: list[str], directed: bool, mode: str, *more: str) -> DataFrame:
@@ -98,6 +109,9 @@ def _joins(net: Network, g, edges: DataFrame, keys: list[str], m: str, mode: str
         deg = arcs.groupBy(*at, "v").agg(F.count("*").cast("double").alias("k"))
         near = arcs.distinct().join(deg.select(*at, F.col("v").alias("w"), F.col("k").alias("kw")), [*at, "w"], "left").groupBy(*at, "v").agg(F.sum(F.coalesce("kw", F.lit(0.0))).alias("s"))
         return deg.join(near, [*at, "v"]).select(*at, F.col("v").alias("node"), (F.lit(spread) * (F.col("k") + F.col("s"))).alias("value"))
+    if m == "coreness":
+        ties = _arcs(edges.filter(F.col("from") != F.col("to")).select(*keys, "bin", "from", "to").distinct(), keys, net.directed, mode if net.directed else "all")
+        return coreness(ties, at).select(*at, F.col("v").alias("node"), F.col("core").cast("double").alias("value"))
     if groups is None:
         raise BadInput("participation needs the name of a grouping column of the vertices")
     label = net.nodes.select(F.col("name").alias("w"), F.col(groups).cast("string").alias("grp"))

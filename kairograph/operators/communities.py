@@ -304,8 +304,14 @@ def community_trajectory(membership: DataFrame) -> DataFrame:
 
 
 def allegiance(membership: DataFrame) -> DataFrame:
-    """``node1, node2, value``: share of windows in which two vertices have one label."""
+    """``node1, node2, value`` of all ordered pairs: share of windows in which two vertices have one label.
+
+    Pairs that never meet have 0; a vertex with itself has null.
+    """
     m = membership.select("time", "node", F.col("community").cast("string").alias("c"))
     n = m.agg(F.countDistinct("time").alias("n"))
     a, b = m.withColumnRenamed("node", "node1"), m.withColumnRenamed("node", "node2")
-    return a.join(b, ["time", "c"]).filter("node1 <> node2").groupBy("node1", "node2").agg(F.count("*").alias("k")).crossJoin(n).select("node1", "node2", (F.col("k") / F.col("n")).alias("value"))
+    met = a.join(b, ["time", "c"]).filter("node1 <> node2").groupBy("node1", "node2").agg(F.count("*").alias("k"))
+    names = m.select("node").distinct()
+    every = names.withColumnRenamed("node", "node1").crossJoin(names.withColumnRenamed("node", "node2"))  # all pairs are the result
+    return every.join(met, ["node1", "node2"], "left").crossJoin(n).select("node1", "node2", F.when(F.col("node1") != F.col("node2"), F.coalesce("k", F.lit(0)) / F.col("n")).alias("value"))

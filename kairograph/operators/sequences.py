@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.errors import BadInput, NeedsDirected
+from kairograph.functions.labels import components
 from kairograph.functions.timeops import c_leq, c_lt, c_tol
 from kairograph.operators.snapshots import ratio
 from kairograph.plans.network import Network
@@ -149,23 +150,14 @@ def event_graph_events(net: Network, sessions: str = "bounded", merge: bool = Fa
     return net.spells.groupBy(net.walls(sessions).alias("session"), "from", "start", "end").agg(F.min("raw_id").alias("event"), F.array_sort(F.collect_set("to")).alias("to")).select("event", "session", "from", "to", "start", "end")
 
 
-def event_chains(arcs: DataFrame, most: int = 64) -> DataFrame:
-    """``event, length``: the most events in a row that an event can end.
+def event_chains(events: DataFrame, arcs: DataFrame) -> DataFrame:
+    """``event, chain, size``: relay chains are the components that arcs join; ``chain`` is the least event of one.
 
-    Arcs lead forward in time, so there are no rounds.  Each round is one join and is
-    kept; rounds end when no chain grows, ``most`` bounds them.
+    An event without arcs is a chain of its own.
     """
-    from kairograph.plans.storage import keep
-
-    now = keep(arcs.select(F.explode(F.array("first", "second")).alias("event")).distinct().withColumn("length", F.lit(1)), "chains")
-    front = now
-    for _ in range(most):
-        grown = arcs.select("first", "second").distinct().join(front.select(F.col("event").alias("first"), "length"), "first").groupBy(F.col("second").alias("event")).agg((F.max("length") + 1).alias("longer"))
-        front = keep(grown.join(now, "event").filter("longer > length").select("event", F.col("longer").alias("length")), "front")
-        if front.isEmpty():
-            return now
-        now = keep(now.unionByName(front).groupBy("event").agg(F.max("length").alias("length")), "chains")
-    raise BadInput(f"chains of more than {most} events")
+    label = components(arcs.select(F.col("first").alias("a"), F.col("second").alias("b")), []).withColumnsRenamed({"node": "event", "label": "chain"})
+    rows = events.select("event").join(label, "event", "left").select("event", F.coalesce("chain", "event").alias("chain"))
+    return rows.join(rows.groupBy("chain").agg(F.count("*").alias("size")), "chain").select("event", "chain", "size")
 
 
 def event_graph_summary(net: Network, **how) -> DataFrame:

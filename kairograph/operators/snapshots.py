@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kairograph.errors import BadInput, NeedsDirected, UnknownMeasure
 from kairograph.operators import kernels as K
+from kairograph.operators import sparse as S
 from kairograph.plans.grid import Grid, eligible, make_grid, snapshot_edges
 from kairograph.plans.network import Network
 
@@ -92,8 +93,9 @@ def _pairs(net: Network, g: Grid, sessions: str) -> tuple[DataFrame, list[str]]:
 def metrics(net: Network, measures: list[str] | None = None, sessions: str = "bounded", **grid) -> DataFrame:
     """``[session,] time, measure, value`` of every window.
 
-    Measures of degrees, dyads and triangles are joins and sums; those that need
-    ways or components take one snapshot to a task, so a snapshot must fit there.
+    Measures of degrees, dyads, triads and weak components are joins and sums; those
+    that need ways take one snapshot to a task, so a snapshot must fit there.  A window
+    in which no vertex is eligible has rows too, as stated in `EMPTY`.
     """
     asked = list(measures or [m for m in TABLE if net.directed or m not in DIRECTED_ONLY])
     exact = ("temporal_density", "observed_pair_density", "onset_intensity", "observed_pair_onset_intensity")
@@ -108,8 +110,10 @@ def metrics(net: Network, measures: list[str] | None = None, sessions: str = "bo
         wide = _table_measures(net, g, e, keys, asked)
         cols = [m for m in asked if m in TABLE]
         parts.append(wide.unpivot([*keys, "time"], cols, "measure", "value"))
-    if any(m in KERNEL for m in asked):
-        parts.append(_kernel_measures(net, g, e, keys, [m for m in asked if m in KERNEL]))
+    if any(m in S.OF_COMPONENTS or m == "triads" for m in asked):
+        parts += _join_measures(net, g, e, keys, asked)
+    if dense := [m for m in asked if m in KERNEL and m not in S.OF_COMPONENTS and m != "triads"]:
+        parts.append(_kernel_measures(net, g, e, keys, dense))
     if any(m.startswith("concurrent") for m in asked):
         parts.append(_concurrency(net, g, [m for m in asked if m.startswith("concurrent")], keys))
     if any(m in exact for m in asked):
@@ -217,18 +221,39 @@ def per_snapshot(net: Network, g: Grid, e: DataFrame, keys: list[str], fn, schem
     return both.groupBy(*keys, "bin").applyInPandas(run, ", ".join([*(f"{k} string" for k in keys), schema]))
 
 
+#: What measures of ways are in a window without vertices: null where the quantity has no value.
+EMPTY = {"components_strong": 0.0, "mean_distance": None, "diameter": None, "hierarchy": NAN, "lubness": NAN, "centralization_betweenness": None, "centralization_closeness": None}
+
+
 def _kernel_measures(net: Network, g: Grid, e: DataFrame, keys: list[str], asked: list[str]) -> DataFrame:
     directed = net.directed
 
     def fn(time: float, pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-        b = matrix(pdf, names, directed)
-        got = K.graph_measures(b, directed) if any(m != "triads" for m in asked) else {}
-        rows = [(m, got[m]) for m in asked if m != "triads"]
-        if "triads" in asked:
-            rows += [(f"triad_{c}", float(v)) for c, v in zip(K.TRIADS, K.triads(b), strict=True)]
-        return pd.DataFrame({"time": time, "measure": [r[0] for r in rows], "value": [r[1] for r in rows]})
-
-    return per_snapshot(net, g, e, keys, fn, "time double, measure string, value double")
+        got = K.graph_measures(matrix(pdf, names, directed), directed)
+        return pd.DataFrame({"time": time, "measure": asked, "value": [got[m] for m in asked]})
+
+    found = per_snapshot(net, g, e, keys, fn, "time double, measure string, value double")
+    spark = net.spells.sparkSession
+    values = spark.createDataFrame([(m, EMPTY[m]) for m in asked], "measure string, value double")
+    nobody = _rectangle(net, g, g.frame(spark).select("bin", "time"), []).join(eligible(net, g).select("bin").distinct(), "bin", "left_anti")
+    if keys:
+        nobody = net.spells.select("session").distinct().crossJoin(nobody)
+    return found.unionByName(nobody.crossJoin(values).select(found.columns))
+
+
+def _join_measures(net: Network, g: Grid, e: DataFrame, keys: list[str], asked: list[str]) -> list[DataFrame]:
+    at = [*keys, "bin"]
+    n = eligible(net, g).groupBy("bin").agg(F.count("*").cast("double").alias("n"))
+    base = _rectangle(net, g, e.select(*at).distinct(), keys).select(*at, "time").join(n, "bin", "left").na.fill(0.0, ["n"])
+    e, parts = e.distinct(), []
+    if wanted := [m for m in asked if m in S.OF_COMPONENTS]:
+        got = S.component_measures(e, base.select(*at, "n"), at, net.directed)
+        parts.append(got.join(base.select(*at, "time"), at).unpivot([*keys, "time"], wanted, "measure", "value"))
+    if "triads" in asked:
+        both = e if net.directed else e.unionByName(e.select(*keys, "bin", F.col("to").alias("from"), F.col("from").alias("to")))
+        got = S.triads(both, base.select(*at, "n"), at).withColumnsRenamed({c: f"triad_{c}" for c in S.CLASSES})
+        parts.append(got.join(base.select(*at, "time"), at).unpivot([*keys, "time"], [f"triad_{c}" for c in S.CLASSES], "measure", "value"))
+    return parts
 
 
 def _concurrency(net: Network, g: Grid, asked: list[str], keys: list[str]) -> DataFrame:
