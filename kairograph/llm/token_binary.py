@@ -24,6 +24,7 @@ rows with equal ids are ordered by text.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -53,11 +54,29 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+#: The normaliser and splitter under which pieces between spaces can be encoded by themselves.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of texts under a vocabulary whose words end at white space."""
+    """Ids of texts under any vocabulary of the library.
+
+    Where the definition folds case and white space and splits at it, as `NORMALIZER`
+    and `SPLITTER` say, pieces are encoded once and remembered; other definitions get
+    whole texts.
+    """
 
     def __init__(self, definition: str):
         self.tokenizer = make_tokenizer(definition)
+        shape = json.loads(definition)
+        self.by_piece = shape.get("normalizer") == NORMALIZER and shape.get("pre_tokenizer") == SPLITTER and shape["model"].get("type", "BPE") == "BPE"
         self.model, self.shown = self.tokenizer.model, dict(enumerate(byte_symbols()))
         self.cache = PieceCache(self._pieces)
 
@@ -89,6 +108,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids."""
+        if not self.by_piece:
+            return self._encode(texts)
         halves = [cut(self._folded(t)) for t in texts]
         heads = self._encode([first for first, _ in halves])
         return [a + b for a, b in zip(heads, self.cache.each([rest for _, rest in halves], b"".join), strict=True)]

@@ -72,6 +72,16 @@ def test_byte_bpe_query(spark):
     assert byte_bpe.encode_digest(clashing(spark), P.path("byte_bpe_50k.tiktoken")).count() == 4
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_like_the_library_whatever_the_normaliser(name):
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, *fuzz(100), "Hello World", "ÉTÉ\nIt'S", "x" * 100_000]
+    with open(P.path(name)) as f:
+        ids = token_binary.WordEncoder(f.read()).encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids] == [e.ids for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_like_the_library(spark):
     from tokenizers import Tokenizer
 
