@@ -7,48 +7,45 @@ from pyspark.sql import functions as F
 
 from kairograph.operators import centrality, communities, crossbin, dynamics, edit, nulls, paths, results, sequences, snapshots, summaries
 from kairograph.plans.network import Network
-from kairograph.registry import BASE, DEG, ISLE, N1, N2, ORACLE_SQL, QUERIES, nations, query, turns
+from kairograph.registry import BASE, DEG, ISLE, KATZ, N1, N2, ORACLE_SQL, QUERIES, nations, query, turns
 from kairograph.sources import builders
 
 
-def _log(spark: SparkSession, rows: list[tuple], **how) -> Network:
-    """Contacts ``from, to, time, session`` written out."""
-    d = spark.createDataFrame([(a, b, float(t), float(t), 1.0, s) for a, b, t, s in rows], "from string, to string, start double, end double, weight double, session string")
-    return builders.from_tables(d, check=False, **how)
+TOLERANT = "128 * pow(2, -52) * greatest(1, abs(x.s), abs(y.s))"
 
 
-def _values(rows: list[tuple]) -> str:
-    shown = ", ".join(f"('{a}', '{b}', {t}::DOUBLE, {'NULL' if s is None else repr(s)})" for a, b, t, s in rows)
-    return f"WITH c(f, t, s, ses) AS (VALUES {shown})"
+def _tenths(spark: SparkSession, sf: str) -> Network:
+    """N1 at times in whole tenths, which doubles do not hit exactly, so that rules of rounding decide."""
+    net = turns(spark, sf)
+    t = F.round(F.col("start") - 19_000, 1)
+    return net.with_(spells=net.spells.withColumns({"start": t, "end": t}))
 
 
-#: Times that tenths do not hit exactly.
-TENTHS = [("a", "b", 0.7, None), ("b", "c", 0.75, None), ("b", "c", 0.8, None), ("c", "d", 0.9, None), ("a", "c", 0.8, None), ("d", "a", 1.1, None), ("b", "a", 2.3, None), ("a", "e", 2.4, None), ("e", "b", 2.5, None)]
-TOLERANT = "128 * pow(2, -52) * greatest(1, abs(x.s), abs(y.s))"
+TENTHS = N1.rstrip() + ", c AS MATERIALIZED (SELECT ses, f, t, round(s - 19000, 1) AS s FROM sp)\n"
 
 
-@query(_values(TENTHS) + f"""SELECT y.f AS via, x.s AS s1, y.s AS s2 FROM c x JOIN c y ON x.t = y.f AND y.s > x.s + {TOLERANT} AND y.s <= x.s + 0.1 + {TOLERANT}""")
+@query(TENTHS + f"""SELECT y.f AS via, x.s AS s1, y.s AS s2 FROM c x JOIN c y ON x.ses = y.ses AND x.t = y.f AND y.s > x.s + {TOLERANT} AND y.s <= x.s + 0.1 + {TOLERANT}""")
 def net_event_graph_tenths(spark, sf):
-    net = _log(spark, TENTHS)
+    net = _tenths(spark, sf)
     g = sequences.event_graph(net, delta=0.1)
     at = net.spells.select("raw_id", "start")
     g = g.join(at.withColumnsRenamed({"raw_id": "first", "start": "s1"}), "first").join(at.withColumnsRenamed({"raw_id": "second", "start": "s2"}), "second")
     return g.select("via", "s1", "s2")
 
 
-@query(_values(TENTHS) + f""", x AS (SELECT x.f, x.t, x.s, min(y.s) AS s2 FROM c x JOIN c y ON x.t = y.f AND y.s > x.s + {TOLERANT} GROUP BY ALL)
-SELECT x.t AS via, x.s AS s1, s2 - x.s AS wait FROM x JOIN c ON c.f = x.t AND c.s = s2""")
+@query(TENTHS + f""", x AS (SELECT x.ses, x.f, x.t, x.s, n, min(y.s) AS s2 FROM (SELECT *, row_number() OVER () AS n FROM c) x JOIN c y ON x.ses = y.ses AND x.t = y.f AND y.s > x.s + {TOLERANT} GROUP BY ALL)
+SELECT x.t AS via, x.s AS s1, round(s2 - x.s, 6) AS wait FROM x JOIN c ON c.ses = x.ses AND c.f = x.t AND c.s = s2""")
 def net_event_graph_next(spark, sf):
-    net = _log(spark, TENTHS)
+    net = _tenths(spark, sf)
     g = sequences.event_graph(net, adjacency="next")
-    return g.join(net.spells.select(F.col("raw_id").alias("first"), F.col("start").alias("s1")), "first").select("via", "s1", "wait")
+    return g.join(net.spells.select(F.col("raw_id").alias("first"), F.col("start").alias("s1")), "first").select("via", "s1", F.round("wait", 6).alias("wait"))
 
 
-@query(_values(TENTHS) + """, r AS (SELECT *, row_number() OVER (ORDER BY s, f, t) AS i FROM c),
-k AS (SELECT [x.f, x.t, y.f, y.t, z.f, z.t] AS l FROM r x JOIN r y ON x.i < y.i JOIN r z ON y.i < z.i WHERE z.s <= x.s + 0.1 + 1e-12)
+@query(TENTHS + """, r AS (SELECT *, row_number() OVER (PARTITION BY ses ORDER BY s, f, t) AS i FROM c),
+k AS (SELECT [x.f, x.t, y.f, y.t, z.f, z.t] AS l FROM r x JOIN r y ON x.ses = y.ses AND x.i < y.i JOIN r z ON z.ses = x.ses AND y.i < z.i WHERE y.s <= x.s + 0.1 + 1e-12 AND z.s <= x.s + 0.1 + 1e-12 AND (y.f IN (x.f, x.t) OR y.t IN (x.f, x.t) OR z.f IN (x.f, x.t) OR z.t IN (x.f, x.t)))
 SELECT count(*) AS instances FROM k WHERE len(list_distinct(l)) <= 3""")
 def net_motif_tenths(spark, sf):
-    return sequences.motif_instances(_log(spark, TENTHS), delta=0.1).agg(F.count("*").alias("instances"))
+    return sequences.motif_instances(_tenths(spark, sf), delta=0.1).agg(F.count("*").alias("instances"))
 
 
 @query(N1 + """, ag AS (SELECT ses, f AS via, s FROM sp), nx AS (SELECT a.ses, a.t AS via, a.s, min(b.s) AS s2 FROM sp a JOIN ag b ON a.ses = b.ses AND a.t = b.via AND b.s > a.s + 1e-9 GROUP BY ALL)
@@ -59,20 +56,6 @@ def net_event_graph_next_turns(spark, sf):
     return g.join(net.spells.select(F.col("raw_id").alias("first"), F.col("start").alias("s1")), "first").groupBy("via", "s1").agg(F.count("*").alias("arcs"))
 
 
-#: A loop, two sessions, and a break in what was watched.
-WALLS = [("a", "b", 0, "x"), ("a", "a", 1, "x"), ("b", "a", 2, "x"), ("a", "b", 3, "x"), ("b", "c", 4, "x"), ("c", "b", 11, "x"), ("b", "c", 12, "x"), ("c", "a", 12.5, "y"), ("a", "c", 13, "y"), ("c", "d", 14, "y"), ("d", "a", 15, "y"), ("a", "d", 30, "y")]
-WATCHED = ((0.0, 5.0), (10.0, 20.0))
-
-
-@query(_values(WALLS) + """, p AS (SELECT *, CASE WHEN s BETWEEN 0 AND 5 THEN 0 WHEN s BETWEEN 10 AND 20 THEN 1 END AS part FROM c),
-q AS (SELECT ses, s, lag(f) OVER w AS a, lag(t) OVER w AS b, f AS c, t AS d FROM p WHERE part IS NOT NULL WINDOW w AS (PARTITION BY ses, part ORDER BY s)),
-x AS (SELECT CASE WHEN c = b THEN CASE WHEN d = a THEN 'AB-BA' ELSE 'AB-BY' END WHEN c <> a THEN CASE WHEN d = a THEN 'AB-XA' WHEN d = b THEN 'AB-XB' ELSE 'AB-XY' END WHEN d <> b THEN 'AB-AY' END AS shift FROM q WHERE a <> b AND c <> d)
-SELECT shift, count(*) AS count FROM x WHERE shift IS NOT NULL GROUP BY shift""")
-def net_pshifts_walls(spark, sf):
-    net = _log(spark, WALLS, loops=True, observed=WATCHED)
-    return sequences.pshifts(net).filter("count > 0").select("shift", "count")
-
-
 def _watched_turns(spark: SparkSession, sf: str) -> Network:
     """N1 watched in two stretches, the starts of one user in eleven being censored."""
     net = turns(spark, sf)
@@ -87,6 +70,13 @@ st AS (SELECT ses, f AS v, s, u FROM ev UNION ALL SELECT ses, t, s, u FROM ev),
 """
 
 
+@query(WATCHED_SQL + """, p AS (SELECT ses, f, t, s, s <= lo + (hi - lo) * 0.25 AS part FROM ev, bd), q AS (SELECT ses, s, lag(f) OVER w AS a, lag(t) OVER w AS b, f AS c, t AS d FROM p WINDOW w AS (PARTITION BY ses, part ORDER BY s, f, t)),
+x AS (SELECT CASE WHEN c = b THEN CASE WHEN d = a THEN 'AB-BA' ELSE 'AB-BY' END WHEN c <> a THEN CASE WHEN d = a THEN 'AB-XA' WHEN d = b THEN 'AB-XB' ELSE 'AB-XY' END WHEN d <> b THEN 'AB-AY' END AS shift FROM q WHERE a IS NOT NULL)
+SELECT shift, count(*) AS count FROM x WHERE shift IS NOT NULL GROUP BY shift""")
+def net_pshifts_walls(spark, sf):
+    return sequences.pshifts(_watched_turns(spark, sf)).filter("count > 0").select("shift", "count")
+
+
 @query(WATCHED_SQL + "SELECT ses AS session, v AS node, s AS time, round(y, 7) AS gap FROM g WHERE y IS NOT NULL")
 def net_gaps_watched(spark, sf):
     return dynamics.gaps(_watched_turns(spark, sf)).select("session", "node", "time", F.round("gap", 7).alias("gap"))
@@ -98,31 +88,19 @@ def net_burstiness_watched(spark, sf):
     return b.select("node", "events", F.round("mean_gap", 7).alias("mean_gap"), F.round("burstiness", 6).alias("burstiness"))
 
 
-#: Two sessions lead from a to c, the second one later; both lead to e at once.
-JOURNEYS = [("a", "b", 1, "A"), ("b", "c", 2, "A"), ("a", "x", 5, "B"), ("x", "c", 6, "B"), ("c", "d", 3, "A"), ("a", "y", 4, "A"), ("y", "e", 8, "A"), ("a", "z", 7, "B"), ("z", "e", 8, "B"), ("e", "f", 9, "B")]
-JOURNEY_SQL = _values(JOURNEYS).replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT f AS src, ses, f AS v, (SELECT min(s) FROM c) AS a, 0 AS h, CAST([] AS STRUCT(f VARCHAR, t VARCHAR, s DOUBLE)[]) AS r FROM (SELECT f FROM c UNION SELECT t FROM c), (SELECT DISTINCT ses FROM c)
-  UNION ALL SELECT src, w.ses, c.t, c.s, h + 1, list_append(r, {'f': c.f, 't': c.t, 's': c.s}) FROM w JOIN c ON c.f = w.v AND c.ses = w.ses AND c.s >= w.a WHERE h < 8),
-b AS (SELECT *, rank() OVER (PARTITION BY src, v ORDER BY a, h) AS k FROM w WHERE src <> v), best AS (SELECT *, count(*) OVER (PARTITION BY src, v) AS n FROM b WHERE k = 1)
-"""
-
-
-def _stream_sql() -> str:
-    """Katz scores as sums over walks: a walk of n contacts weighs 0.3^n and fades from its first contact on."""
-    return _values(WALLS).replace("WITH", "WITH RECURSIVE", 1) + """, k AS (SELECT f, t, s FROM c WHERE ses = 'x' AND f <> t AND (s BETWEEN 0 AND 5 OR s BETWEEN 10 AND 20)),
-w AS (SELECT t AS v, s, s AS s0, 0.3::DOUBLE AS x FROM k UNION ALL SELECT k.t, k.s, w.s0, w.x * 0.3::DOUBLE FROM w JOIN k ON k.f = w.v AND k.s > w.s),
-e AS (SELECT max(s) AS z FROM k)
-SELECT node, round(coalesce(sum(x * exp(-0.1 * (z - s0))), 0), 9) AS value FROM (SELECT f AS node FROM k UNION SELECT t FROM k) LEFT JOIN w ON w.v = node, e GROUP BY node"""
+@query(KATZ.replace("st AS (SELECT ses, f, t, s FROM sp)", "bd AS (SELECT min(s) AS lo, max(s) AS hi FROM sp), st AS (SELECT ses, f, t, s FROM sp, bd WHERE (s <= lo + (hi - lo) * 0.25 OR s >= lo + (hi - lo) * 0.5) AND CAST(f AS BIGINT) % 11 <> 0)").replace("z AS (SELECT max(s) AS hi FROM st)", "z AS (SELECT max(s) AS hi FROM sp)"))
+def net_stream_katz_watched(spark, sf):
+    return paths.stream_centrality(_watched_turns(spark, sf), "katz", beta=0.05, decay=1.0).withColumn("value", F.round("value", 9))
 
 
-@query(_stream_sql())
-def net_stream_katz_watched(spark, sf):
-    net = _log(spark, WALLS, observed=WATCHED)
-    return paths.stream_centrality(net, "katz", beta=0.3, decay=0.1).filter("session = 'x'").select("node", F.round("value", 9).alias("value"))
+def _draws(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A statistic of orders for each priority in twenty shares of the table: one stands for what is seen, the others for draws."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    g = o.groupBy(F.col("o_orderpriority").alias("cell"), (F.col("o_orderkey") % 20).cast("int").alias("replicate")).agg(F.count("*").cast("double").alias("value"))
+    return g.filter("replicate = 0").select("cell", F.col("value").alias("observed")), g.filter("replicate > 0")
 
 
-DRAWS = [(cell, r, (r * 7 + k * 3) % 11 / (k + 1)) for k, cell in enumerate("pqrs") for r in range(1, 20)]
-SEEN = [("p", 10.0), ("q", 0.5), ("r", 1.8), ("s", 9.0)]
-DRAW_SQL = f"""WITH d(cell, r, x) AS (VALUES {", ".join(f"('{c}', {r}, {x!r}::DOUBLE)" for c, r, x in DRAWS)}), o(cell, v) AS (VALUES {", ".join(f"('{c}', {v}::DOUBLE)" for c, v in SEEN)}),
+DRAW_SQL = """WITH g AS (SELECT o_orderpriority AS cell, CAST(o_orderkey % 20 AS INTEGER) AS r, count(*)::DOUBLE AS x FROM orders GROUP BY ALL), d AS (SELECT * FROM g WHERE r > 0), o AS (SELECT cell, x AS v FROM g WHERE r = 0),
 m AS (SELECT cell, avg(x) AS m, stddev_samp(x) AS sd, count(x) AS n FROM d GROUP BY cell),
 p AS (SELECT o.cell, v, m, sd, n, (1 + count(*) FILTER (abs(x - m) >= abs(v - m) - pow(2, -26) * greatest(1, abs(v)))) / (1 + any_value(n)) AS p FROM o JOIN m USING (cell) JOIN d USING (cell) GROUP BY ALL),
 q AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM p)
@@ -131,14 +109,14 @@ SELECT cell, v AS observed, round(m, 9) AS null_mean, round(p, 9) AS p, round((v
 
 @query(DRAW_SQL)
 def net_significance_two_sided(spark, sf):
-    null, seen = spark.createDataFrame(DRAWS, "cell string, replicate int, null double"), spark.createDataFrame(SEEN, "cell string, observed double")
-    g = nulls.summarise_null(seen, null.drop("replicate"), ["cell"])
+    seen, null = _draws(spark, sf)
+    g = nulls.summarise_null(seen, null.select("cell", F.col("value").alias("null")), ["cell"])
     return g.select("cell", "observed", "n_null", *[F.round(c, 9).alias(c) for c in ("null_mean", "p", "z", "p_adj")])
 
 
 @query(DRAW_SQL.split("m AS (")[0].rstrip(", \n") + " SELECT r::INTEGER AS replicate, count(*) AS n, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS sd, min(x) AS min, max(x) AS max FROM d GROUP BY r")
 def net_null_summary(spark, sf):
-    g = nulls.null_summary(spark.createDataFrame(DRAWS, "cell string, replicate int, value double"))
+    g = nulls.null_summary(_draws(spark, sf)[1])
     return g.withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
 
 
@@ -570,7 +548,8 @@ def net_surrogates_reversed(spark, sf):
 
 @query(DRAW_SQL.replace("SELECT cell, v AS observed, round(m, 9) AS null_mean", "SELECT 'value' AS measure, count(*) AS tested, count(*) FILTER (pa < 0.05) AS significant, round(median(z), 9) AS median_z FROM (SELECT (v - m) / sd AS z, least(1, min(q) OVER (ORDER BY p DESC)) AS pa FROM q) --"))
 def net_significance_summary(spark, sf):
-    null, cells = spark.createDataFrame(DRAWS, "cell string, replicate int, null double"), spark.createDataFrame(SEEN, "cell string, observed double")
+    cells, null = _draws(spark, sf)
+    null = null.withColumnRenamed("value", "null")
     return summaries.significance_summary(nulls.summarise_null(cells, null.drop("replicate"), ["cell"])).withColumn("median_z", F.round("median_z", 9))
 
 
@@ -585,16 +564,11 @@ def net_head(spark, sf):
     return summaries.head_with_counts(nations(spark, sf).spells.select("from", "to", "start", "end"), ["start", "from", "to", "end"], 5)
 
 
-def _attributed() -> str:
-    """Every three turns in a window of three, by the class at each vertex it belongs to, straight from the definition."""
-    return """, r AS (SELECT *, row_number() OVER (ORDER BY s, f, t) AS i FROM c), k AS (SELECT [x, y, z] AS l FROM r x JOIN r y ON x.i < y.i JOIN r z ON y.i < z.i WHERE z.s <= x.s + 0.31),
+@query(TENTHS + """, r AS (SELECT *, row_number() OVER (PARTITION BY ses ORDER BY s, f, t) AS i FROM c), k AS (SELECT [x, y, z] AS l FROM r x JOIN r y ON x.ses = y.ses AND x.i < y.i JOIN r z ON z.ses = x.ses AND y.i < z.i WHERE y.s <= x.s + 0.11 AND z.s <= x.s + 0.11 AND (y.f IN (x.f, x.t) OR y.t IN (x.f, x.t) OR z.f IN (x.f, x.t) OR z.t IN (x.f, x.t))),
 n AS (SELECT l, list_distinct(list_concat(list_transform(l, lambda e: e.f), list_transform(l, lambda e: e.t))) AS vs FROM k), u AS (SELECT l, len(vs) AS n, unnest(vs) AS v FROM n WHERE len(vs) <= 3)
-SELECT v AS node, count(*) AS count FROM u WHERE n = 3 AND len(list_filter(l, lambda e: e.f = v OR e.t = v)) = 2 AND len(list_distinct(list_transform(l, lambda e: least(e.f, e.t) || greatest(e.f, e.t)))) = 3 OR len(list_filter(l, lambda e: e.f = v OR e.t = v)) = 3 GROUP BY v"""
-
-
-@query(_values(TENTHS) + _attributed())
+SELECT v AS node, count(*) AS count FROM u WHERE n = 3 AND len(list_filter(l, lambda e: e.f = v OR e.t = v)) = 2 AND len(list_distinct(list_transform(l, lambda e: least(e.f, e.t) || greatest(e.f, e.t)))) = 3 OR len(list_filter(l, lambda e: e.f = v OR e.t = v)) = 3 GROUP BY v""")
 def net_motif_nodes(spark, sf):
-    return sequences.motif_nodes(_log(spark, TENTHS), delta=0.31).groupBy("node").agg(F.sum("count").alias("count"))
+    return sequences.motif_nodes(_tenths(spark, sf), delta=0.11).groupBy("node").agg(F.sum("count").alias("count"))
 
 
 @query(ORACLE_SQL["net_motifs"].replace("SELECT CAST(cl.m AS INTEGER) AS motif, family, pattern, count(kk.key) AS count FROM cl", ", ct AS (SELECT CAST(cl.m AS INTEGER) AS motif, family, count(kk.key) AS count FROM cl") + ") SELECT family, sum(count)::BIGINT AS count, round(sum(count) / (SELECT sum(count) FROM ct), 9) AS share, CASE WHEN sum(count) > 0 THEN arg_max(motif, (count, -motif))::DOUBLE END AS top_motif FROM ct GROUP BY family")

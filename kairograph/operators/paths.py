@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.errors import BadInput, BudgetExceeded, UnknownMeasure
-from kairograph.functions.timeops import EPS, c_leq
 from kairograph.operators import journeys as J
 from kairograph.operators import rounds as R
+from kairograph.operators import streams as S
 from kairograph.plans.network import Network
 from kairograph.plans.storage import keep
 
@@ -343,49 +343,27 @@ def distance_summary(net: Network, at: float | None = None, upper: float = math.
 
 
 def stream_centrality(net: Network, measure: str, beta: float = 0.1, decay: float = 0.0, damping: float = 0.85, transition: float = 1.0, sessions: str = "bounded", start: float | None = None, end: float | None = None) -> DataFrame:
-    """``session, node, value`` of Katz, PageRank or walk scores in one ordered pass.
+    """``session, node, value`` of Katz, PageRank or walk scores of a contact stream.
 
-    Contacts are starts in observed time and between the bounds that are not
-    censored; those equal up to rounding are one instant, and all contacts of an
-    instant read what was known before it.  A session is one task; its state is one
-    number for each vertex.
+    Katz and walk scores are rounds of joins (`streams`).  PageRank is one ordered
+    pass, of one task for each session; its state is one number for each vertex.
     """
     if measure not in ("katz", "pagerank", "walk"):
         raise UnknownMeasure(measure)
-    from kairograph.operators.dynamics import _observed
-
-    t = F.col("start")
-    s = net.spells.filter(~F.col("onset_censored") & _observed(net, t))
-    if start is not None:
-        s = s.filter(c_leq(F.lit(float(start)), t))
-    if end is not None:
-        s = s.filter(c_leq(t, F.lit(float(end))))
-    s = s.select(F.coalesce(net.walls(sessions), F.lit("")).alias("session"), "from", "to", t.alias("t"))
-    if not net.directed:
-        s = s.unionByName(s.select("session", F.col("to").alias("from"), F.col("from").alias("to"), "t"))
+    if measure != "pagerank":
+        return {"katz": S.katz, "walk": S.walks}[measure](net, beta, decay, sessions, start, end)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "from", "to"])
+        pdf = pdf.loc[pdf.index.repeat(pdf["n"].astype(int))]
         names, codes = np.unique(np.concatenate([pdf["from"].to_numpy(str), pdf["to"].to_numpy(str)]), return_inverse=True)
         u, v = np.split(codes, 2)
         when = pdf["t"].to_numpy(float)
-        near = np.abs(np.diff(when)) <= EPS * np.maximum(1.0, np.maximum(np.abs(when[1:]), np.abs(when[:-1])))
-        cuts = np.flatnonzero(~near) + 1
+        cuts = np.flatnonzero(np.diff(when)) + 1
         batches = [(float(when[i[0]]), u[i], v[i]) for i in np.split(np.arange(len(when)), cuts)]
-        fn = {"katz": lambda: katz(batches, len(names), beta, decay), "pagerank": lambda: stream_pagerank(batches, len(names), damping, transition), "walk": lambda: walk(batches, len(names), beta, decay)}[measure]
-        return pd.DataFrame({"session": pdf["session"].iloc[0], "node": names, "value": fn()})
+        return pd.DataFrame({"session": pdf["session"].iloc[0], "node": names, "value": stream_pagerank(batches, len(names), damping, transition)})
 
-    return s.groupBy("session").applyInPandas(run, "session string, node string, value double")
-
-
-def katz(batches: list, n: int, beta: float, decay: float) -> np.ndarray:
-    x, last = np.zeros(n), None
-    for t, u, v in batches:
-        if last is not None and decay:
-            x = x * np.exp(-decay * (t - last))
-        before, last = x.copy(), t
-        np.add.at(x, v, beta * (before[u] + 1))
-    return x
+    return S.contact_stream(net, sessions, start, end).groupBy("session").applyInPandas(run, "session string, node string, value double")
 
 
 def stream_pagerank(batches: list, n: int, damping: float, transition: float) -> np.ndarray:
@@ -406,27 +384,3 @@ def stream_pagerank(batches: list, n: int, damping: float, transition: float) ->
         active = np.where(sent > 0, stays * (active + begun * sent), active) + arrives * moved
     total = score.sum()
     return score / total if total else np.full(n, np.nan)
-
-
-def walk(batches: list, n: int, beta: float, decay: float) -> np.ndarray:
-    """Pairs of walks that end at a vertex and walks that begin there later."""
-    into = [(t, np.zeros(n)) for t, _, _ in batches]
-    x, last = np.zeros(n), None
-    for (t, u, v), (_, got) in zip(batches, into, strict=True):
-        if last is not None and decay:
-            x = x * np.exp(-decay * (t - last))
-        before, last = x.copy(), t
-        np.add.at(got, v, beta * (before[u] + 1))
-        x = x + got
-    out, y, nxt, total = [], np.zeros(n), None, np.zeros(n)
-    for t, u, v in reversed(batches):
-        if nxt is not None and decay:
-            y = y * np.exp(-decay * (nxt - t))
-        later, nxt, sent = y.copy(), t, np.zeros(n)
-        np.add.at(sent, u, beta * (later[v] + 1))
-        out.append((t, later.copy()))
-        y = y + sent
-    for (_, got), (_, later) in zip(into, reversed(out), strict=True):
-        total += got * later
-    return total
-

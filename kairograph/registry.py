@@ -434,13 +434,43 @@ def net_distance_summary(spark, sf):
     return paths.distance_summary(nations(spark, sf)).withColumn("temporal_efficiency", F.round("temporal_efficiency", 9))
 
 
-for _measure in ("katz", "pagerank", "walk"):
+#: Instants of each session in order, with their contacts by number of vertex.
+INSTANTS = N1.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """, st AS (SELECT ses, f, t, s FROM sp), nm AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT f AS v FROM st UNION SELECT t FROM st)), m AS (SELECT count(*) AS m FROM nm), z AS (SELECT max(s) AS hi FROM st),
+c AS (SELECT ses, s, p.i AS f, q.i AS t, dense_rank() OVER (PARTITION BY ses ORDER BY s) AS b FROM st JOIN nm p ON p.v = f JOIN nm q ON q.v = t),
+bt AS MATERIALIZED (SELECT ses, b, any_value(s) AS s, list({'f': f, 't': t}) AS cs, max(b) OVER (PARTITION BY ses) AS last FROM c GROUP BY ses, b),
+nd AS (SELECT DISTINCT ses, i FROM (SELECT ses, f AS i FROM c UNION ALL SELECT ses, t FROM c))
+"""
+
+
+def _into(each: str) -> str:
+    """The sum of ``each`` over an instant's contacts that end at vertex i."""
+    return f"coalesce(list_sum(list_transform(list_filter(cs, lambda e: e.t = i), lambda e: {each})), 0)"
+
+
+KATZ = INSTANTS + f""", g AS (SELECT ses, 0::BIGINT AS b, 0.0::DOUBLE AS tm, list_transform(range(1, m + 1), lambda i: 0.0::DOUBLE) AS x FROM (SELECT DISTINCT ses FROM c), m
+  UNION ALL SELECT g.ses, bt.b, bt.s, list_transform(range(1, len(x) + 1), lambda i: exp(tm - s) * x[i] + 0.05::DOUBLE * {_into("exp(tm - s) * x[e.f] + 1.0::DOUBLE")}) FROM g JOIN bt ON bt.ses = g.ses AND bt.b = g.b + 1)
+SELECT g.ses AS session, v AS node, round(x[nm.i] * exp(tm - hi), 9) AS value FROM g JOIN (SELECT ses, max(b) AS b FROM bt GROUP BY ses) l USING (ses, b) JOIN nd USING (ses) JOIN nm USING (i), z"""
+
+_PAGERANK = INSTANTS + f""", g AS (SELECT ses, 0::BIGINT AS b, list_transform(range(1, m + 1), lambda i: 0.0::DOUBLE) AS r, list_transform(range(1, m + 1), lambda i: 0.0::DOUBLE) AS a FROM (SELECT DISTINCT ses FROM c), m
+  UNION ALL SELECT g.ses, bt.b, list_transform(range(1, len(r) + 1), lambda i: r[i] + 0.15::DOUBLE * len(list_filter(cs, lambda e: e.f = i)) + {_into("0.85::DOUBLE * (a[e.f] + 0.15::DOUBLE)")}),
+    list_transform(range(1, len(r) + 1), lambda i: CASE WHEN len(list_filter(cs, lambda e: e.f = i)) > 0 THEN 0 ELSE a[i] END + {_into("0.85::DOUBLE * (a[e.f] + 0.15::DOUBLE)")}) FROM g JOIN bt ON bt.ses = g.ses AND bt.b = g.b + 1)
+SELECT g.ses AS session, v AS node, round(r[nm.i] / list_sum(r), 12) AS value FROM g JOIN (SELECT ses, max(b) AS b FROM bt GROUP BY ses) l USING (ses, b) JOIN nd USING (ses) JOIN nm USING (i)"""
+
+_WALK = INSTANTS + f""", g AS (SELECT ses, 0::BIGINT AS b, list_transform(range(1, m + 1), lambda i: 0.0::DOUBLE) AS x, CAST([] AS DOUBLE[]) AS w FROM (SELECT DISTINCT ses FROM c), m
+  UNION ALL SELECT g.ses, bt.b, list_transform(range(1, len(x) + 1), lambda i: x[i] + {_into("1 + 0.05::DOUBLE * x[e.f]")}), list_transform(cs, lambda e: 1 + 0.05::DOUBLE * x[e.f]) FROM g JOIN bt ON bt.ses = g.ses AND bt.b = g.b + 1),
+h AS (SELECT ses, last + 1 AS b, list_transform(range(1, m + 1), lambda i: 0.0::DOUBLE) AS x, CAST([] AS DOUBLE[]) AS w FROM (SELECT DISTINCT ses, last FROM bt), m
+  UNION ALL SELECT h.ses, bt.b, list_transform(range(1, len(x) + 1), lambda i: x[i] + coalesce(list_sum(list_transform(list_filter(cs, lambda e: e.f = i), lambda e: 1 + 0.05::DOUBLE * x[e.t])), 0)), list_transform(cs, lambda e: 1 + 0.05::DOUBLE * x[e.t]) FROM h JOIN bt ON bt.ses = h.ses AND bt.b = h.b - 1),
+wi AS (SELECT ses, s, e.t AS i, sum(w) AS w FROM (SELECT g.ses, s, unnest(cs) AS e, unnest(w) AS w FROM g JOIN bt USING (ses, b)) GROUP BY ALL), wo AS (SELECT ses, s, e.f AS i, sum(w) AS w FROM (SELECT h.ses, s, unnest(cs) AS e, unnest(w) AS w FROM h JOIN bt USING (ses, b)) GROUP BY ALL),
+sc AS (SELECT wi.ses, wi.i, sum(wi.w * wo.w * exp(wi.s - wo.s)) AS x FROM wi JOIN wo ON wi.ses = wo.ses AND wi.i = wo.i AND wi.s < wo.s GROUP BY ALL)
+SELECT nd.ses AS session, v AS node, round(coalesce(x, 0), 7) AS value FROM nd JOIN nm USING (i) LEFT JOIN sc ON sc.ses = nd.ses AND sc.i = nd.i"""
+
+for _measure, _sql, _places in (("katz", KATZ, 9), ("pagerank", _PAGERANK, 12), ("walk", _WALK, 7)):
 
-    def _stream(spark, sf, m=_measure):
-        return paths.stream_centrality(turns(spark, sf), m, beta=0.05, decay=1.0)
+    def _stream(spark, sf, m=_measure, places=_places):
+        return paths.stream_centrality(turns(spark, sf), m, beta=0.05, decay=1.0).withColumn("value", F.round("value", places))
 
     _stream.__name__ = f"net_stream_{_measure}"
-    query()(_stream)
+    query(_sql)(_stream)
 
 
 @query()

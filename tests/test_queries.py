@@ -30,7 +30,7 @@ def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["net_snapshots", "net_metrics_degrees", "net_strength_series", "net_events", "net_temporal_density", "net_pshifts", "net_motif_keys", "net_persistence", "net_arrivals", "net_event_graph_tenths", "net_event_graph_next", "net_pshifts_walls", "net_path_betweenness_sessions", "net_edge_centrality_sessions", "net_stream_katz_watched", "net_significance_two_sided"])
+@pytest.mark.parametrize("name", ["net_snapshots", "net_metrics_degrees", "net_strength_series", "net_events", "net_temporal_density", "net_pshifts", "net_motif_keys", "net_persistence", "net_arrivals", "net_paths_sessions", "net_triads", "net_event_chains", "net_allegiance", "net_stream_katz"])
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
