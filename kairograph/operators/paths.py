@@ -18,7 +18,7 @@ from kairograph.operators import streams as S
 from kairograph.plans.network import Network
 from kairograph.plans.storage import keep
 
-#: Contacts that are sent to every task, for the two criteria that are searched vertex by vertex.
+#: Contacts that are sent to every task, for ways that are counted one by one.
 MAX_ATOMS = 2_000_000
 CRITERIA = ("foremost_then_shortest", "min_hops", "foremost", "shortest", "fastest", "latest_departure")
 
@@ -98,9 +98,11 @@ def paths(net: Network, sources: list[str] | None = None, criterion: str = "fore
     """
     if criterion not in CRITERIA:
         raise UnknownMeasure(criterion)
-    if criterion in ("foremost", "fastest"):
-        return _searched_paths(net, sources, criterion, at, upper, traversal, sessions)
+    if criterion == "foremost":
+        return _searched_paths(net, sources, at, upper, traversal, sessions)
     ways = _Ways(net, sessions, traversal)
+    if criterion == "fastest":
+        return _fastest(ways, sources, at, upper)
     if criterion == "latest_departure":
         return _latest(ways, sources, at, upper, deadline)
     lower, upper = _bounds(net, at, upper)
@@ -126,34 +128,55 @@ def _latest(ways: _Ways, sources: list[str] | None, at: float | None, upper: flo
     leave = back.select(F.col("node").alias("name"), F.col("key").alias("target"), "time", "exact")
     if sources is not None:
         leave = leave.filter(F.col("name").isin(list(sources)))
-    leave = keep(leave, "departures")
+    out = _leaving(ways, keep(leave, "departures"))
+    return out.select("source", "node", "departure", "arrival", (F.col("arrival") - F.col("departure")).alias("latency"), "hops", "n_paths", (-F.col("departure")).alias("cost"))
+
+
+def _leaving(ways: _Ways, leave: DataFrame) -> DataFrame:
+    """``source, node, departure, arrival, hops, n_paths`` of the earliest ways from a departure of each pair.
+
+    ``leave`` has ``name, target, time, exact``; one that is only approached has an
+    arrival, but no way that makes it.
+    """
     origins = ways.origins(leave, F.struct("name", "target"), F.lit(float("inf")))
-    best = ways.search(origins).best().filter("node = key.target").withColumns({"arrival": F.col("time"), "sure": F.col("exact")}).drop("time", "exact")
+    best = ways.search(origins).best().filter("node = key.target").select("key", "node", F.col("time").alias("arrival"), "hops", "count")
     out = best.join(leave.select(F.struct("name", "target").alias("key"), "time", "exact"), "key")
     attained = F.col("exact") == 1
     n = F.when(F.col("key.name") == F.col("node"), 1.0).when(attained, F.col("count")).otherwise(0.0)
-    return out.select(F.col("key.name").alias("source"), "node", F.col("time").alias("departure"), "arrival", (F.col("arrival") - F.col("time")).alias("latency"), F.when(attained, F.col("hops")).alias("hops"), n.alias("n_paths"), (-F.col("time")).alias("cost"))
+    return out.select(F.col("key.name").alias("source"), "node", F.col("time").alias("departure"), "arrival", F.when(attained, F.col("hops")).alias("hops"), n.alias("n_paths"))
 
 
-def _searched_paths(net: Network, sources: list[str] | None, criterion: str, at: float | None, upper: float, traversal: float, sessions: str) -> DataFrame:
-    """Earliest ways counted one by one, and shortest spans: both need a search of their own for each source."""
+def _fastest(ways: _Ways, sources: list[str] | None, at: float | None, upper: float) -> DataFrame:
+    """Ways that take least time, whenever they begin; a vertex is with itself from its beginning."""
+    lower, upper = _bounds(ways.net, at, upper)
+    anchor = keep(R.anchors(ways.net, R.window(ways.net, lower, upper), at, True, sources), "anchors")
+    best = keep(R.spans(ways.origins(anchor, F.col("name"), F.col("upper")), ways.atoms, ways.traversal), "spans")
+    leave = best.select(F.col("key").alias("name"), F.col("node").alias("target"), F.col("departure").alias("time"), "exact")
+    out = _leaving(ways, leave).join(best.select(F.col("key").alias("source"), "node", "duration"), ["source", "node"])
+    out = out.select("source", "node", "departure", "arrival", F.col("duration").alias("latency"), "hops", "n_paths", F.col("duration").alias("cost"))
+    zero = F.lit(0.0)
+    own = anchor.select(F.col("name").alias("source"), F.col("name").alias("node"), F.col("time").alias("departure"), F.col("time").alias("arrival"), zero.alias("latency"), F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("n_paths"), zero.alias("cost"))
+    return out.unionByName(own)
+
+
+def _searched_paths(net: Network, sources: list[str] | None, at: float | None, upper: float, traversal: float, sessions: str) -> DataFrame:
+    """Earliest ways counted one by one, in a search of its own for each source, up to a number of states."""
     _, upper = _bounds(net, at, upper)
 
     def fn(source: str, begin: float, walls: list) -> Iterator[tuple]:
-        best: dict[str, tuple] = {source: ((0.0, 0.0), (source, source, begin, begin, 0.0, 0, 1.0, 0.0))}
+        best: dict[str, tuple] = {source: (source, source, begin, begin, 0.0, 0, 1.0, begin)}
         for _, atoms in walls:
-            if criterion == "foremost":
-                found = J.Search(atoms, source, begin, upper, traversal)
-                ways = [((b.time, 0.0), (source, v, begin, b.time, b.time - begin, b.hops, float(J.foremost_count(atoms, source, begin, v, upper)), b.time)) for v in found.best if v != source and (b := found.label(v))]
-            else:
-                ways = [((d, s), (source, v, s, t, d, h, None, d)) for v, (d, s, t, h) in J.fastest(atoms, source, begin, upper, traversal).items() if v != source]
-            for rank, row in ways:
-                old = best.get(row[1])
-                if old is None or rank < old[0]:
-                    best[row[1]] = (rank, row)
-                elif rank == old[0] and row[6] is not None:
-                    best[row[1]] = (rank, (*old[1][:6], old[1][6] + row[6], old[1][7]))
-        yield from (row for _, row in best.values())
+            found = J.Search(atoms, source, begin, upper, traversal)
+            for v in found.best:
+                if v == source or not (b := found.label(v)):
+                    continue
+                row = (source, v, begin, b.time, b.time - begin, b.hops, float(J.foremost_count(atoms, source, begin, v, upper)), b.time)
+                old = best.get(v)
+                if old is None or b.time < old[3]:
+                    best[v] = row
+                elif b.time == old[3]:
+                    best[v] = (*old[:6], old[6] + row[6], old[7])
+        yield from best.values()
 
     return _one_by_one(net, sessions, sources, at, upper, fn, PATHS)
 

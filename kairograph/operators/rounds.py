@@ -281,3 +281,61 @@ def cheapest(origins: DataFrame, atoms: DataFrame, cost: str = "weight", travers
     every = every.join(first, ["key", "node"]).filter("time = first")
     hops = F.when(F.min("hops") == F.max("hops"), F.min("hops"))
     return every.groupBy("key", "node").agg(F.min("low").alias("cost"), F.min("time").alias("time"), hops.alias("hops"), F.sum("count").alias("count"))
+
+
+def spans(origins: DataFrame, atoms: DataFrame, traversal: float = 0.0) -> DataFrame:
+    """``key, node, departure, exact, duration`` of the ways that take least time.
+
+    A label stands for all ways over the same contacts: who leaves at d < ``latest``
+    arrives at ``max(d + crossing, earliest)``, so it is as good as another that is
+    ready no earlier and leaves no later, and is dropped.  The least time is
+    ``crossing`` where one can leave late enough, else ``earliest - latest``, which is
+    attained if ``exact``.  Of equal ones those that are attained stay, then the
+    earliest departure.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("wall", "from", "to").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    ties = keep(atoms.select("wall", "from", "to", "lo", "hi", "closed", F.max("hi").over(order).alias("gone")), "ties")
+    at = ["key", "wall", "node"]
+    shape = [*at, "earliest", "latest", "exact", "limit"]
+
+    def capped(df: DataFrame) -> DataFrame:
+        over = F.col("latest") > F.col("limit")
+        return df.withColumns({"exact": F.when(over, 1).otherwise(F.col("exact")), "latest": F.least("latest", "limit")}).filter("earliest <= limit").select(shape)
+
+    def frontier(df: DataFrame, fresh: bool) -> DataFrame:
+        """Labels that none ready as early leaves later than; with ``fresh`` only new ones."""
+        end = F.struct("latest", "exact")
+        best = df.groupBy(*at, "earliest", "limit").agg(F.max(F.struct("latest", "exact", -F.col("fresh"))).alias("b")).select(*at, "earliest", "limit", "b.latest", "b.exact", (-F.col("b.col3")).alias("fresh"))
+        before = Window.partitionBy(*at).orderBy("earliest").rowsBetween(Window.unboundedPreceding, -1)
+        best = best.withColumn("top", F.max(end).over(before)).filter(F.col("top").isNull() | (end > F.col("top")))
+        return (best.filter("fresh = 1") if fresh else best).select(shape)
+
+    first = origins.withColumnRenamed("node", "from").join(ties, ["wall", "from"])
+    begin = F.greatest("time", "lo")
+    first = first.filter((begin < F.col("hi")) | (begin == F.col("hi")) & F.col("closed"))
+    first = capped(first.select("key", "wall", F.col("to").alias("node"), (begin + traversal).alias("earliest"), F.col("hi").alias("latest"), F.col("closed").cast("int").alias("exact"), "limit"))
+    layers = [keep(frontier(first.withColumn("fresh", F.lit(1)), True), "labels")]
+    known, hops = layers[0], 1
+    while not layers[-1].isEmpty():
+        across = hops * traversal
+        ready, ends, lo, hi = F.col("earliest"), F.col("latest"), F.col("lo"), F.col("hi")
+        can = (F.greatest(ready, lo) < hi) | (F.greatest(ready, lo) == hi) & F.col("closed")
+        useful = F.col("gone").isNull() | (F.col("gone") <= ready) | (F.col("gone") < ends + across)
+        moved = layers[-1].withColumnRenamed("node", "from").join(ties, ["wall", "from"]).filter(can & useful)
+        stop = hi - across
+        exact = F.when(stop < ends, F.col("closed").cast("int")).when(stop == ends, F.least(F.col("closed").cast("int"), F.col("exact"))).otherwise(F.col("exact"))
+        moved = capped(moved.select("key", "wall", F.col("to").alias("node"), (F.greatest(ready, lo) + traversal).alias("earliest"), F.least(ends, stop).alias("latest"), exact.alias("exact"), "limit"))
+        old = known.withColumn("fresh", F.lit(0))
+        layers.append(keep(frontier(moved.withColumn("fresh", F.lit(1)).unionByName(old), True), "labels"))
+        # Where crossing takes time, a way of more contacts cannot stand for one of fewer, but one of fewer can for it.
+        known = keep(frontier(known.unionByName(layers[-1]).withColumn("fresh", F.lit(0)), False), "known")
+        hops += 1
+    every = union([x.withColumn("across", F.lit((h + 1) * traversal)) for h, x in enumerate(layers)])
+    free = (F.col("latest") > F.col("earliest") - F.col("across")) | (F.col("latest") == F.col("earliest") - F.col("across")) & (F.col("exact") == 1)
+    duration = F.when(free, F.col("across")).otherwise(F.col("earliest") - F.col("latest"))
+    leave = F.when(free, F.col("earliest") - F.col("across")).otherwise(F.col("latest"))
+    sure = F.when(free, 1).otherwise(F.col("exact"))
+    rows = every.filter("key <> node").groupBy("key", "node").agg(F.min(F.struct(duration.alias("duration"), (1 - sure).alias("limit"), leave.alias("departure"))).alias("b"))
+    return rows.select("key", "node", "b.departure", (1 - F.col("b.limit")).alias("exact"), "b.duration")

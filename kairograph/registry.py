@@ -168,11 +168,6 @@ def net_centrality_kernels(spark, sf):
     return centrality.centrality_series(nations(spark, sf), names, step=720.0)
 
 
-@query()
-def net_prestige(spark, sf):
-    return centrality.centrality_series(nations(spark, sf), [f"prestige:{k}" for k in centrality.PRESTIGE], step=720.0)
-
-
 @query()
 def net_flow_betweenness(spark, sf):
     return centrality.centrality_series(nations(spark, sf), ["flow_betweenness"], window="all")
@@ -546,3 +541,4 @@ def net_animation_bins(spark, sf):
 
 import kairograph.contracts  # noqa: E402, F401  (adds its queries)
 import kairograph.journey_queries  # noqa: E402, F401
+import kairograph.matrix_queries  # noqa: E402, F401

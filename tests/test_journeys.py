@@ -90,6 +90,21 @@ def test_cheapest_and_latest(spark, seed):
             assert (r["arrival"], r["hops"], r["n_paths"]) == (b.time, b.hops, b.count)
 
 
+@pytest.mark.parametrize("seed,traversal", [(6, 0.0), (7, 1.0)])
+def test_fastest(spark, seed, traversal):
+    rows = some_rows(seed, 45)
+    begin = min(r[2] for r in rows)
+    (atoms,) = walls(rows, collapse=True)
+    got = {(r["source"], r["node"]): r for r in paths.paths(log(spark, rows), criterion="fastest", sessions="collapse", traversal=traversal).collect()}
+    names = {a for a, _ in got}
+    want = {(s, v): x for s in names for v, x in J.fastest(atoms, s, begin, math.inf, traversal).items()}
+    assert {k: r["latency"] for k, r in got.items()} == pytest.approx({k: x[0] for k, x in want.items()}, abs=1e-9)
+    for (s, v), r in got.items():
+        if r["n_paths"] and s != v:
+            b = J.Search(atoms, s, r["departure"], math.inf, traversal).label(v)
+            assert (r["arrival"], r["hops"], r["n_paths"]) == (b.time, b.hops, b.count) and b.time - r["departure"] == r["latency"]
+
+
 def test_the_shortest_way_counts_equal_costs(spark):
     net = log(spark, [("a", "b", 1, 1, 1, None), ("b", "d", 2, 2, 1, None), ("a", "c", 1, 1, 1, None), ("c", "d", 2, 2, 1, None), ("a", "d", 2, 2, 2, None), ("a", "d", 3, 3, 1, None)])
     got = {r["node"]: (r["cost"], r["arrival"], r["hops"], r["n_paths"]) for r in paths.paths(net, ["a"], "shortest").collect()}
