@@ -125,7 +125,7 @@ def _latest(ways: _Ways, sources: list[str] | None, at: float | None, upper: flo
     lower, _ = _bounds(net, at, upper)
     end = net.span()[1] if deadline is None else float(deadline)
     back = ways.search(ways.origins(R.anchors(net, R.window(net, lower, end), end, False), F.col("name"), F.lit(lower), False), False).best()
-    leave = back.select(F.col("node").alias("name"), F.col("key").alias("target"), "time", "exact")
+    leave = back.select(F.col("node").alias("name"), F.col("key").alias("target"), "time", "exact", F.lit(end).alias("by"))
     if sources is not None:
         leave = leave.filter(F.col("name").isin(list(sources)))
     out = _leaving(ways, keep(leave, "departures"))
@@ -135,10 +135,11 @@ def _latest(ways: _Ways, sources: list[str] | None, at: float | None, upper: flo
 def _leaving(ways: _Ways, leave: DataFrame) -> DataFrame:
     """``source, node, departure, arrival, hops, n_paths`` of the earliest ways from a departure of each pair.
 
-    ``leave`` has ``name, target, time, exact``; one that is only approached has an
-    arrival, but no way that makes it.
+    ``leave`` has ``name, target, time, exact`` and ``by``, when the target is reached
+    at the latest; a departure that is only approached has an arrival, but no way that
+    makes it.
     """
-    origins = ways.origins(leave, F.struct("name", "target"), F.lit(float("inf")))
+    origins = ways.origins(leave, F.struct("name", "target"), F.col("by"))
     best = ways.search(origins).best().filter("node = key.target").select("key", "node", F.col("time").alias("arrival"), "hops", "count")
     out = best.join(leave.select(F.struct("name", "target").alias("key"), "time", "exact"), "key")
     attained = F.col("exact") == 1
@@ -151,7 +152,7 @@ def _fastest(ways: _Ways, sources: list[str] | None, at: float | None, upper: fl
     lower, upper = _bounds(ways.net, at, upper)
     anchor = keep(R.anchors(ways.net, R.window(ways.net, lower, upper), at, True, sources), "anchors")
     best = keep(R.spans(ways.origins(anchor, F.col("name"), F.col("upper")), ways.atoms, ways.traversal), "spans")
-    leave = best.select(F.col("key").alias("name"), F.col("node").alias("target"), F.col("departure").alias("time"), "exact")
+    leave = best.select(F.col("key").alias("name"), F.col("node").alias("target"), F.col("departure").alias("time"), "exact", F.col("arrival").alias("by"))
     out = _leaving(ways, leave).join(best.select(F.col("key").alias("source"), "node", "duration"), ["source", "node"])
     out = out.select("source", "node", "departure", "arrival", F.col("duration").alias("latency"), "hops", "n_paths", F.col("duration").alias("cost"))
     zero = F.lit(0.0)

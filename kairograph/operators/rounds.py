@@ -284,7 +284,7 @@ def cheapest(origins: DataFrame, atoms: DataFrame, cost: str = "weight", travers
 
 
 def spans(origins: DataFrame, atoms: DataFrame, traversal: float = 0.0) -> DataFrame:
-    """``key, node, departure, exact, duration`` of the ways that take least time.
+    """``key, node, departure, exact, duration, arrival`` of the ways that take least time.
 
     A label stands for all ways over the same contacts: who leaves at d < ``latest``
     arrives at ``max(d + crossing, earliest)``, so it is as good as another that is
@@ -337,5 +337,5 @@ def spans(origins: DataFrame, atoms: DataFrame, traversal: float = 0.0) -> DataF
     duration = F.when(free, F.col("across")).otherwise(F.col("earliest") - F.col("latest"))
     leave = F.when(free, F.col("earliest") - F.col("across")).otherwise(F.col("latest"))
     sure = F.when(free, 1).otherwise(F.col("exact"))
-    rows = every.filter("key <> node").groupBy("key", "node").agg(F.min(F.struct(duration.alias("duration"), (1 - sure).alias("limit"), leave.alias("departure"))).alias("b"))
-    return rows.select("key", "node", "b.departure", (1 - F.col("b.limit")).alias("exact"), "b.duration")
+    rows = every.filter("key <> node").groupBy("key", "node").agg(F.min(F.struct(duration.alias("duration"), (1 - sure).alias("limit"), leave.alias("departure"), "earliest")).alias("b"))
+    return rows.select("key", "node", "b.departure", (1 - F.col("b.limit")).alias("exact"), "b.duration", F.col("b.earliest").alias("arrival"))
