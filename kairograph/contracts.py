@@ -327,6 +327,9 @@ def net_transitions_whole(spark, sf):
     return t.withColumns({c: F.round(c, 9) for c in ("formation_fraction", "dissolution_fraction")})
 
 
+ORACLE_SQL["net_transitions"] = ORACLE_SQL["net_transitions_whole"].replace("round(CASE WHEN 600 - ties > 0 THEN made / (600 - ties) END, 9)", "CASE WHEN 600 - ties > 0 THEN made / (600 - ties) END").replace("round(ended / ties, 9)", "ended / ties")
+
+
 ALL = """SELECT f AS "from", t AS "to", s AS start, e AS "end", w AS weight, ses AS session FROM """
 
 

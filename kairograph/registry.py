@@ -488,13 +488,27 @@ def net_community_trajectory(spark, sf):
     return communities.community_trajectory(communities.match_communities(communities.snapshot_communities(nations(spark, sf)))[0])
 
 
+#: What each model must leave as it is: counts of ties, distinct pairs, senders and receivers, ties of the busiest of each, total length, and the span.
+KEPT = {
+    "ties": ("count(*)", lambda s: F.count("*")),
+    "pairs": ("count(DISTINCT (f, t))", lambda s: F.countDistinct("from", "to")),
+    "senders": ("count(DISTINCT f)", lambda s: F.countDistinct("from")),
+    "receivers": ("count(DISTINCT t)", lambda s: F.countDistinct("to")),
+    "length": ("round(sum(e - s), 3)", lambda s: F.round(F.sum(F.col("end") - F.col("start")), 3)),
+    "first": ("min(s)", lambda s: F.min("start")),
+    "last": ("max(e)", lambda s: F.max("end")),
+}
+CHANGES = {"timeline": ("first", "last"), "targets": ("pairs",), "edges": ()}
+
 for _model in nulls.MODELS:
+    _kept = [k for k in KEPT if k not in CHANGES.get(_model, ())]
 
-    def _null(spark, sf, m=_model):
-        return nulls.randomise(nations(spark, sf), m, n=3).groupBy("replicate").agg(F.count("*").alias("ties"), F.countDistinct("from", "to").alias("pairs"))
+    def _null(spark, sf, m=_model, kept=_kept):
+        s = nulls.randomise(nations(spark, sf), m, n=3)
+        return s.groupBy("replicate").agg(*(KEPT[k][1](s).alias(k) for k in kept))
 
     _null.__name__ = f"net_randomise_{_model}"
-    query()(_null)
+    query(N2 + "SELECT replicate::INTEGER AS replicate, k.* FROM (SELECT unnest([1, 2, 3]) AS replicate), (SELECT " + ", ".join(f'{KEPT[k][0]} AS "{k}"' for k in _kept) + " FROM sp) k")(_null)
 
 
 @query()
