@@ -266,8 +266,9 @@ def _omega(same: float, pa: float, pb: float, whole: float) -> float:
 def community_change(membership: DataFrame, measures: list[str] | None = None, against: str = "previous") -> DataFrame:
     """``time, [other,] measure, value``: how groupings differ from the previous, the first, or all windows.
 
-    Compared are the vertices that both windows have, so adjustment for chance is
-    that of their intersection (``ami`` and ``iami`` are one number).
+    Compared are the vertices that both windows have (``ami`` and ``iami`` are one
+    number); ``uami`` takes all that either has, those that are missing being a group
+    of their own.  With fewer than two vertices the value is null.
     """
     asked = list(measures or ("nmi", "ami", "vi", "ari", "jaccard", "split_join"))
     m = membership.select("time", "node", F.col("community").cast("string").alias("c"))
@@ -280,14 +281,21 @@ def community_change(membership: DataFrame, measures: list[str] | None = None, a
     else:
         step = times.withColumn("base", F.lag("time").over(w) if against == "previous" else F.first("time").over(w))  # one row for each window
     step = step.filter("base is not null and base <> time")
-    old = m.select(F.col("time").alias("base"), "node", F.col("c").alias("c0"))
-    t = m.join(F.broadcast(step), "time").join(old, ["base", "node"]).groupBy("time", "base", "c0", "c").agg(F.count("*").alias("n"))
+    now = m.join(F.broadcast(step), "time").select("time", "base", "node", "c")
+    old = m.withColumnsRenamed({"time": "base", "c": "c0"}).join(F.broadcast(step), "base").select("time", "base", "node", "c0")
+    t = now.join(old, ["time", "base", "node"], "full").groupBy("time", "base", "c0", "c").agg(F.count("*").alias("n"))
+    if bad := [x for x in asked if x not in ("uami", *compare_groupings(np.eye(2)))]:
+        raise UnknownMeasure(str(bad))
+
+    def table(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf.pivot(index="c0", columns="c", values="n").fillna(0).to_numpy(float)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = compare_groupings(pdf.pivot(index="c0", columns="c", values="n").fillna(0).to_numpy(float))
-        if bad := [x for x in asked if x not in got]:
-            raise UnknownMeasure(str(bad))
-        return pd.DataFrame({"time": pdf["time"].iloc[0], "other": pdf["base"].iloc[0], "measure": asked, "value": [got[x] for x in asked]})
+        both = pdf.dropna(subset=["c0", "c"])
+        got = compare_groupings(table(both)) if both["n"].sum() > 1 else dict.fromkeys(asked)
+        if "uami" in asked:
+            got["uami"] = compare_groupings(table(pdf.fillna({"c0": "(absent)", "c": "(absent)"})))["ami"] if pdf["n"].sum() > 1 else None
+        return pd.DataFrame({"time": pdf["time"].iloc[0], "other": pdf["base"].iloc[0], "measure": asked, "value": pd.Series([got[x] for x in asked], dtype=float)})
 
     out = t.groupBy("time", "base").applyInPandas(run, "time double, other double, measure string, value double")
     return out if against == "all" else out.drop("other")

@@ -79,3 +79,11 @@ def test_allegiance_has_all_pairs(spark):
     member = spark.createDataFrame([(t, v, c) for t, cs in ((1.0, "xxy"), (2.0, "xyy")) for v, c in zip("abc", cs, strict=True)], "time double, node string, community string")
     got = {(r["node1"], r["node2"]): r["value"] for r in communities.allegiance(member).collect()}
     assert len(got) == 9 and got["a", "b"] == 0.5 and got["a", "c"] == 0 and got["a", "a"] is None
+
+
+def test_groupings_of_all_that_either_window_has(spark):
+    rows = [(1.0, "a", "x"), (1.0, "b", "x"), (1.0, "c", "y"), (1.0, "d", "y"), (2.0, "a", "x"), (2.0, "b", "x"), (2.0, "c", "y"), (2.0, "e", "y"), (3.0, "e", "z")]
+    got = {(r["time"], r["measure"]): r["value"] for r in communities.community_change(spark.createDataFrame(rows, "time double, node string, community string"), ["nmi", "ami", "uami"]).collect()}
+    wide = communities.compare_groupings(np.array([[2.0, 0, 0], [0, 1, 1], [0, 1, 0]]))["ami"]  # x, y and the absent, then and now
+    assert got[2.0, "nmi"] == got[2.0, "ami"] == 1 and got[2.0, "uami"] == pytest.approx(wide) and wide < 1
+    assert got[3.0, "nmi"] is None or math.isnan(got[3.0, "nmi"])
