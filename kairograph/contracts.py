@@ -162,6 +162,23 @@ def net_coreness(spark, sf):
     return _two(spark, sf, ["coreness"])
 
 
+CONCURRENT = N2 + DEG + """, cs AS (SELECT ses, k, v, w, greatest(s, lo) AS s, least(e, hi) AS e FROM (SELECT ses, k, lo, hi, f AS v, t AS w, s, e FROM act UNION ALL SELECT ses, k, lo, hi, t, f, s, e FROM act))
+"""
+
+
+@query(CONCURRENT + """, md AS (SELECT k, min(coalesce(d, 0))::DOUBLE AS x FROM bins CROSS JOIN nation LEFT JOIN dg USING (k) WHERE dg.v IS NULL OR dg.v = n_name GROUP BY k), al AS (SELECT k, count(DISTINCT v) AS c FROM dg GROUP BY k),
+bz AS (SELECT k, count(*)::DOUBLE AS c FROM (SELECT DISTINCT x.k, x.v FROM cs x JOIN cs y ON x.k = y.k AND x.v = y.v AND x.w < y.w AND x.s < y.e AND y.s < x.e) GROUP BY k)
+SELECT lo AS time, u.measure, round(u.value, 9) AS value FROM (SELECT lo, CASE WHEN al.c < 25 THEN 0.0::DOUBLE ELSE md.x END AS degree_min, coalesce(bz.c, 0.0) AS concurrent_nodes, coalesce(bz.c, 0.0) / 25 AS concurrent_share FROM bins JOIN md USING (k) JOIN al USING (k) LEFT JOIN bz USING (k)) UNPIVOT (value FOR measure IN (degree_min, concurrent_nodes, concurrent_share)) u""")
+def net_metrics_concurrent(spark, sf):
+    return snapshots.metrics(nations(spark, sf), ["degree_min", "concurrent_nodes", "concurrent_share"]).withColumn("value", F.round("value", 9))
+
+
+@query(CONCURRENT + """, bz AS (SELECT ses, k, count(*)::DOUBLE AS c FROM (SELECT DISTINCT x.ses, x.k, x.v FROM cs x JOIN cs y ON x.ses = y.ses AND x.k = y.k AND x.v = y.v AND x.w < y.w AND x.s < y.e AND y.s < x.e) GROUP BY ses, k)
+SELECT u.ses AS session, lo AS time, 'concurrent_nodes' AS measure, coalesce(c, 0.0) AS value FROM bins CROSS JOIN (SELECT DISTINCT ses FROM sp) u LEFT JOIN bz USING (ses, k)""")
+def net_concurrent_sessions(spark, sf):
+    return snapshots.metrics(nations(spark, sf), ["concurrent_nodes"], sessions="separate")
+
+
 @query(N2 + DEG + BASE + """, md(m) AS (VALUES ('degree'), ('degree_in'), ('degree_out')) SELECT time, node, m AS measure, coalesce(CASE m WHEN 'degree' THEN d WHEN 'degree_in' THEN i ELSE o END, 0)::DOUBLE AS value FROM base CROSS JOIN md LEFT JOIN dg ON dg.k = base.k AND dg.v = node""")
 def net_degree_modes(spark, sf):
     return centrality.centrality_series(nations(spark, sf), ["degree"], mode=["all", "in", "out"])
@@ -562,6 +579,15 @@ def net_animation_frames(spark, sf):
     return summaries.animation_frames(nations(spark, sf))
 
 
+@query(N2 + ISLE + r""", dn AS (SELECT avg(m / 600) AS d FROM (SELECT bins.k, count(f) AS m FROM bins LEFT JOIN edge USING (k) GROUP BY bins.k)), td AS (SELECT sum(e - s) / (600 * any_value(hi - lo)) AS d FROM isle, span),
+v AS (SELECT 'interval' AS "format", 'yes' AS "directed", n::VARCHAR AS "vertices", (SELECT count(*) FROM sp)::VARCHAR AS "edge spells", (SELECT count(DISTINCT (f, t)) FROM sp)::VARCHAR AS "distinct pairs", 'days' AS "time unit",
+  regexp_replace(lo::VARCHAR, '\.0$', '') AS "observed from", regexp_replace(hi::VARCHAR, '\.0$', '') AS "observed to", regexp_replace((hi - lo)::VARCHAR, '\.0$', '') AS "span", '180' AS "bin width", (SELECT count(*) FROM bins)::VARCHAR AS "time bins",
+  regexp_replace(round(dn.d, 4)::VARCHAR, '\.0$', '') AS "mean snapshot density", regexp_replace(round(td.d, 4)::VARCHAR, '\.0$', '') AS "temporal density", (SELECT count(DISTINCT ses) FROM sp)::VARCHAR AS "sessions", 'region' AS "vertex attributes" FROM n, span, dn, td)
+SELECT u.property, u.value FROM v UNPIVOT (value FOR property IN ("format", "directed", "vertices", "edge spells", "distinct pairs", "time unit", "observed from", "observed to", "span", "bin width", "time bins", "mean snapshot density", "temporal density", "sessions", "vertex attributes")) u""")
+def net_describe(spark, sf):
+    return summaries.describe(nations(spark, sf), temporal_density=True)
+
+
 @query(N2 + """SELECT f AS "from", t AS "to", s AS start, e AS "end", 5 AS rows_shown, (SELECT count(*) FROM sp) AS rows_in_all FROM sp ORDER BY s, f, t, e LIMIT 5""")
 def net_head(spark, sf):
     return summaries.head_with_counts(nations(spark, sf).spells.select("from", "to", "start", "end"), ["start", "from", "to", "end"], 5)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairograph.errors import BadInput, NeedsDirected, UnknownMeasure
+from kairograph.errors import NeedsDirected, UnknownMeasure
 from kairograph.operators import kernels as K
 from kairograph.operators import sparse as S
 from kairograph.plans.grid import Grid, eligible, make_grid, snapshot_edges
@@ -115,7 +115,7 @@ def metrics(net: Network, measures: list[str] | None = None, sessions: str = "bo
     if dense := [m for m in asked if m in KERNEL and m not in S.OF_COMPONENTS and m != "triads"]:
         parts.append(_kernel_measures(net, g, e, keys, dense))
     if any(m.startswith("concurrent") for m in asked):
-        parts.append(_concurrency(net, g, [m for m in asked if m.startswith("concurrent")], keys))
+        parts.append(_concurrency(net, g, [m for m in asked if m.startswith("concurrent")], keys, sessions))
     if any(m in exact for m in asked):
         from kairograph.operators.dynamics import exposure
 
@@ -256,19 +256,27 @@ def _join_measures(net: Network, g: Grid, e: DataFrame, keys: list[str], asked:
     return parts
 
 
-def _concurrency(net: Network, g: Grid, asked: list[str], keys: list[str]) -> DataFrame:
-    """Vertices with ties to two others at one instant of the window."""
-    if keys:
-        raise BadInput("concurrency is not defined for separate sessions here")
+def _concurrency(net: Network, g: Grid, asked: list[str], keys: list[str], sessions: str) -> DataFrame:
+    """Vertices with ties to two others at one instant of the window.
+
+    Ties to one neighbour are put together, then a vertex's beginnings and ends are
+    added up in order.  A stretch ends before another begins at the same time; a point
+    meets both.
+    """
+    from kairograph.functions.islands import islands
     from kairograph.plans.grid import active
 
-    a = active(net, g).select("bin", "from", "to", F.greatest("start", "lo").alias("s"), F.least("end", "hi").alias("e"))
-    arcs = a.select("bin", F.col("from").alias("v"), F.col("to").alias("w"), "s", "e").unionByName(a.select("bin", F.col("to").alias("v"), F.col("from").alias("w"), "s", "e"))
-    x, y = arcs.alias("x"), arcs.alias("y")
-    meet = (F.greatest("x.s", "y.s") < F.least("x.e", "y.e")) | ((F.greatest("x.s", "y.s") == F.least("x.e", "y.e")) & ((F.col("x.s") == F.col("x.e")) | (F.col("y.s") == F.col("y.e"))) & (F.col("x.e") >= F.col("y.s")))
-    busy = x.join(y, (F.col("x.bin") == F.col("y.bin")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.w") < F.col("y.w")) & meet).select(F.col("x.bin").alias("bin"), F.col("x.v").alias("v")).distinct()
-    counts = busy.groupBy("bin").agg(F.count("*").cast("double").alias("c"))
+    at = [*keys, "bin"]
+    a = active(net, g, sessions).select(*at, "from", "to", F.greatest("start", "lo").alias("start"), F.least("end", "hi").alias("end"))
+    arcs = a.select(*at, F.col("from").alias("v"), F.col("to").alias("w"), "start", "end").unionByName(a.select(*at, F.col("to").alias("v"), F.col("from").alias("w"), "start", "end"))
+    s = islands(arcs, [*at, "v", "w"]).withColumn("point", (F.col("start") == F.col("end")).cast("int"))
+    on = F.struct(F.col("start").alias("t"), (2 - 2 * F.col("point")).alias("turn"), F.lit(1).alias("d"))
+    off = F.struct(F.col("end").alias("t"), (1 + 2 * F.col("point")).alias("turn"), F.lit(-1).alias("d"))
+    steps = s.select(*at, "v", F.explode(F.array(on, off)).alias("x")).select(*at, "v", "x.*")
+    run = Window.partitionBy(*at, "v").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    busy = steps.withColumn("held", F.sum("d").over(run)).filter("held >= 2").select(*at, "v").distinct()
+    counts = busy.groupBy(*at).agg(F.count("*").cast("double").alias("c"))
     n = eligible(net, g).groupBy("bin").agg(F.count("*").cast("double").alias("n"))
-    out = _rectangle(net, g, counts, []).join(n, "bin", "left")
+    out = _rectangle(net, g, counts, keys).join(n, "bin", "left")
     c = F.coalesce("c", F.lit(0.0))
-    return out.select("time", c.alias("concurrent_nodes"), ratio(c, F.coalesce("n", F.lit(0.0))).alias("concurrent_share")).unpivot(["time"], asked, "measure", "value")
+    return out.select(*keys, "time", c.alias("concurrent_nodes"), ratio(c, F.coalesce("n", F.lit(0.0))).alias("concurrent_share")).unpivot([*keys, "time"], asked, "measure", "value")

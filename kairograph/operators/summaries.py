@@ -177,3 +177,40 @@ def head_with_counts(df: DataFrame, order: list[str], n: int = 6, tail: bool = F
     keys = [F.desc(c) if tail else F.asc(c) for c in order]
     shown = df.orderBy(*keys).limit(n)
     return shown.crossJoin(total).withColumn("rows_shown", F.least(F.lit(n).cast("long"), "rows_in_all"))
+
+
+def describe(net: Network, temporal_density: bool = False) -> DataFrame:
+    """``property, value`` in fifteen rows: what the network is, its clock, and its densities as text.
+
+    The density over all time is asked for, as it needs a pass of its own.
+    """
+    from kairograph.operators.dynamics import exposure
+    from kairograph.operators.snapshots import metrics
+
+    lo, hi = net.span()
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    s = net.spells.agg(F.count("*").alias("spells"), F.countDistinct("from", "to").alias("pairs"), F.countDistinct("session").alias("sessions"))
+    n = net.nodes.agg(F.count("*").alias("vertices"))
+    mean = metrics(net, ["density"], sessions="collapse").agg(F.round(F.avg("value"), 4).alias("mean"))
+    wide = s.crossJoin(n).crossJoin(mean)  # one row each
+    if temporal_density:
+        wide = wide.crossJoin(exposure(net, window="all").select(F.round("temporal_density", 4).alias("density")))
+    attributes = ", ".join(c for c in net.nodes.columns if c not in ("id", "label", "name", "x", "y")) or "none"
+    text = {
+        "format": F.lit(net.format),
+        "directed": F.lit("yes" if net.directed else "no"),
+        "vertices": F.col("vertices").cast("string"),
+        "edge spells": F.col("spells").cast("string"),
+        "distinct pairs": F.col("pairs").cast("string"),
+        "time unit": F.lit(net.unit),
+        "observed from": number(F.lit(lo)),
+        "observed to": number(F.lit(hi)),
+        "span": number(F.lit(hi - lo)),
+        "bin width": number(F.lit(float(net.interval))),
+        "time bins": F.lit(str(len(make_grid(net).bins))),
+        "mean snapshot density": number(F.col("mean")),
+        "temporal density": number(F.col("density")) if temporal_density else F.lit("not computed"),
+        "sessions": F.when(F.col("sessions") > 0, F.col("sessions").cast("string")).otherwise("none"),
+        "vertex attributes": F.lit(attributes),
+    }
+    return wide.select(*(c.alias(k) for k, c in text.items())).unpivot([], list(text), "property", "value")

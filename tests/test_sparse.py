@@ -87,3 +87,10 @@ def test_groupings_of_all_that_either_window_has(spark):
     wide = communities.compare_groupings(np.array([[2.0, 0, 0], [0, 1, 1], [0, 1, 0]]))["ami"]  # x, y and the absent, then and now
     assert got[2.0, "nmi"] == got[2.0, "ami"] == 1 and got[2.0, "uami"] == pytest.approx(wide) and wide < 1
     assert got[3.0, "nmi"] is None or math.isnan(got[3.0, "nmi"])
+
+
+@pytest.mark.parametrize("second,busy", [((2.0, 4.0), 0), ((2.0, 2.0), 1), ((1.0, 4.0), 1), ((0.0, 0.0), 1), ((2.5, 2.5), 0)])
+def test_who_has_two_neighbours_at_once(spark, second, busy):
+    rows = [("a", "b", 0.0, 2.0, 1.0, None), ("b", "a", 1.0, 2.0, 1.0, None), ("a", "c", *second, 1.0, None)]
+    net = builders.from_tables(spark.createDataFrame(rows, SPELLS), check=False)
+    assert snapshots.metrics(net, ["concurrent_nodes"], start=0.0, end=0.0, step=10.0, window=10.0).first()["value"] == busy
