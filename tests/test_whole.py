@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from kairograph import registry
+from kairograph import journey_queries, registry
 from kairograph.operators import journeys as J
 from kairograph.sources import builders
 
@@ -17,7 +17,8 @@ def late(spark, monkeypatch):
     """A network whose second contact is neither urgent nor early, in place of N2."""
     rows = [("A", "B", 0.0, 2.0, 1.0, "1-URGENT"), ("B", "C", 100.0, 103.0, 1.0, "5-LOW"), ("A", "C", 400.0, 401.0, 1.0, "5-LOW")]
     d = spark.createDataFrame(rows, "from string, to string, start double, end double, weight double, session string")
-    monkeypatch.setattr(registry, "nations", lambda *_: builders.from_tables(d, check=False, interval=180.0, unit="days"))
+    for module in (registry, journey_queries):
+        monkeypatch.setattr(module, "nations", lambda *_: builders.from_tables(d, check=False, interval=180.0, unit="days"))
 
 
 def test_arrivals_of_all_orders(spark):
