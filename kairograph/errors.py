@@ -23,3 +23,11 @@ class BudgetExceeded(BadInput):
 
 class UndefinedResult(UserWarning):
     """A quantity is not determined by the data and is reported as missing."""
+
+
+class BadScope(BadInput):
+    """A null model is not defined within the scope asked for."""
+
+
+class NoValidDraw(BadInput):
+    """No surrogate kept what was asked for within the tries allowed."""

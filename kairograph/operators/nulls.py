@@ -1,9 +1,10 @@
-"""Null models, significance, and generators of networks."""
+"""Significance against null models, and generators of networks."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -12,101 +13,29 @@ from pyspark.sql import functions as F
 
 from kairograph.errors import BadInput
 from kairograph.functions.islands import islands
+from kairograph.operators.surrogates import MODELS, surrogates
 from kairograph.plans.network import Network, build
 from kairograph.plans.storage import keep
 
-MODELS = ("times", "timeline", "labels", "targets", "edges", "reversal")
+__all__ = ["MODELS", "null_summary", "random_network", "randomise", "renewal_network", "significance", "summarise_null", "surrogates"]
 
+def randomise(net: Network, model: str = "times", n: int = 1, seed: int = 1, within: str = "network", **how) -> DataFrame:
+    """``replicate`` and spells of ``n`` surrogates; ``surrogates`` says what each model keeps."""
+    return surrogates(net, model, n, seed, within, **how).spells
 
-def _copies(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
-
-def _noise(seed: int, salt: str, *columns: str):
-    """A reproducible number in [0, 1) for each row and replicate, whatever the partitions."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "replicate", *columns), 11)).cast("double") * 2.0**-53
-
-
-def randomise(net: Network, model: str = "times", n: int = 1, seed: int = 1, within: str = "network") -> DataFrame:
-    """``replicate`` and spells of ``n`` surrogates.
-
-    times: starts and lengths change places between ties; timeline: each start
-    moves anywhere in the span; labels: vertices change names; targets: receivers
-    change places; edges: double swaps of ends; reversal: time runs backwards.
-    """
-    if model not in MODELS:
-        raise BadInput(f"unknown null model {model!r}")
-    lo, hi = net.span()
-    s = _copies(net.spells, n)
-    scope = ["replicate", *{"network": [], "session": ["session"], "sender": ["from"]}[within]]
-    here = Window.partitionBy(*scope).orderBy("raw_id")
-    there = lambda salt: Window.partitionBy(*scope).orderBy(_noise(seed, salt, "raw_id"), "raw_id")
-    if model == "timeline":
-        length = F.col("end") - F.col("start")
-        at = lo + _noise(seed, "t", "raw_id") * (F.lit(hi - lo) - length)
-        return s.withColumn("_l", length).withColumn("start", at).withColumn("end", F.col("start") + F.col("_l")).drop("_l")
-    if model == "reversal":
-        return s.withColumns({"start": F.lit(lo + hi) - F.col("end"), "end": F.lit(lo + hi) - F.col("start")})
-    if model == "labels":
-        v = _copies(net.nodes.select("name"), n)
-        a = v.withColumn("_k", F.row_number().over(Window.partitionBy("replicate").orderBy("name")))
-        b = v.withColumn("_k", F.row_number().over(Window.partitionBy("replicate").orderBy(_noise(seed, "l", "name"), "name"))).withColumnRenamed("name", "new")
-        names = a.join(b, ["replicate", "_k"]).drop("_k")
-        for end in ("from", "to"):
-            s = s.join(names.select("replicate", F.col("name").alias(end), F.col("new").alias("_n")), ["replicate", end]).drop(end).withColumnRenamed("_n", end)
-        return s.select("replicate", *net.spells.columns)
-    if model == "edges":
-        return _swapped(net, n, seed)
-    moved = ["start", "end"] if model == "times" else ["to"]
-    a = s.withColumn("_k", F.row_number().over(here)).drop(*moved)
-    b = s.withColumn("_k", F.row_number().over(there(model))).select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_k").alias("_k2"), *[F.col(c).alias(f"_new_{c}") for c in moved])
-    on = F.col("_k") == F.col("_k2")
-    for c in scope:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return a.join(b, on).select("replicate", *[F.col(f"_new_{c}").alias(c) if c in moved else F.col(c) for c in net.spells.columns])
-
-
-def _swapped(net: Network, n: int, seed: int) -> DataFrame:
-    """Double swaps on distinct pairs: degrees stay, loops and repeats do not arise; one replicate to a task."""
-    columns = net.spells.columns
-    s = _copies(net.spells, n)
-    directed = net.directed
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
-        pdf = pdf.sort_values("raw_id")
-        pairs = sorted(set(zip(pdf["from"], pdf["to"], strict=True)))
-        now, have = list(pairs), set(pairs)
-        for _ in range(10 * len(now)):
-            i, j = rng.integers(0, len(now), 2)
-            (a, b), (c, d) = now[i], now[j]
-            x, y = (a, d), (c, b)
-            if not directed:
-                x, y = tuple(sorted(x)), tuple(sorted(y))
-            if i == j or x[0] == x[1] or y[0] == y[1] or x in have or y in have or x == y:
-                continue
-            have -= {now[i], now[j]}
-            now[i], now[j] = x, y
-            have |= {x, y}
-        new = dict(zip(pairs, now, strict=True))
-        ends = [new[p] for p in zip(pdf["from"], pdf["to"], strict=True)]
-        pdf["from"], pdf["to"] = [e[0] for e in ends], [e[1] for e in ends]
-        return pdf
-
-    return s.groupBy("replicate").applyInPandas(run, s.schema).select("replicate", *columns)
-
-
-def significance(net: Network, statistic: Callable[[Network], DataFrame], keys: list[str], value: str = "value", model: str = "times", n: int = 99, seed: int = 1, alternative: str = "two.sided", within: str = "network") -> DataFrame:
+def significance(net: Network, statistic: Callable[[Network], DataFrame], keys: list[str], value: str = "value", model: str = "times", n: int = 99, seed: int = 1, alternative: str = "two.sided", within: str = "network", **how) -> DataFrame:
     """Observed values against surrogates, cell by cell.
 
     ``observed, null_mean, null_sd, null_low, null_high, z, n_null, p, p_adj, mcse``;
     a surrogate without a cell is missing there, not nought.  The statistic is run
     once on each surrogate network.
     """
-    spells = keep(randomise(net, model, n, seed, within), "surrogates", "replicate")
+    drawn = surrogates(net, model, n, seed, within, **how)
+    drawn = replace(drawn, spells=keep(drawn.spells, "surrogates", "replicate"))
     parts = None
     for r in range(1, n + 1):
-        one = statistic(net.with_(spells=spells.filter(F.col("replicate") == r).drop("replicate"))).select(*keys, F.col(value).cast("double").alias("null"))
+        one = statistic(drawn.network(r)).select(*keys, F.col(value).cast("double").alias("null"))
         parts = one if parts is None else parts.unionByName(one)
     seen = statistic(net).select(*keys, F.col(value).cast("double").alias("observed"))
     return summarise_null(seen, parts, keys, alternative)

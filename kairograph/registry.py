@@ -498,7 +498,7 @@ KEPT = {
     "first": ("min(s)", lambda s: F.min("start")),
     "last": ("max(e)", lambda s: F.max("end")),
 }
-CHANGES = {"timeline": ("first", "last"), "targets": ("pairs",), "edges": ()}
+CHANGES = {"targets": ("pairs",)}
 
 for _model in nulls.MODELS:
     _kept = [k for k in KEPT if k not in CHANGES.get(_model, ())]
@@ -556,3 +556,4 @@ def net_animation_bins(spark, sf):
 import kairograph.contracts  # noqa: E402, F401  (adds its queries)
 import kairograph.journey_queries  # noqa: E402, F401
 import kairograph.matrix_queries  # noqa: E402, F401
+import kairograph.null_queries  # noqa: E402, F401
