@@ -71,3 +71,13 @@ def test_reached_by_parts_blocks_and_hubs(monkeypatch):
 
 def test_harary(series, monkeypatch):
     _agree(series, "harary", K.harary, monkeypatch)
+
+
+def test_centralization(series, monkeypatch):
+    net, _, matrices, directed = series
+    monkeypatch.setattr(snapshots, "matrix", _no_matrix)
+    names = ["centralization_betweenness", "centralization_closeness"]
+    got = snapshots.metrics(net, names, start=0.0, end=1.0, step=1.0).toPandas().set_index(["time", "measure"]).value
+    for t, m in zip((0.0, 1.0), matrices):
+        want = K.graph_measures(m, directed)
+        assert [got[t, c] for c in names] == pytest.approx([want[c] for c in names])
