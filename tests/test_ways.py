@@ -81,3 +81,7 @@ def test_centralization(series, monkeypatch):
     for t, m in zip((0.0, 1.0), matrices):
         want = K.graph_measures(m, directed)
         assert [got[t, c] for c in names] == pytest.approx([want[c] for c in names])
+
+
+def test_constraint(series, monkeypatch):
+    _agree(series, "constraint", K.constraint, monkeypatch)
