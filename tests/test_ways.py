@@ -85,3 +85,13 @@ def test_centralization(series, monkeypatch):
 
 def test_constraint(series, monkeypatch):
     _agree(series, "constraint", K.constraint, monkeypatch)
+
+
+@pytest.mark.parametrize("whole", [1024, 0])
+def test_power(series, monkeypatch, whole):
+    monkeypatch.setattr(W, "WHOLE", whole)
+    a, b, m = _graph(40, 120, 3)
+    want = K.power(m, 0.05)
+    got = W.solved(a, b, 40, 0.05)
+    assert got * np.sqrt(40 / (got @ got)) == pytest.approx(want)
+    _agree(series, "power", lambda b: K.power(b, 0.05), monkeypatch, beta=0.05)
