@@ -95,3 +95,7 @@ def test_power(series, monkeypatch, whole):
     got = W.solved(a, b, 40, 0.05)
     assert got * np.sqrt(40 / (got @ got)) == pytest.approx(want)
     _agree(series, "power", lambda b: K.power(b, 0.05), monkeypatch, beta=0.05)
+
+
+def test_betweenness(series, monkeypatch):
+    _agree(series, "betweenness", lambda b: K.betweenness(b, series[3]), monkeypatch)
