@@ -99,3 +99,13 @@ def test_power(series, monkeypatch, whole):
 
 def test_betweenness(series, monkeypatch):
     _agree(series, "betweenness", lambda b: K.betweenness(b, series[3]), monkeypatch)
+
+
+def test_reach(series, monkeypatch):
+    net, _, matrices, directed = series
+    monkeypatch.setattr(snapshots, "matrix", _no_matrix)
+    names = ["components_strong", "mean_distance", "diameter", "hierarchy"]
+    got = snapshots.metrics(net, names, start=0.0, end=1.0, step=1.0).toPandas().set_index(["time", "measure"]).value
+    for t, m in zip((0.0, 1.0), matrices):
+        want = K.graph_measures(m, directed)
+        assert [got[t, c] for c in names] == pytest.approx([want[c] for c in names])
