@@ -109,3 +109,7 @@ def test_reach(series, monkeypatch):
     for t, m in zip((0.0, 1.0), matrices):
         want = K.graph_measures(m, directed)
         assert [got[t, c] for c in names] == pytest.approx([want[c] for c in names])
+
+
+def test_pagerank(series, monkeypatch):
+    _agree(series, "pagerank", K.pagerank, monkeypatch)
