@@ -132,11 +132,17 @@ def transitions(net: Network, at: list[float]) -> DataFrame:
     return out.select(F.col("t").alias("time"), F.when(risk > 0, F.col("made") / F.when(risk > 0, risk).otherwise(1.0)).alias("formation_fraction"), F.when(F.col("ties") > 0, F.col("ended") / F.when(F.col("ties") > 0, F.col("ties")).otherwise(1.0)).alias("dissolution_fraction"))
 
 
-def rates(net: Network, **grid) -> DataFrame:
-    """``time, formation_rate, dissolution_rate``: confirmed changes over pair-time that could change."""
+def rates(net: Network, infinite: bool = False, **grid) -> DataFrame:
+    """``time, formation_rate, dissolution_rate``: confirmed changes over pair-time that could change.
+
+    Where no pair-time could change a rate is null; with ``infinite`` it is infinite if
+    there were changes and nan if there were none.
+    """
     e, x = events(net, **grid), exposure(net, **grid)
     idle = F.col("risk") - F.col("occupied")
-    return e.join(x, "time").select("time", F.when(idle > 0, F.col("formation") / F.when(idle > 0, idle).otherwise(1.0)).alias("formation_rate"), F.when(F.col("occupied") > 0, F.col("dissolution") / F.when(F.col("occupied") > 0, F.col("occupied")).otherwise(1.0)).alias("dissolution_rate"))
+    none = lambda n: F.when(F.col(n) > 0, float("inf")).otherwise(float("nan")) if infinite else null()
+    per = lambda n, d: F.when(d > 0, F.col(n) / F.when(d > 0, d).otherwise(1.0)).otherwise(none(n))
+    return e.join(x, "time").select("time", per("formation", idle).alias("formation_rate"), per("dissolution", F.col("occupied")).alias("dissolution_rate"))
 
 
 def durations(net: Network, unit: str = "pair", mode: str = "all", sessions: str = "bounded") -> DataFrame:

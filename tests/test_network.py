@@ -118,6 +118,26 @@ def test_event_graph(spark):
     assert rows_of(sequences.event_graph(net, adjacency="next"), "via", "wait") == [("B", 1.0), ("C", 1.0)]
 
 
+def test_event_graph_after(spark):
+    """70 microseconds in days: more than rounding, less than ``after``."""
+    t = 19_731.0
+    net = net_of(spark, [("A", "B", t, t), ("B", "C", t + 8.1e-10, t + 8.1e-10), ("B", "D", t + 2e-9, t + 2e-9), ("B", "E", t + 0.5 + 2e-10, t + 0.5 + 2e-10)])
+    graph = lambda **how: sorted(sequences.event_graph(net, **how).join(net.spells.select(F.col("raw_id").alias("second"), "to"), "second").toPandas().to)
+    assert graph(delta=0.5) == ["C", "D", "E"]
+    assert graph(delta=0.5, after=1e-9) == ["D"]
+    assert graph(adjacency="next") == ["C"]
+    assert graph(adjacency="next", after=1e-9) == ["D"]
+
+
+def test_rates_without_idle_time(spark):
+    """Both pairs are tied all through: what forms then forms at once."""
+    net = net_of(spark, [("A", "B", 0.0, 2.0), ("B", "A", 0.0, 2.0), ("A", "B", 0.5, 1.0)])
+    rows = dynamics.rates(net, step=1.0).orderBy("time").collect()
+    assert [r.formation_rate for r in rows] == [None, None]
+    rows = dynamics.rates(net, infinite=True, step=1.0).orderBy("time").collect()
+    assert rows[0].formation_rate == math.inf and math.isnan(rows[1].formation_rate)
+
+
 def test_motif_boundary(spark):
     net = net_of(spark, [("A", "B", 1.0, 1.0), ("B", "C", 2.0, 2.0), ("A", "C", 3.0, 3.0)])
     assert sequences.motifs(net, 2).count() == 40
