@@ -101,16 +101,20 @@ def pshifts(net: Network, sessions: str = "bounded", cumulative: bool = False) -
     return out.select("shift", "family", F.coalesce("count", F.lit(0)).alias("count"), ratio(F.coalesce("count", F.lit(0)), F.col("total"), float("nan")).alias("share"))
 
 
-def event_graph(net: Network, delta: float = math.inf, adjacency: str = "all", direction: str = "respect", sessions: str = "bounded", merge: bool = False) -> DataFrame:
+def event_graph(net: Network, delta: float = math.inf, adjacency: str = "all", direction: str = "respect", sessions: str = "bounded", merge: bool = False, after: float | None = None) -> DataFrame:
     """Arcs between events that share a vertex, the second starting after the first ends.
 
     ``first, second, via, wait``.  With a finite ``delta`` time is cut into
     stretches a little longer than that, so that the join is on vertex and stretch and
     rounding does not carry a partner past the next one.  ``next`` looks along each
-    vertex's own line of events and forms no other pairs.
+    vertex's own line of events and forms no other pairs.  Times that differ by rounding
+    are equal, unless ``after`` says how much later than an end a start must be; then
+    ``delta`` is exact too.
     """
     if adjacency not in ("all", "next") or direction not in ("respect", "ignore") or delta < 0:
         raise BadInput("adjacency is all or next, direction respect or ignore, delta not negative")
+    if after is not None and after < 0:
+        raise BadInput("after must not be negative")
     if merge:
         s = net.spells.groupBy(net.walls(sessions).alias("wall"), "from", "start", "end").agg(F.min("raw_id").alias("raw_id"), F.array_sort(F.collect_set("to")).alias("to"))
     else:
@@ -123,11 +127,11 @@ def event_graph(net: Network, delta: float = math.inf, adjacency: str = "all", d
     two = enter.select("wall", "via", F.col("raw_id").alias("second"), F.col("start").alias("s2"))
     on_keys = lambda a, b: a["wall"].eqNullSafe(b["wall"]) & (a["via"] == b["via"])
     on = on_keys(one, two)
-    near = c_lt(F.col("e1"), F.col("s2"))
+    near = c_lt(F.col("e1"), F.col("s2")) if after is None else F.col("s2") > F.col("e1") + after
     if math.isfinite(delta):
-        near = near & c_leq(F.col("s2"), F.col("e1") + delta)
+        near = near & (c_leq(F.col("s2"), F.col("e1") + delta) if after is None else F.col("s2") <= F.col("e1") + delta)
     if adjacency == "next":
-        line = one.select("wall", "via", (F.col("e1") + c_tol(F.col("e1"), F.col("e1"))).alias("t"), F.lit(0).alias("starts"), "first", "e1").unionByName(two.select("wall", "via", F.col("s2").alias("t"), F.lit(1).alias("starts"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("double").alias("e1")))
+        line = one.select("wall", "via", (F.col("e1") + (c_tol(F.col("e1"), F.col("e1")) if after is None else after)).alias("t"), F.lit(0).alias("starts"), "first", "e1").unionByName(two.select("wall", "via", F.col("s2").alias("t"), F.lit(1).alias("starts"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("double").alias("e1")))
         ahead = Window.partitionBy("wall", "via").orderBy(F.desc("t"), "starts").rowsBetween(Window.unboundedPreceding, -1)
         one = line.withColumn("to_come", F.min(F.when(F.col("starts") == 1, F.col("t"))).over(ahead)).filter("starts = 0 and to_come is not null").select("wall", "via", "first", "e1", "to_come")
         on = on_keys(one, two) & (one["to_come"] == two["s2"])
