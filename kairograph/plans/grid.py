@@ -131,5 +131,7 @@ def eligible(net: Network, grid: Grid) -> DataFrame:
 def snapshot_edges(net: Network, grid: Grid, mode: str = "bounded", loops: bool = False) -> DataFrame:
     """``[session,] bin, time, from, to, weight, n_spells``: one row for each active pair and window."""
     keys = net.sessions(mode)
-    once = active(net, grid, mode, loops).groupBy(*keys, "bin", "time", "raw_id", "from", "to").agg(F.first("weight").alias("weight"))
+    once = active(net, grid, mode, loops)
+    if net.observed is not None or net.presence is not None:  # else no spell has two fragments
+        once = once.groupBy(*keys, "bin", "time", "raw_id", "from", "to").agg(F.first("weight").alias("weight"))
     return once.groupBy(*keys, "bin", "time", "from", "to").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_spells"))

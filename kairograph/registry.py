@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kairograph.functions.timeops import micros
 from kairograph.operators import centrality, communities, crossbin, dynamics, edit, nulls, paths, results, sequences, snapshots
 from kairograph.plans.network import Network
+from kairograph.plans.storage import keep
 from kairograph.sources import builders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,7 @@ def nations(spark: SparkSession, sf: str) -> Network:
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.select("from", "to", "start", (F.col("start") + F.col("l_quantity")).alias("end"), F.col("l_quantity").alias("weight"), F.col("o_orderpriority").alias("session"))
+    rows = keep(rows, "nations")  # joined once: every step of a query reads this table
     nodes = nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     return builders.from_tables(rows, nodes=nodes, check=False, interval=STEP, unit="days")
 
