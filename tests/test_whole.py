@@ -72,3 +72,10 @@ def test_fastest_stops_only_at_no_time():
             for v in s.best:
                 want[v] = min(want.get(v, math.inf), s.label(v).time - depart)
         assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_orders_between_nations_are_joined_once(spark):
+    from kairograph.registry import nations
+
+    plan = nations(spark, "/root/testdata/sf0.001").spells._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
