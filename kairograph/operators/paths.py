@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -370,24 +371,31 @@ def stream_centrality(net: Network, measure: str, beta: float = 0.1, decay: floa
     """``session, node, value`` of Katz, PageRank or walk scores of a contact stream.
 
     Katz and walk scores are rounds of joins (`streams`).  PageRank is one ordered
-    pass, of one task for each session; its state is one number for each vertex.
+    pass, of one task for each session; its state is two numbers for each vertex.
     """
     if measure not in ("katz", "pagerank", "walk"):
         raise UnknownMeasure(measure)
     if measure != "pagerank":
         return {"katz": S.katz, "walk": S.walks}[measure](net, beta, decay, sessions, start, end)
 
+    names = keep(net.nodes.select("name", F.monotonically_increasing_id().alias("id")), "numbers")
+    side = lambda c, i: names.select(F.col("name").alias(c), F.col("id").alias(i))
+    stream = S.contact_stream(net, sessions, start, end).join(side("from", "a"), "from").join(side("to", "b"), "to").select("session", "t", "a", "b", F.col("n").cast("int").alias("n"))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "from", "to"])
-        pdf = pdf.loc[pdf.index.repeat(pdf["n"].astype(int))]
-        names, codes = np.unique(np.concatenate([pdf["from"].to_numpy(str), pdf["to"].to_numpy(str)]), return_inverse=True)
-        u, v = np.split(codes, 2)
-        when = pdf["t"].to_numpy(float)
-        cuts = np.flatnonzero(np.diff(when)) + 1
-        batches = [(float(when[i[0]]), u[i], v[i]) for i in np.split(np.arange(len(when)), cuts)]
-        return pd.DataFrame({"session": pdf["session"].iloc[0], "node": names, "value": stream_pagerank(batches, len(names), damping, transition)})
+        session = pdf["session"].iloc[0]
+        when, a, b, n = (pdf[c].to_numpy() for c in ("t", "a", "b", "n"))
+        order = np.lexsort((b, a, when))
+        order = np.repeat(order, n[order])
+        when, a, b = when[order], a[order], b[order]
+        ids = np.unique(np.concatenate([a, b]))
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        cuts = [0, *(np.flatnonzero(np.diff(when)) + 1).tolist(), len(when)]
+        batches = ((float(when[i]), a[i:j], b[i:j]) for i, j in pairwise(cuts))
+        return pd.DataFrame({"session": session, "id": ids, "value": stream_pagerank(batches, len(ids), damping, transition)})
 
-    return S.contact_stream(net, sessions, start, end).groupBy("session").applyInPandas(run, "session string, node string, value double")
+    found = stream.groupBy("session").applyInPandas(run, "session string, id long, value double")
+    return found.join(names, "id").select("session", F.col("name").alias("node"), "value")
 
 
 def stream_pagerank(batches: list, n: int, damping: float, transition: float) -> np.ndarray:
@@ -395,16 +403,25 @@ def stream_pagerank(batches: list, n: int, damping: float, transition: float) ->
 
     A contact starts a walk of weight ``1 - damping`` at its sender and takes it, with
     the ``active`` walks that wait there, to its receiver.  ``transition`` is the
-    chance that a waiting walk stays; at 1 none is left behind.
+    chance that a waiting walk stays; at 1 none is left behind.  An instant touches only
+    the vertices of its contacts.
     """
     score, active = np.zeros(n), np.zeros(n)
     begun = 1 - damping
     for _, sender, receiver in batches:
-        sent = np.bincount(sender, minlength=n)
-        moved = np.bincount(receiver, damping * (active[sender] + begun), n)
-        score += begun * sent + moved
-        stays = 0.0 if transition == 1 else transition**sent
-        arrives = 1.0 if transition == 1 else 1 - transition
-        active = np.where(sent > 0, stays * (active + begun * sent), active) + arrives * moved
+        if len(sender) == 1:
+            u, v = sender[0], receiver[0]
+            moved = damping * (active[u] + begun)
+            score[u] += begun
+            score[v] += moved
+            active[u] = 0.0 if transition == 1 else transition * (active[u] + begun)
+            active[v] += moved if transition == 1 else (1 - transition) * moved
+            continue
+        moved = damping * (active[sender] + begun)
+        np.add.at(score, sender, begun)
+        np.add.at(score, receiver, moved)
+        who, sent = np.unique(sender, return_counts=True)
+        active[who] = 0.0 if transition == 1 else transition**sent * (active[who] + begun * sent)
+        np.add.at(active, receiver, moved if transition == 1 else (1 - transition) * moved)
     total = score.sum()
     return score / total if total else np.full(n, np.nan)

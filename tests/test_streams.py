@@ -72,3 +72,25 @@ def test_scores_beyond_doubles_are_refused(spark):
     rows = [("a", "b", float(t), None) if t % 2 else ("b", "a", float(t), None) for t in range(40)]
     with pytest.raises(BudgetExceeded):
         paths.stream_centrality(network(spark, rows), "katz", beta=1e20).collect()
+
+
+def test_an_instant_of_pagerank_touches_its_own_vertices():
+    import time
+
+    import numpy as np
+
+    r, n = random.Random(3), 2_000_000
+    batches = [(float(t), np.array([r.randrange(9) for _ in range(k)]), np.array([r.randrange(9, 15) for _ in range(k)])) for t, k in enumerate([1, 3, 2] * 500)]
+    for transition in (1, 0.5):
+        score, active = [0.0] * 15, [0.0] * 15
+        for _, a, b in batches:
+            was, sent = active[:], [int((a == v).sum()) for v in range(15)]
+            for v in range(15):
+                moved = sum(0.85 * (was[x] + 0.15) for x, y in zip(a, b, strict=True) if y == v)
+                score[v] += 0.15 * sent[v] + moved
+                stays = (0.0 if transition == 1 else transition ** sent[v] * (was[v] + 0.15 * sent[v])) if sent[v] else was[v]
+                active[v] = stays + (1.0 if transition == 1 else 1 - transition) * moved
+        began = time.monotonic()
+        got = paths.stream_pagerank(iter(batches), n, 0.85, transition)
+        assert time.monotonic() - began < 10  # all vertices at every instant take a minute
+        assert got[:15] == pytest.approx([x / sum(score) for x in score], rel=1e-9) and not got[15:].any()
