@@ -154,3 +154,12 @@ def test_empty_network(spark):
     empty = net.with_(spells=net.spells.limit(0))
     for model in ("times", "targets", "timeline", "edges", "labels"):
         assert S.surrogates(empty, model, 2).spells.isEmpty()
+
+
+def test_repairs_carry_only_what_they_need(spark, rows, monkeypatch):
+    kept, real = [], S.keep
+    monkeypatch.setattr(S, "keep", lambda df, name, by=None: (kept.append((name, set(df.columns))), real(df, name, by))[1])
+    got = drawn(S.surrogates(net_of(spark, rows), "targets", 2))
+    rounds = [c for name, c in kept if name == "draws"]
+    assert len(rounds) > 1 and not any(c & {"_id", "raw_id", "weight", "session"} for c in rounds)
+    assert all(Counter((x[0], *x[2:]) for x in r) == Counter((x[0], *x[2:]) for x in rows) and all(x[0] != x[1] for x in r) for r in got.values())
