@@ -94,3 +94,17 @@ def test_who_has_two_neighbours_at_once(spark, second, busy):
     rows = [("a", "b", 0.0, 2.0, 1.0, None), ("b", "a", 1.0, 2.0, 1.0, None), ("a", "c", *second, 1.0, None)]
     net = builders.from_tables(spark.createDataFrame(rows, SPELLS), check=False)
     assert snapshots.metrics(net, ["concurrent_nodes"], start=0.0, end=0.0, step=10.0, window=10.0).first()["value"] == busy
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from kairograph.functions import labels
+
+    stages = []
+    kept = labels.keep
+    monkeypatch.setattr(labels, "keep", lambda df, name: stages.append(name) or kept(df, name))
+    r = random.Random(4)
+    names = r.sample(range(10**9), 300)
+    edges = [*zip(names, names[1:]), (-1, -1), (-5, -4)]
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long"), []).collect()}
+    assert got == dict.fromkeys(names, min(names)) | {-1: -1, -4: -5, -5: -5}
+    assert len(stages) < 60  # a label that goes from neighbour to neighbour takes a stage for each step
