@@ -1,15 +1,18 @@
-"""Katz and walk scores of contact streams as sums over walks, one hop to a round.
+"""Katz and walk scores of contact streams, by blocks of contacts in order of time.
 
 All contacts of an instant read what was there before it.  What waits at a vertex is
-a running sum of what has arrived, faded by ``decay``; it is taken in stretches of
-time, and the totals of stretches before are carried over, so a vertex or session with
-very many contacts is many groups.
+what has arrived, faded by ``decay``; it goes from one block of a session to the next,
+so walks of any number of hops are summed in one pass and no session is one group.
+Pairs of walks meet in stretches of time, and the totals of stretches before are carried
+over, so a vertex with very many contacts is many groups.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ from kairograph.plans.storage import keep
 AT = ["session", "node"]
 #: Fading within one stretch stays within double precision; after two more nothing is left.
 FADE = 300.0
-#: Longer walks that add less than this share of the shortest ones are no longer summed.
-NEGLIGIBLE = 2.0**-60
+#: Contacts of a session that one task takes in order of time.
+BLOCK = 500_000
 
 
 def contact_stream(net: Network, sessions: str = "bounded", start: float | None = None, end: float | None = None) -> DataFrame:
@@ -74,28 +77,75 @@ def waiting(arrived: DataFrame, points: DataFrame, decay: float, length: float)
     return out.select(*AT, "t", ((F.col("sum") + F.coalesce("c", F.lit(0.0))) / since("cut")).alias("s"))
 
 
+def _dealt(stream: DataFrame, length: float) -> DataFrame:
+    """``stream`` with ``block``: a session's contacts in order of time, ``BLOCK`` to a block; an instant is in one block."""
+    count = stream.withColumn("cut", F.floor(F.col("t") / length)).groupBy("session", "cut", "t").agg(F.count("*").alias("c"))
+    count = keep(count, "instants")
+    ahead = Window.partitionBy("session").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = count.groupBy("session", "cut").agg(F.sum("c").alias("c")).select("session", "cut", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("ahead"))
+    here = Window.partitionBy("session", "cut").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    place = count.select("session", "cut", "t", F.coalesce(F.sum("c").over(here), F.lit(0)).alias("here")).join(cuts, ["session", "cut"])
+    place = place.select("session", "t", F.floor((F.col("ahead") + F.col("here")) / BLOCK).cast("int").alias("block"))
+    return keep(stream.join(place, ["session", "t"]), "blocks", "block")
+
+
+def passed(pdf: pd.DataFrame, beta: float, decay: float, first: float) -> pd.DataFrame:
+    """``node, t, a, kind``: what arrives at each instant of a block (kind 1), and what then waits at its vertices (kind 0).
+
+    ``pdf`` has contacts ``from, to, t, n`` and, without ``to``, what waited before.
+    """
+    old, new = pdf[pdf["to"].isna()], pdf[pdf["to"].notna()].sort_values("t", kind="stable")
+    codes, names = pd.factorize(pd.concat([old["from"], new["from"], new["to"]], ignore_index=True))
+    x, last = [0.0] * len(names), [0.0] * len(names)
+    for v, t, y in zip(codes[: len(old)].tolist(), old["t"].tolist(), old["n"].tolist(), strict=True):
+        x[v], last[v] = y, t
+    ends, times, n = codes[len(old) :].tolist(), new["t"].tolist(), new["n"].tolist()
+    m, i, got = len(new), 0, []
+    there = lambda v, t: x[v] * math.exp(decay * (last[v] - t)) if decay and x[v] else x[v]
+    while i < m:
+        t, into = times[i], {}
+        while i < m and times[i] == t:
+            v = ends[m + i]
+            into[v] = into.get(v, 0.0) + n[i] * (first + beta * there(ends[i], t))
+            i += 1
+        for v, a in into.items():
+            x[v], last[v] = there(v, t) + a, t
+            got.append((v, t, a))
+    v, t, a = (np.array(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+    return pd.DataFrame({"node": np.append(names[v], names), "t": np.append(t, last), "a": np.append(a, x), "kind": np.append(np.ones(len(v), int), np.zeros(len(names), int))})
+
+
 def _walks(stream: DataFrame, beta: float, decay: float, first: float, length: float) -> DataFrame:
     """``session, node, t, a``: weights of walks that arrive at each instant.
 
-    A contact by itself weighs ``first``; one more contact multiplies by ``beta``.
+    A contact by itself weighs ``first``; one more contact multiplies by ``beta``.  Blocks
+    follow each other, and what waits at vertices goes from one to the next.
     """
-    arrived = keep(stream.groupBy("session", F.col("to").alias("node"), "t").agg((first * F.sum("n")).alias("a")), "arrived")
-    leave = keep(stream.select("session", F.col("from").alias("node"), "t").distinct(), "leave")
-    layers = [arrived]
-    while beta:
-        s = waiting(layers[-1], leave, decay, length).filter("s > 0")
-        onward = stream.join(s.withColumnRenamed("node", "from"), ["session", "from", "t"])
-        more = keep(onward.groupBy("session", F.col("to").alias("node"), "t").agg((beta * F.sum(F.col("n") * F.col("s"))).alias("a")), "arrived")
-        most = more.agg(F.max("a")).first()[0]
-        if most is None or most <= first * NEGLIGIBLE:
-            break
-        if not math.isfinite(most):
+    stream = _dealt(stream, length)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return passed(pdf, beta, decay, first).assign(session=pdf["session"].iloc[0])
+
+    layers, waits = [], None
+    for b in range((stream.agg(F.max("block")).first()[0] or 0) + 1):
+        rows = stream.filter(F.col("block") == b).select("session", "from", "to", "t", "n")
+        if waits is not None:
+            touched = rows.select("session", F.explode(F.array("from", "to")).alias("node")).distinct()
+            was = waits.join(touched, AT, "left_semi").select("session", F.col("node").alias("from"), F.lit(None).cast("string").alias("to"), "t", F.col("a").alias("n"))
+            rows = rows.unionByName(was)
+        got = keep(rows.groupBy("session").applyInPandas(run, "session string, node string, t double, a double, kind int"), "walks")
+        most = got.agg(F.max("a")).first()[0]
+        if most is not None and not math.isfinite(most):
             raise BudgetExceeded("scores are greater than doubles hold; take a smaller beta")
-        layers.append(more)
+        layers.append(got.filter("kind = 1").drop("kind"))
+        now = got.filter("kind = 0 and a > 0").select(*AT, "t", "a", F.lit(b).alias("b"))
+        if waits is not None:
+            now = waits.unionByName(now).groupBy(*AT).agg(F.max_by(F.struct("t", "a", "b"), "b").alias("w")).select(*AT, "w.*")
+        waits = keep(now, "waits")
     out = layers[0]
     for x in layers[1:]:
         out = out.unionByName(x)
-    return keep(out.groupBy(*AT, "t").agg(F.sum("a").alias("a")), "walks")
+    return out
 
 
 def _scores(net: Network, stream: DataFrame, got: DataFrame) -> DataFrame:

@@ -94,3 +94,28 @@ def test_an_instant_of_pagerank_touches_its_own_vertices():
         got = paths.stream_pagerank(iter(batches), n, 0.85, transition)
         assert time.monotonic() - began < 10  # all vertices at every instant take a minute
         assert got[:15] == pytest.approx([x / sum(score) for x in score], rel=1e-9) and not got[15:].any()
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.3])
+def test_what_waits_goes_from_block_to_block(spark, monkeypatch, decay):
+    rows = contacts(8)
+    monkeypatch.setattr(streams, "BLOCK", 12)
+    net = network(spark, rows)
+    got = {m: {(r["session"], r["node"]): r["value"] for r in paths.stream_centrality(net, m, beta=0.2, decay=decay).collect()} for m in ("katz", "walk")}
+    upper = max(t for _, _, t, _ in rows)
+    for s in "xy":
+        assert {v: got["katz"].get((s, v), 0.0) for v in "abcdef"} == pytest.approx(katz(rows, s, 0.2, decay, upper), rel=1e-9)
+        assert {v: got["walk"].get((s, v), 0.0) for v in "abcdef"} == pytest.approx(walks(rows, s, 0.2, decay), rel=1e-9)
+
+
+def test_walks_of_many_hops_are_one_pass(spark, monkeypatch):
+    stages = []
+    kept = streams.keep
+    monkeypatch.setattr(streams, "keep", lambda df, *how: stages.append(how) or kept(df, *how))
+    rows = [("ab"[t % 2], "ba"[t % 2], float(t), None) for t in range(30)]
+    got = {r["node"]: r["value"] for r in paths.stream_centrality(network(spark, rows), "katz", beta=1.0).collect()}
+    x = {"a": 0.0, "b": 0.0}
+    for a, b, _, _ in rows:
+        x[b] += x[a] + 1
+    assert got == pytest.approx(x)
+    assert len(stages) < 12  # a stage for each hop was thirty
