@@ -124,9 +124,10 @@ def coreness(arcs: DataFrame, at: list[str]) -> DataFrame:
     now = keep(arcs.groupBy(*at, "v").agg(F.count("*").alias("core")), "cores")
     order = Window.partitionBy(*at, "v").orderBy(F.desc("near"))
     while True:
-        near = arcs.join(now.select(*at, F.col("v").alias("w"), F.col("core").alias("near")), [*at, "w"], "left").na.fill(0, ["near"])
+        # Merged, not broadcast: else the driver would collect a row for each vertex in every round.
+        near = arcs.join(now.select(*at, F.col("v").alias("w"), F.col("core").alias("near")).hint("merge"), [*at, "w"], "left").na.fill(0, ["near"])
         h = near.withColumn("i", F.row_number().over(order)).groupBy(*at, "v").agg(F.max(F.least("near", F.col("i").cast("long"))).alias("h"))
-        after = keep(now.join(h, [*at, "v"]).select(*at, "v", F.col("core").alias("old"), F.least("core", "h").alias("core")), "cores")
+        after = keep(now.join(h.hint("merge"), [*at, "v"]).select(*at, "v", F.col("core").alias("old"), F.least("core", "h").alias("core")), "cores")
         now = after.select(*at, "v", "core")
         if after.filter("old <> core").isEmpty():
             return now

@@ -108,3 +108,14 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long"), []).collect()}
     assert got == dict.fromkeys(names, min(names)) | {-1: -1, -4: -5, -5: -5}
     assert len(stages) < 60  # a label that goes from neighbour to neighbour takes a stage for each step
+
+
+def test_rounds_of_cores_collect_nothing(spark, monkeypatch):
+    from kairograph.operators import sparse
+
+    plans = []
+    kept = sparse.keep
+    monkeypatch.setattr(sparse, "keep", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    arcs = spark.createDataFrame([(0, a, b) for a in range(4) for b in range(4) if a != b] + [(0, 4, 0), (0, 0, 4)], "bin int, v long, w long")
+    assert {r["v"]: r["core"] for r in sparse.coreness(arcs, ["bin"]).collect()} == {0: 3, 1: 3, 2: 3, 3: 3, 4: 1}
+    assert not any("BroadcastHashJoin" in p for p in plans)
