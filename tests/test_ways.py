@@ -113,3 +113,15 @@ def test_reach(series, monkeypatch):
 
 def test_pagerank(series, monkeypatch):
     _agree(series, "pagerank", K.pagerank, monkeypatch)
+
+
+def test_betweenness_of_beginnings_side_by_side_sorts_no_step(monkeypatch):
+    a, b, m = _graph(40, 110, 3)
+    sorts, unique = [], np.unique
+    monkeypatch.setattr(W.np, "unique", lambda *x, **how: sorts.append(1) or unique(*x, **how))
+    for states in (1, 130, 10_000):
+        monkeypatch.setattr(W, "STATES", states)
+        sorts.clear()
+        got = pd.concat([W.between(a, b, part, 2, 1.0) for part in range(2)]).groupby("id")["value"].sum()
+        assert len(sorts) == 2  # once for each part, to number its vertices
+        np.testing.assert_allclose(got.reindex(range(40), fill_value=0.0), K.betweenness(m, True), rtol=1e-9, atol=1e-12)
