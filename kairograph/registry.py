@@ -48,7 +48,9 @@ def nations(spark: SparkSession, sf: str) -> Network:
     c = _t(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("from"))
     s = _t(spark, sf, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("to"))
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    # Orders and customers are merged at any size: what a join costs grows as the tables, and none of their rows goes through the driver.
+    o = o.join(c.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "start", "o_orderpriority", "from")
+    rows = li.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.select("from", "to", "start", (F.col("start") + F.col("l_quantity")).alias("end"), F.col("l_quantity").alias("weight"), F.col("o_orderpriority").alias("session"))
     rows = keep(rows, "nations")  # joined once: every step of a query reads this table
     nodes = nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))

@@ -47,3 +47,14 @@ def test_next_turns_of_two_that_come_at_once(spark, tmp_path):
     c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
     got, want = QUERIES["net_event_graph_next_turns"](spark, str(tmp_path)).toPandas(), c.sql(ORACLE_SQL["net_event_graph_next_turns"]).df()
     assert norm(got) == norm(want) and len(want) > 1
+
+
+def test_orders_between_nations_are_merged_at_any_size(spark, monkeypatch):
+    """Rows of orders and customers do not go through the driver, however few they are."""
+    from kairograph import registry
+
+    kept = []
+    monkeypatch.setattr(registry, "keep", lambda df, *_: kept.append(df) or df)
+    registry.nations(spark, SF)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
