@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from kairograph.errors import BadInput
 
 _OWN: dict[str, str] = {}
+#: Rows of a task where rows are dealt by their number.
+ROWS = 500_000
 
 
 def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -30,3 +33,9 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{root.rstrip('/')}/kairograph/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a stored table dealt by columns to as many tasks as their number asks for, so that a task's memory does not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(df.count() / ROWS)), *by)

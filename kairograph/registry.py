@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kairograph.functions.timeops import micros
 from kairograph.operators import centrality, communities, crossbin, dynamics, edit, nulls, paths, results, sequences, snapshots
 from kairograph.plans.network import Network
-from kairograph.plans.storage import keep
+from kairograph.plans.storage import keep, spread
 from kairograph.sources import builders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,7 +274,7 @@ def net_turns(spark, sf):
 SELECT CAST(least(CAST(x.a AS VARCHAR), CAST(y.a AS VARCHAR)) AS VARCHAR) AS "from", CAST(greatest(CAST(x.a AS VARCHAR), CAST(y.a AS VARCHAR)) AS VARCHAR) AS "to", epoch_us(o_orderdate) / 86400e6 AS start, CAST(x.g AS VARCHAR) AS "group"
 FROM m x JOIN m y ON x.g = y.g AND x.a < y.a JOIN orders ON o_orderkey = x.g""")
 def net_copresence(spark, sf):
-    li = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("actor")).join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _days("o_orderdate").alias("time")), "l_orderkey")
+    li = spread(_t(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("actor")), "l_orderkey").join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _days("o_orderdate").alias("time")), "l_orderkey")
     net = builders.copresence_network(li.withColumnRenamed("l_orderkey", "group"), check=False)
     return net.spells.select("from", "to", "start", "group")
 

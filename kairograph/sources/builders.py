@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kairograph.errors import BadInput
 from kairograph.functions.timeops import UNIT_SECONDS, infer_unit, resolve, seconds
 from kairograph.plans.network import Network, build
+from kairograph.plans.storage import keep, spread
 
 
 def _need(df: DataFrame, role: str, named: str | None) -> str:
@@ -108,8 +109,9 @@ def copresence_network(df: DataFrame, actor: str | None = None, group: str | Non
         ranked = df.select(F.col(g).alias("_g")).distinct().withColumn("k", F.row_number().over(Window.orderBy("_g")).cast("double"))
         spans = ranked.select("_g", (F.col("k") - 1).alias("start"), F.col("k").alias("end"))
     members = df.select(*[v.alias(k) for k, v in keys.items()], F.col(a).cast("string").alias("_a")).distinct()
-    one, two = members.withColumnRenamed("_a", "from"), members.withColumnRenamed("_a", "to")
     on = list(keys)
+    members = spread(keep(members, "members"), *on)  # both sides of the pairs read this table
+    one, two = members.withColumnRenamed("_a", "from"), members.withColumnRenamed("_a", "to")
     pairs = one.join(two, on).filter(F.col("from") < F.col("to")).join(spans, "_g")
     picked = pairs.select("from", "to", "start", "end", *(["session"] if session else []), F.col("_g").cast("string").alias("group"))
     return build(picked, directed=False, unit=unit, origin=origin, format="copresence", **more)

@@ -58,3 +58,15 @@ def test_orders_between_nations_are_merged_at_any_size(spark, monkeypatch):
     registry.nations(spark, SF)
     plan = kept[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2
+
+
+def test_copresence_has_more_tasks_for_more_rows(spark, duck, monkeypatch):
+    from kairograph.plans import storage
+
+    monkeypatch.setattr(storage, "ROWS", 500)
+    got = QUERIES["net_copresence"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(_g" in plan
+    rows = duck.sql("select count(*) from (select distinct l_orderkey, l_suppkey from lineitem)").fetchall()[0][0]
+    assert f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan
+    assert norm(got.toPandas()) == norm(duck.sql(ORACLE_SQL["net_copresence"]).df())
