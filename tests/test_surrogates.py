@@ -163,3 +163,33 @@ def test_repairs_carry_only_what_they_need(spark, rows, monkeypatch):
     rounds = [c for name, c in kept if name == "draws"]
     assert len(rounds) > 1 and not any(c & {"_id", "raw_id", "weight", "session"} for c in rounds)
     assert all(Counter((x[0], *x[2:]) for x in r) == Counter((x[0], *x[2:]) for x in rows) and all(x[0] != x[1] for x in r) for r in got.values())
+
+
+@pytest.mark.parametrize("within", ["network", "session"])
+def test_draws_do_not_depend_on_slices(spark, rows, within, monkeypatch):
+    net = net_of(spark, rows)
+    whole = {r: sorted(map(str, x)) for r, x in drawn(S.surrogates(net, "times", 3, 1, within)).items()}
+    monkeypatch.setattr(S, "GROUP", 1)
+    monkeypatch.setattr(S, "LEAST", 9)
+    assert {r: sorted(map(str, x)) for r, x in drawn(S.surrogates(net, "times", 3, 1, within)).items()} == whole
+
+
+@pytest.mark.parametrize("model", ["times", "targets"])
+def test_what_a_slice_cannot_mend_is_mended_with_others(spark, rows, model, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 1)
+    monkeypatch.setattr(S, "LEAST", 4)
+    passes = []
+    monkeypatch.setattr(S._Draw, "dealt", lambda d, draws, moved, *columns, f=S._Draw.dealt: (passes.append("_row" in columns), f(d, draws, moved, *columns))[1])
+    rows = [r for r in rows if not outside(r)]
+    got = drawn(S.surrogates(net_of(spark, rows, presence=PRESENCE, observed=WATCHED), model, 2, 2))
+    assert True in passes
+    for r in got.values():
+        assert not any(map(outside, r)) and all(x[0] != x[1] for x in r)
+        assert Counter(x[2:4] for x in r) == Counter(x[2:4] for x in rows) and Counter(x[1] for x in r) == Counter(x[1] for x in rows) and Counter(x[0] for x in r) == Counter(x[0] for x in rows)
+
+
+def test_draws_are_written_as_a_row_for_each_slice(spark, rows, monkeypatch):
+    kept, real = [], S.keep
+    monkeypatch.setattr(S, "keep", lambda df, name, by=None: (kept.append((name, real(df, name, by))), kept[-1][1])[1])
+    drawn(S.surrogates(net_of(spark, rows, presence=PRESENCE), "targets", 2))
+    assert [d.count() for name, d in kept if name == "draws"] == [2, 2]
