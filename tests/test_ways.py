@@ -125,3 +125,13 @@ def test_betweenness_of_beginnings_side_by_side_sorts_no_step(monkeypatch):
         got = pd.concat([W.between(a, b, part, 2, 1.0) for part in range(2)]).groupby("id")["value"].sum()
         assert len(sorts) == 2  # once for each part, to number its vertices
         np.testing.assert_allclose(got.reindex(range(40), fill_value=0.0), K.betweenness(m, True), rtol=1e-9, atol=1e-12)
+
+
+def test_arcs_travel_as_one_value_of_a_window(series, monkeypatch):
+    """However many parts a window has, no row of an arc is dealt out once for each."""
+    net, names, matrices, _ = series
+    monkeypatch.setattr(W, "BLOCK", 5)
+    dealt, real = [], W.Arcs.dealt
+    monkeypatch.setattr(W.Arcs, "dealt", lambda x, fn, schema, parts: (dealt.append((parts, x.windows.count(), x.windows.columns)), real(x, fn, schema, parts))[1])
+    _agree(series, "closeness", K.closeness, monkeypatch)
+    assert dealt == [(-(-len(names) // 5), len(matrices), ["bin", "n", "arcs"])]
