@@ -251,39 +251,58 @@ class _Draw:
     def swapped(self, which: list[int], salt: str) -> tuple[DataFrame, dict[int, float]]:
         """Double swaps of distinct pairs, half as many side by side in a round as there are pairs.
 
-        A round couples all pairs at random and proposes a swap for each couple, on
-        undirected networks in either orientation.  A proposal stands if neither new pair is
-        a loop, is there already, or is proposed by a couple with lesser digits: so degrees
-        stay, pairs stay distinct, and a round can be undone by a round as likely.
+        A round couples pairs at random, slice by slice, and proposes a swap for each couple,
+        on undirected networks in either orientation.  A proposal stands if neither new pair
+        is a loop, is there already, or is proposed by a couple that comes before: so degrees
+        stay, pairs stay distinct, and a round can be undone by a round as likely.  Vertices
+        are numbers meanwhile, and a pair is known by those it began with.
         """
         directed = self.net.directed
-        pairs = keep(_copies(self.base.select("from", "to").distinct().withColumn("_p", F.md5(F.concat_ws("|", "from", "to"))), which), "pairs")
-        sizes = {r["replicate"]: r["count"] for r in pairs.groupBy("replicate").count().collect()}  # a row for each replicate
-        m = max(sizes.values(), default=0)
-        now = pairs.select("replicate", "_p", F.col("from").alias("_f"), F.col("to").alias("_t"), F.lit(0).alias("_made"))
+        plain = keep(self.base.select("from", "to").distinct(), "distinct")
+        m = plain.count()
+        vertex = plain.select(F.explode(F.array("from", "to")).alias("name")).distinct().withColumn("_id", F.md5("name"))
+        vertex = keep(ranked(vertex.withColumn("_one", F.lit(1)), ["_one"], "_id", "_v", max(1, -(-2 * m // SLICE))).select("name", "_v"), "numbers")
+        number = lambda c, v: vertex.select(F.col("name").alias(c), F.col("_v").alias(v))
+        pairs = keep(plain.join(number("from", "_f"), "from").join(number("to", "_t"), "to").select((F.col("_f") * (2 * m + 1) + F.col("_t")).alias("_p"), "_f", "_t", "from", "to"), "pairs")
+        lo_hi = (lambda a, b: (a, b)) if directed else (lambda a, b: (F.least(a, b), F.greatest(a, b)))
+        f, t = lo_hi(F.col("_f"), F.col("_t"))
+        now = _copies(pairs.select("_p", f.alias("_f"), t.alias("_t")), which).select("replicate", "_p", "_f", "_t", F.lit(0).alias("_made"))
         asked = max(1, round(self.swaps * m)) if m > 1 else 0
         rounds = -(-asked // max(1, m // 2))
-        lo_hi = (lambda a, b: (a, b)) if directed else (lambda a, b: (F.least(a, b), F.greatest(a, b)))
+        tasks = max(int(self.base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-m * len(which) // ROWS))
+        slices = max(1, -(-m // SLICE))
         for turn in range(rounds):
-            order = ranked(now.withColumn("_d", draw(self.seed, f"{salt} {turn}", "_p")), ["replicate"], "_d", "_k", max(1, -(-m // SLICE)))
-            couple = order.groupBy("replicate", F.floor((F.col("_k") + 1) / 2).alias("_c")).agg(F.min(F.struct("_k", "_d", "_p", "_f", "_t")).alias("x"), F.max(F.struct("_k", "_d", "_p", "_f", "_t")).alias("y")).filter("x._k < y._k")
-            turned = F.lit(not directed) & (F.substring("y._d", -1, 1) < "8")
+            drawn = lambda what: F.xxhash64(F.lit(self.seed), F.lit(f"{salt} {what} {turn}"), "replicate", "_p")  # noqa: B023, E731
+            order = now.withColumns({"_h": drawn("order"), "_cut": F.pmod(drawn("slice"), F.lit(slices)).cast("int")}).repartition(tasks, "replicate", "_cut")
+            w = Window.partitionBy("replicate", "_cut").orderBy("_h", "_p")
+            order = order.withColumns({"_k": F.row_number().over(w), "_next": F.lead(F.struct("_p", "_f", "_t", "_made")).over(w)})
+            own = F.struct("_p", "_f", "_t", "_made")
+            couple = order.filter("_k % 2 = 1").select("replicate", F.struct("_h", F.col("_p").alias("_by")).alias("_h"), own.alias("x"), F.col("_next").alias("y"))
+            turned = F.lit(not directed) & (F.pmod(F.xxhash64("_h", F.lit(turn)), F.lit(2)) == 0)
             c, d = F.when(turned, F.col("y._t")).otherwise(F.col("y._f")), F.when(turned, F.col("y._f")).otherwise(F.col("y._t"))
             p, q = lo_hi(F.col("x._f"), d), lo_hi(c, F.col("x._t"))
-            new = lambda of, ends: F.struct(F.col(f"{of}._p").alias("_p"), ends[0].alias("_f"), ends[1].alias("_t"))
-            asks = couple.select("replicate", F.col("x._d").alias("_h"), new("x", p).alias("x"), new("y", q).alias("y")).filter("x._f <> x._t AND y._f <> y._t AND NOT (x._f = y._f AND x._t = y._t)")
-            both = asks.select("replicate", "_h", F.explode(F.array("x", "y")).alias("_s")).select("replicate", "_h", "_s.*")
-            every = both.unionByName(now.select("replicate", F.lit("").alias("_h"), "_p", "_f", "_t"))
-            # The empty digits of pairs that are there come first.
-            least = every.groupBy("replicate", "_f", "_t").agg(F.min(F.struct("_h", "_p")).alias("_s")).filter("_s._h <> ''").select("replicate", "_f", "_t", "_s.*")
-            fine = least.groupBy("replicate", "_h").agg(F.count("*").alias("_c"), F.collect_list(F.struct("_p", "_f", "_t")).alias("_s")).filter("_c = 2").select("replicate", F.explode("_s").alias("_s"))  # two each
-            made = fine.select("replicate", F.col("_s._p").alias("_p"), F.col("_s._f").alias("_nf"), F.col("_s._t").alias("_nt"))
-            j = now.join(made, ["replicate", "_p"], "left")
-            now = keep(j.select("replicate", "_p", F.coalesce("_nf", "_f").alias("_f"), F.coalesce("_nt", "_t").alias("_t"), (F.col("_made") + F.col("_nf").isNotNull().cast("int")).alias("_made")), "swaps")
+            # A pair left over proposes nothing; one that may not stand keeps its place with ends that are not asked for.
+            fair = F.col("y").isNotNull() & (p[0] != p[1]) & (q[0] != q[1]) & ~((p[0] == q[0]) & (p[1] == q[1]))
+            side = lambda of, ends: F.struct(F.when(F.col("_fair"), ends[0]).alias("f"), F.when(F.col("_fair"), ends[1]).alias("t"), F.col(of).alias("was"))
+            both = couple.withColumn("_fair", F.coalesce(fair, F.lit(False))).select("replicate", "_h", F.explode(F.array(side("x", p), side("y", q))).alias("_s")).select("replicate", "_h", "_s.*").filter("was IS NOT NULL")
+            none = both.schema["was"].dataType
+            there = now.select("replicate", F.lit(None).cast(both.schema["_h"].dataType).alias("_h"), F.col("_f").alias("f"), F.col("_t").alias("t"), F.lit(None).cast(none).alias("was"))
+            # Nulls come first: pairs that are there.
+            asked_for = Window.partitionBy("replicate", "f", "t").orderBy(F.asc_nulls_first("_h"))
+            every = both.filter("f IS NOT NULL").unionByName(there).repartition(tasks, "replicate", "f", "t").withColumn("_first", F.row_number().over(asked_for) == 1).filter("was IS NOT NULL")
+            sides = every.select("replicate", "_h", "f", "t", "was", "_first").unionByName(both.filter("f IS NULL").withColumn("_first", F.lit(False)))
+            couples = sides.repartition(tasks, "replicate", "_h").groupBy("replicate", "_h").agg(F.collect_list(F.struct("f", "t", "was", "_first")).alias("_s"))  # two each
+            stands = F.forall("_s", lambda e: e["_first"])
+            now = couples.select("replicate", stands.alias("_ok"), F.explode("_s").alias("_s")).select("replicate", "_ok", "_s.*")
+            now = now.select("replicate", F.col("was._p").alias("_p"), F.when(F.col("_ok"), F.col("f")).otherwise(F.col("was._f")).alias("_f"), F.when(F.col("_ok"), F.col("t")).otherwise(F.col("was._t")).alias("_t"), (F.col("was._made") + F.col("_ok").cast("int")).alias("_made"))
+            now = keep(now, "swaps")
         made = {r["replicate"]: r["n"] for r in now.groupBy("replicate").agg((F.sum("_made") / 2).alias("n")).collect()}
         accepted = {r: made[r] / (rounds * (m // 2)) if rounds else 0.0 for r in made}
-        names = pairs.join(now.select("replicate", "_p", "_f", "_t"), ["replicate", "_p"]).drop("_p")
-        return self._renamed(names, ["from", "to"], which), accepted
+        end = lambda v, c: vertex.select(F.col("_v").alias(v), F.col("name").alias(c))
+        named = now.drop("_made").join(end("_f", "_nf"), "_f").join(end("_t", "_nt"), "_t").groupBy("_p").agg(F.collect_list(F.struct("replicate", F.col("_nf").alias("_f"), F.col("_nt").alias("_t"))).alias("_g"))  # one for each replicate
+        names = pairs.select("_p", "from", "to").join(named, "_p").drop("_p")
+        s = self.base.join(names, ["from", "to"]).select(*self.base.columns, F.explode("_g").alias("_one"))
+        return s.select("_one.replicate", *[F.col(f"_one._{c[0]}").alias(c) if c in ("from", "to") else F.col(c) for c in self.base.columns]), accepted
 
 
 def surrogates(net: Network, model: str = "times", n: int = 1, seed: int = 1, within: str = "network", respect: tuple[str, ...] = RESPECT, swaps: float = 10, max_tries: int = 100, transpose: bool = False) -> Surrogates:

@@ -193,3 +193,11 @@ def test_draws_are_written_as_a_row_for_each_slice(spark, rows, monkeypatch):
     monkeypatch.setattr(S, "keep", lambda df, name, by=None: (kept.append((name, real(df, name, by))), kept[-1][1])[1])
     drawn(S.surrogates(net_of(spark, rows, presence=PRESENCE), "targets", 2))
     assert [d.count() for name, d in kept if name == "draws"] == [2, 2]
+
+
+def test_rounds_of_swaps_carry_numbers_only(spark, rows, monkeypatch):
+    kept, real = [], S.keep
+    monkeypatch.setattr(S, "keep", lambda df, name, by=None: (kept.append((name, dict(df.dtypes))), real(df, name, by))[1])
+    drawn(S.surrogates(net_of(spark, rows), "edges", 2, swaps=2))
+    rounds = [kinds for name, kinds in kept if name == "swaps"]
+    assert len(rounds) > 1 and all(set(kinds.values()) <= {"int", "bigint"} for kinds in rounds)
