@@ -135,3 +135,23 @@ def test_arcs_travel_as_one_value_of_a_window(series, monkeypatch):
     monkeypatch.setattr(W.Arcs, "dealt", lambda x, fn, schema, parts: (dealt.append((parts, x.windows.count(), x.windows.columns)), real(x, fn, schema, parts))[1])
     _agree(series, "closeness", K.closeness, monkeypatch)
     assert dealt == [(-(-len(names) // 5), len(matrices), ["bin", "n", "arcs"])]
+
+
+def test_betweenness_of_large_windows_adds_up_few_arcs_one_by_one(monkeypatch):
+    """A beginning of a large window goes through its arcs in order; only small steps are scattered."""
+    a, b, m = _graph(400, 2000, 4)
+    monkeypatch.setattr(W, "STATES", 400)
+    scattered = []
+    add = np.add
+
+    class Counted:
+        @staticmethod
+        def at(out, where, what):
+            scattered.append(len(where))
+            add.at(out, where, what)
+
+    monkeypatch.setattr(W.np, "add", Counted)
+    got = W.between(a, b, 0, 1, 1.0).set_index("id")["value"]
+    monkeypatch.undo()
+    assert sum(scattered) < 400 * len(a) / 2
+    np.testing.assert_allclose(got.reindex(range(400), fill_value=0.0), K.betweenness(m, True), rtol=1e-9, atol=1e-9)
